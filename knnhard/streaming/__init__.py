@@ -1,0 +1,7 @@
+"""Streaming.
+
+The workloads this engine reproduces are batch jobs over files: there is no
+stream source, watermark or stateful stream operator to rebuild, so this
+package is intentionally empty. Iterative searches (annealing, gradient) are
+driver loops of batch jobs, see ``knnhard.operators.generate``.
+"""
