@@ -294,3 +294,70 @@ def within_counts(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr",
         schema, keys = "qid long, j int, cnt long", ["qid", "j"]
     parts = vectors.select(*cols).mapInArrow(body, schema)
     return parts.groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
+
+
+# ------------------------------------------------------ nearest centre
+
+def collect_centres(centres: DataFrame, cid: str = "cid", cv: str = "v", max_bytes: int = MAX_BROADCAST_BYTES):
+    ids, C, _ = collect_queries(centres, cid, cv, max_bytes=max_bytes)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], C[order]
+
+
+def nearest_centre(vectors: DataFrame, centres: DataFrame, metric: str = "euclidean", vid: str = "id",
+                   vcol: str = "v", with_sums: bool = False) -> DataFrame:
+    """Assign every vector to its nearest centre (ties: smaller ``cid``).
+
+    Centres ``(cid, v)`` are size-checked and broadcast. Output
+    ``(id, cid, d)``; with ``with_sums`` instead the per-task partial sums
+    for a Lloyd update in long form ``(cid, j, s, cnt)`` (``j = -1`` rows
+    carry the counts), to be combined by a map-side aggregate.
+    """
+    _check_metric(metric)
+    cids, C = collect_centres(centres)
+    sc = vectors.sparkSession.sparkContext
+    bC = sc.broadcast((cids, C))
+
+    def body(batches):
+        cids_, C_ = bC.value
+        c = len(cids_)
+        cn2 = np.einsum("cd,cd->c", C_, C_)
+        sums = None
+        cnts = np.zeros(c, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows == 0 or c == 0:
+                continue
+            X = _matrix(batch, vcol)
+            ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
+            xn2 = np.einsum("bd,bd->b", X, X)
+            D = _approx(metric, X, xn2, C_, cn2)  # (b, c)
+            two = min(2, c)
+            idx = np.argpartition(D, two - 1, axis=1)[:, :two] if c > two else np.tile(np.arange(c), (len(ids), 1))
+            ex = _fold(X[:, None, :], C_[idx], metric)  # exact for the two best
+            best = np.where((ex[:, 0] < ex[:, -1]) | ((ex[:, 0] == ex[:, -1]) & (idx[:, 0] <= idx[:, -1])), 0, two - 1)
+            bi = idx[np.arange(len(ids)), best]
+            bd = ex[np.arange(len(ids)), best]
+            if with_sums:
+                if sums is None:
+                    sums = np.zeros((c, X.shape[1]))
+                np.add.at(sums, bi, X)
+                cnts += np.bincount(bi, minlength=c)
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(cids_[bi], pa.int64()), pa.array(bd)],
+                    names=["id", "cid", "d"])
+        if with_sums and sums is not None:
+            nz = np.nonzero(cnts)[0]
+            dim = sums.shape[1]
+            cc = np.repeat(cids_[nz], dim + 1)
+            jj = np.tile(np.arange(-1, dim), len(nz))
+            ss = np.concatenate([np.concatenate([[0.0], sums[i]]) for i in nz]) if len(nz) else np.zeros(0)
+            cn = np.repeat(cnts[nz], dim + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cc, pa.int64()), pa.array(jj.astype(np.int32), pa.int32()), pa.array(ss), pa.array(cn, pa.int64())],
+                names=["cid", "j", "s", "cnt"])
+
+    src = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol))
+    if with_sums:
+        return src.mapInArrow(body, "cid long, j int, s double, cnt long")
+    return src.mapInArrow(body, "id long, cid long, d double")

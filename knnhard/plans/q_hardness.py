@@ -142,19 +142,6 @@ def q_count_within(spark, sf):
     return g.select("qid", vec.rnd(t).alias("t"), H.count_within(g, t).cast("long").alias("cnt_within"))
 
 
-_MT_SQL = _sql(f"""SELECT l.qid, {K}::INT AS k, {S.r6('l.lid')} AS lid, {S.r6('r.rc')} AS rc, {S.r6('x.expansion')} AS expansion,
-  {', '.join(S.r6(f"max(e.eps_hardness) FILTER (WHERE e.eps = {e})") + f' AS {H.eps_name(e)}' for e in H.EPSILONS)}
-FROM lidt l JOIN rct r USING (qid) JOIN expt x USING (qid) JOIN epst e USING (qid)
-GROUP BY l.qid, l.lid, r.rc, x.expansion""", {"lidt": LID_SQL, "rct": RC_SQL, "expt": EXP_SQL, "epst": EPS_SQL})
-
-
-@register("metric_table", _MT_SQL)
-def q_metric_table(spark, sf):
-    m = H.metric_table(*_vq(spark, sf), k=K, exclude_self=True)
-    return m.select("qid", F.col("k").cast("int"), *[vec.rnd(c).alias(c) for c in
-                                                    ["lid", "rc", "expansion"] + [H.eps_name(e) for e in H.EPSILONS]])
-
-
 GRID = 20
 PAD = 0.1
 
