@@ -20,7 +20,7 @@ them read whole tables; no id subsets, prefixes or caps.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knnhard.functions import vec
@@ -80,15 +80,16 @@ def _series(df: DataFrame, key: str, ts: str, val: str, length: int) -> DataFram
     bucket = F.expr(f"(unix_timestamp({ts}) - {t0}) * {length} div {t1 - t0 + 1}").cast("int")
     binned = (df.select(F.col(key).alias("id"), bucket.alias("b"), F.col(val).cast("double").alias("x"))
               .groupBy("id", "b").agg(F.sum("x").alias("x")))
-    per = binned.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(length - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-    out = per.select("id", dense.alias("a"))
-    mean = vec.vsum(F.col("a")) / F.lit(length)
-    out = out.select("id", F.transform("a", lambda x: x - mean).alias("a"))
-    csum = F.transform("a", lambda x, i: vec.vsum(F.slice(F.col("a"), 1, i + 1)))
-    out = out.select("id", csum.alias("a"))
-    return out.select("id", vec.znorm("a").alias("v"))
+    # dense grid: every key explodes its own bins (no join of keys x bins)
+    grid = binned.select("id").distinct().select("id", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("b"))
+    dense = grid.join(binned, ["id", "b"], "left").select("id", "b", F.coalesce("x", F.lit(0.0)).alias("x"))
+    per = Window.partitionBy("id")
+    run = Window.partitionBy("id").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = dense.withColumn("x", F.col("x") - F.avg("x").over(per))
+    c = c.withColumn("x", F.sum("x").over(run))
+    c = c.withColumn("x", (F.col("x") - F.avg("x").over(per)) / F.stddev_pop("x").over(per))
+    arr = c.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("b", "x"))).alias("bx"))
+    return arr.select("id", F.transform("bx", lambda t: t.getField("x")).alias("v"))
 
 
 def series_walk(spark, sf_dir) -> DataFrame:
