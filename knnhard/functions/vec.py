@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "dvec", "vsum", "dot", "sqdist", "euclidean", "angular", "norm2", "norm",
+    "let", "dvec", "vsum", "dot", "sqdist", "euclidean", "angular", "norm2", "norm",
     "normalise", "pad_to", "pad8", "lift_ip", "zero_last", "nan_to_zero",
     "nan_count", "all_finite", "any_nonzero", "znorm", "metric_distance",
     "rnd",
@@ -22,6 +22,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(expr: Column, body) -> Column:
+    """Evaluate ``expr`` once and pass it to ``body`` as a bound lambda
+    variable. Spark does not hoist sub-expressions out of array lambdas, so
+    an array used inside ``transform(a, x -> ... a ...)`` would otherwise be
+    recomputed per element."""
+    return F.element_at(F.transform(F.array(expr), body), 1)
+
+
 def dvec(c) -> Column:
     """Array widened to DOUBLE elements."""
     return _c(c).cast("array<double>")
@@ -57,8 +65,7 @@ def norm(a) -> Column:
 
 
 def normalise(a) -> Column:
-    n = norm(a)
-    return F.transform(dvec(a), lambda x: x / n)
+    return let(dvec(a), lambda b: let(norm(b), lambda n: F.transform(b, lambda x: x / n)))
 
 
 def pad_to(a, multiple: int = 8) -> Column:
@@ -79,13 +86,12 @@ def lift_ip(a, scale=1.0) -> Column:
     norm is <= 1; the reference has no guard and yields NaN otherwise).
     """
     s = F.lit(scale) if not isinstance(scale, Column) else scale
-    x = F.transform(dvec(a), lambda e: e / s)
-    return F.concat(x, F.array(F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - norm2(x)))))
+    return let(F.transform(dvec(a), lambda e: e / s),
+               lambda x: F.concat(x, F.array(F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - norm2(x))))))
 
 
 def zero_last(a) -> Column:
-    a = dvec(a)
-    return F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.lit(0.0)))
+    return let(dvec(a), lambda b: F.concat(F.slice(b, 1, F.size(b) - 1), F.array(F.lit(0.0))))
 
 
 def nan_to_zero(a) -> Column:
@@ -106,11 +112,12 @@ def any_nonzero(a) -> Column:
 
 def znorm(a) -> Column:
     """Per-row z-normalisation with the population standard deviation."""
-    a = dvec(a)
-    n = F.size(a)
-    mean = vsum(a) / n
-    sd = F.sqrt(vsum(F.transform(a, lambda x: (x - mean) * (x - mean))) / n)
-    return F.transform(a, lambda x: (x - mean) / sd)
+    def body(b):
+        n = F.size(b)
+        return let(vsum(b) / n, lambda mean: let(
+            F.sqrt(vsum(F.transform(b, lambda x: (x - mean) * (x - mean))) / n),
+            lambda sd: F.transform(b, lambda x: (x - mean) / sd)))
+    return let(dvec(a), body)
 
 
 def metric_distance(q, v, metric: str) -> Column:

@@ -361,3 +361,94 @@ def nearest_centre(vectors: DataFrame, centres: DataFrame, metric: str = "euclid
     if with_sums:
         return src.mapInArrow(body, "cid long, j int, s double, cnt long")
     return src.mapInArrow(body, "id long, cid long, d double")
+
+
+# ------------------------------------------------------- RC gradient
+
+def gradient_partials(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m: int = 11,
+                      exclude_self: bool = False, vid: str = "id", vcol: str = "v") -> DataFrame:
+    """Per query: ``n, sum_d``, the gradient sum ``g = sum_i dd_i/dx``
+    (Euclidean: ``(x - p_i)/d_i``, zero-distance points skipped; angular:
+    ``-p_i``) and the ``m`` nearest with their vectors
+    ``top array<struct<d,id,v>>``; merged by the same salted two-level
+    aggregate as ``profile``."""
+    _check_metric(metric)
+    qids, Q, _ = collect_queries(queries)
+    sc = vectors.sparkSession.sparkContext
+    bQ = sc.broadcast((qids, Q))
+    mm = m + _MARGIN
+
+    def body(batches):
+        qids_, Q_ = bQ.value
+        q, dim = Q_.shape
+        qn2 = np.einsum("qd,qd->q", Q_, Q_)
+        n = np.zeros(q, dtype=np.int64)
+        s = np.zeros(q)
+        g = np.zeros((q, dim))
+        best_d = np.full((q, 0), np.inf)
+        best_i = np.zeros((q, 0), dtype=np.int64)
+        best_v = np.zeros((q, 0, dim))
+        for batch in batches:
+            if batch.num_rows == 0 or q == 0:
+                continue
+            X = _matrix(batch, vcol)
+            ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
+            xn2 = np.einsum("bd,bd->b", X, X)
+            D = _approx(metric, Q_, qn2, X, xn2)
+            if exclude_self:
+                D[_self_mask(qids_, ids, slice(0, q))] = np.inf
+            fin = np.isfinite(D)
+            n += fin.sum(1)
+            s += np.where(fin, D, 0.0).sum(1)
+            if metric == "angular":
+                g -= fin.astype(float) @ X
+            else:
+                inv = np.where(fin & (D > 0), 1.0 / np.where(D > 0, D, 1.0), 0.0)  # (q, b)
+                g += inv.sum(1)[:, None] * Q_ - inv @ X
+            k = min(mm, len(ids))
+            idx = np.argpartition(D, k - 1, axis=1)[:, :k] if D.shape[1] > k else np.tile(np.arange(D.shape[1]), (q, 1))
+            ex = _exact_rows(metric, Q_, X, idx)
+            ex[~np.isfinite(np.take_along_axis(D, idx, 1))] = np.inf
+            cd = np.concatenate([best_d, ex], 1)
+            ci = np.concatenate([best_i, ids[idx]], 1)
+            cv = np.concatenate([best_v, X[idx]], 1)
+            if cd.shape[1] > mm:
+                sel = np.argpartition(cd, mm - 1, axis=1)[:, :mm]
+                cd = np.take_along_axis(cd, sel, 1)
+                ci = np.take_along_axis(ci, sel, 1)
+                cv = np.take_along_axis(cv, sel[:, :, None], 1)
+            best_d, best_i, best_v = cd, ci, cv
+        if q == 0:
+            return
+        pid = TaskContext.get().partitionId()
+        offs, ds, is_, vs = [0], [], [], []
+        for r in range(q):
+            order = [j for j in np.lexsort((best_i[r], best_d[r])) if np.isfinite(best_d[r, j])][:m]
+            ds.extend(best_d[r, order].tolist())
+            is_.extend(best_i[r, order].tolist())
+            vs.extend([best_v[r, j].tolist() for j in order])
+            offs.append(len(ds))
+        vv = pa.array(vs, type=pa.list_(pa.float64()))
+        top = pa.ListArray.from_arrays(pa.array(offs, type=pa.int32()), pa.StructArray.from_arrays(
+            [pa.array(ds, type=pa.float64()), pa.array(is_, type=pa.int64()), vv], names=["d", "id", "v"]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(qids_, pa.int64()), pa.array(np.full(q, pid), pa.int32()), pa.array(n, pa.int64()), pa.array(s),
+             pa.array(g.tolist(), type=pa.list_(pa.float64())), top],
+            names=["qid", "pid", "n", "sum_d", "g", "top"])
+
+    schema = ("qid long, pid int, n long, sum_d double, g array<double>, "
+              "top array<struct<d:double,id:bigint,v:array<double>>>")
+    parts = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(body, schema)
+    salts = _num_salts(vectors)
+
+    def aggs():
+        gsum = F.aggregate(F.collect_list("g"), F.array_repeat(F.lit(0.0), F.size(F.first("g"))),
+                           lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+        return [F.sum("n").alias("n"), F.sum("sum_d").alias("sum_d"), gsum.alias("g"),
+                F.slice(F.array_sort(F.flatten(F.collect_list("top")),
+                                     lambda a, b: F.when(a.getField("d") < b.getField("d"), -1)
+                                     .when(a.getField("d") > b.getField("d"), 1)
+                                     .when(a.getField("id") < b.getField("id"), -1)
+                                     .when(a.getField("id") > b.getField("id"), 1).otherwise(0)), 1, m).alias("top")]
+    lvl1 = parts.groupBy("qid", F.pmod(F.col("pid"), F.lit(salts)).alias("salt")).agg(*aggs())
+    return lvl1.groupBy("qid").agg(*aggs())

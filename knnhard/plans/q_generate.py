@@ -1 +1,278 @@
-"""Registered queries (placeholder)."""
+"""Registered queries G1-G16 (workload generation).
+
+Single steps (noise, perturbations, one annealing step, one gradient step,
+targets, gradients, a trace step) have DuckDB oracles built from the same
+hash uniforms; the multi-step searches are checked by rows only.
+"""
+
+from pyspark.sql import functions as F
+
+from knnhard.functions import vec
+from knnhard.operators import generate as G
+from knnhard.operators import hardness as H
+from knnhard.operators import ivf
+from knnhard.plans import fixtures as fx
+from knnhard.plans import sqlgen as S
+from knnhard.plans.q_hardness import _AVG_RC_SQL
+from knnhard.plans.registry import register
+
+SEED = 1234
+K = 10
+NQ = 20
+SCALE = 0.01
+P_SCALE = 0.1
+A_SCALE = 0.05
+LR = 0.01
+# fixed search interval (RC) for the single-step checks
+LOW_RC, HIGH_RC = 1.05, 1.10
+
+
+def _v(spark, sf):
+    return fx.vectors(spark, sf)
+
+
+def _q(spark, sf):
+    return fx.queries(spark, sf)
+
+
+def _digest(col="qv"):
+    return [F.size(col).cast("long").alias("dim"), vec.rnd(vec.vsum(vec.dvec(col))).alias("vsum"),
+            vec.rnd(vec.norm2(col)).alias("norm2")]
+
+
+def _sdigest(col):
+    return f"len({col})::BIGINT AS dim, {S.r6(S.vsum(col))} AS vsum, {S.r6(S.norm2(col))} AS norm2"
+
+
+def _noise_sql(seed_expr: str, scale_expr: str, src: str, extra_from: str = "") -> str:
+    nrm = S.normal("SEEDX", "noise", "id", "i - 1").replace("'SEEDX'", f"({seed_expr})::VARCHAR")
+    return f"""SELECT id AS qid, list_transform(v, lambda x, i: x::DOUBLE + ({scale_expr}) * {nrm}) AS qv FROM (
+  SELECT * FROM {src} ORDER BY md5(concat_ws(':', '{SEED}', id::VARCHAR)), id LIMIT {NQ}){extra_from}"""
+
+
+@register("noise_queries", fx.with_fixtures(["vectors"], f"SELECT qid, {_sdigest('qv')} FROM nq",
+                                            {"nq": _noise_sql(str(int(SEED * SCALE)), repr(SCALE), "vectors")}))
+def q_noise_queries(spark, sf):
+    return G.noise_queries(_v(spark, sf), NQ, SCALE, SEED).select("qid", *_digest())
+
+
+_DIAM = f"(SELECT 2 * max({S.dist('euclidean', 'q.v', 'x.v')}) FROM (SELECT v FROM vectors WHERE id = (SELECT min(id) FROM vectors)) q, vectors x)"
+
+
+@register("noise_scaled", fx.with_fixtures(["vectors"], f"SELECT qid, {_sdigest('qv')} FROM nq", {
+    "sc": f"SELECT {_DIAM} * {G.NOISE_LEVELS['hard']!r} AS s",
+    "nq": _noise_sql(f"floor({SEED} * sc.s)::BIGINT", "sc.s", "vectors", ", sc")}))
+def q_noise_scaled(spark, sf):
+    return G.noise_scaled(_v(spark, sf), NQ, "hard", SEED).select("qid", *_digest())
+
+
+_SDRAWS = f"""SELECT range AS draw, floor({S.uniform(SEED, 'pick', '0', 'range')} * (SELECT max(id) + 1 FROM series_walk))::BIGINT AS id FROM range({NQ})"""
+
+
+@register("noise_series", fx.with_fixtures(["series_walk"], f"""
+SELECT qid, source, {_sdigest('z')} FROM (
+  SELECT qid, source, list_transform(y, lambda t: (t - mu) / sd) AS z FROM (
+    SELECT qid, source, y, mu, sqrt(list_sum(list_transform(y, lambda t: (t - mu) * (t - mu))) / len(y)) AS sd FROM (
+      SELECT qid, source, y, list_sum(y) / len(y) AS mu FROM (
+        SELECT d.draw AS qid, d.id AS source,
+          list_transform(s.v, lambda x, i: x + 0.1 * {S.normal(SEED, 'snoise', 'd.draw', 'i - 1')}) AS y
+        FROM draws d JOIN series_walk s USING (id)))))""", {"draws": _SDRAWS}))
+def q_noise_series(spark, sf):
+    n = G.noise_series(fx.series_walk(spark, sf), NQ, 0.1, SEED)
+    return n.select("qid", "source", *_digest())
+
+
+def _dir_sql(key):
+    nv = f"list_transform(range(len(v)), lambda j: {S.normal(SEED, 'dir', key, 'j')})"
+    return f"list_transform({nv}, lambda e: e / sqrt(list_sum(list_transform({nv}, lambda t: t * t))))"
+
+
+_KEY = "qid::VARCHAR || ':0'"
+
+
+def _perturb_euclid_sql(src, last_zero=False):
+    amount = f"(-{P_SCALE!r} * ln({S.uniform(SEED, 'amount', _KEY, '0')}))"
+    body = f"list_transform(list_zip(list_transform(v, lambda x: x::DOUBLE), dirn), lambda p: p[1] + {amount} * p[2])"
+    if last_zero:
+        body = f"list_concat(({body})[1:len(v) - 1], [0.0])"
+    return f"SELECT qid, v, {amount} AS amount, {body} AS y FROM (SELECT qid, qv AS v, {_dir_sql(_KEY)} AS dirn FROM {src})"
+
+
+@register("perturb_euclid", fx.with_fixtures(["queries"], f"""
+SELECT qid, {_sdigest('y')}, {S.r6(S.dist('euclidean', 'v', 'y'))} AS moved FROM pe""", {"pe": _perturb_euclid_sql("queries")}))
+def q_perturb_euclid(spark, sf):
+    q = _q(spark, sf)
+    p = G.perturb(q.select("qid", F.col("qv").alias("y"), "qv"), "euclidean", P_SCALE, SEED, 0, col="y")
+    return p.select("qid", *_digest("y"), vec.rnd(vec.euclidean("qv", "y")).alias("moved"))
+
+
+@register("perturb_ip", fx.with_fixtures(["queries_ip"], f"""
+SELECT qid, {_sdigest('y')}, {S.r6('y[-1]')} AS last FROM pe""", {"pe": _perturb_euclid_sql("queries_ip", True)}))
+def q_perturb_ip(spark, sf):
+    q = fx.queries_ip(spark, sf)
+    p = G.perturb(q, "ip", P_SCALE, SEED, 0)
+    return p.select("qid", *_digest("qv"), vec.rnd(F.element_at("qv", -1)).alias("last"))
+
+
+_A = P_SCALE / (1 - P_SCALE)
+_PA = f"""SELECT qid, x, list_transform(y, lambda t: t / sqrt({S.norm2('y')})) AS y FROM (
+  SELECT qid, x, list_transform(list_zip(x, o), lambda p: p[1] + tan(acos(1.0 - pow({S.uniform(SEED, 'beta', _KEY, '0')}, {1.0 / _A!r}))) * p[2]) AS y FROM (
+    SELECT qid, x, list_transform(r2, lambda t: t / sqrt({S.norm2('r2')})) AS o FROM (
+      SELECT qid, x, list_transform(list_zip(r, x), lambda p: p[1] - pr * p[2]) AS r2 FROM (
+        SELECT qid, x, r, {S.dot('x', 'r')} AS pr FROM (
+          SELECT qid, list_transform(qv, lambda t: t::DOUBLE) AS x,
+            list_transform(range(len(qv)), lambda j: {S.normal(SEED, 'dir', _KEY, 'j')}) AS r FROM queries)))))"""
+
+
+@register("perturb_angular", fx.with_fixtures(["queries"], f"""
+SELECT qid, {_sdigest('y')}, {S.r6(S.dot('x', 'y'))} AS cosine FROM pa""", {"pa": _PA}))
+def q_perturb_angular(spark, sf):
+    q = _q(spark, sf)
+    p = G.perturb(q.select("qid", F.col("qv").alias("y"), "qv"), "angular", P_SCALE, SEED, 0, col="y")
+    return p.select("qid", *_digest("y"), vec.rnd(vec.dot("qv", "y")).alias("cosine"))
+
+
+_RAW_AVG = _AVG_RC_SQL.replace(S.r6("avg(rc)"), "avg(rc)")
+_FAC = " UNION ALL ".join(f"SELECT '{c}' AS target_class, {f!r} AS f" for c, f in G.CLASS_FACTORS["other"].items())
+
+
+@register("target_interval", f"""SELECT target_class, {S.r6('t')} AS target_rc, {S.r6('t * 0.95')} AS target_low,
+  {S.r6('t * 1.05')} AS target_high FROM (SELECT c.target_class, (a.avg_rc - 1) * c.f + 1 AS t
+  FROM ({_RAW_AVG}) a, ({_FAC}) c)""")
+def q_target_interval(spark, sf):
+    a = H.average_rc(_v(spark, sf), k=K, sample_size=100, seed=SEED)
+    t = G.target_table(a, "euclidean")
+    return t.select("target_class", *[vec.rnd(c).alias(c) for c in ("target_rc", "target_low", "target_high")])
+
+
+def _rc_ctes(src="queries"):
+    return {"pairs": S.pairs(qt=src), "ranked": S.RANKED}
+
+
+_GRAD_SQL = fx.with_fixtures(["vectors", "queries"], f"""
+, kth AS (SELECT r.qid, r.d AS dk, r.mean_d, r.n, x.v AS pk FROM ranked r JOIN vectors x USING (id) WHERE r.r = {K}),
+gs AS (SELECT p.qid, e.j, sum((q.qv[e.j]::DOUBLE - x.v[e.j]::DOUBLE) / p.d) AS g
+       FROM pairs p JOIN queries q USING (qid) JOIN vectors x ON x.id = p.id, (SELECT range + 1 AS j FROM range(64)) e
+       WHERE p.d > 0 GROUP BY p.qid, e.j)
+SELECT gs.qid, (gs.j - 1)::BIGINT AS j,
+  {S.r6('(gs.g / k.n) / k.dk - k.mean_d * ((q.qv[gs.j]::DOUBLE - k.pk[gs.j]::DOUBLE) / k.dk) / (k.dk * k.dk)')} AS grad
+FROM gs JOIN kth k USING (qid) JOIN queries q USING (qid)""", _rc_ctes()).replace("\n, kth AS", ",\nkth AS")
+
+
+@register("rc_gradient", _GRAD_SQL)
+def q_rc_gradient(spark, sf):
+    g = G.rc_gradient(_v(spark, sf), _q(spark, sf), K, exclude_self=True)
+    return g.select("qid", F.posexplode("grad").alias("j", "grad")).select(
+        "qid", F.col("j").cast("long"), vec.rnd("grad").alias("grad"))
+
+
+_STEP_SQL = fx.with_fixtures(["vectors", "queries"], f"""
+, kth AS (SELECT r.qid, r.d AS dk, r.mean_d, r.n, x.v AS pk FROM ranked r JOIN vectors x USING (id) WHERE r.r = {K}),
+gs AS (SELECT p.qid, e.j, sum((q.qv[e.j]::DOUBLE - x.v[e.j]::DOUBLE) / p.d) AS g
+       FROM pairs p JOIN queries q USING (qid) JOIN vectors x ON x.id = p.id, (SELECT range + 1 AS j FROM range(64)) e
+       WHERE p.d > 0 GROUP BY p.qid, e.j),
+gr AS (SELECT gs.qid, gs.j, k.mean_d / k.dk AS rc,
+        (gs.g / k.n) / k.dk - k.mean_d * ((q.qv[gs.j]::DOUBLE - k.pk[gs.j]::DOUBLE) / k.dk) / (k.dk * k.dk) AS grad, q.qv[gs.j]::DOUBLE AS x
+       FROM gs JOIN kth k USING (qid) JOIN queries q USING (qid)),
+st AS (SELECT qid, j, rc, rc >= {LOW_RC} AND rc <= {HIGH_RC} AS inside,
+        CASE WHEN rc >= {LOW_RC} AND rc <= {HIGH_RC} THEN x
+             ELSE x - {LR!r} * (CASE WHEN rc < {HIGH_RC} THEN -grad ELSE grad END) /
+                  (sqrt((CASE WHEN rc < {HIGH_RC} THEN -grad ELSE grad END) * (CASE WHEN rc < {HIGH_RC} THEN -grad ELSE grad END)) + 1e-8) END AS y
+       FROM gr),
+agg AS (SELECT qid, any_value(rc) AS rc, bool_and(inside) AS in_target, list(y ORDER BY j) AS qv FROM st GROUP BY qid)
+SELECT qid, {S.r6('rc')} AS rc, in_target, {_sdigest('qv')} FROM agg""", _rc_ctes()).replace("\n, kth AS", ",\nkth AS")
+
+
+@register("gradient_step", _STEP_SQL)
+def q_gradient_step(spark, sf):
+    s = G.gradient_step(_v(spark, sf), _q(spark, sf), K, LOW_RC, HIGH_RC, LR, exclude_self=True)
+    return s.select("qid", vec.rnd("rc").alias("rc"), "in_target", *_digest())
+
+
+def _cand_sql():
+    amount = f"(-{A_SCALE!r} * ln({S.uniform(SEED, 'amount', _KEY, '0')}))"
+    return (f"SELECT qid, list_transform(list_zip(list_transform(v, lambda x: x::DOUBLE), dirn), lambda p: p[1] + {amount} * p[2]) AS qv "
+            f"FROM (SELECT qid, qv AS v, {_dir_sql(_KEY)} AS dirn FROM queries)")
+
+
+_LOW_S, _HIGH_S = -__import__("math").log(HIGH_RC), -__import__("math").log(LOW_RC)
+_ANNEAL_SQL = fx.with_fixtures(["vectors", "queries"], f"""
+, cand AS ({_cand_sql()}),
+cpairs AS ({S.pairs(qt='cand')}),
+cranked AS ({S.RANKED.replace('FROM pairs', 'FROM cpairs')}),
+y0 AS (SELECT qid, -ln(mean_d / d) AS y FROM ranked WHERE r = {K}),
+y1 AS (SELECT qid, -ln(mean_d / d) AS y_next FROM cranked WHERE r = {K})
+SELECT qid, {S.r6('y')} AS y, {S.r6('y_next')} AS y_next,
+  CASE WHEN y_next >= {_LOW_S!r} AND y_next <= {_HIGH_S!r} THEN 'target'
+       WHEN least(abs(y_next - {_LOW_S!r}), abs(y_next - {_HIGH_S!r})) <= least(abs(y - {_LOW_S!r}), abs(y - {_HIGH_S!r})) THEN 'closer'
+       WHEN {S.uniform(SEED, 'metropolis', "qid::VARCHAR || ':0'", '0')} < exp(-abs(y - y_next) / (1.0 / (0 + 1))) THEN 'metropolis'
+       ELSE 'reject' END AS decision
+FROM y0 JOIN y1 USING (qid)""", _rc_ctes()).replace("\n, cand AS", ",\ncand AS")
+
+
+@register("anneal_step", _ANNEAL_SQL)
+def q_anneal_step(spark, sf):
+    v, q = _v(spark, sf), _q(spark, sf)
+    y = G.rc_scores(v, q, K, exclude_self=True).select("qid", F.col("score").alias("y"))
+    st = q.join(y, "qid")
+    a = G.anneal_step(v, st, K, _LOW_S, _HIGH_S, A_SCALE, 0, SEED, 1.0, exclude_self=True)
+    return a.select("qid", vec.rnd("y").alias("y"), vec.rnd("y_next").alias("y_next"), "decision")
+
+
+_TRACE_SQL = fx.with_fixtures(["vectors"], f"""
+, st AS (SELECT d.draw AS qid, list_transform(x.v, lambda t, i: t::DOUBLE + 0.001 * {S.normal(SEED, 'start', 'd.draw', 'i - 1')}) AS qv
+         FROM draws d JOIN vectors x USING (id)),
+sp AS ({S.pairs(qt='st', self_excl=False)}),
+sr AS ({S.RANKED.replace('FROM pairs', 'FROM sp')})
+SELECT 0::BIGINT AS iteration, {S.r6('mean_d / d')} AS rc, qid AS query_index, 'embeddings' AS dataset, 'sgd' AS method,
+  '{{"learning_rate": {LR!r}, "max_steps": 1, "seed": {SEED}}}' AS method_params
+FROM sr WHERE r = {K}""", {"draws": f"SELECT range AS draw, floor({S.uniform(SEED, 'pick', '0', 'range')} * (SELECT max(id) + 1 FROM vectors))::BIGINT AS id FROM range({NQ})"}).replace("\n, st AS", ",\nst AS")
+
+
+@register("trace_step", _TRACE_SQL)
+def q_trace_step(spark, sf):
+    v = _v(spark, sf)
+    final, tr = G.gradient_search(v, G.start_points(v, NQ, SEED), K, LOW_RC, HIGH_RC, LR, max_iter=1, seed=SEED)
+    t = G.trace_table(tr, "embeddings", "sgd", {"learning_rate": LR, "max_steps": 1, "seed": SEED})
+    return t.select(F.col("iteration").cast("long"), vec.rnd("rc").alias("rc"), "query_index", "dataset", "method", "method_params")
+
+
+# ------------------------------------------------------- rows-only loops
+
+NQ_LOOP = 4
+STEPS = 4
+
+
+@register("gradient_workload")
+def q_gradient_workload(spark, sf):
+    final, _ = G.gradient_workload(_v(spark, sf), K, "hard", NQ_LOOP, lr=LR, max_steps=STEPS, seed=SEED)
+    return final.select("qid", vec.rnd("rc").alias("rc"), "reached", "iterations", *_digest())
+
+
+@register("anneal_workload")
+def q_anneal_workload(spark, sf):
+    final, _ = G.anneal_workload(_v(spark, sf), K, "medium", NQ_LOOP, max_steps=STEPS, seed=SEED, max_rounds=2)
+    return final.select("qid", vec.rnd("rc").alias("rc"), "reached", *_digest())
+
+
+@register("empirical_workload")
+def q_empirical_workload(spark, sf):
+    v = _v(spark, sf)
+    idx = ivf.build_index(v, iters=2, seed=SEED)
+    final, _ = G.empirical_workload(v, K, 0.1, 0.2, NQ_LOOP, idx, lr=LR, max_steps=STEPS, seed=SEED)
+    return final.select("qid", vec.rnd("score").alias("distcomp"), "reached", *_digest())
+
+
+@register("trajectory")
+def q_trajectory(spark, sf):
+    v = _v(spark, sf)
+    _, tr = G.gradient_search(v, G.start_points(v, NQ_LOOP, SEED), K, LOW_RC, HIGH_RC, LR, max_iter=STEPS,
+                              seed=SEED, keep_trajectory=True)
+    return tr.select("iteration", "qid", vec.rnd("rc").alias("rc"), *_digest())
+
+
+@register("dispatch_workload")
+def q_dispatch_workload(spark, sf):
+    v = _v(spark, sf)
+    cfg = {"workload_type": "synthetic-gaussian-noise", "k": K, "num_queries": NQ, "scale": "medium"}
+    return G.dispatch_workload(v, cfg).select("qid", *_digest())
