@@ -43,23 +43,23 @@ def ivf_ctes(iters=ITERS):
     return ctes
 
 
-def sweep_ctes():
+def sweep_ctes(k=K, sfx=""):
     c = ivf_ctes()
     c.update({
         "pairs": S.pairs(), "ranked": S.RANKED,
-        "tq": f"SELECT qid, d + 0.001 AS thr, n FROM ranked WHERE r = {K - 1}",
         "sizes": "SELECT cid, count(*) AS size FROM af GROUP BY cid",
         "own": "SELECT id AS qid, cid AS own FROM af",
         "po": f"SELECT q.qid, c.cid, row_number() OVER (PARTITION BY q.qid ORDER BY {DIST_QC}, c.cid) AS probe FROM queries q, cf c",
-        "hits": "SELECT p.qid, a.cid, count(*) AS hits FROM pairs p JOIN tq USING (qid) JOIN af a ON a.id = p.id WHERE p.d <= tq.thr GROUP BY 1, 2",
-        "cur": """SELECT po.qid, po.probe, coalesce(sizes.size, 0) - CASE WHEN own.own = po.cid THEN 1 ELSE 0 END AS size,
-                  coalesce(hits.hits, 0) AS hits FROM po LEFT JOIN sizes USING (cid) LEFT JOIN hits USING (qid, cid) JOIN own USING (qid)""",
-        "sw": f"""SELECT qid, probe AS nprobe, scanned, hits, least(hits, {K}) / {float(K)} AS recall,
+        f"tq{sfx}": f"SELECT qid, d + 0.001 AS thr, n FROM ranked WHERE r = {k - 1}",
+        f"hits{sfx}": f"SELECT p.qid, a.cid, count(*) AS hits FROM pairs p JOIN tq{sfx} USING (qid) JOIN af a ON a.id = p.id WHERE p.d <= tq{sfx}.thr GROUP BY 1, 2",
+        f"cur{sfx}": f"""SELECT po.qid, po.probe, coalesce(sizes.size, 0) - CASE WHEN own.own = po.cid THEN 1 ELSE 0 END AS size,
+                  coalesce(h.hits, 0) AS hits FROM po LEFT JOIN sizes USING (cid) LEFT JOIN hits{sfx} h USING (qid, cid) JOIN own USING (qid)""",
+        f"sw{sfx}": f"""SELECT qid, probe AS nprobe, scanned, hits, least(hits, {k}) / {float(k)} AS recall,
                   (scanned + (SELECT count(*) FROM cf)) / n AS distcomp FROM (
-                  SELECT qid, probe, sum(size) OVER w AS scanned, sum(hits) OVER w AS hits FROM cur
-                  WINDOW w AS (PARTITION BY qid ORDER BY probe ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) JOIN tq USING (qid)""",
-        "hard": f"""SELECT qid, nprobe, distcomp, recall FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY nprobe) AS rn
-                    FROM sw WHERE recall >= {TARGET}) WHERE rn = 1""",
+                  SELECT qid, probe, sum(size) OVER w AS scanned, sum(hits) OVER w AS hits FROM cur{sfx}
+                  WINDOW w AS (PARTITION BY qid ORDER BY probe ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) JOIN tq{sfx} USING (qid)""",
+        f"hard{sfx}": f"""SELECT qid, nprobe, distcomp, recall FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY nprobe) AS rn
+                    FROM sw{sfx} WHERE recall >= {TARGET}) WHERE rn = 1""",
     })
     return c
 
