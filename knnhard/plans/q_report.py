@@ -91,7 +91,8 @@ def q_unpivot_measures(spark, sf):
 def _kendall_sql(src, keys, x, y):
     k = ", ".join(f"a.{c}" for c in keys)
     on = " AND ".join(f"a.{c} = b.{c}" for c in keys)
-    return f"""SELECT {k}, sum(sign(a.{x} - b.{x}) * sign(a.{y} - b.{y})) / sqrt(sum(abs(sign(a.{x} - b.{x}))) * sum(abs(sign(a.{y} - b.{y})))) AS tau
+    den = f"sqrt(sum(abs(sign(a.{x} - b.{x}))) * sum(abs(sign(a.{y} - b.{y}))))"
+    return f"""SELECT {k}, CASE WHEN {den} > 0 THEN sum(sign(a.{x} - b.{x}) * sign(a.{y} - b.{y})) / {den} END AS tau
       FROM {src} a JOIN {src} b ON {on} AND a.rid < b.rid GROUP BY {k}"""
 
 
