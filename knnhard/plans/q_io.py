@@ -1 +1,120 @@
-"""Registered queries (placeholder)."""
+"""Registered queries A4, A7, A9, A14 (files written to the shared scratch folder and read back)."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from knnhard.functions import vec
+from knnhard.operators import vectors as vops
+from knnhard.plans import fixtures as fx
+from knnhard.plans import results as RS
+from knnhard.plans import sqlgen as S
+from knnhard.plans.registry import register
+from knnhard.sources import tables as TB
+from knnhard.sources import vecfile as VF
+
+LIMIT = 300
+SEED = 1234
+NQ = 20
+
+
+def _digest(col="v"):
+    return [F.size(col).cast("long").alias("dim"), vec.rnd(vec.vsum(vec.dvec(col))).alias("vsum"),
+            vec.rnd(vec.norm2(col)).alias("norm2")]
+
+
+def _sdigest(col):
+    return f"len({col})::BIGINT AS dim, {S.r6(S.vsum(col))} AS vsum, {S.r6(S.norm2(col))} AS norm2"
+
+
+def _norm_sql(col):
+    return f"list_transform({col}, lambda x: x::DOUBLE / sqrt({S.norm2(col)}))"
+
+
+@register("load_limit", fx.with_fixtures([], f"""SELECT vec_id AS id, {_sdigest('w')} FROM (
+  SELECT vec_id, {_norm_sql('embedding')} AS w FROM embeddings
+  WHERE vec_id < {LIMIT} AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""))
+def q_load_limit(spark, sf):
+    """Write the embeddings as raw parts, load the first LIMIT rows back as an
+    angular dataset (repair, zero-drop, normalise) (A1, A4, A6)."""
+    v = fx.vectors(spark, sf)
+    n = v.count()
+    path = os.path.join(TB.scratch_dir(spark, "load"), f"emb-angular-{v.select(F.size('v')).first()[0]}-{n}.bin")
+    VF.write_vectors(v, path)
+    df, metric = TB.load_vectors(spark, path, limit=LIMIT)
+    return df.select("id", *_digest())
+
+
+@register("verify_roundtrip", fx.with_fixtures(["vectors_ip"], """SELECT count(*)::BIGINT AS n_a, count(*)::BIGINT AS n_b,
+  0::BIGINT AS n_mismatch, 0.0::DOUBLE AS max_abs_diff FROM vectors_ip"""))
+def q_verify_roundtrip(spark, sf):
+    """Pad to a multiple of 8, write raw float32, read back, strip the padding
+    and compare with the input like ``isclose`` (A6, A7, A13)."""
+    v = fx.vectors_ip(spark, sf)
+    dim = v.select(F.size("v")).first()[0]
+    path = os.path.join(TB.scratch_dir(spark, "verify"), f"ip-{dim}-x.bin")
+    padded = vops.pad8(v)
+    VF.write_vectors(padded, path)
+    back = VF.read_vectors(spark, path, dim=dim + (-dim) % 8).select("id", F.slice("v", 1, dim).alias("v"))
+    r = TB.verify_roundtrip(v, back)
+    return r.select(F.col("n_a").cast("long"), F.col("n_b").cast("long"), F.col("n_mismatch").cast("long"),
+                    vec.rnd("max_abs_diff").alias("max_abs_diff"))
+
+
+@register("union_results", RS.sql(f"SELECT i, dataset, {S.r6('rc')} AS rc, {S.r6('distcomp')} AS distcomp, workload_description FROM mrows"))
+def q_union_results(spark, sf):
+    """Metric rows written as per-dataset CSV folders, stacked back with an
+    explicit schema and the dataset taken from the path (A8, A9, A11)."""
+    m = RS.metric_rows(spark, sf)
+    root = TB.scratch_dir(spark, "csv")
+    TB.write_metrics_csv(m, root)
+    parts = sorted(os.path.join(root, d) for d in os.listdir(root) if d.startswith("dataset="))
+    schema = TB.METRIC_SCHEMA.replace(", dataset string", "")
+    r = TB.read_results_csv(spark, parts, schema)
+    return r.select("i", F.col("source").alias("dataset"), vec.rnd("rc").alias("rc"), vec.rnd("distcomp").alias("distcomp"),
+                    "workload_description")
+
+
+_PAD = "(8 - (len(v) + 1) % 8) % 8"
+_DRAWS = f"""SELECT range AS qid, floor({S.uniform(SEED, 'pick', '0', 'range')} * (SELECT max(vec_id) + 1 FROM embeddings))::BIGINT AS id FROM range({NQ})"""
+
+
+@register("prepare_variants", fx.with_fixtures([], f"""
+, base AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+mx AS (SELECT greatest(1.0, max(sqrt({S.norm2('v')}))) AS m FROM base),
+padded AS (SELECT id, list_transform(list_concat(v, list_transform(range({_PAD}), lambda i: 0.0)), lambda x: x / mx.m) AS y FROM base, mx),
+qs AS (SELECT d.qid, b.v FROM ({_DRAWS}) d JOIN base b USING (id))
+SELECT 'data' AS role, 'euclidean' AS variant, id, {_sdigest('v')} FROM base
+UNION ALL SELECT 'data', 'angular', id, {_sdigest('w')} FROM (SELECT id, {_norm_sql('v')} AS w FROM base)
+UNION ALL SELECT 'data', 'ip', id, {_sdigest('w')} FROM (SELECT id, list_concat(y, [sqrt(greatest(0.0, 1.0 - {S.norm2('y')}))]) AS w FROM padded)
+UNION ALL SELECT 'query', 'euclidean', qid, {_sdigest('v')} FROM qs
+UNION ALL SELECT 'query', 'angular', qid, {_sdigest('w')} FROM (SELECT qid, {_norm_sql('v')} AS w FROM qs)
+UNION ALL SELECT 'query', 'ip', qid, {_sdigest('w')} FROM (
+  SELECT qid, list_concat(list_concat(v, list_transform(range({_PAD}), lambda i: 0.0)), [0.0]) AS w FROM qs)""".replace(
+    "\n, base AS", "WITH base AS", 1)))
+def q_prepare_variants(spark, sf):
+    """Three variants of one raw dataset (A14): euclidean as is, angular
+    normalised, ip padded so that dim+pad+1 is a multiple of 8 and lifted
+    (data scaled by the maximum norm, Q11); a query set of NQ draws with
+    replacement goes through an ``.fbin`` file (A2) and gets the matching
+    treatment (ip queries: padding and a 0 appended)."""
+    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), vec.dvec("embedding").alias("v"))
+    dim = e.select(F.size("v")).first()[0]
+    pad = (8 - (dim + 1) % 8) % 8
+    draws = vops.sample_with(e, NQ, SEED).select(F.col("draw").alias("id"), "v")
+    fpath = os.path.join(TB.scratch_dir(spark, "fbin"), f"queries-{dim}-{NQ}.fbin")
+    VF.write_fbin(draws, fpath)
+    q = VF.read_vectors(spark, fpath).select("id", vec.dvec("v").alias("v"))
+    padded = e.select("id", F.concat("v", F.array_repeat(F.lit(0.0), pad)).alias("v"))
+    ip = vops.ip_lift(padded, "v", "data")
+    out = [e.select(F.lit("data").alias("role"), F.lit("euclidean").alias("variant"), "id", *_digest()),
+           vops.l2_normalise(e).select(F.lit("data"), F.lit("angular"), "id", *_digest()),
+           ip.select(F.lit("data"), F.lit("ip"), "id", *_digest()),
+           q.select(F.lit("query"), F.lit("euclidean"), "id", *_digest()),
+           vops.l2_normalise(q).select(F.lit("query"), F.lit("angular"), "id", *_digest()),
+           vops.ip_lift(q.select("id", F.concat("v", F.array_repeat(F.lit(0.0), pad)).alias("v")), "v", "query").select(
+               F.lit("query"), F.lit("ip"), "id", *_digest())]
+    res = out[0]
+    for o in out[1:]:
+        res = res.union(o)
+    return res
