@@ -114,20 +114,17 @@ def ground_truth(vectors: DataFrame, queries: DataFrame, maxk: int = 10000, metr
     ``bins``-bin histogram between min and max (last bin closed) (D9).
 
     Top list from the scan (``n`` may be < maxk: ``least(n, maxk)`` entries);
-    histogram counts from the pair expression with a map-side combined
-    ``(qid, bin)`` count, so no query's distances are gathered in one place.
+    histogram counts from a second scan with per-task ``(qid, bin)`` counts
+    combined by a map-side aggregate, so no query's distances are gathered
+    in one place.
     """
-    from knnhard.operators.distance import pair_distances
-
     p = scan.profile(vectors, queries, metric, m=maxk, exclude_self=exclude_self)
     p = p.select("qid", "n", (F.col("sum_d") / F.col("n")).alias("avg_d"), "min_d", "max_d",
                  F.transform("top", lambda t: t.getField("d")).alias("topk"))
     rng = p.select("qid", F.when(F.col("max_d") > F.col("min_d"), F.col("min_d")).otherwise(F.col("min_d") - 0.5).alias("lo"),
                    F.when(F.col("max_d") > F.col("min_d"), F.col("max_d")).otherwise(F.col("max_d") + 0.5).alias("hi"))
     qr = queries.join(rng, "qid")
-    pairs = pair_distances(vectors, qr, metric, exclude_self, keep=("lo", "hi"))
-    b = F.least(F.lit(bins - 1), F.floor((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(bins)))
-    counts = pairs.groupBy("qid", b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
+    counts = scan.histogram(vectors, qr, bins, metric, exclude_self)
     hist = counts.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("bin", "cnt"))).alias("hm"))
     seq = F.sequence(F.lit(0), F.lit(bins - 1))
     out = p.join(rng, "qid").join(hist, "qid")

@@ -174,7 +174,9 @@ def quantile_bins(df: DataFrame, keys: list[str], col: str, value_cols: list[str
     edges = qe.join(mm, keys).select(*keys, F.when(dup, width).otherwise(F.col("qe")).alias("edges"))
     j = fin.join(F.broadcast(edges), keys)
     b = F.size(F.filter(F.slice("edges", 2, bins), lambda e: e < F.col(col)))
-    return j.groupBy(*keys, b.alias("bin")).agg(*[F.avg(c).alias(c) for c in [col] + value_cols]).na.drop()
+    # bin means are rounded to 12 decimals so that equal means tie in any
+    # engine regardless of summation order (Kendall compares signs)
+    return j.groupBy(*keys, b.alias("bin")).agg(*[F.round(F.avg(c), 12).alias(c) for c in [col] + value_cols]).na.drop()
 
 
 def equal_bins(df: DataFrame, keys: list[str], col: str, value_col: str, bins: int = 40) -> DataFrame:

@@ -234,21 +234,25 @@ def split_level(state: DataFrame, w: int, leaf_size: int, policy: str = "next_bi
 
 def build_leaves(summary: DataFrame, w: int, leaf_size: int, policy: str = "next_bit",
                  bps: list[list[float]] | None = None, max_levels: int | None = None,
-                 checkpoint_every: int = 4) -> DataFrame:
+                 ) -> DataFrame:
     """Adaptive buckets (F8/F9): start from the root buckets (1 bit per
     segment) and split level by level until no bucket is over-full or
     splittable (a bucket whose rows agree on all bits stays over-full, Q25).
-    The state is checkpointed to the shared checkpoint folder every few
-    levels to cut lineage."""
+    The small state (id, sax, paa, bits, prefix) is checkpointed to the
+    shared checkpoint folder every level to cut lineage."""
     state = (summary.select("id", "sax", "paa")
              .withColumn("bits", F.array_repeat(F.lit(1), w))
              .withColumn("prefix", prefix_expr("sax", "bits")))
     levels = max_levels if max_levels is not None else w * (CARD_BITS - 1)
+    if levels > 1:
+        # the loop re-reads the state once per level: materialise it in the
+        # shared checkpoint folder (survives executor loss, cuts lineage)
+        state = state.checkpoint(eager=True)
     for lvl in range(levels):
         state, n = split_level(state, w, leaf_size, policy, bps)
         if n == 0:
             break
-        if (lvl + 1) % checkpoint_every == 0:
+        if levels > 1:
             state = state.checkpoint(eager=True)
     return state.select("id", "bits", "prefix", bucket_name().alias("bucket"))
 
@@ -361,6 +365,8 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     below it are compared. ``lower_bounding=False`` compares every series (F15).
     """
     bps = bps or breakpoints_fixed(w)
+    summary = summary.checkpoint(eager=True)  # read by several branches below
+    leaves = leaves.checkpoint(eager=True)
     length = summary.select(F.size("v")).first()[0]
     seglens = segment_lengths(length, w)
     n_total = summary.count()

@@ -123,20 +123,37 @@ def q_spearman(spark, sf):
     return s.select("dataset", "x", "y", vec.rnd("rho").alias("rho"))
 
 
-_PROBS100 = "[" + ", ".join(repr(i / 100) for i in range(101)) + "]"
+_PROBS100 = "[" + ", ".join(repr(i / 100) for i in range(101)) + "]::DOUBLE[]"
+
+
+def _edges_sql(src, col, keys=("dataset",), bins=100):
+    """Quantile edges per group with numpy's interpolation, from order statistics."""
+    k = ", ".join(keys)
+    on = " AND ".join(f"a.{c} = hq.{c}" for c in keys)
+    on_b = on.replace("a.", "b.")
+    return f"""(SELECT {k}, list(e ORDER BY pi) AS qe FROM (
+      SELECT {', '.join('hq.' + c for c in keys)}, hq.pi,
+        CASE WHEN hq.h - floor(hq.h) >= 0.5 THEN b.x - (b.x - a.x) * (1.0 - (hq.h - floor(hq.h)))
+             ELSE a.x + (b.x - a.x) * (hq.h - floor(hq.h)) END AS e
+      FROM (SELECT d.*, pr.p, pr.pi, (d.n - 1) * pr.p AS h FROM (SELECT DISTINCT {k}, n FROM rk_{col}) d,
+            (SELECT unnest({_PROBS100}) AS p, generate_subscripts({_PROBS100}, 1) AS pi) pr) hq
+      JOIN rk_{col} a ON {on} AND a.r = floor(hq.h) JOIN rk_{col} b ON {on_b} AND b.r = ceil(hq.h))
+    GROUP BY {k})"""
 
 
 def _qbins_sql(src, col, vals=("distcomp",), bins=100):
-    avgs = ", ".join(f"avg({c}) AS {c}" for c in (col,) + tuple(vals))
-    return f"""SELECT dataset, bin, {avgs} FROM (
-      SELECT s.*, len(list_filter(e.edges[2:{bins + 1}], lambda t: t < s.{col})) AS bin FROM (SELECT * FROM {src}
-        WHERE {col} IS NOT NULL AND NOT isnan({col}) AND abs({col}) < 'inf'::DOUBLE) s JOIN (
+    avgs = ", ".join(f"round(avg({c}), 12) AS {c}" for c in (col,) + tuple(vals))
+    fin = f"(SELECT * FROM {src} WHERE {col} IS NOT NULL AND NOT isnan({col}) AND abs({col}) < 'inf'::DOUBLE)"
+    rk = (f"rk_{col} AS (SELECT dataset, {col} AS x, row_number() OVER (PARTITION BY dataset ORDER BY {col}) - 1 AS r, "
+          f"count(*) OVER (PARTITION BY dataset) AS n FROM {fin})")
+    return f"""WITH {rk} SELECT dataset, bin, {avgs} FROM (
+      SELECT s.*, len(list_filter(e.edges[2:{bins + 1}], lambda t: t < s.{col})) AS bin FROM {fin} s JOIN (
         SELECT dataset, CASE WHEN len(list_distinct(qe)) < len(qe) THEN
             list_transform(range({bins + 1}), lambda i: CASE WHEN i = 0 THEN mn - (mx - mn) * 0.001 WHEN i = {bins} THEN mx
                                                              ELSE mn + i * ((mx - mn) / {bins}) END)
           ELSE qe END AS edges
-        FROM (SELECT dataset, quantile_cont({col}, {_PROBS100}) AS qe, min({col}) AS mn, max({col}) AS mx FROM {src}
-              WHERE {col} IS NOT NULL AND NOT isnan({col}) AND abs({col}) < 'inf'::DOUBLE GROUP BY dataset)) e USING (dataset))
+        FROM {_edges_sql(src, col)} JOIN (SELECT dataset, min({col}) AS mn, max({col}) AS mx FROM {fin} GROUP BY dataset) USING (dataset)) e
+      USING (dataset))
     GROUP BY dataset, bin"""
 
 
@@ -154,7 +171,7 @@ def q_equal_bins(spark, sf):
     return b.select("dataset", F.col("bin").cast("int"), F.col("n").cast("long"), vec.rnd("distcomp").alias("distcomp"))
 
 
-@register("outlier_cut", sql("SELECT i FROM mrows WHERE rc < (SELECT quantile_cont(rc, 0.99) FROM mrows)"))
+@register("outlier_cut", sql("SELECT i FROM mrows WHERE rc < (SELECT quantile_cont(rc, 0.99::DOUBLE) FROM mrows)"))
 def q_outlier_cut(spark, sf):
     return R.outlier_cut(_m(spark, sf), "rc", 0.99).select("i")
 
@@ -265,7 +282,7 @@ def _corr_sql():
     for c in MEASURES:
         src = "mrows"
         if c in ("rc", "expansion"):
-            src = f"(SELECT * FROM mrows WHERE {c} < (SELECT quantile_cont({c}, 0.99) FROM mrows))"
+            src = f"(SELECT * FROM mrows WHERE {c} < (SELECT quantile_cont({c}, 0.99::DOUBLE) FROM mrows))"
         binned = f"(SELECT row_number() OVER () AS rid, * FROM ({_qbins_sql(src, c)}))"
         parts.append(f"SELECT dataset, '{c}' AS measure, abs(tau) AS correlation FROM ({_kendall_sql(binned, ['dataset'], c, 'distcomp')})")
     return " UNION ALL ".join(parts)
@@ -275,15 +292,19 @@ def _corr_sql():
     f"{r6(f'max(correlation) FILTER (WHERE dataset = {chr(39)}{d}{chr(39)})')} AS \"{d}\"" for d in DATASETS)
     + f" FROM ({_corr_sql()}) GROUP BY measure"))
 def q_correlation_table(spark, sf):
-    m = _m(spark, sf)
-    out = None
-    for c in MEASURES:
-        src = R.outlier_cut(m, c, 0.99) if c in ("rc", "expansion") else m
-        b = R.quantile_bins(src, ["dataset"], c, ["distcomp"])
-        k = R.kendall(b, ["dataset"], [(c, "distcomp")]).select("dataset", F.lit(c).alias("measure"),
-                                                                 F.abs("tau").alias("correlation"))
-        out = k if out is None else out.unionByName(k)
-    out = out.where(F.col("correlation").isNotNull())
+    """One pipeline over the unpivoted measures (I22): outlier cut for rc
+    and expansion (one quantile pass keyed by measure), quantile bins per
+    (measure, dataset), Kendall tau per (measure, dataset), pivot."""
+    from knnhard.operators.quantiles import exact_quantiles
+
+    m = _m(spark, sf).select("i", "dataset", "distcomp", *[F.col(c).cast("double").alias(c) for c in MEASURES])
+    long = R.unpivot(m, ["i", "dataset", "distcomp"], MEASURES, "measure", "value")
+    cut = exact_quantiles(long.where(F.col("measure").isin("rc", "expansion")), ["measure"], "value", [0.99])
+    long = (long.join(F.broadcast(cut.select("measure", F.col("q").alias("cut"))), "measure", "left")  # two rows
+            .where(F.col("cut").isNull() | (F.col("value") < F.col("cut"))))
+    b = R.quantile_bins(long, ["measure", "dataset"], "value", ["distcomp"])
+    k = R.kendall(b, ["measure", "dataset"], [("value", "distcomp")])
+    out = k.select("measure", "dataset", F.abs("tau").alias("correlation")).where(F.col("correlation").isNotNull())
     p = out.groupBy("measure").pivot("dataset", DATASETS).agg(F.first("correlation"))  # C10: datasets side by side
     return p.select("measure", *[vec.rnd(F.col(f"`{d}`")).alias(d) for d in DATASETS])
 

@@ -115,7 +115,7 @@ def q_bp_fixed(spark, sf):
                     vec.rnd(F.when(hi_pos < 256, F.element_at(B, F.least(hi_pos, F.lit(255))))).alias("hi"))
 
 
-_PROBS = "[" + ", ".join(repr(j / 256) for j in range(1, 256)) + "]"
+_PROBS = "[" + ", ".join(repr(j / 256) for j in range(1, 256)) + "]::DOUBLE[]"
 
 
 @register("bp_adhoc", _sql(f"""SELECT seg::BIGINT AS seg, j::INT AS j, {S.r6('bp')} AS bp FROM (
