@@ -153,7 +153,8 @@ def metric_table(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
     ``consts``: constant columns (dataset, workload description ...).
     """
     m = max(2 * k + 1, eps_k)
-    p = query_profile(vectors, queries, k, metric, exclude_self, m=m)
+    # q rows read by both branches below: persisted instead of scanned twice
+    p = query_profile(vectors, queries, k, metric, exclude_self, m=m).persist()
     base = p.select("qid", F.lit(k).alias("k"), lid_expr(k).alias("lid"), rc_expr(k).alias("rc"),
                     expansion_expr(k).alias("expansion"))
     eh = eps_hardness(vectors, queries, eps, eps_k, metric, exclude_self, profile=p)

@@ -107,7 +107,9 @@ def search(vectors: DataFrame, assignment: DataFrame, centroids: DataFrame, quer
     """nprobe search -> k best ``(qid, rank, id, d)`` (E3): probed cells are a
     small broadcast table equi-joined on ``cid`` with the assigned vectors."""
     probes = probe_order(queries, centroids, metric).where(F.col("probe") <= nprobe).select("qid", "cid")
-    cand = vectors.join(assignment.select("id", "cid"), "id")
+    # the cell is recomputed inside the scan (centroids are broadcast anyway):
+    # no join of the vector table with the assignment, i.e. no shuffle of it
+    cand = scan.nearest_centre(vectors, centroids, metric, keep_vectors=True).select("id", "cid", "v")
     pq = F.broadcast(probes.join(queries, "qid"))
     j = cand.join(pq, "cid")
     if exclude_self:
@@ -123,8 +125,9 @@ def sweep(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, assignme
     ``(qid, nprobe, scanned, hits, recall, distcomp)``; distcomp counts the
     ``n_list`` coarse distances too, as the reference's counter does."""
     prof = scan.profile(vectors, queries, metric, m=k, exclude_self=exclude_self)
-    t = prof.select("qid", "n", F.array(dk(k - 1) + F.lit(eps)).alias("thr"))
-    va = vectors.join(assignment.select("id", "cid"), "id")
+    # q rows, read twice below: keep them instead of scanning twice
+    t = prof.select("qid", "n", F.array(dk(k - 1) + F.lit(eps)).alias("thr")).persist()
+    va = scan.nearest_centre(vectors, centroids, metric, keep_vectors=True).select("id", "cid", "v")
     hits = scan.within_counts(va, queries.join(t.select("qid", "thr"), "qid"), "thr", metric, exclude_self,
                               cell_col="cid").select("qid", F.col("cell").alias("cid"), F.col("cnt").alias("hits"))
     sizes = list_sizes(assignment)

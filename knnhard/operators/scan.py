@@ -305,7 +305,7 @@ def collect_centres(centres: DataFrame, cid: str = "cid", cv: str = "v", max_byt
 
 
 def nearest_centre(vectors: DataFrame, centres: DataFrame, metric: str = "euclidean", vid: str = "id",
-                   vcol: str = "v", with_sums: bool = False) -> DataFrame:
+                   vcol: str = "v", with_sums: bool = False, keep_vectors: bool = False) -> DataFrame:
     """Assign every vector to its nearest centre (ties: smaller ``cid``).
 
     Centres ``(cid, v)`` are size-checked and broadcast. Output
@@ -342,6 +342,11 @@ def nearest_centre(vectors: DataFrame, centres: DataFrame, metric: str = "euclid
                     sums = np.zeros((c, X.shape[1]))
                 np.add.at(sums, bi, X)
                 cnts += np.bincount(bi, minlength=c)
+            elif keep_vectors:
+                vc = batch.column(batch.schema.get_field_index(vcol))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(cids_[bi], pa.int64()), pa.array(bd), vc],
+                    names=["id", "cid", "d", vcol])
             else:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(cids_[bi], pa.int64()), pa.array(bd)],
@@ -360,6 +365,9 @@ def nearest_centre(vectors: DataFrame, centres: DataFrame, metric: str = "euclid
     src = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol))
     if with_sums:
         return src.mapInArrow(body, "cid long, j int, s double, cnt long")
+    if keep_vectors:
+        vtype = src.schema[vcol].dataType.simpleString()
+        return src.mapInArrow(body, f"id long, cid long, d double, {vcol} {vtype}")
     return src.mapInArrow(body, "id long, cid long, d double")
 
 
