@@ -376,15 +376,20 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
           .select("qid", "bucket", "size", F.sqrt(cell_lb_expr(F.col("qpaa"), F.col("bits"), F.col("prefix"), seglens, bps)).alias("blb")))
     wq = Window.partitionBy("qid").orderBy("blb", "bucket")
     qb = qb.withColumn("cum", F.sum("size").over(wq.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # (query, bucket) bounds: small (q x buckets), read by both phases
+    qb = qb.persist()
     seed_b = qb.where(F.col("cum") - F.col("size") < k).select("qid", "bucket")
     data = summary.select("id", "v", "sax").join(leaves.select("id", "bucket"), "id")
 
+    qsmall = F.broadcast(q.select("qid", "qv"))  # size-checked query side
+
     def dist_pairs(pairs_qb: DataFrame) -> DataFrame:
-        probe = pairs_qb.join(F.broadcast(q.select("qid", "qv")), "qid")
-        # (query, bucket) probes are broadcast when their count is bounded;
-        # otherwise a shuffle join on the bucket (AQE splits skewed buckets)
-        small = pairs_qb.count() * max(1, length) <= 32_000_000
-        j = data.join(F.broadcast(probe) if small else probe, "bucket")
+        # (query, bucket) probe keys (two longs/strings per row, no vectors)
+        # are broadcast when their count is bounded, else joined by a
+        # shuffle on the bucket (AQE splits skewed buckets); the query
+        # vectors join afterwards from the small broadcast query side
+        small = pairs_qb.count() <= 4_000_000
+        j = data.join(F.broadcast(pairs_qb) if small else pairs_qb, "bucket").join(qsmall, "qid")
         if exclude_self:
             j = j.where(F.col("qid") != F.col("id"))
         return j
@@ -392,7 +397,7 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     p1 = dist_pairs(seed_b).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
     w1 = Window.partitionBy("qid").orderBy("d", "id")
     bsf = (p1.withColumn("r", F.row_number().over(w1)).where(F.col("r") == k)
-           .select("qid", F.col("d").alias("bsf")))
+           .select("qid", F.col("d").alias("bsf"))).persist()  # q rows
     if lower_bounding:
         cand_b = qb.join(bsf, "qid", "left").where(F.col("bsf").isNull() | (F.col("blb") < F.col("bsf")))
         cand_b = cand_b.select("qid", "bucket", "bsf")
