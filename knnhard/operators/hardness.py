@@ -124,13 +124,10 @@ def ground_truth(vectors: DataFrame, queries: DataFrame, maxk: int = 10000, metr
     rng = p.select("qid", F.when(F.col("max_d") > F.col("min_d"), F.col("min_d")).otherwise(F.col("min_d") - 0.5).alias("lo"),
                    F.when(F.col("max_d") > F.col("min_d"), F.col("max_d")).otherwise(F.col("max_d") + 0.5).alias("hi"))
     qr = queries.join(rng, "qid")
-    counts = scan.histogram(vectors, qr, bins, metric, exclude_self)
-    hist = counts.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("bin", "cnt"))).alias("hm"))
-    seq = F.sequence(F.lit(0), F.lit(bins - 1))
+    hist = scan.histogram(vectors, qr, bins, metric, exclude_self)
     out = p.join(rng, "qid").join(hist, "qid")
     return out.select(
-        "qid", "topk", "avg_d",
-        F.transform(seq, lambda i: F.coalesce(F.element_at("hm", i), F.lit(0).cast("long"))).alias("hist_counts"),
+        "qid", "topk", "avg_d", F.col("counts").alias("hist_counts"),
         F.transform(F.sequence(F.lit(0), F.lit(bins)),
                     lambda i: F.when(i == bins, F.col("hi")).otherwise(
                         F.col("lo") + i * (F.col("hi") - F.col("lo")) / F.lit(bins))).alias("hist_edges"))

@@ -181,17 +181,15 @@ def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m
         if q == 0:
             return
         pid = TaskContext.get().partitionId()
-        offs = [0]
-        ds, is_ = [], []
-        for r in range(q):
-            order = np.lexsort((best_i[r], best_d[r]))
-            keep = [j for j in order if np.isfinite(best_d[r, j])][:m]
-            ds.extend(best_d[r, keep].tolist())
-            is_.extend(best_i[r, keep].tolist())
-            offs.append(len(ds))
+        # rows sorted by (d, id) at once; non-finite (excluded) sort last
+        order = np.lexsort((best_i, best_d), axis=1)
+        sd = np.take_along_axis(best_d, order, 1)[:, :m]
+        si = np.take_along_axis(best_i, order, 1)[:, :m]
+        fin = np.isfinite(sd)
+        offs = np.concatenate([[0], np.cumsum(fin.sum(1))]).astype(np.int32)
         top = pa.ListArray.from_arrays(
             pa.array(offs, type=pa.int32()),
-            pa.StructArray.from_arrays([pa.array(ds, type=pa.float64()), pa.array(is_, type=pa.int64())],
+            pa.StructArray.from_arrays([pa.array(sd[fin], type=pa.float64()), pa.array(si[fin], type=pa.int64())],
                                        names=["d", "id"]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(qids_, pa.int64()), pa.array(np.full(q, pid), pa.int32()), pa.array(n, pa.int64()),
@@ -467,7 +465,8 @@ def gradient_partials(vectors: DataFrame, queries: DataFrame, metric: str = "euc
 def histogram(vectors: DataFrame, queries: DataFrame, bins: int, metric: str = "euclidean",
               exclude_self: bool = False, vid: str = "id", vcol: str = "v") -> DataFrame:
     """Equal-width distance histogram per query between its ``lo`` and ``hi``
-    (query columns): ``(qid, bin, cnt)``, the last bin closed. Distances are
+    (query columns): ``(qid, counts array<bigint>)``, the last bin closed;
+    dense per-task count vectors summed by the salted two-level aggregate. Distances are
     the left-to-right fold, i.e. bit-identical to the SQL expression, so bin
     edges are decided exactly as a SQL engine decides them."""
     _check_metric(metric)
@@ -499,9 +498,19 @@ def histogram(vectors: DataFrame, queries: DataFrame, bins: int, metric: str = "
                 np.add.at(counts[rows], (r, b[keep]), 1)
         if q == 0:
             return
-        rr, bb = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(qids_[rr], pa.int64()), pa.array(bb.astype(np.int32), pa.int32()),
-                                          pa.array(counts[rr, bb], pa.int64())], names=["qid", "bin", "cnt"])
+        pid = TaskContext.get().partitionId()
+        offs = np.arange(0, (q + 1) * bins, bins, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(qids_, pa.int64()), pa.array(np.full(q, pid), pa.int32()),
+             pa.ListArray.from_arrays(pa.array(offs), pa.array(counts.ravel(), pa.int64()))],
+            names=["qid", "pid", "counts"])
+
+    parts = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(
+        body, "qid long, pid int, counts array<bigint>")
+    salts = _num_salts(vectors)
 
-    parts = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(body, "qid long, bin int, cnt long")
-    return parts.groupBy("qid", "bin").agg(F.sum("cnt").alias("cnt"))
+    def agg():
+        zero = F.array_repeat(F.lit(0).cast("long"), F.lit(bins))
+        return F.aggregate(F.collect_list("counts"), zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("counts")
+    lvl1 = parts.groupBy("qid", F.pmod(F.col("pid"), F.lit(salts)).alias("salt")).agg(agg())
+    return lvl1.groupBy("qid").agg(agg())
