@@ -365,8 +365,9 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     below it are compared. ``lower_bounding=False`` compares every series (F15).
     """
     bps = bps or breakpoints_fixed(w)
-    summary = summary.checkpoint(eager=True)  # read by several branches below
-    leaves = leaves.checkpoint(eager=True)
+    # both are read by several branches below; materialise them once
+    summary = summary.select("id", "v", "sax").checkpoint(eager=True)
+    leaves = leaves.select("id", "bits", "prefix", "bucket").checkpoint(eager=True)
     length = summary.select(F.size("v")).first()[0]
     seglens = segment_lengths(length, w)
     n_total = summary.count()

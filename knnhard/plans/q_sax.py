@@ -30,6 +30,12 @@ def _summary(spark, sf, w=W):
     return sax.summarise(_series(spark, sf), w)
 
 
+def _summary_kept(spark, sf, w=W):
+    """Summary read by a loop and several search branches: materialised once
+    in the shared checkpoint folder."""
+    return _summary(spark, sf, w).checkpoint(eager=True)
+
+
 def _queries(s):
     return s.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
 
@@ -223,7 +229,7 @@ def q_bucket_compactness(spark, sf):
 
 @register("bucket_stats")
 def q_bucket_stats(spark, sf):
-    s = _summary(spark, sf)
+    s = _summary_kept(spark, sf)
     lv = sax.build_leaves(s, W, LEAF)
     return sax.bucket_stats(lv)
 
@@ -247,7 +253,7 @@ _KNN_SERIES = {"pairs": f"SELECT q.id AS qid, x.id, {S.dist('euclidean', 'q.v',
 @register("sax_knn", _sql(f"""SELECT qid, rank::BIGINT AS rank, id, {S.r6('d')} AS d FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM pairs) WHERE rank <= {K}""", extra=_KNN_SERIES))
 def q_sax_knn(spark, sf):
-    s = _summary(spark, sf)
+    s = _summary_kept(spark, sf)
     lv = sax.build_leaves(s, W, LEAF)
     ans, _ = sax.sax_search(s, lv, _queries(s), K, W, exclude_self=True)
     return ans.select("qid", F.col("rank").cast("long"), "id", vec.rnd("d").alias("d"))
@@ -255,7 +261,7 @@ def q_sax_knn(spark, sf):
 
 @register("sax_counters")
 def q_sax_counters(spark, sf):
-    s = _summary(spark, sf)
+    s = _summary_kept(spark, sf)
     lv = sax.build_leaves(s, W, LEAF)
     _, c = sax.sax_search(s, lv, _queries(s), K, W, exclude_self=True)
     return c.select("qid", "n_buckets", "n_lb", "n_dist", vec.rnd("hardness").alias("hardness"))
@@ -263,7 +269,7 @@ def q_sax_counters(spark, sf):
 
 @register("sax_approx")
 def q_sax_approx(spark, sf):
-    s = _summary(spark, sf)
+    s = _summary_kept(spark, sf)
     lv = sax.build_leaves(s, W, LEAF)
     a = sax.sax_approx(s, lv, _queries(s), K, W, exclude_self=True)
     return a.select("qid", F.col("rank").cast("long"), "id", vec.rnd("d").alias("d"))
