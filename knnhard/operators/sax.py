@@ -324,6 +324,23 @@ def cell_lb_expr(qpaa: Column, bits: Column, prefix: Column, seglens: list[int],
     return F.aggregate(F.sequence(F.lit(0), F.size(qpaa) - 1), F.lit(0.0), term)
 
 
+def cell_bounds_expr(bits: Column, prefix: Column, bps: list[list[float]]) -> Column:
+    """Per-segment interval ``struct(lo array, hi array)`` of a SAX cell."""
+    B = _bp_lit(bps)
+    inf = F.lit(float("inf"))
+
+    def bound(upper: bool):
+        def f(b, i):
+            p = F.element_at(prefix, i + 1) + (1 if upper else 0)
+            pos = _shl(p, F.lit(CARD_BITS) - b)
+            row = F.element_at(B, i + 1)
+            if upper:
+                return F.when(pos >= N_SYMBOLS, inf).otherwise(F.element_at(row, F.least(pos, F.lit(N_SYMBOLS - 1))))
+            return F.when(pos == 0, -inf).otherwise(F.element_at(row, F.greatest(pos, F.lit(1))))
+        return F.transform(bits, f)
+    return F.struct(bound(False).alias("lo"), bound(True).alias("hi"))
+
+
 def envelope_lb_expr(qpaa: Column, lo: Column, hi: Column, seglens: list[int]) -> Column:
     """Squared lower bound to a PAA min/max envelope (F12, envelope level)."""
     L = F.array(*[F.lit(float(x)) for x in seglens])
@@ -366,7 +383,9 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     """
     bps = bps or breakpoints_fixed(w)
     # both are read by several branches below; materialise them once
-    summary = summary.select("id", "v", "sax").checkpoint(eager=True)
+    # per-series cell bounds (8-bit cells) computed once per series, not per pair
+    full8 = F.array_repeat(F.lit(CARD_BITS), w)
+    summary = summary.select("id", "v", "sax", cell_bounds_expr(full8, F.col("sax"), bps).alias("cb")).checkpoint(eager=True)
     leaves = leaves.select("id", "bits", "prefix", "bucket").checkpoint(eager=True)
     length = summary.select(F.size("v")).first()[0]
     seglens = segment_lengths(length, w)
@@ -380,7 +399,7 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     # (query, bucket) bounds: small (q x buckets), read by both phases
     qb = qb.persist()
     seed_b = qb.where(F.col("cum") - F.col("size") < k).select("qid", "bucket")
-    data = summary.select("id", "v", "sax").join(leaves.select("id", "bucket"), "id")
+    data = summary.select("id", "v", "cb").join(leaves.select("id", "bucket"), "id")
 
     qsmall = F.broadcast(q.select("qid", "qv"))  # size-checked query side
 
@@ -403,8 +422,7 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
         cand_b = qb.join(bsf, "qid", "left").where(F.col("bsf").isNull() | (F.col("blb") < F.col("bsf")))
         cand_b = cand_b.select("qid", "bucket", "bsf")
         c2 = dist_pairs(cand_b.select("qid", "bucket")).join(q.select("qid", "qpaa"), "qid").join(bsf, "qid", "left")
-        full = F.array_repeat(F.lit(CARD_BITS), w)
-        c2 = c2.withColumn("slb", F.sqrt(cell_lb_expr(F.col("qpaa"), full, F.col("sax"), seglens, bps)))
+        c2 = c2.withColumn("slb", F.sqrt(envelope_lb_expr(F.col("qpaa"), F.col("cb.lo"), F.col("cb.hi"), seglens)))
         n_lb = c2.groupBy("qid").agg(F.count(F.lit(1)).alias("n_lb"))
         p2 = c2.where(F.col("bsf").isNull() | (F.col("slb") < F.col("bsf"))).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
         entered = seed_b.unionByName(cand_b.select("qid", "bucket")).distinct().groupBy("qid").agg(
