@@ -137,3 +137,36 @@ def test_plans_broadcast_query_side(spark):
     assert "MapInArrow" in scan_plan or "PythonMapInArrow" in scan_plan
     pushed = fx.queries(spark, SF).where("qid < 10").select("qid")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(vec_id), LessThan(vec_id,10)]" in pushed
+
+
+def test_text_vectors_positional_ids(spark, tmp_path):
+    from knnhard.sources.tables import read_txt
+
+    rows = [[1.0, 2.0, 3.0], [4.5, -1.0, 0.0], [7.0, 8.0, 9.25]]
+    p = tmp_path / "v.txt"
+    p.write_text("\n".join(" ".join(str(x) for x in r) for r in rows) + "\n")
+    df = read_txt(spark, str(p)).orderBy("id").toPandas()
+    assert list(df.id) == [0, 1, 2]
+    assert [list(map(float, v)) for v in df.v] == rows
+
+
+def test_gradient_matches_finite_differences(spark):
+    from knnhard.operators import generate as G
+    from knnhard.plans import fixtures as fx
+
+    v = fx.vectors(spark, SF)
+    q = fx.queries(spark, SF).where("qid = 3")
+    g = G.rc_gradient(v, q, 10, exclude_self=True).first()
+    x0 = np.array(q.first()["qv"], dtype=float)
+    ids, X = _np_vectors(spark)
+    keep = ids != 3
+
+    def rc(x):
+        d = np.sort(np.sqrt(((X[keep] - x) ** 2).sum(1)))
+        return d.mean() / d[10]
+    e = np.zeros_like(x0)
+    for j in (0, 7, 31):
+        e[:] = 0
+        e[j] = 1e-6
+        fd = (rc(x0 + e) - rc(x0 - e)) / 2e-6
+        assert math.isclose(g["grad"][j], fd, rel_tol=1e-4, abs_tol=1e-7)
