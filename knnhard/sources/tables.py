@@ -87,3 +87,41 @@ def read_results_csv(spark: SparkSession, paths: list[str], schema: str = METRIC
         d = d.withColumn("source", F.regexp_extract(F.col("_metadata.file_path"), r"dataset=([^/]+)/", 1))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def save_ground_truth(gt: DataFrame, path: str) -> None:
+    """Persist a ground-truth table ``(qid, topk, avg_d, hist_counts,
+    hist_edges)`` as Parquet (A10)."""
+    gt.write.mode("overwrite").parquet(path)
+
+
+def write_layout(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Result layout ``dataset~X/workload_key~Y/`` (A11): Hive-style
+    partition folders named ``dataset=X/workload_key=Y`` so that readers
+    prune partitions by filters on the two keys."""
+    df.write.mode("overwrite").partitionBy("dataset", "workload_key").format(fmt).save(path)
+
+
+def read_layout(spark: SparkSession, path: str, dataset: str | None = None, workload_key: str | None = None,
+                fmt: str = "parquet") -> DataFrame:
+    """Read the layout back; key filters become partition filters (only the
+    matching folders are listed and read)."""
+    df = spark.read.format(fmt).load(path)
+    if dataset is not None:
+        df = df.where(F.col("dataset") == dataset)
+    if workload_key is not None:
+        df = df.where(F.col("workload_key") == workload_key)
+    return df
+
+
+def write_queries_checked(df: DataFrame, path: str) -> DataFrame:
+    """Emit a generated query set to ``.fbin``, read it back and compare (A13):
+    returns the ``verify_roundtrip`` row (finite check included by the reader
+    path through ``load_vectors``)."""
+    from pyspark.sql import Window
+
+    vecfile.write_fbin(df.select("id", "v"), path)
+    back = vecfile.read_vectors(df.sparkSession, path)
+    # the file has no ids: rows are compared by position (query sets are small)
+    pos = df.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("id"), "v")
+    return verify_roundtrip(pos, back)

@@ -170,3 +170,27 @@ def test_gradient_matches_finite_differences(spark):
         e[j] = 1e-6
         fd = (rc(x0 + e) - rc(x0 - e)) / 2e-6
         assert math.isclose(g["grad"][j], fd, rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_result_layout_partition_pruning(spark, tmp_path):
+    from knnhard.operators import catalog as C
+    from knnhard.plans import fixtures as fx
+    from knnhard.sources import tables as TB
+
+    cat = C.catalogue(C.dataset_table(fx.table(spark, SF, "embeddings")))
+    path = str(tmp_path / "layout")
+    TB.write_layout(cat.select("dataset", "workload_key", "description"), path)
+    one = cat.select("dataset", "workload_key").first()
+    df = TB.read_layout(spark, path, one["dataset"], one["workload_key"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and df.count() == 1
+
+
+def test_queries_fbin_roundtrip(spark, tmp_path):
+    from knnhard.operators import generate as G
+    from knnhard.plans import fixtures as fx
+    from knnhard.sources import tables as TB
+
+    q = G.noise_queries(fx.vectors(spark, SF), 10, 0.01).select(F.col("qid").alias("id"), F.col("qv").alias("v"))
+    r = TB.write_queries_checked(q, str(tmp_path / "q-64-10.fbin")).first()
+    assert r["n_a"] == r["n_b"] == 10 and r["n_mismatch"] == 0
