@@ -284,18 +284,28 @@ def bucket_prefix(summary: DataFrame, leaves: DataFrame) -> DataFrame:
     return g.select("bucket", "seg", (F.lit(CARD_BITS) - bl).cast("int").alias("common_bits"))
 
 
-def bucket_compactness(summary: DataFrame, leaves: DataFrame, metric: str = "euclidean") -> DataFrame:
+def bucket_compactness(summary: DataFrame, leaves: DataFrame, metric: str = "euclidean",
+                       block: int = 512) -> DataFrame:
     """Mean pairwise distance inside each bucket; 0 for one series.
 
-    Pairs are formed only inside a bucket (equi-join on the bucket key);
-    buckets are bounded by the leaf size except unsplittable ones.
+    Exact over all pairs of a bucket, but the pair work of a bucket is split
+    into hashed sub-blocks of about ``block`` series: the join key is
+    ``(bucket, block_a, block_b)``, so a bucket that could not be split (and
+    may hold a large share of the rows) is spread over ``nb^2`` tasks
+    instead of landing in one.
     """
     s = summary.select("id", "v").join(leaves.select("id", "bucket"), "id")
-    a = s.select("bucket", F.col("id").alias("i"), F.col("v").alias("vi"))
-    b = s.select("bucket", F.col("id").alias("j"), F.col("v").alias("vj"))
-    pairs = a.join(b, "bucket").where(F.col("i") < F.col("j"))
-    m = pairs.groupBy("bucket").agg(F.avg(vec.metric_distance("vi", "vj", metric)).alias("compactness"))
     sizes = leaves.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    nb = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(block))).cast("int")
+    s = s.join(sizes.select("bucket", nb.alias("nb")), "bucket")
+    blk = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+    a = s.select("bucket", blk.alias("ba"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bb"),
+                 F.col("id").alias("i"), F.col("v").alias("vi"))
+    b = s.select("bucket", blk.alias("bb"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("ba"),
+                 F.col("id").alias("j"), F.col("v").alias("vj"))
+    # key (bucket, ba, bb): about block x block rows per side and task
+    pairs = a.join(b, ["bucket", "ba", "bb"]).where(F.col("i") < F.col("j"))
+    m = pairs.groupBy("bucket").agg(F.avg(vec.metric_distance("vi", "vj", metric)).alias("compactness"))
     return sizes.join(m, "bucket", "left").select(
         "bucket", "size", F.when(F.col("size") == 1, F.lit(0.0)).otherwise(F.col("compactness")).alias("compactness"))
 

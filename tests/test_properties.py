@@ -194,3 +194,15 @@ def test_queries_fbin_roundtrip(spark, tmp_path):
     q = G.noise_queries(fx.vectors(spark, SF), 10, 0.01).select(F.col("qid").alias("id"), F.col("qv").alias("v"))
     r = TB.write_queries_checked(q, str(tmp_path / "q-64-10.fbin")).first()
     assert r["n_a"] == r["n_b"] == 10 and r["n_mismatch"] == 0
+
+
+def test_bucket_compactness_blocks_are_exact(spark):
+    from knnhard.operators import sax
+    from knnhard.plans import fixtures as fx
+
+    s = sax.summarise(fx.series_walk(spark, SF), 8)
+    lv = sax.build_leaves(s, 8, 40, max_levels=1)
+    a = sax.bucket_compactness(s, lv).toPandas().set_index("bucket").sort_index()
+    b = sax.bucket_compactness(s, lv, block=3).toPandas().set_index("bucket").sort_index()
+    assert list(a.index) == list(b.index)
+    assert np.allclose(a.compactness.to_numpy(), b.compactness.to_numpy(), rtol=1e-12, equal_nan=True)
