@@ -135,22 +135,38 @@ def kendall(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> Dat
     return sub.groupBy(*keys).applyInPandas(per, schema)
 
 
-def average_rank(col: str, keys: list[str]) -> Column:
-    """Rank with ties averaged (1-based)."""
-    w = Window.partitionBy(*keys).orderBy(col)
-    lo = F.rank().over(w)
-    cnt = F.count(F.lit(1)).over(Window.partitionBy(*keys, col))
-    return lo + (cnt - 1) / 2.0
-
-
-def spearman(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], col: str, out: str, row_id: str) -> DataFrame:
+    """Adds ``out``: 1-based rank of ``col`` within its group, ties averaged.
+
+    No window over a whole group: a global range-partitioned sort by
+    (keys, col), positions from ``zipWithIndex`` (one pass counting each
+    partition), the group's first position subtracted, and ties averaged
+    by a map-side combined aggregate. Exact for any group size.
+    ``row_id`` must identify rows uniquely (it joins the ranks back).
+    """
+    spark = df.sparkSession
+    base = df.withColumn("_row", F.col(row_id))
+    srt = base.select(*keys, col, "_row").orderBy(*keys, col)
+    fields = srt.schema.fields
+    pos = spark.createDataFrame(srt.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],)),
+                                T.StructType(fields + [T.StructField("_pos", T.LongType())]))
+    start = pos.groupBy(*keys).agg(F.min("_pos").alias("_start"))
+    tie = pos.groupBy(*keys, col).agg((F.avg("_pos")).alias("_apos"))
+    r = (pos.join(start, keys).join(tie, keys + [col])
+         .select("_row", (F.col("_apos") - F.col("_start") + 1).alias(out)))
+    return base.join(r, "_row").drop("_row")
+
+
+def spearman(df: DataFrame, keys: list[str], cols: list[str], row_id: str) -> DataFrame:
     """Spearman matrix per group: Pearson correlation of average ranks."""
-    r = df.select(*keys, *[average_rank(c, keys).alias(c) for c in cols])
+    r = df.select(row_id, *keys, *cols)
+    for c in cols:
+        r = average_ranks(r, keys, c, f"_r_{c}", row_id)
     out = None
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
-            part = r.groupBy(*keys).agg(F.corr(a, b).alias("rho")).select(*keys, F.lit(a).alias("x"),
-                                                                         F.lit(b).alias("y"), "rho")
+            part = r.groupBy(*keys).agg(F.corr(f"_r_{a}", f"_r_{b}").alias("rho")).select(
+                *keys, F.lit(a).alias("x"), F.lit(b).alias("y"), "rho")
             out = part if out is None else out.unionByName(part)
     return out
 

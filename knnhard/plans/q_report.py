@@ -119,7 +119,7 @@ def _avg_rank_sql(c):
     for i, a in enumerate(SP_COLS) for b in SP_COLS[i + 1:]) + ")").replace(
     "FROM rk", "FROM (SELECT dataset, " + ", ".join(f"{_avg_rank_sql(c)} AS {c}" for c in SP_COLS) + " FROM mrows) rk"))
 def q_spearman(spark, sf):
-    s = R.spearman(_m(spark, sf), ["dataset"], SP_COLS)
+    s = R.spearman(_m(spark, sf), ["dataset"], SP_COLS, "i")
     return s.select("dataset", "x", "y", vec.rnd("rho").alias("rho"))
 
 
