@@ -206,3 +206,26 @@ def test_bucket_compactness_blocks_are_exact(spark):
     b = sax.bucket_compactness(s, lv, block=3).toPandas().set_index("bucket").sort_index()
     assert list(a.index) == list(b.index)
     assert np.allclose(a.compactness.to_numpy(), b.compactness.to_numpy(), rtol=1e-12, equal_nan=True)
+
+
+def test_kendall_distributed_path_matches(spark):
+    from knnhard.operators import report as R
+    from knnhard.operators.report import kendall_tau_b
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(3):
+        n = [1, 37, 70][g]
+        x = rng.integers(0, 9, n).astype(float)
+        y = rng.integers(0, 9, n).astype(float) - 0.3 * x
+        rows += [(g, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "g long, i long, a double, b double")
+    dist = R.kendall(df, ["g"], [("a", "b")], max_group=0).toPandas().set_index("g")
+    for g in range(3):
+        sub = [(a, b) for gg, _, a, b in rows if gg == g]
+        want = kendall_tau_b(np.array([t[0] for t in sub]), np.array([t[1] for t in sub]))
+        got = dist.loc[g, "tau"]
+        if math.isnan(want):
+            assert got is None or (isinstance(got, float) and math.isnan(got))
+        else:
+            assert math.isclose(got, want, rel_tol=1e-12, abs_tol=1e-12)
