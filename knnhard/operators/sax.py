@@ -378,6 +378,18 @@ def bucket_table(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("bucket", "bits", "prefix").agg(F.count(F.lit(1)).alias("size"))
 
 
+def _seed_buckets(qb: DataFrame, k: int) -> DataFrame:
+    """Buckets by ascending lower bound until they hold k series. Every
+    bucket holds at least one series, so only the k lowest bounds can be
+    needed: a ``row_number <= k`` filter (limited per map partition before
+    the shuffle) bounds the window, then the running size is taken over at
+    most k rows per query."""
+    w = Window.partitionBy("qid").orderBy("blb", "bucket")
+    top = qb.withColumn("_o", F.row_number().over(w)).where(F.col("_o") <= k)
+    cum = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return top.withColumn("cum", cum).where(F.col("cum") - F.col("size") < k).select("qid", "bucket")
+
+
 def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int, w: int,
                bps: list[list[float]] | None = None, lower_bounding: bool = True,
                exclude_self: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -404,11 +416,9 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     bt = bucket_table(leaves)
     qb = (bt.join(F.broadcast(q.select("qid", "qpaa")), F.lit(True))
           .select("qid", "bucket", "size", F.sqrt(cell_lb_expr(F.col("qpaa"), F.col("bits"), F.col("prefix"), seglens, bps)).alias("blb")))
-    wq = Window.partitionBy("qid").orderBy("blb", "bucket")
-    qb = qb.withColumn("cum", F.sum("size").over(wq.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # (query, bucket) bounds: small (q x buckets), read by both phases
+    # (query, bucket) bounds: q x buckets rows, read by both phases
     qb = qb.persist()
-    seed_b = qb.where(F.col("cum") - F.col("size") < k).select("qid", "bucket")
+    seed_b = _seed_buckets(qb, k)
     data = summary.select("id", "v", "cb").join(leaves.select("id", "bucket"), "id")
 
     qsmall = F.broadcast(q.select("qid", "qv"))  # size-checked query side
@@ -461,9 +471,7 @@ def sax_approx(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     bt = bucket_table(leaves)
     qb = (bt.join(F.broadcast(q.select("qid", "qpaa")), F.lit(True))
           .select("qid", "bucket", "size", cell_lb_expr(F.col("qpaa"), F.col("bits"), F.col("prefix"), seglens, bps).alias("blb")))
-    wq = Window.partitionBy("qid").orderBy("blb", "bucket")
-    qb = qb.withColumn("cum", F.sum("size").over(wq.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    seed_b = qb.where(F.col("cum") - F.col("size") < k).select("qid", "bucket")
+    seed_b = _seed_buckets(qb, k)
     data = summary.select("id", "v").join(leaves.select("id", "bucket"), "id")
     j = data.join(F.broadcast(seed_b.join(q.select("qid", "qv"), "qid")), "bucket")
     if exclude_self:
