@@ -174,7 +174,8 @@ def kendall(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]], max_gr
     (Knight); larger groups use the distributed level-wise inversion count.
     """
     cols = sorted({c for p in pairs for c in p})
-    sub = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    # result rows (read by the size check and by the computation): keep them
+    sub = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).persist()
     key_fields = [sub.schema[k] for k in keys]
     schema = T.StructType(key_fields + [T.StructField("x", T.StringType()), T.StructField("y", T.StringType()),
                                         T.StructField("tau", T.DoubleType())])
