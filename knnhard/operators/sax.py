@@ -403,6 +403,9 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     is the best-so-far. Phase 2: only buckets and series with lower bound
     below it are compared. ``lower_bounding=False`` compares every series (F15).
     """
+    from knnhard.operators.distance import check_query_side
+
+    check_query_side(queries)  # the query side is broadcast below
     bps = bps or breakpoints_fixed(w)
     # both are read by several branches below; materialise them once
     # per-series cell bounds (8-bit cells) computed once per series, not per pair
@@ -464,6 +467,9 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
 def sax_approx(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int, w: int,
                bps: list[list[float]] | None = None, exclude_self: bool = False) -> DataFrame:
     """Approximate answer from the nearest bucket(s) only (F14): ``(qid, rank, id, d)``."""
+    from knnhard.operators.distance import check_query_side
+
+    check_query_side(queries)  # the query side is broadcast below
     bps = bps or breakpoints_fixed(w)
     length = summary.select(F.size("v")).first()[0]
     seglens = segment_lengths(length, w)
