@@ -392,7 +392,7 @@ def _seed_buckets(qb: DataFrame, k: int) -> DataFrame:
 
 def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int, w: int,
                bps: list[list[float]] | None = None, lower_bounding: bool = True,
-               exclude_self: bool = False) -> tuple[DataFrame, DataFrame]:
+               exclude_self: bool = False, tight: bool = True) -> tuple[DataFrame, DataFrame]:
     """Exact k-NN with SAX pruning (F13) -> ``(answers, counters)``.
 
     answers ``(qid, rank, id, d)``; counters ``(qid, n_buckets, n_lb,
@@ -410,15 +410,26 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     # both are read by several branches below; materialise them once
     # per-series cell bounds (8-bit cells) computed once per series, not per pair
     full8 = F.array_repeat(F.lit(CARD_BITS), w)
-    summary = summary.select("id", "v", "sax", cell_bounds_expr(full8, F.col("sax"), bps).alias("cb")).checkpoint(eager=True)
+    summary = summary.select("id", "v", "sax", "paa", cell_bounds_expr(full8, F.col("sax"), bps).alias("cb")).checkpoint(eager=True)
     leaves = leaves.select("id", "bits", "prefix", "bucket").checkpoint(eager=True)
     length = summary.select(F.size("v")).first()[0]
     seglens = segment_lengths(length, w)
     n_total = summary.count()
     q = queries.select("qid", "qv", paa_expr("qv", w).alias("qpaa"))
     bt = bucket_table(leaves)
+    if tight:
+        # tight bucket summary (F11a): the PAA envelope lies inside the SAX
+        # cell, so its bound is valid and never looser
+        env = (summary.select("id", "paa").join(leaves.select("id", "bucket"), "id")
+               .groupBy("bucket").agg(*[F.min(F.element_at("paa", i + 1)).alias(f"lo{i}") for i in range(w)],
+                                      *[F.max(F.element_at("paa", i + 1)).alias(f"hi{i}") for i in range(w)]))
+        bt = bt.join(env.select("bucket", F.array(*[f"lo{i}" for i in range(w)]).alias("elo"),
+                                F.array(*[f"hi{i}" for i in range(w)]).alias("ehi")), "bucket")
+        blb = envelope_lb_expr(F.col("qpaa"), F.col("elo"), F.col("ehi"), seglens)
+    else:
+        blb = cell_lb_expr(F.col("qpaa"), F.col("bits"), F.col("prefix"), seglens, bps)
     qb = (bt.join(F.broadcast(q.select("qid", "qpaa")), F.lit(True))
-          .select("qid", "bucket", "size", F.sqrt(cell_lb_expr(F.col("qpaa"), F.col("bits"), F.col("prefix"), seglens, bps)).alias("blb")))
+          .select("qid", "bucket", "size", F.sqrt(blb).alias("blb")))
     # (query, bucket) bounds: q x buckets rows, read by both phases
     qb = qb.persist()
     seed_b = _seed_buckets(qb, k)
