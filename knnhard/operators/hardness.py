@@ -8,7 +8,7 @@ measure never ranks all ``n`` distances of a query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knnhard.functions import vec
@@ -109,6 +109,23 @@ def diameter(vectors: DataFrame, metric="euclidean", first_id: int | None = None
 
 
 def ground_truth(vectors: DataFrame, queries: DataFrame, maxk: int = 10000, metric="euclidean",
+                 exclude_self=False, bins: int = HIST_BINS, max_list_rows: int = 5_000_000) -> DataFrame:
+    """Ground truth per query (D9): ``topk`` (ascending, ``least(n, maxk)``
+    values), ``avg_d``, ``hist_counts``, ``hist_edges``.
+
+    Physical choice by shuffle volume: per-task top-``maxk`` lists ship
+    ``tasks x maxk`` rows per query; when that exceeds ``max_list_rows``
+    the threshold plan (histogram -> distance threshold -> pairs below it)
+    ships about ``maxk`` rows per query instead, at the price of one more
+    scan.
+    """
+    tasks = vectors.rdd.getNumPartitions()
+    if tasks * maxk <= max_list_rows:
+        return _ground_truth_lists(vectors, queries, maxk, metric, exclude_self, bins)
+    return _ground_truth_threshold(vectors, queries, maxk, metric, exclude_self, bins)
+
+
+def _ground_truth_lists(vectors: DataFrame, queries: DataFrame, maxk: int = 10000, metric="euclidean",
                  exclude_self=False, bins: int = HIST_BINS) -> DataFrame:
     """Per query: ``topk`` distances (ascending), ``avg_d`` and an equal-width
     ``bins``-bin histogram between min and max (last bin closed) (D9).
@@ -133,6 +150,44 @@ def ground_truth(vectors: DataFrame, queries: DataFrame, maxk: int = 10000, metr
                         F.col("lo") + i * (F.col("hi") - F.col("lo")) / F.lit(bins))).alias("hist_edges"))
 
 
+def _ground_truth_threshold(vectors: DataFrame, queries: DataFrame, maxk: int = 10000, metric="euclidean",
+                 exclude_self=False, bins: int = HIST_BINS) -> DataFrame:
+    """Per query: ``topk`` distances (ascending, ``least(n, maxk)`` of them),
+    ``avg_d`` and an equal-width ``bins``-bin histogram between min and max
+    (last bin closed) (D9).
+
+    Three scans, none shipping ``maxk`` candidates per task: (1) count, sum,
+    min, max; (2) the histogram as dense per-task count vectors; (3) the
+    pairs below the upper edge of the bin where the cumulative count reaches
+    ``maxk`` (a threshold that is certain to include the ``maxk`` nearest),
+    ranked by a partially limited window.
+    """
+    p = scan.profile(vectors, queries, metric, m=1, exclude_self=exclude_self)
+    p = p.select("qid", "n", (F.col("sum_d") / F.col("n")).alias("avg_d"), "min_d", "max_d")
+    rng = p.select("qid", "n", "avg_d",
+                   F.when(F.col("max_d") > F.col("min_d"), F.col("min_d")).otherwise(F.col("min_d") - 0.5).alias("lo"),
+                   F.when(F.col("max_d") > F.col("min_d"), F.col("max_d")).otherwise(F.col("max_d") + 0.5).alias("hi")
+                   ).persist()  # q rows, read by three branches
+    hist = scan.histogram(vectors, queries.join(rng.select("qid", "lo", "hi"), "qid"), bins, metric, exclude_self)
+    need = F.least(F.col("n"), F.lit(maxk))
+    run = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda i: F.aggregate(F.slice("counts", 1, i), F.lit(0).cast("long"),
+                                                                               lambda acc, x: acc + x))
+    first = F.array_position(F.transform(run, lambda c: c >= need), True)  # 1-based bin reaching maxk
+    thr = F.when(first >= bins, F.col("hi")).otherwise(F.col("lo") + first * (F.col("hi") - F.col("lo")) / F.lit(bins))
+    h = rng.join(hist, "qid").select("qid", "lo", "hi", "avg_d", F.col("counts").alias("hist_counts"),
+                                     (thr * (1 + 1e-9) + 1e-12).alias("thr")).persist()
+    cand = scan.pairs_within(vectors, queries.join(h.select("qid", "thr"), "qid"), "thr", metric, exclude_self)
+    w = Window.partitionBy("qid").orderBy("d", "id")
+    top = (cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= maxk)
+           .groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", "d"))).alias("rd")))
+    out = h.join(top, "qid", "left")
+    return out.select(
+        "qid", F.transform(F.coalesce("rd", F.array()), lambda t: t.getField("d")).alias("topk"), "avg_d", "hist_counts",
+        F.transform(F.sequence(F.lit(0), F.lit(bins)),
+                    lambda i: F.when(i == bins, F.col("hi")).otherwise(
+                        F.col("lo") + i * (F.col("hi") - F.col("lo")) / F.lit(bins))).alias("hist_edges"))
+
+
 def count_within(gt: DataFrame, threshold: Column) -> Column:
     """Points within ``threshold`` from the histogram: sum of counts[0..pos]
     with ``pos`` = number of edges < threshold (includes one extra bin; the

@@ -514,3 +514,45 @@ def histogram(vectors: DataFrame, queries: DataFrame, bins: int, metric: str = "
         return F.aggregate(F.collect_list("counts"), zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("counts")
     lvl1 = parts.groupBy("qid", F.pmod(F.col("pid"), F.lit(salts)).alias("salt")).agg(agg())
     return lvl1.groupBy("qid").agg(agg())
+
+
+# ----------------------------------------------------- threshold pairs
+
+def pairs_within(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr", metric: str = "euclidean",
+                 exclude_self: bool = False, vid: str = "id", vcol: str = "v") -> DataFrame:
+    """All pairs with ``d <= thr`` (per-query threshold column): ``(qid, id, d)``,
+    distances by the SQL-identical fold. Emits only the qualifying pairs."""
+    _check_metric(metric)
+    qids, Q, ext = collect_queries(queries, extra=(thr_col,))
+    T = np.asarray(ext[thr_col], dtype=float)
+    sc = vectors.sparkSession.sparkContext
+    bQ = sc.broadcast((qids, Q, T))
+
+    def body(batches):
+        qids_, Q_, T_ = bQ.value
+        q = len(qids_)
+        qn2 = np.einsum("qd,qd->q", Q_, Q_)
+        for batch in batches:
+            if batch.num_rows == 0 or q == 0:
+                continue
+            X = _matrix(batch, vcol)
+            ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
+            xn2 = np.einsum("bd,bd->b", X, X)
+            step = max(1, _CHUNK_ELEMS // max(1, len(ids)))
+            for a in range(0, q, step):
+                rows = slice(a, min(q, a + step))
+                D = _approx(metric, Q_[rows], qn2[rows], X, xn2)
+                t = T_[rows][:, None]
+                cand = D <= t + 1e-6 * (1.0 + np.abs(t))
+                if exclude_self:
+                    cand &= ~_self_mask(qids_, ids, rows)
+                rr, cc = np.nonzero(cand)
+                if len(rr) == 0:
+                    continue
+                d = _fold(Q_[rows][rr], X[cc], metric)
+                ok = d <= T_[rows][rr]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qids_[rows][rr[ok]], pa.int64()), pa.array(ids[cc[ok]], pa.int64()), pa.array(d[ok])],
+                    names=["qid", "id", "d"])
+
+    return vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(body, "qid long, id long, d double")

@@ -229,3 +229,15 @@ def test_kendall_distributed_path_matches(spark):
             assert got is None or (isinstance(got, float) and math.isnan(got))
         else:
             assert math.isclose(got, want, rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_ground_truth_plans_agree(spark):
+    from knnhard.operators import hardness as H
+    from knnhard.plans import fixtures as fx
+
+    v, q = fx.vectors(spark, SF), fx.queries(spark, SF).where("qid < 25")
+    a = H.ground_truth(v, q, maxk=40, exclude_self=True, bins=50, max_list_rows=10 ** 9).toPandas().set_index("qid")
+    b = H.ground_truth(v, q, maxk=40, exclude_self=True, bins=50, max_list_rows=0).toPandas().set_index("qid")
+    for qid in a.index:
+        assert list(a.loc[qid, "topk"]) == list(b.loc[qid, "topk"])
+        assert list(a.loc[qid, "hist_counts"]) == list(b.loc[qid, "hist_counts"])
