@@ -241,3 +241,15 @@ def test_ground_truth_plans_agree(spark):
     for qid in a.index:
         assert list(a.loc[qid, "topk"]) == list(b.loc[qid, "topk"])
         assert list(a.loc[qid, "hist_counts"]) == list(b.loc[qid, "hist_counts"])
+
+
+def test_ivf_search_plan_has_no_vector_shuffle_join(spark):
+    from knnhard.operators import ivf
+    from knnhard.plans import fixtures as fx
+
+    v, q = fx.vectors(spark, SF), fx.queries(spark, SF).where("qid < 10")
+    c, a = ivf.build_index(v, n_list=8, iters=1)
+    plan = ivf.search(v, a, c, q, 2, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan          # vectors are never joined with the assignment by a shuffle
+    assert "BroadcastHashJoin" in plan          # probed cells reach the scan as a broadcast
+    assert "WindowGroupLimit" in plan           # top-k per query is limited before the shuffle
