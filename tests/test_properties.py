@@ -253,3 +253,13 @@ def test_ivf_search_plan_has_no_vector_shuffle_join(spark):
     assert "SortMergeJoin" not in plan          # vectors are never joined with the assignment by a shuffle
     assert "BroadcastHashJoin" in plan          # probed cells reach the scan as a broadcast
     assert "WindowGroupLimit" in plan           # top-k per query is limited before the shuffle
+
+
+def test_scan_plan_prunes_columns_and_merges_in_two_levels(spark):
+    from knnhard.operators import scan
+    from knnhard.plans import fixtures as fx
+
+    v, q = fx.vectors(spark, SF), fx.queries(spark, SF).where("qid < 10")
+    plan = scan.profile(v, q, m=3)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan  # label column pruned
+    assert plan.count("Exchange hashpartitioning") >= 2                        # salted level, then per query
