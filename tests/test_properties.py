@@ -263,3 +263,16 @@ def test_scan_plan_prunes_columns_and_merges_in_two_levels(spark):
     plan = scan.profile(v, q, m=3)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan  # label column pruned
     assert plan.count("Exchange hashpartitioning") >= 2                        # salted level, then per query
+
+
+def test_query_side_size_check_and_batches(spark):
+    from knnhard.operators import distance as D
+    from knnhard.operators import scan
+    from knnhard.plans import fixtures as fx
+
+    v, q = fx.vectors(spark, SF), fx.queries(spark, SF)
+    with pytest.raises(ValueError):
+        scan.collect_queries(q, max_bytes=1024)          # 500 x 64 doubles > 1 KiB: refused, not broadcast
+    a = D.knn_batched(v, q, 3, exclude_self=True, batch_size=64).toPandas().sort_values(["qid", "rank"])
+    b = D.knn(v, q, 3, exclude_self=True).toPandas().sort_values(["qid", "rank"])
+    assert list(a.id) == list(b.id) and len(a) == 3 * 500
