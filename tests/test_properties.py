@@ -276,3 +276,19 @@ def test_query_side_size_check_and_batches(spark):
     a = D.knn_batched(v, q, 3, exclude_self=True, batch_size=64).toPandas().sort_values(["qid", "rank"])
     b = D.knn(v, q, 3, exclude_self=True).toPandas().sort_values(["qid", "rank"])
     assert list(a.id) == list(b.id) and len(a) == 3 * 500
+
+
+def test_series_month_paa_and_sax_against_numpy(spark):
+    from knnhard.operators import sax
+    from knnhard.plans import fixtures as fx
+
+    s = sax.summarise(fx.series_month(spark, SF), 16).toPandas()
+    bp = np.array(sax.fixed_breakpoints())
+    lens = sax.segment_lengths(80, 16)
+    offs = np.concatenate([[0], np.cumsum(lens)])
+    for _, r in s.head(20).iterrows():
+        v = np.asarray(r.v, dtype=float)
+        assert len(v) == 80 and abs(v.mean()) < 1e-9 and abs(v.std() - 1) < 1e-9
+        paa = np.array([v[offs[i]:offs[i + 1]].sum() / lens[i] for i in range(16)])
+        assert np.allclose(np.asarray(r.paa), paa, atol=1e-12)
+        assert list(r.sax) == [int((bp <= x).sum()) for x in r.paa]
