@@ -78,12 +78,15 @@ def write_metrics_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).partitionBy("dataset").csv(path)
 
 
-def read_results_csv(spark: SparkSession, paths: list[str], schema: str = METRIC_SCHEMA) -> DataFrame:
-    """Stack result CSVs with an explicit schema, adding the source from the
-    path (A9); files that lack columns get NULLs (``unionByName``)."""
+def read_results_csv(spark: SparkSession, paths: list[str], schema: str | list[str] = METRIC_SCHEMA) -> DataFrame:
+    """Stack result CSVs with explicit schemas (one for all paths, or one per
+    path when files differ, e.g. traces with and without ``data_limit``),
+    adding the source from the path (A9); columns a file lacks become NULL
+    (``unionByName(allowMissingColumns=True)``)."""
     out = None
-    for p in paths:
-        d = spark.read.schema(schema).option("header", True).csv(p)
+    schemas = schema if isinstance(schema, list) else [schema] * len(paths)
+    for p, sch in zip(paths, schemas):
+        d = spark.read.schema(sch).option("header", True).csv(p)
         d = d.withColumn("source", F.regexp_extract(F.col("_metadata.file_path"), r"dataset=([^/]+)/", 1))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out

@@ -292,3 +292,20 @@ def test_series_month_paa_and_sax_against_numpy(spark):
         paa = np.array([v[offs[i]:offs[i + 1]].sum() / lens[i] for i in range(16)])
         assert np.allclose(np.asarray(r.paa), paa, atol=1e-12)
         assert list(r.sax) == [int((bp <= x).sum()) for x in r.paa]
+
+
+def test_stack_result_csvs_with_missing_columns(spark, tmp_path):
+    from knnhard.sources.tables import read_results_csv
+
+    a = tmp_path / "dataset=a"
+    b = tmp_path / "dataset=b"
+    a.mkdir()
+    b.mkdir()
+    (a / "t.csv").write_text("iteration,rc,elapsed_s,query_index,method\n0,1.5,0.1,3,sgd\n1,1.4,0.3,3,sgd\n")
+    (b / "t.csv").write_text("iteration,rc,elapsed_s,query_index,data_limit,method\n0,1.2,0.2,7,5000,sgd\n")
+    base = "iteration int, rc double, elapsed_s double, query_index long"
+    df = read_results_csv(spark, [str(a), str(b)], [base + ", method string",
+                                                    base + ", data_limit long, method string"])
+    rows = {(r.source, r.iteration): r for r in df.collect()}
+    assert rows[("a", 1)].data_limit is None and rows[("a", 1)].method == "sgd"
+    assert rows[("b", 0)].data_limit == 5000 and rows[("b", 0)].rc == 1.2
