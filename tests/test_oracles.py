@@ -15,8 +15,12 @@ FAST = ["nan_repair", "finite_check", "drop_zero", "l2_normalise", "pad8", "ip_l
 
 
 def test_every_query_has_oracle_or_is_loop():
-    q, o = E.queries(), E.oracle_sql()
+    from knnhard.plans import registry
+
+    registry.load_all()
+    q, o = registry.QUERIES, registry.ORACLES
     assert set(o) <= set(q)
+    assert set(q) <= set(E.queries())
     rows_only = set(q) - set(o)
     assert rows_only <= {"bucket_stats", "sax_counters", "sax_approx", "gradient_workload", "anneal_workload",
                          "empirical_workload", "trajectory", "dispatch_workload", "index_performance"}
