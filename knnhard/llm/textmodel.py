@@ -193,9 +193,10 @@ def fit(rows: list, y: np.ndarray, row_weight: np.ndarray, n_features: int, n_cl
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_style: bool = True,
           per_class: int = 4000, top: int = 4096, min_rows: int = 5, l2: float = 1e-4,
           forced: tuple[bytes, ...] = (), make_pairs: Callable[[str | None], list[list[bytes]]] | None = None,
-          pair_weight: float = 0.0) -> TextModel:
+          pair_weight: float = 0.0, balance: float = 0.0) -> TextModel:
     """Fit on at most ``per_class`` labelled rows of each class (documented bound); rows are weighted
-    back to the classes' shares among all labelled ids. No labels give a model without classes."""
+    back to the classes' shares among all labelled ids, to the power 1 - ``balance``. No labels give a
+    model without classes."""
     sample, sizes = sample_labelled(docs, labels, id_col, text_col, per_class)
     classes = tuple(sorted(sizes))
     chosen = select_features(sample, classes, with_style, top, min_rows)
@@ -205,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = encode(sample, blank, make_pairs)
     y = np.array([classes.index(k) for k in got["y"]], np.int64)
     held = np.bincount(y, minlength=len(classes)) if len(y) else np.zeros(len(classes))
-    weight = np.array([sizes[classes[k]] / held[k] for k in y])
+    weight = np.array([sizes[classes[k]] ** (1 - balance) / held[k] for k in y])
     pairs = [ps[i:i + 2] for ps in got["pairs"] for i in range(0, len(ps), 2)]
     w = fit(list(got["x"]), y, weight, len(vocab), max(1, len(classes)), l2, pairs, pair_weight)
     return TextModel(classes, vocab, w, with_style, lengths)
