@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from knnhard.llm import decontaminate, exact_dedup, html_crf, langid, mixing, simhash_dedup, toxicity, warc_zip
+from knnhard.llm import chat_format, decontaminate, exact_dedup, html_crf, langid, mixing, secrets, simhash_dedup, toxicity, warc_zip
 
 QUERIES: dict[str, Callable] = {
+    "op1_chat_format": chat_format.op1_chat_format,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_html_crf": html_crf.op4_html_crf,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_langid": langid.op7_langid,
+    "op8_secret_forest": secrets.op8_secret_forest,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_warc_zip": warc_zip.op10_warc_zip,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": chat_format.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op10_warc_zip": warc_zip.SQL,
