@@ -9,7 +9,6 @@ and reads the index and single records by range.
 
 from __future__ import annotations
 
-import base64
 import io
 import json
 import struct
@@ -222,7 +221,7 @@ def _paths(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length").where("length > 0")
 
 
-def read_packages(spark: SparkSession, folder: str, records_per_task: int = 2000) -> DataFrame:
+def read_packages(spark: SparkSession, folder: str, records_per_stretch: int = 500) -> DataFrame:
     """(path, key, kind, payload, payload_bytes, digest, refers) of every record in the packages below ``folder``.
 
     One job lists the packages' indexes, the next deals the records out by package and stretch, so a large
@@ -242,7 +241,7 @@ def read_packages(spark: SparkSession, folder: str, records_per_task: int = 2000
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([path] * len(part)), pa.array([at + e["offset"] for e in part], pa.int64()),
                          pa.array([e["length"] for e in part], pa.int64()),
-                         pa.array([(i + k) // records_per_task for k in range(len(part))], pa.int64())],
+                         pa.array([(i + k) // records_per_stretch for k in range(len(part))], pa.int64())],
                         names=["path", "at", "length", "stretch"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +271,9 @@ def read_packages(spark: SparkSession, folder: str, records_per_task: int = 2000
             held[2]()
 
     listed = _paths(spark, folder).select("path").mapInArrow(list_records, "path string, at long, length long, stretch long")
-    dealt = listed.repartition("path", "stretch").sortWithinPartitions("path", "at")
+    # a listed row is short but stands for a record: the number is given, or adaptive planning would join tasks by the rows' bytes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = listed.repartition(tasks, "path", "stretch").sortWithinPartitions("path", "at")
     got = dealt.mapInArrow(fetch, "path string, key string, kind string, payload binary, payload_bytes long, digest string, refers string")
     response = F.col("kind") == "response"
     same = (F.sha2("payload", 256) == F.col("digest")) & (F.octet_length("payload") == F.col("payload_bytes"))
