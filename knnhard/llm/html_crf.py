@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knnhard.llm._common import col, table
+from knnhard.llm._common import col, few, materialise, table
 
 #: Elements that begin a new block (fixed by HTML).
 BLOCK_TAGS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt
@@ -374,9 +374,11 @@ def label_by_texts(page: list[Block], main: list[str]) -> list[int] | None:
 def labelled_pages(pages: DataFrame, id_col: str, html_col: str, sampled: int, composed: int, max_chars: int = 200_000) -> list[tuple[list[Block], list[int]]]:
     """At most ``sampled`` pages of the table that mark their article, by smallest digest of the id, and
     ``composed`` pages in other layouts made of their texts: the documented bound of the training set."""
-    rows = (pages.select(col(id_col).alias("id"), col(html_col).cast("string").alias("t"))
-            .where(F.col("t").isNotNull() & (F.length("t") <= max_chars))
-            .orderBy(F.xxhash64(F.col("id").cast("string")), "t").limit(sampled).select("t").collect())
+    texts = pages.select(col(id_col).cast("string").alias("id"), col(html_col).cast("string").alias("t")).where(
+        F.col("id").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= max_chars))
+    # the ids first: so that no task sends pages that are not picked; the ids are bounded by ``sampled``
+    ids = materialise(few(texts.select("id").distinct(), sampled, pages.count(), "id"), "picked")
+    rows = few(texts.join(F.broadcast(ids), "id"), sampled, 0, "id", "t").select("t").collect()
     out, lines, phrases = [], [], []
     for r in rows:
         page = blocks(r["t"])

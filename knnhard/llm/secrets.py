@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knnhard.llm._common import col, materialise, table
+from knnhard.llm._common import col, few, materialise, table, top
 
 #: 16 or more key characters, a digit among them.
 CANDIDATE = r"(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}"
@@ -51,7 +51,7 @@ def dictionary(docs: DataFrame, text_col: str, size: int = 1500) -> list[str]:
     """The ``size`` words of 3 to 12 letters that stand in most documents, counted over all of them."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(col(text_col).cast("string")), F.lit(r"\b[\p{L}]{3,12}\b"), F.lit(0)))
     counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+    return [r["w"] for r in top(counts, size, F.desc("n"), "w")]
 
 
 def _words(c: Column) -> Column:
@@ -93,7 +93,8 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
 def train(findings: DataFrame, words: list[str], trees: int = 40, depth: int = 8, max_rows: int = 20_000) -> RandomForestClassificationModel:
     """A forest from labelled findings (cand, before, after, path, label 0/1), at most ``max_rows`` of them by
     smallest digest (the documented bound). Findings with a null candidate or label are left out."""
-    rows = findings.where("cand IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("cand", "before", "after"), "cand").limit(max_rows)
+    good = findings.where("cand IS NOT NULL AND label IS NOT NULL")
+    rows = few(good, max_rows, good.count(), "cand", "before", "after")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
         with_features(rows.withColumns({n: F.coalesce(n, F.lit("")) for n in ("before", "after")}), words))
     ready = materialise(ready.select("features", F.col("label").cast("double").alias("label")), "findings")
@@ -131,8 +132,8 @@ def findings_from(docs: DataFrame, id_col: str, text_col: str, path_col: str | N
     """
     path = F.coalesce(col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(col(id_col).cast("string").alias("id"), path.alias("path"), col(text_col).cast("string").alias("t")) \
-        .where("t IS NOT NULL AND id IS NOT NULL").orderBy(F.xxhash64("id"), "id", F.xxhash64("t")).limit(sampled)
-    rows = rows.select("id", "path", F.slice(F.split("t", r"\s+"), 1, 40).alias("ws"))
+        .where("t IS NOT NULL AND id IS NOT NULL").select("id", "path", F.slice(F.split("t", r"\s+"), 1, 40).alias("ws"))
+    rows = few(rows, sampled, docs.count(), "id", "ws")
     h, b64, number = _from_digest("id", "=one")
     h2, b64_2, _ = _from_digest("id", "=two")
     word = F.coalesce(F.element_at("ws", (F.pmod(F.xxhash64("id"), F.size("ws")) + 1).cast("int")), F.lit("word"))

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knnhard.llm._common import col, materialise
+from knnhard.llm._common import col, few, materialise
+from knnhard.llm._common import top as first_rows
 from knnhard.llm.decontaminate import _TO_WORDS
 
 BEGINNINGS = range(4, 10)
@@ -98,7 +99,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         raise ValueError(f"more than {max_classes} classes")
     picked = None
     for y in sorted(sizes):
-        part = one.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        part = few(one.where(F.col("y") == y), per_class, sizes[y], "id")
         picked = part if picked is None else picked.union(part)
     if picked is None:
         picked = one
@@ -131,7 +132,7 @@ def select_features(sample: DataFrame, classes: tuple[str, ...], with_style: boo
     for i, y in enumerate(classes):
         want = F.col("n") * F.lit(sizes.get(y, 0) / total)
         chi = chi + (F.col(f"n{i}") - want) ** 2 / F.greatest(want, F.lit(1e-9))
-    best = counts.where(F.col("n") >= min_rows).orderBy(chi.desc(), "f").limit(top).select("f").collect()
+    best = first_rows(counts.where(F.col("n") >= min_rows).select("f", chi.alias("chi")), top, F.desc("chi"), "f")
     return sorted(bytes(r["f"]) for r in best)
 
 
