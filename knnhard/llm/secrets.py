@@ -47,11 +47,13 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
     return each.select("id", "path", "x.nth", "x.start", (F.col("x.start") + F.length("x.cand")).alias("end"), "x.cand", "x.before", "x.after")
 
 
-def dictionary(docs: DataFrame, text_col: str, size: int = 1500) -> list[str]:
-    """The ``size`` words of 3 to 12 letters that stand in most documents, counted over all of them."""
+def dictionary(docs: DataFrame, text_col: str, size: int = 1500, min_share: float = 0.001) -> list[str]:
+    """The ``size`` words of 3 to 12 letters that stand in most documents, and in ``min_share`` of them, counted over
+    all documents."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(col(text_col).cast("string")), F.lit(r"\b[\p{L}]{3,12}\b"), F.lit(0)))
     counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [r["w"] for r in top(counts, size, F.desc("n"), "w")]
+    often = counts.where(F.col("n") >= max(1.0, min_share * docs.count()))
+    return [r["w"] for r in top(often, size, F.desc("n"), "w")]
 
 
 def _words(c: Column) -> Column:

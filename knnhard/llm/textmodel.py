@@ -6,10 +6,10 @@ rows encoded as feature positions, runs on the driver.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from knnhard.llm.decontaminate import _TO_WORDS
 BEGINNINGS = range(4, 10)
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _SYMBOL = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_SPACE = re.compile(rb"[\x09-\x0d\x20]+")
+_SPACE = bytes([*range(9, 14), 32])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -38,7 +38,7 @@ def _step(share: float) -> int:
 def style(text: str | None) -> set[bytes]:
     """How the text is written, as a few features: shares of upper case, digits, symbols, repeated words and lines, sizes."""
     raw = (text or "").encode("utf-8", "replace")
-    n = max(1, len(raw) - sum(len(x) for x in _SPACE.findall(raw)))
+    n = max(1, len(raw.translate(None, _SPACE)))
     tokens, lines = raw.split(), raw.split(b"\n")
     shares = {
         "upper": 1 - len(raw.translate(None, _UPPER)) / max(1, len(raw)), "digit": (len(raw) - len(raw.translate(None, _DIGIT))) / n,
@@ -65,18 +65,28 @@ class TextModel:
     vocab: dict[bytes, int]
     weights: np.ndarray
     with_style: bool
-    lengths: tuple[int, ...] = field(default=())
+
+    @cached_property
+    def _plain(self) -> frozenset[bytes]:
+        return frozenset(self.vocab)
+
+    @cached_property
+    def _starts(self) -> dict[int, tuple[frozenset[bytes], dict[bytes, int]]]:
+        by: dict[int, dict[bytes, int]] = {}
+        for f, i in self.vocab.items():
+            if f.endswith(b"*"):
+                by.setdefault(len(f) - 1, {})[f[:-1]] = i
+        return {k: (frozenset(v), v) for k, v in by.items()}
 
     def positions(self, text: str | None) -> list[int]:
         """Positions of the text's features; the last position is the constant."""
         ws = set(words(text))
-        get = self.vocab.get
-        found = [get(w) for w in ws]
-        for k in self.lengths:
-            found.extend(get(p) for p in {w[:k] + b"*" for w in ws if len(w) > k})
+        found = [self.vocab[w] for w in ws & self._plain]
+        for k, (known, at) in self._starts.items():
+            found += [at[p] for p in {w[:k] for w in ws if len(w) > k} & known]
         if self.with_style:
-            found.extend(get(f) for f in style(text))
-        return [p for p in found if p is not None] + [len(self.vocab)]
+            found += [self.vocab[f] for f in style(text) & self._plain]
+        return found + [len(self.vocab)]
 
     def posteriors(self, texts: list[str | None]) -> np.ndarray:
         z = np.array([self.weights[self.positions(t)].sum(axis=0) for t in texts]).reshape(len(texts), -1)
@@ -202,15 +212,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     classes = tuple(sorted(sizes))
     chosen = select_features(sample, classes, with_style, top, min_rows)
     vocab = {f: i for i, f in enumerate(sorted({*chosen, *forced}))}
-    lengths = tuple(sorted({len(f) - 1 for f in vocab if f.endswith(b"*")}))
-    blank = TextModel(classes, vocab, np.zeros((len(vocab) + 1, max(1, len(classes)))), with_style, lengths)
+    blank = TextModel(classes, vocab, np.zeros((len(vocab) + 1, max(1, len(classes)))), with_style)
     got = encode(sample, blank, make_pairs)
     y = np.array([classes.index(k) for k in got["y"]], np.int64)
     held = np.bincount(y, minlength=len(classes)) if len(y) else np.zeros(len(classes))
     weight = np.array([sizes[classes[k]] ** (1 - balance) / held[k] for k in y])
     pairs = [ps[i:i + 2] for ps in got["pairs"] for i in range(0, len(ps), 2)]
     w = fit(list(got["x"]), y, weight, len(vocab), max(1, len(classes)), l2, pairs, pair_weight)
-    return TextModel(classes, vocab, w, with_style, lengths)
+    return TextModel(classes, vocab, w, with_style)
 
 
 def score_table(docs: DataFrame, model: TextModel, id_col: str, text_col: str) -> DataFrame:
