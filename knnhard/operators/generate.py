@@ -409,6 +409,8 @@ def anneal_workload(vectors: DataFrame, k: int, target_class: str, q: int, max_s
     for rnd in range(max_rounds):
         starts = start_points(vectors, need, seed + rnd)
         fin, tr = anneal_search(vectors, starts, k, low, high, scale, max_steps, t1, metric, seed + rnd)
+        first_id = F.lit(rnd * q)  # every round numbers its starts from 0
+        fin, tr = fin.withColumn("qid", F.col("qid") + first_id), tr.withColumn("qid", F.col("qid") + first_id)
         fin = fin.withColumn("round", F.lit(rnd))
         ok = fin.where("reached")
         done = ok if done is None else done.unionByName(ok)

@@ -73,18 +73,6 @@ def _materialise(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "cid long, v array<double>")
 
 
-def train_ml(vectors: DataFrame, n_list: int, seed: int = 1234, max_iter: int = 20) -> DataFrame:
-    """Production alternative: ``pyspark.ml`` k-means (k-means|| init)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    feats = vectors.select(array_to_vector(vec.dvec("v")).alias("features"))
-    model = KMeans(k=n_list, seed=seed, maxIter=max_iter).fit(feats)
-    spark = vectors.sparkSession
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cid long, v array<double>")
-
-
 def assign(vectors: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Nearest centroid of every vector ``(id, cid, d)``."""
     return scan.nearest_centre(vectors, centroids, metric)

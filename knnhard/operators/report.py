@@ -169,9 +169,9 @@ def kendall(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]], max_gr
     """Kendall tau-b per group for each (x, y) column pair (I6):
     ``(keys..., x, y, tau)``; NULL when undefined.
 
-    The largest group is measured first: groups within ``max_group`` rows
-    (a proven bound) are computed in one grouped-map task each, O(n log n)
-    (Knight); larger groups use the distributed level-wise inversion count.
+    Groups within ``max_group`` rows run in one grouped-map task each, O(n log n)
+    (Knight); each larger group, and only it, uses the distributed level-wise inversion
+    count. Both give a row for every group and pair.
     """
     cols = sorted({c for p in pairs for c in p})
     # result rows (read by the size check and by the computation): keep them
@@ -179,16 +179,19 @@ def kendall(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]], max_gr
     key_fields = [sub.schema[k] for k in keys]
     schema = T.StructType(key_fields + [T.StructField("x", T.StringType()), T.StructField("y", T.StringType()),
                                         T.StructField("tau", T.DoubleType())])
-    biggest = sub.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if biggest > max_group:
-        out = None
+    sizes = sub.groupBy(*keys).agg((F.count(F.lit(1)) > max_group).alias("_large")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    sized = sub.join(sizes, same) if keys else sub.crossJoin(sizes)  # without keys: one row
+    large = sized.where("_large").select(*sub.columns)
+    out = None
+    if sizes.where("_large").limit(1).count():
+        groups = large.select(*keys).distinct()
         for a, b in pairs:
             fin = (F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")) &
                    F.col(b).isNotNull() & ~F.isnan(b) & (F.abs(b) < float("inf")))
-            d = sub.where(fin).select(*keys, F.col(a).alias("x"), F.col(b).alias("y"))
-            t = _kendall_distributed(d, keys).select(*keys, F.lit(a).alias("x"), F.lit(b).alias("y"), "tau")
+            d = large.where(fin).select(*keys, F.col(a).alias("x"), F.col(b).alias("y"))
+            t = groups.join(_kendall_distributed(d, keys), keys, "left").select(*keys, F.lit(a).alias("x"), F.lit(b).alias("y"), "tau")
             out = t if out is None else out.unionByName(t)
-        return out
 
     def per(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -197,7 +200,8 @@ def kendall(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]], max_gr
             t = None if t is None or math.isnan(t) else t  # undefined (constant column) -> NULL
             rows.append({**{k: pdf[k].iloc[0] for k in keys}, "x": a, "y": b, "tau": t})
         return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-    return sub.groupBy(*keys).applyInPandas(per, schema)
+    small = sized.where("NOT _large").select(*sub.columns).groupBy(*keys).applyInPandas(per, schema)
+    return small if out is None else small.unionByName(out)
 
 
 def average_ranks(df: DataFrame, keys: list[str], col: str, out: str, row_id: str) -> DataFrame:
@@ -238,7 +242,8 @@ def spearman(df: DataFrame, keys: list[str], cols: list[str], row_id: str) -> Da
 
 # ------------------------------------------------------------ binning
 
-def quantile_bins(df: DataFrame, keys: list[str], col: str, value_cols: list[str], bins: int = 100) -> DataFrame:
+def quantile_bins(df: DataFrame, keys: list[str], col: str, value_cols: list[str], bins: int = 100,
+                  digits: int | None = None) -> DataFrame:
     """Equal-frequency bins per group (right-closed, lowest included); when
     edges repeat, equal-width bins with the lower edge extended by 0.1 %
     of the range; mean of ``col`` and ``value_cols`` per non-empty bin (I8)."""
@@ -255,9 +260,8 @@ def quantile_bins(df: DataFrame, keys: list[str], col: str, value_cols: list[str
     edges = qe.join(mm, keys).select(*keys, F.when(dup, width).otherwise(F.col("qe")).alias("edges"))
     j = fin.join(F.broadcast(edges), keys)
     b = F.size(F.filter(F.slice("edges", 2, bins), lambda e: e < F.col(col)))
-    # bin means are rounded to 12 decimals so that equal means tie in any
-    # engine regardless of summation order (Kendall compares signs)
-    return j.groupBy(*keys, b.alias("bin")).agg(*[F.round(F.avg(c), 12).alias(c) for c in [col] + value_cols]).na.drop()
+    mean = F.avg if digits is None else (lambda c: F.round(F.avg(c), digits))  # digits: to compare between engines
+    return j.groupBy(*keys, b.alias("bin")).agg(*[mean(c).alias(c) for c in [col] + value_cols]).na.drop()
 
 
 def equal_bins(df: DataFrame, keys: list[str], col: str, value_col: str, bins: int = 40) -> DataFrame:
@@ -274,10 +278,11 @@ def outlier_cut(df: DataFrame, col: str, q: float = 0.99) -> DataFrame:
     return df.where(F.col(col) < F.lit(thr))
 
 
-def rank_marks(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Abs value, sign and best/second marks per group (I11); values are
-    compared at 9 decimals so that equal correlations tie."""
-    w = Window.partitionBy(group).orderBy(F.round("abs_value", 9).desc_nulls_last())
+def rank_marks(df: DataFrame, group: str, value: str, digits: int | None = None) -> DataFrame:
+    """Abs value, sign and best/second marks per group (I11); ``digits`` rounds
+    the compared values."""
+    compared = F.col("abs_value") if digits is None else F.round("abs_value", digits)
+    w = Window.partitionBy(group).orderBy(compared.desc_nulls_last())
     d = df.withColumn("abs_value", F.abs(value)).withColumn("positive", F.col(value) > 0)
     d = d.withColumn("_r", F.dense_rank().over(w))
     return d.withColumn("mark", F.when(F.col("_r") == 1, "best").when(F.col("_r") == 2, "second").otherwise("")).drop("_r")

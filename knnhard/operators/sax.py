@@ -47,20 +47,6 @@ def fixed_breakpoints() -> list[float]:
     return [FIXED_A * (j - 128) ** 3 + FIXED_B * (j - 128) for j in range(1, N_SYMBOLS)]
 
 
-def normal_breakpoints() -> list[float]:
-    """True standard-normal quantiles at j/256 (option; the fixed table differs, Q8)."""
-    from statistics import NormalDist
-
-    nd = NormalDist()
-    return [nd.inv_cdf(j / N_SYMBOLS) for j in range(1, N_SYMBOLS)]
-
-
-def level_breakpoints(full: list[float], bits: int) -> list[float]:
-    """Breakpoints of a coarser level: every 2^(8-bits)-th value (quantiles j/2^bits)."""
-    step = 1 << (CARD_BITS - bits)
-    return [full[j * step - 1] for j in range(1, 1 << bits)]
-
-
 def segment_lengths(length: int, w: int) -> list[int]:
     """``w`` segments; the first ``length % w`` are one longer."""
     base, rem = divmod(length, w)
@@ -432,7 +418,7 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
           .select("qid", "bucket", "size", F.sqrt(blb).alias("blb")))
     # (query, bucket) bounds: q x buckets rows, read by both phases
     qb = qb.persist()
-    seed_b = _seed_buckets(qb, k)
+    seed_b = _seed_buckets(qb, k + 1 if exclude_self else k)  # the query itself may be among them
     data = summary.select("id", "v", "cb").join(leaves.select("id", "bucket"), "id")
 
     qsmall = F.broadcast(q.select("qid", "qv"))  # size-checked query side
@@ -488,7 +474,7 @@ def sax_approx(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     bt = bucket_table(leaves)
     qb = (bt.join(F.broadcast(q.select("qid", "qpaa")), F.lit(True))
           .select("qid", "bucket", "size", cell_lb_expr(F.col("qpaa"), F.col("bits"), F.col("prefix"), seglens, bps).alias("blb")))
-    seed_b = _seed_buckets(qb, k)
+    seed_b = _seed_buckets(qb, k + 1 if exclude_self else k)  # the query itself may be among them
     data = summary.select("id", "v").join(leaves.select("id", "bucket"), "id")
     j = data.join(F.broadcast(seed_b.join(q.select("qid", "qv"), "qid")), "bucket")
     if exclude_self:

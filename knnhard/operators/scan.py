@@ -193,8 +193,8 @@ def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m
                                        names=["d", "id"]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(qids_, pa.int64()), pa.array(np.full(q, pid), pa.int32()), pa.array(n, pa.int64()),
-             pa.array(s), pa.array(np.where(np.isfinite(mn), mn, np.nan)),
-             pa.array(np.where(np.isfinite(mx), mx, np.nan)), top],
+             pa.array(s), pa.array(mn, mask=~np.isfinite(mn)),
+             pa.array(mx, mask=~np.isfinite(mx)), top],  # a task without rows has no extremes: NULL, which min and max pass over
             names=["qid", "pid", "n", "sum_d", "min_d", "max_d", "top"])
 
     schema = f"qid long, pid int, n long, sum_d double, min_d double, max_d double, top {TOP_TYPE}"

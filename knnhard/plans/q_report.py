@@ -159,7 +159,7 @@ def _qbins_sql(src, col, vals=("distcomp",), bins=100):
 
 @register("quantile_bins", sql(f"SELECT dataset, bin::INT AS bin, {r6('rc')} AS rc, {r6('distcomp')} AS distcomp FROM ({_qbins_sql('mrows', 'rc')})"))
 def q_quantile_bins(spark, sf):
-    b = R.quantile_bins(_m(spark, sf), ["dataset"], "rc", ["distcomp"])
+    b = R.quantile_bins(_m(spark, sf), ["dataset"], "rc", ["distcomp"], digits=12)
     return b.select("dataset", F.col("bin").cast("int"), *_rnd(["rc", "distcomp"]))
 
 
@@ -181,7 +181,7 @@ def q_outlier_cut(spark, sf):
 FROM ({KENDALL_SQL})"""))
 def q_rank_marks(spark, sf):
     k = R.kendall(_m(spark, sf), ["dataset"], [(c, "distcomp") for c in MEASURES])
-    r = R.rank_marks(k.select("dataset", F.col("x").alias("measure"), "tau"), "dataset", "tau")
+    r = R.rank_marks(k.select("dataset", F.col("x").alias("measure"), "tau"), "dataset", "tau", digits=9)
     return r.select("dataset", "measure", vec.rnd("abs_value").alias("abs_value"), "positive", "mark")
 
 
@@ -302,11 +302,12 @@ def q_correlation_table(spark, sf):
     cut = exact_quantiles(long.where(F.col("measure").isin("rc", "expansion")), ["measure"], "value", [0.99])
     long = (long.join(F.broadcast(cut.select("measure", F.col("q").alias("cut"))), "measure", "left")  # two rows
             .where(F.col("cut").isNull() | (F.col("value") < F.col("cut"))))
-    b = R.quantile_bins(long, ["measure", "dataset"], "value", ["distcomp"])
+    b = R.quantile_bins(long, ["measure", "dataset"], "value", ["distcomp"], digits=12)
     k = R.kendall(b, ["measure", "dataset"], [("value", "distcomp")])
     out = k.select("measure", "dataset", F.abs("tau").alias("correlation")).where(F.col("correlation").isNotNull())
-    p = out.groupBy("measure").pivot("dataset", DATASETS).agg(F.first("correlation"))  # C10: datasets side by side
-    return p.select("measure", *[vec.rnd(F.col(f"`{d}`")).alias(d) for d in DATASETS])
+    names = sorted(r["dataset"] for r in m.select("dataset").distinct().collect())  # one row per dataset
+    p = out.groupBy("measure").pivot("dataset", names).agg(F.first("correlation"))  # C10: datasets side by side
+    return p.select("measure", *[vec.rnd(F.col(f"`{d}`")).alias(d) for d in names])
 
 
 @register("hardness_table", sql("SELECT \"index\", dataset, k, difficulty, " + ", ".join(
@@ -393,7 +394,7 @@ def q_index_performance(spark, sf):
     _, c = sax.sax_search(s, lv, q, 10, 8, exclude_self=True)
     lab = fx.labelled(spark, sf).select(F.col("id").alias("qid"), "label")
     c = c.join(lab, "qid").withColumn("distcomp", F.col("hardness")).withColumn("recall", F.lit(1.0))
-    sax_rows = R.perf_rows(c, F.concat(F.lit("set-"), F.col("label").cast("string")), RS._workload_col("qid"), "messi",
+    sax_rows = R.perf_rows(c, F.concat(F.lit("set-"), F.col("label").cast("string")), RS._workload_col("qid"), "sax",
                            F.to_json(F.struct(F.lit(8).alias("segments"), F.lit(10).alias("leaf_size"))), 10, None)
     out = ivf_rows.unionByName(sax_rows)
     return out.select(*[vec.rnd(c_).alias(c_) if c_ in ("distcomp", "recall") else F.col(c_) for c_ in R.PERF_COLS])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,6 +34,13 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "knnhar
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster that does not have it on its PYTHONPATH."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="knnhard-pkg-"), "knnhard")  # served by the driver, not shared
+    spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(root), os.path.basename(root)))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

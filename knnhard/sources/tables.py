@@ -13,9 +13,6 @@ from knnhard.operators import vectors as vops
 from knnhard.session import ensure_checkpoint_dir
 from knnhard.sources import vecfile
 
-# The default number of rows read from a vector file
-MAX_DATA_LEN = 5_000_000
-
 METRIC_SCHEMA = ("i long, k int, lid double, rc double, expansion double, distcomp double, eps_0_05 double, "
                  "eps_0_1 double, eps_0_5 double, eps_1 double, dataset string, workload_description string")
 
@@ -23,7 +20,9 @@ METRIC_SCHEMA = ("i long, k int, lid double, rc double, expansion double, distco
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark)
-    base = base[len("file:"):] if base.startswith("file:") else base
+    base = "/" + base[len("file:"):].lstrip("/") if base.startswith("file:") else base
+    if "://" in base:  # os.makedirs would make a machine-local folder of that name
+        raise ValueError(f"vector files need a mounted shared folder; spark.checkpoint.dir is {base!r}")
     path = os.path.join(base, f"knnhard-{name}-{uuid.uuid4().hex}")
     os.makedirs(path, exist_ok=True)
     return path
@@ -40,7 +39,7 @@ def read_txt(spark: SparkSession, path: str) -> DataFrame:
     return df.select("id", F.transform(toks, lambda s: s.cast("float")).alias("v"))
 
 
-def load_vectors(spark: SparkSession, path: str, role: str = "train", limit: int | None = MAX_DATA_LEN,
+def load_vectors(spark: SparkSession, path: str, role: str = "train", limit: int | None = None,
                  repair: bool = True, metric: str | None = None) -> tuple[DataFrame, str]:
     """Read a vector file by extension (A4): ``.bin``/``.fbin`` via the Data
     Source (first ``limit`` rows, by position), ``.txt`` (metric euclidean).

@@ -27,21 +27,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 SCHEMA = "id bigint, v array<float>"
 
 
-def _suffix_count(s: str) -> int:
-    m = {"K": 1_000, "M": 1_000_000, "B": 1_000_000_000}
-    if s.isdigit():
-        return int(s)
-    return int(float(s[:-1]) * m.get(s[-1].upper(), 1))
+# name-[...-metric-]features-samples, samples with an optional unit
+_DESCRIPTOR = re.compile(r"(?P<name>[^-]+)(?:-(?:[^-]+-)*(?P<metric>[^-]+))?-(?P<features>\d+)-(?P<number>\d+)(?P<unit>[KMB]?)", re.I)
+_UNITS = {"": 1, "K": 10 ** 3, "M": 10 ** 6, "B": 10 ** 9}
 
 
 def parse_name(path: str) -> tuple[str, int, int, str]:
-    """``(name, samples, features, metric)`` from a file name."""
-    base = path.rsplit("/", 1)[-1].split(".")[0]
-    parts = base.split("-")
-    if len(parts) < 3:
+    """``(name, samples, features, metric)`` from a file name; the metric defaults to euclidean."""
+    found = _DESCRIPTOR.fullmatch(os.path.basename(path).partition(".")[0])
+    if found is None:
         raise ValueError(f"cannot parse descriptor from {path!r}")
-    metric = parts[-3] if len(parts) >= 4 else "euclidean"
-    return parts[0], _suffix_count(parts[-1]), int(parts[-2]), metric
+    samples = int(found["number"]) * _UNITS[found["unit"].upper()]
+    return found["name"], samples, int(found["features"]), found["metric"] or "euclidean"
 
 
 def _files(path: str) -> list[str]:

@@ -309,3 +309,61 @@ def test_stack_result_csvs_with_missing_columns(spark, tmp_path):
     rows = {(r.source, r.iteration): r for r in df.collect()}
     assert rows[("a", 1)].data_limit is None and rows[("a", 1)].method == "sgd"
     assert rows[("b", 0)].data_limit == 5000 and rows[("b", 0)].rc == 1.2
+
+
+# ------------------------------------------------ verdict of round 1
+
+def test_quantiles_with_infinities_ties_and_heavy_tails(spark):
+    from knnhard.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    for data in ([float(i) for i in range(200)] + [float("inf")], [float(x) for x in rng.standard_cauchy(500) ** 9], [1.0] * 300 + [2.0],
+                 [float("-inf")] * 40 + [5e-324, 1e308, -1e308] * 40, [float(x) for x in rng.integers(0, 3, 400)]):
+        df = spark.createDataFrame([(x,) for x in data + [float("nan"), None]], "x double")
+        probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+        got = {r.p: r.q for r in exact_quantiles(df, [], "x", probs, max_exact=20).collect()}
+        assert len(got) == len(probs)
+        v = np.sort(np.array(data))
+        for p in probs:
+            h = (len(v) - 1) * p
+            lo, hi = v[int(np.floor(h))], v[int(np.ceil(h))]
+            assert lo <= got[p] <= hi and (lo != hi or got[p] == lo)
+
+
+def test_kendall_sizes_agree(spark):
+    from knnhard.operators import report as R
+
+    rng = np.random.default_rng(4)
+    rows = [("a", float(x), float(y)) for x, y in rng.integers(0, 6, (40, 2))] + [("b", float("nan"), 1.0)] * 30 + [("c", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    whole = {r.g: r.tau for r in R.kendall(df, ["g"], [("x", "y")]).collect()}
+    split = {r.g: r.tau for r in R.kendall(df, ["g"], [("x", "y")], max_group=20).collect()}
+    assert set(whole) == set(split) == {"a", "b", "c"} and whole["b"] is None and split["b"] is None
+    assert abs(whole["a"] - split["a"]) < 1e-12
+
+
+def test_diameter_with_empty_tasks(spark):
+    from knnhard.operators import hardness as H
+
+    v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)], "id long, v array<float>")
+    one = H.diameter(v.repartition(1), "euclidean").first()["diameter"]
+    assert H.diameter(v.repartition(64), "euclidean").first()["diameter"] == one
+
+
+def test_sax_seeds_hold_k_others(spark):
+    from knnhard.operators import sax
+    from knnhard.plans import fixtures as fx
+
+    sf = "/root/testdata/sf0.01"
+    s = sax.summarise(fx.vectors(spark, sf).select("id", "v"), 8)
+    leaves = sax.build_leaves(s, 8, 10)
+    q = fx.queries(spark, sf).limit(60)
+    assert sax.sax_approx(s, leaves, q, 5, 8, exclude_self=True).groupBy("qid").count().where("count < 5").count() == 0
+
+
+@pytest.mark.parametrize("name, want", [("a/deep-angular-96-1M.bin", ("deep", 10 ** 6, 96, "angular")), ("sift-128-500k.fbin", ("sift", 500_000, 128, "euclidean")),
+                                        ("x-v2-ip-200-77.bin", ("x", 77, 200, "ip"))])
+def test_descriptor(name, want):
+    from knnhard.sources.vecfile import parse_name
+
+    assert parse_name(name) == want
