@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from knnhard.functions import vec
 from knnhard.operators import scan
+from knnhard.session import keep
 
 EPSILONS = (0.05, 0.1, 0.5, 1.0)
 HIST_BINS = 1000
@@ -79,7 +80,7 @@ def eps_hardness(vectors: DataFrame, queries: DataFrame, eps=EPSILONS, k: int =
 
     Two passes: the threshold is known only after the profile pass.
     """
-    p = profile if profile is not None else query_profile(vectors, queries, k, metric, exclude_self, m=k)
+    p = profile if profile is not None else keep(query_profile(vectors, queries, k, metric, exclude_self, m=k))
     thr = p.select("qid", "n", F.array(*[F.lit(1.0 + e) * dk(k - 1) for e in eps]).alias("thr"))
     qthr = queries.join(thr, "qid")
     cnt = scan.within_counts(vectors, qthr, "thr", metric, exclude_self)
@@ -109,48 +110,6 @@ def diameter(vectors: DataFrame, metric="euclidean", first_id: int | None = None
 
 
 def ground_truth(vectors: DataFrame, queries: DataFrame, maxk: int = 10000, metric="euclidean",
-                 exclude_self=False, bins: int = HIST_BINS, max_list_rows: int = 5_000_000) -> DataFrame:
-    """Ground truth per query (D9): ``topk`` (ascending, ``least(n, maxk)``
-    values), ``avg_d``, ``hist_counts``, ``hist_edges``.
-
-    Physical choice by shuffle volume: per-task top-``maxk`` lists ship
-    ``tasks x maxk`` rows per query; when that exceeds ``max_list_rows``
-    the threshold plan (histogram -> distance threshold -> pairs below it)
-    ships about ``maxk`` rows per query instead, at the price of one more
-    scan.
-    """
-    tasks = vectors.rdd.getNumPartitions()
-    if tasks * maxk <= max_list_rows:
-        return _ground_truth_lists(vectors, queries, maxk, metric, exclude_self, bins)
-    return _ground_truth_threshold(vectors, queries, maxk, metric, exclude_self, bins)
-
-
-def _ground_truth_lists(vectors: DataFrame, queries: DataFrame, maxk: int = 10000, metric="euclidean",
-                 exclude_self=False, bins: int = HIST_BINS) -> DataFrame:
-    """Per query: ``topk`` distances (ascending), ``avg_d`` and an equal-width
-    ``bins``-bin histogram between min and max (last bin closed) (D9).
-
-    Top list from the scan (``n`` may be < maxk: ``least(n, maxk)`` entries);
-    histogram counts from a second scan with per-task ``(qid, bin)`` counts
-    combined by a map-side aggregate, so no query's distances are gathered
-    in one place.
-    """
-    p = scan.profile(vectors, queries, metric, m=maxk, exclude_self=exclude_self)
-    p = p.select("qid", "n", (F.col("sum_d") / F.col("n")).alias("avg_d"), "min_d", "max_d",
-                 F.transform("top", lambda t: t.getField("d")).alias("topk"))
-    rng = p.select("qid", F.when(F.col("max_d") > F.col("min_d"), F.col("min_d")).otherwise(F.col("min_d") - 0.5).alias("lo"),
-                   F.when(F.col("max_d") > F.col("min_d"), F.col("max_d")).otherwise(F.col("max_d") + 0.5).alias("hi"))
-    qr = queries.join(rng, "qid")
-    hist = scan.histogram(vectors, qr, bins, metric, exclude_self)
-    out = p.join(rng, "qid").join(hist, "qid")
-    return out.select(
-        "qid", "topk", "avg_d", F.col("counts").alias("hist_counts"),
-        F.transform(F.sequence(F.lit(0), F.lit(bins)),
-                    lambda i: F.when(i == bins, F.col("hi")).otherwise(
-                        F.col("lo") + i * (F.col("hi") - F.col("lo")) / F.lit(bins))).alias("hist_edges"))
-
-
-def _ground_truth_threshold(vectors: DataFrame, queries: DataFrame, maxk: int = 10000, metric="euclidean",
                  exclude_self=False, bins: int = HIST_BINS) -> DataFrame:
     """Per query: ``topk`` distances (ascending, ``least(n, maxk)`` of them),
     ``avg_d`` and an equal-width ``bins``-bin histogram between min and max
@@ -164,18 +123,22 @@ def _ground_truth_threshold(vectors: DataFrame, queries: DataFrame, maxk: int =
     """
     p = scan.profile(vectors, queries, metric, m=1, exclude_self=exclude_self)
     p = p.select("qid", "n", (F.col("sum_d") / F.col("n")).alias("avg_d"), "min_d", "max_d")
-    rng = p.select("qid", "n", "avg_d",
-                   F.when(F.col("max_d") > F.col("min_d"), F.col("min_d")).otherwise(F.col("min_d") - 0.5).alias("lo"),
-                   F.when(F.col("max_d") > F.col("min_d"), F.col("max_d")).otherwise(F.col("max_d") + 0.5).alias("hi")
-                   ).persist()  # q rows, read by three branches
+    rng = keep(p.select("qid", "n", "avg_d",
+                        F.when(F.col("max_d") > F.col("min_d"), F.col("min_d")).otherwise(F.col("min_d") - 0.5).alias("lo"),
+                        F.when(F.col("max_d") > F.col("min_d"), F.col("max_d")).otherwise(F.col("max_d") + 0.5).alias("hi")))
     hist = scan.histogram(vectors, queries.join(rng.select("qid", "lo", "hi"), "qid"), bins, metric, exclude_self)
     need = F.least(F.col("n"), F.lit(maxk))
-    run = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda i: F.aggregate(F.slice("counts", 1, i), F.lit(0).cast("long"),
-                                                                               lambda acc, x: acc + x))
-    first = F.array_position(F.transform(run, lambda c: c >= need), True)  # 1-based bin reaching maxk
+    zero = F.struct(F.lit(0).cast("long").alias("cum"), F.lit(0).alias("i"), F.lit(0).alias("first"))
+
+    def reach(acc: Column, c: Column) -> Column:
+        cum, i = acc["cum"] + c, acc["i"] + 1
+        return F.struct(cum.alias("cum"), i.alias("i"),
+                        F.when((acc["first"] == 0) & (cum >= need), i).otherwise(acc["first"]).alias("first"))
+
+    first = F.aggregate("counts", zero, reach, lambda acc: acc["first"])  # 1-based bin reaching maxk
     thr = F.when(first >= bins, F.col("hi")).otherwise(F.col("lo") + first * (F.col("hi") - F.col("lo")) / F.lit(bins))
-    h = rng.join(hist, "qid").select("qid", "lo", "hi", "avg_d", F.col("counts").alias("hist_counts"),
-                                     (thr * (1 + 1e-9) + 1e-12).alias("thr")).persist()
+    h = keep(rng.join(hist, "qid").select("qid", "lo", "hi", "avg_d", F.col("counts").alias("hist_counts"),
+                                          (thr * (1 + 1e-9) + 1e-12).alias("thr")))
     cand = scan.pairs_within(vectors, queries.join(h.select("qid", "thr"), "qid"), "thr", metric, exclude_self)
     w = Window.partitionBy("qid").orderBy("d", "id")
     top = (cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= maxk)
@@ -205,8 +168,7 @@ def metric_table(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
     ``consts``: constant columns (dataset, workload description ...).
     """
     m = max(2 * k + 1, eps_k)
-    # q rows read by both branches below: persisted instead of scanned twice
-    p = query_profile(vectors, queries, k, metric, exclude_self, m=m).persist()
+    p = keep(query_profile(vectors, queries, k, metric, exclude_self, m=m))  # q rows, read by both branches below
     base = p.select("qid", F.lit(k).alias("k"), lid_expr(k).alias("lid"), rc_expr(k).alias("rc"),
                     expansion_expr(k).alias("expansion"))
     eh = eps_hardness(vectors, queries, eps, eps_k, metric, exclude_self, profile=p)

@@ -23,6 +23,7 @@ from knnhard.operators import scan
 from knnhard.operators import vectors as vops
 from knnhard.operators.distance import pair_distances
 from knnhard.operators.hardness import dk
+from knnhard.session import keep
 
 
 def n_lists(n: int) -> int:
@@ -113,8 +114,7 @@ def sweep(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, assignme
     ``(qid, nprobe, scanned, hits, recall, distcomp)``; distcomp counts the
     ``n_list`` coarse distances too, as the reference's counter does."""
     prof = scan.profile(vectors, queries, metric, m=k, exclude_self=exclude_self)
-    # q rows, read twice below: keep them instead of scanning twice
-    t = prof.select("qid", "n", F.array(dk(k - 1) + F.lit(eps)).alias("thr")).persist()
+    t = keep(prof.select("qid", "n", F.array(dk(k - 1) + F.lit(eps)).alias("thr")))  # q rows, read twice below
     va = scan.nearest_centre(vectors, centroids, metric, keep_vectors=True).select("id", "cid", "v")
     hits = scan.within_counts(va, queries.join(t.select("qid", "thr"), "qid"), "thr", metric, exclude_self,
                               cell_col="cid").select("qid", F.col("cell").alias("cid"), F.col("cnt").alias("hits"))
@@ -158,4 +158,4 @@ def build_index(vectors: DataFrame, n_list: int | None = None, iters: int = 2, s
     if n_list is None:
         n_list = n_lists(vectors.count())
     c = train_lloyd(vectors, n_list, iters, seed, metric)
-    return c, assign(vectors, c, metric)
+    return c, keep(assign(vectors, c, metric))  # sizes and own cells read it

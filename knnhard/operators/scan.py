@@ -7,7 +7,7 @@ task streams its Arrow batches through numpy (``X @ Q.T``) and keeps only
 per-query partials: count, sum, min/max and a top-``m`` list. A task emits
 one row per query, so the shuffle volume is ``q x tasks`` rows independent
 of the table size; the per-query merge is a two-level (salted) aggregate so
-that no single group ever holds more than ``sqrt(tasks)`` partials.
+that no single group ever holds all partials of a query.
 
 Candidates entering a top list and points near a counting threshold are
 re-measured with the direct formula ``sqrt(sum((x-q)^2))`` so that the
@@ -16,8 +16,6 @@ results equal the SQL expression path to the last bits that matter.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +28,12 @@ METRICS = ("euclidean", "angular", "ip")
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 # distance-matrix elements computed at once inside a task
 _CHUNK_ELEMS = 4_000_000
-_MARGIN = 8
+# bytes of top lists (distance and id) a task holds at once; more queries take further scans
+_LIST_BYTES = 256 * 1024 * 1024
+# relative error bound of squared norms and products from the matrix product (up to about 1,000 dimensions)
+_REL = 1e-12
+# partials of one query are merged in this many groups first
+SALTS = 256
 
 TOP_TYPE = "array<struct<d:double,id:bigint>>"
 
@@ -99,9 +102,55 @@ def _fold(A: np.ndarray, B: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(acc)
 
 
-def _exact_rows(metric: str, Qc: np.ndarray, X: np.ndarray, idx: np.ndarray) -> np.ndarray:
-    """Exact distances of query row r to X[idx[r, j]]."""
-    return _fold(Qc[:, None, :], X[idx], metric)
+def _exact_rows(metric: str, Qc: np.ndarray, XT: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """Exact distances of query row r to column idx[r, j] of ``XT``, summed in the order of ``_fold``;
+    the temporaries have the size of ``idx``, whatever the dimension."""
+    acc = np.zeros(idx.shape)
+    for j, x in enumerate(XT):
+        if metric == "angular":
+            acc += Qc[:, j, None] * x[idx]
+        else:
+            t = Qc[:, j, None] - x[idx]
+            acc += t * t
+    return np.maximum(0.0, 1.0 - acc) if metric == "angular" else np.sqrt(acc)
+
+
+def _slack(metric: str, D: np.ndarray, qn2: np.ndarray, xn2: np.ndarray) -> np.ndarray:
+    """Bound of the error of ``_approx`` for every pair: the squared norms bound the error of the square."""
+    e = _REL * (qn2[:, None] + xn2[None, :])
+    return e if metric == "angular" else e / np.maximum(np.maximum(D, np.sqrt(e)), np.finfo(float).tiny)
+
+
+def _nearest(metric: str, Qc: np.ndarray, qn2: np.ndarray, X: np.ndarray, XT: np.ndarray, xn2: np.ndarray,
+             ids: np.ndarray, D: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(exact distances, columns) of the ``k`` smallest (d, id) of every row of the approximate ``D``.
+
+    Where more than ``k`` columns lie within the error of the k-th, as copies of a vector do, all of
+    them are measured, so that equal distances go to the smaller ids.
+    """
+    b = D.shape[1]
+    if b <= k:
+        idx = np.tile(np.arange(b), (len(D), 1))
+        return _exact_rows(metric, Qc, XT, idx), idx
+    idx = np.argpartition(D, k - 1, axis=1)[:, :k]
+    kth = np.take_along_axis(D, idx, 1).max(1)
+    e = 2 * _REL * (qn2 + xn2.max())
+    limit = kth + e if metric == "angular" else np.sqrt(kth * kth + e)
+    limit[~np.isfinite(kth)] = -1.0  # fewer than k columns that count: idx has them all
+    d = _exact_rows(metric, Qc, XT, idx)
+    for r in np.nonzero((D <= limit[:, None]).sum(1) > k)[0]:
+        c = np.nonzero(D[r] <= limit[r])[0]
+        dd = _fold(Qc[r][None, :], X[c], metric)
+        order = np.lexsort((ids[c], dd))[:k]
+        d[r], idx[r] = dd[order], c[order]
+    return d, idx
+
+
+def _merge_top(d0: np.ndarray, i0: np.ndarray, d1: np.ndarray, i1: np.ndarray, m: int):
+    """The ``m`` smallest (d, id) per row of two lists, and their order in the concatenation."""
+    d, i = np.concatenate([d0, d1], 1), np.concatenate([i0, i1], 1)
+    order = np.lexsort((i, d), axis=1)[:, :m]
+    return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1), order
 
 
 def _self_mask(qids: np.ndarray, ids: np.ndarray, rows: slice) -> np.ndarray:
@@ -109,14 +158,6 @@ def _self_mask(qids: np.ndarray, ids: np.ndarray, rows: slice) -> np.ndarray:
     return qids[rows][:, None] == ids[None, :]
 
 
-def _num_salts(vectors: DataFrame) -> int:
-    try:
-        p = vectors.rdd.getNumPartitions()
-    except Exception:  # pragma: no cover - planning failure, fall back
-        p = 64
-    return max(1, int(math.ceil(math.sqrt(p))))
-
-
 # ---------------------------------------------------------------- profile
 
 def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m: int = 21,
@@ -126,29 +167,40 @@ def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m
     nearest as ``top array<struct<d,id>>`` ordered by (d, id)."""
     _check_metric(metric)
     qids, Q, _ = collect_queries(queries, qid, qv)
-    sc = vectors.sparkSession.sparkContext
-    bQ = sc.broadcast((qids, Q))
-    mm = m + _MARGIN
+    step = max(1, _LIST_BYTES // (16 * m))
+    parts = None
+    for a in range(0, max(1, len(qids)), step):
+        block = _profile_parts(vectors, qids[a:a + step], Q[a:a + step], metric, m, exclude_self, vid, vcol)
+        parts = block if parts is None else parts.unionByName(block)
+    return merge_profiles(parts, m, SALTS)
+
+
+def _profile_parts(vectors: DataFrame, qids: np.ndarray, Q: np.ndarray, metric: str, m: int, exclude_self: bool,
+                   vid: str, vcol: str) -> DataFrame:
+    """One row per task and query of a block of queries whose top lists fit a task."""
+    bQ = vectors.sparkSession.sparkContext.broadcast((qids, Q))
 
     def body(batches):
         qids_, Q_ = bQ.value
         q = len(qids_)
+        if q == 0:
+            return
         qn2 = np.einsum("qd,qd->q", Q_, Q_)
         n = np.zeros(q, dtype=np.int64)
         s = np.zeros(q)
-        mn = np.full(q, np.inf)
         mx = np.full(q, -np.inf)
         best_d = np.full((q, 0), np.inf)
         best_i = np.zeros((q, 0), dtype=np.int64)
         for batch in batches:
-            if batch.num_rows == 0 or q == 0:
+            if batch.num_rows == 0:
                 continue
             X = _matrix(batch, vcol)
+            XT = np.ascontiguousarray(X.T)
             ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
             xn2 = np.einsum("bd,bd->b", X, X)
-            step = max(1, _CHUNK_ELEMS // max(1, len(ids)))
-            new_d = np.full((q, min(mm, len(ids))), np.inf)
-            new_i = np.zeros((q, min(mm, len(ids))), dtype=np.int64)
+            width = min(m, best_d.shape[1] + len(ids))
+            next_d, next_i = np.full((q, width), np.inf), np.zeros((q, width), dtype=np.int64)
+            step = max(1, _CHUNK_ELEMS // max(len(ids), 2 * width))
             for a in range(0, q, step):
                 rows = slice(a, min(q, a + step))
                 D = _approx(metric, Q_[rows], qn2[rows], X, xn2)
@@ -161,45 +213,30 @@ def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m
                 exm = _fold(Q_[rows], X[am], metric)
                 exm[~fin[np.arange(len(am)), am]] = -np.inf
                 mx[rows] = np.maximum(mx[rows], exm)
-                k = new_d.shape[1]
-                if D.shape[1] > k:
-                    idx = np.argpartition(D, k - 1, axis=1)[:, :k]
-                else:
-                    idx = np.tile(np.arange(D.shape[1]), (D.shape[0], 1))
-                ex = _exact_rows(metric, Q_[rows], X, idx)
+                ex, idx = _nearest(metric, Q_[rows], qn2[rows], X, XT, xn2, ids, D, m)
                 ex[~np.isfinite(np.take_along_axis(D, idx, 1))] = np.inf
-                new_d[rows] = ex
-                new_i[rows] = ids[idx]
-                mn[rows] = np.minimum(mn[rows], ex.min(1))
-            cd = np.concatenate([best_d, new_d], 1)
-            ci = np.concatenate([best_i, new_i], 1)
-            if cd.shape[1] > mm:
-                idx = np.argpartition(cd, mm - 1, axis=1)[:, :mm]
-                cd = np.take_along_axis(cd, idx, 1)
-                ci = np.take_along_axis(ci, idx, 1)
-            best_d, best_i = cd, ci
-        if q == 0:
-            return
+                next_d[rows], next_i[rows], _ = _merge_top(best_d[rows], best_i[rows], ex, ids[idx], width)
+            best_d, best_i = next_d, next_i
         pid = TaskContext.get().partitionId()
-        # rows sorted by (d, id) at once; non-finite (excluded) sort last
-        order = np.lexsort((best_i, best_d), axis=1)
-        sd = np.take_along_axis(best_d, order, 1)[:, :m]
-        si = np.take_along_axis(best_i, order, 1)[:, :m]
-        fin = np.isfinite(sd)
-        offs = np.concatenate([[0], np.cumsum(fin.sum(1))]).astype(np.int32)
-        top = pa.ListArray.from_arrays(
-            pa.array(offs, type=pa.int32()),
-            pa.StructArray.from_arrays([pa.array(sd[fin], type=pa.float64()), pa.array(si[fin], type=pa.int64())],
-                                       names=["d", "id"]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids_, pa.int64()), pa.array(np.full(q, pid), pa.int32()), pa.array(n, pa.int64()),
-             pa.array(s), pa.array(mn, mask=~np.isfinite(mn)),
-             pa.array(mx, mask=~np.isfinite(mx)), top],  # a task without rows has no extremes: NULL, which min and max pass over
-            names=["qid", "pid", "n", "sum_d", "min_d", "max_d", "top"])
+        step = max(1, _CHUNK_ELEMS // max(1, best_d.shape[1]))
+        for a in range(0, q, step):  # rows are sorted by (d, id); excluded ones are not finite and last
+            rows = slice(a, min(q, a + step))
+            sd, si = best_d[rows], best_i[rows]
+            fin = np.isfinite(sd)
+            offs = np.concatenate([[0], np.cumsum(fin.sum(1))]).astype(np.int32)
+            top = pa.ListArray.from_arrays(
+                pa.array(offs, type=pa.int32()),
+                pa.StructArray.from_arrays([pa.array(sd[fin], type=pa.float64()), pa.array(si[fin], type=pa.int64())],
+                                           names=["d", "id"]))
+            mn = sd[:, 0] if sd.shape[1] else np.full(len(sd), np.inf)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids_[rows], pa.int64()), pa.array(np.full(len(sd), pid), pa.int32()), pa.array(n[rows], pa.int64()),
+                 pa.array(s[rows]), pa.array(mn, mask=~np.isfinite(mn)),
+                 pa.array(mx[rows], mask=~np.isfinite(mx[rows])), top],  # a task without rows has no extremes: NULL, which min and max pass over
+                names=["qid", "pid", "n", "sum_d", "min_d", "max_d", "top"])
 
     schema = f"qid long, pid int, n long, sum_d double, min_d double, max_d double, top {TOP_TYPE}"
-    parts = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(body, schema)
-    return merge_profiles(parts, m, _num_salts(vectors))
+    return vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(body, schema)
 
 
 def merge_profiles(parts: DataFrame, m: int, salts: int) -> DataFrame:
@@ -252,8 +289,9 @@ def within_counts(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr",
                 # re-measure points close to any threshold with the direct formula
                 Tc = T_[rows]
                 near = np.zeros(D.shape, dtype=bool)
+                err = _slack(metric, D, qn2[rows], xn2)
                 for j in range(t):
-                    near |= np.abs(D - Tc[:, j:j + 1]) <= 1e-6 * (1.0 + np.abs(Tc[:, j:j + 1]))
+                    near |= np.abs(D - Tc[:, j:j + 1]) <= err
                 if near.any():
                     rr, cc = np.nonzero(near)
                     D[rr, cc] = _fold(Qc[rr], X[cc], metric)
@@ -320,6 +358,7 @@ def nearest_centre(vectors: DataFrame, centres: DataFrame, metric: str = "euclid
         cids_, C_ = bC.value
         c = len(cids_)
         cn2 = np.einsum("cd,cd->c", C_, C_)
+        CT = np.ascontiguousarray(C_.T)
         sums = None
         cnts = np.zeros(c, dtype=np.int64)
         for batch in batches:
@@ -328,13 +367,13 @@ def nearest_centre(vectors: DataFrame, centres: DataFrame, metric: str = "euclid
             X = _matrix(batch, vcol)
             ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
             xn2 = np.einsum("bd,bd->b", X, X)
-            D = _approx(metric, X, xn2, C_, cn2)  # (b, c)
-            two = min(2, c)
-            idx = np.argpartition(D, two - 1, axis=1)[:, :two] if c > two else np.tile(np.arange(c), (len(ids), 1))
-            ex = _fold(X[:, None, :], C_[idx], metric)  # exact for the two best
-            best = np.where((ex[:, 0] < ex[:, -1]) | ((ex[:, 0] == ex[:, -1]) & (idx[:, 0] <= idx[:, -1])), 0, two - 1)
-            bi = idx[np.arange(len(ids)), best]
-            bd = ex[np.arange(len(ids)), best]
+            bi, bd = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids))
+            step = max(1, _CHUNK_ELEMS // c)
+            for a in range(0, len(ids), step):
+                rows = slice(a, a + step)
+                D = _approx(metric, X[rows], xn2[rows], C_, cn2)
+                ex, idx = _nearest(metric, X[rows], xn2[rows], C_, CT, cn2, cids_, D, 1)
+                bi[rows], bd[rows] = idx[:, 0], ex[:, 0]
             if with_sums:
                 if sums is None:
                     sums = np.zeros((c, X.shape[1]))
@@ -379,10 +418,9 @@ def gradient_partials(vectors: DataFrame, queries: DataFrame, metric: str = "euc
     ``top array<struct<d,id,v>>``; merged by the same salted two-level
     aggregate as ``profile``."""
     _check_metric(metric)
-    qids, Q, _ = collect_queries(queries)
+    qids, Q, _ = collect_queries(queries, max_bytes=MAX_BROADCAST_BYTES // m)  # a task holds m vectors per query
     sc = vectors.sparkSession.sparkContext
     bQ = sc.broadcast((qids, Q))
-    mm = m + _MARGIN
 
     def body(batches):
         qids_, Q_ = bQ.value
@@ -400,30 +438,30 @@ def gradient_partials(vectors: DataFrame, queries: DataFrame, metric: str = "euc
             X = _matrix(batch, vcol)
             ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
             xn2 = np.einsum("bd,bd->b", X, X)
-            D = _approx(metric, Q_, qn2, X, xn2)
-            if exclude_self:
-                D[_self_mask(qids_, ids, slice(0, q))] = np.inf
-            fin = np.isfinite(D)
-            n += fin.sum(1)
-            s += np.where(fin, D, 0.0).sum(1)
-            if metric == "angular":
-                g -= fin.astype(float) @ X
-            else:
-                inv = np.where(fin & (D > 0), 1.0 / np.where(D > 0, D, 1.0), 0.0)  # (q, b)
-                g += inv.sum(1)[:, None] * Q_ - inv @ X
-            k = min(mm, len(ids))
-            idx = np.argpartition(D, k - 1, axis=1)[:, :k] if D.shape[1] > k else np.tile(np.arange(D.shape[1]), (q, 1))
-            ex = _exact_rows(metric, Q_, X, idx)
-            ex[~np.isfinite(np.take_along_axis(D, idx, 1))] = np.inf
-            cd = np.concatenate([best_d, ex], 1)
-            ci = np.concatenate([best_i, ids[idx]], 1)
-            cv = np.concatenate([best_v, X[idx]], 1)
-            if cd.shape[1] > mm:
-                sel = np.argpartition(cd, mm - 1, axis=1)[:, :mm]
-                cd = np.take_along_axis(cd, sel, 1)
-                ci = np.take_along_axis(ci, sel, 1)
-                cv = np.take_along_axis(cv, sel[:, :, None], 1)
-            best_d, best_i, best_v = cd, ci, cv
+            XT = np.ascontiguousarray(X.T)
+            width = min(m, best_d.shape[1] + len(ids))
+            next_d, next_i = np.full((q, width), np.inf), np.zeros((q, width), dtype=np.int64)
+            next_v = np.zeros((q, width, dim))
+            step = max(1, _CHUNK_ELEMS // max(len(ids), 2 * width * dim))
+            for a in range(0, q, step):
+                rows = slice(a, min(q, a + step))
+                Qc = Q_[rows]
+                D = _approx(metric, Qc, qn2[rows], X, xn2)
+                if exclude_self:
+                    D[_self_mask(qids_, ids, rows)] = np.inf
+                fin = np.isfinite(D)
+                n[rows] += fin.sum(1)
+                s[rows] += np.where(fin, D, 0.0).sum(1)
+                if metric == "angular":
+                    g[rows] -= fin.astype(float) @ X
+                else:
+                    inv = np.where(fin & (D > 0), 1.0 / np.where(D > 0, D, 1.0), 0.0)  # (rows, b)
+                    g[rows] += inv.sum(1)[:, None] * Qc - inv @ X
+                ex, idx = _nearest(metric, Qc, qn2[rows], X, XT, xn2, ids, D, m)
+                ex[~np.isfinite(np.take_along_axis(D, idx, 1))] = np.inf
+                next_d[rows], next_i[rows], order = _merge_top(best_d[rows], best_i[rows], ex, ids[idx], width)
+                next_v[rows] = np.take_along_axis(np.concatenate([best_v[rows], X[idx]], 1), order[:, :, None], 1)
+            best_d, best_i, best_v = next_d, next_i, next_v
         if q == 0:
             return
         pid = TaskContext.get().partitionId()
@@ -445,7 +483,7 @@ def gradient_partials(vectors: DataFrame, queries: DataFrame, metric: str = "euc
     schema = ("qid long, pid int, n long, sum_d double, g array<double>, "
               "top array<struct<d:double,id:bigint,v:array<double>>>")
     parts = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(body, schema)
-    salts = _num_salts(vectors)
+    salts = SALTS
 
     def aggs():
         gsum = F.aggregate(F.collect_list("g"), F.array_repeat(F.lit(0.0), F.size(F.first("g"))),
@@ -466,8 +504,8 @@ def histogram(vectors: DataFrame, queries: DataFrame, bins: int, metric: str = "
               exclude_self: bool = False, vid: str = "id", vcol: str = "v") -> DataFrame:
     """Equal-width distance histogram per query between its ``lo`` and ``hi``
     (query columns): ``(qid, counts array<bigint>)``, the last bin closed;
-    dense per-task count vectors summed by the salted two-level aggregate. Distances are
-    the left-to-right fold, i.e. bit-identical to the SQL expression, so bin
+    dense per-task count vectors summed by the salted two-level aggregate. Points near
+    an edge are measured by the left-to-right fold, bit-identical to the SQL expression, so bin
     edges are decided exactly as a SQL engine decides them."""
     _check_metric(metric)
     qids, Q, ext = collect_queries(queries, extra=("lo", "hi"))
@@ -479,23 +517,30 @@ def histogram(vectors: DataFrame, queries: DataFrame, bins: int, metric: str = "
     def body(batches):
         qids_, Q_, lo_, hi_ = bQ.value
         q = len(qids_)
+        qn2 = np.einsum("qd,qd->q", Q_, Q_)
         counts = np.zeros((q, bins), dtype=np.int64)
         for batch in batches:
             if batch.num_rows == 0 or q == 0:
                 continue
             X = _matrix(batch, vcol)
             ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
+            xn2 = np.einsum("bd,bd->b", X, X)
             step = max(1, _CHUNK_ELEMS // max(1, len(ids) * 4))
             for a in range(0, q, step):
                 rows = slice(a, min(q, a + step))
-                D = _fold(Q_[rows][:, None, :], X[None, :, :], metric)
+                D = _approx(metric, Q_[rows], qn2[rows], X, xn2)
+                per = bins / (hi_[rows, None] - lo_[rows, None])
+                at = (D - lo_[rows, None]) * per
+                # re-measure points close to the edge of a bin with the direct formula
+                rr, cc = np.nonzero(np.abs(at - np.rint(at)) <= _slack(metric, D, qn2[rows], xn2) * per + 1e-9)
+                D[rr, cc] = _fold(Q_[rows][rr], X[cc], metric)
                 b = np.floor((D - lo_[rows, None]) / (hi_[rows, None] - lo_[rows, None]) * bins)
                 b = np.minimum(b, bins - 1).astype(np.int64)
                 keep = np.ones(D.shape, dtype=bool)
                 if exclude_self:
                     keep &= ~_self_mask(qids_, ids, rows)
                 r, _ = np.nonzero(keep)
-                np.add.at(counts[rows], (r, b[keep]), 1)
+                counts[rows] += np.bincount(r * bins + b[keep], minlength=len(D) * bins).reshape(-1, bins)
         if q == 0:
             return
         pid = TaskContext.get().partitionId()
@@ -507,7 +552,7 @@ def histogram(vectors: DataFrame, queries: DataFrame, bins: int, metric: str = "
 
     parts = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(
         body, "qid long, pid int, counts array<bigint>")
-    salts = _num_salts(vectors)
+    salts = SALTS
 
     def agg():
         zero = F.array_repeat(F.lit(0).cast("long"), F.lit(bins))
@@ -543,7 +588,7 @@ def pairs_within(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr", m
                 rows = slice(a, min(q, a + step))
                 D = _approx(metric, Q_[rows], qn2[rows], X, xn2)
                 t = T_[rows][:, None]
-                cand = D <= t + 1e-6 * (1.0 + np.abs(t))
+                cand = D <= t + _slack(metric, D, qn2[rows], xn2)
                 if exclude_self:
                     cand &= ~_self_mask(qids_, ids, rows)
                 rr, cc = np.nonzero(cand)

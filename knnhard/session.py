@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, partitions: int = 8, app: str = "knnhard") -> SparkSession:
@@ -59,3 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` once below the shared checkpoint folder and return the table read back: what reads it
+    more than once does not compute it again, and a lost executor does not lose it."""
+    spark = df.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/knnhard-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

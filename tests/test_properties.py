@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF
+from knnhard.operators import distance as D
+from knnhard.operators import hardness as H
 
 
 def _np_vectors(spark):
@@ -231,16 +233,20 @@ def test_kendall_distributed_path_matches(spark):
             assert math.isclose(got, want, rel_tol=1e-12, abs_tol=1e-12)
 
 
-def test_ground_truth_plans_agree(spark):
-    from knnhard.operators import hardness as H
+def test_ground_truth_against_numpy(spark):
+    """Lists and bins of every query, also when most tasks hold no row."""
     from knnhard.plans import fixtures as fx
 
     v, q = fx.vectors(spark, SF), fx.queries(spark, SF).where("qid < 25")
-    a = H.ground_truth(v, q, maxk=40, exclude_self=True, bins=50, max_list_rows=10 ** 9).toPandas().set_index("qid")
-    b = H.ground_truth(v, q, maxk=40, exclude_self=True, bins=50, max_list_rows=0).toPandas().set_index("qid")
-    for qid in a.index:
-        assert list(a.loc[qid, "topk"]) == list(b.loc[qid, "topk"])
-        assert list(a.loc[qid, "hist_counts"]) == list(b.loc[qid, "hist_counts"])
+    X = {r["id"]: np.array(r["v"], dtype=float) for r in v.collect()}
+    for parts in (2, 150):
+        got = H.ground_truth(v.repartition(parts), q, maxk=40, exclude_self=True, bins=50).collect()
+        assert len(got) == 25
+        for r in got:
+            d = np.sort([np.sqrt(((x - X[r["qid"]]) ** 2).sum()) for i, x in X.items() if i != r["qid"]])
+            assert np.allclose(r["topk"], d[:40], rtol=1e-12)
+            assert sum(r["hist_counts"]) == len(d)
+            assert np.abs(np.cumsum(r["hist_counts"]) - np.searchsorted(d, r["hist_edges"][1:], "right")).max() <= 1
 
 
 def test_ivf_search_plan_has_no_vector_shuffle_join(spark):
@@ -367,3 +373,52 @@ def test_descriptor(name, want):
     from knnhard.sources.vecfile import parse_name
 
     assert parse_name(name) == want
+
+
+def test_copies_of_a_vector_go_by_id(spark):
+    """More copies at one distance than the list is long: the smaller ids stay, whatever the batches."""
+    rows = [(i, [1.0, 0.5, 0.25] if i % 2 else [float(i), 3.0, 1.0]) for i in range(400)][::-1]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    q = spark.createDataFrame([(1, [1.1, 0.5, 0.25]), (2, [1.0, 0.5, 0.25])], "qid long, qv array<double>")
+    for parts in (1, 7, 600):
+        got = D.knn(v.repartition(parts), q, 5).orderBy("qid", "rank").collect()
+        assert [r.id for r in got] == [1, 3, 5, 7, 9] * 2
+
+
+def test_far_off_data_is_measured_exactly(spark):
+    """Vectors far from the origin lose digits in the matrix product; thresholds, lists and bins do not."""
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(300, 6)) + 1e6
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    q = spark.createDataFrame([(1000, (X[7] + 0.1).tolist())], "qid long, qv array<double>")
+    d = np.sqrt(((X - (X[7] + 0.1)) ** 2).sum(1))
+    got = D.knn(v, q, 10).orderBy("rank").collect()
+    assert [r.id for r in got] == np.argsort(d, kind="stable")[:10].tolist()
+    near = D.range_join(v, q.selectExpr("*", f"{float(np.sort(d)[20])!r} AS r"), "r")
+    assert near.count() in (20, 21)
+    gt = H.ground_truth(v, q, maxk=50, bins=20).first()
+    assert np.allclose(gt["topk"], np.sort(d)[:50])
+    assert list(gt["hist_counts"]) == np.histogram(d, bins=np.array(gt["hist_edges"]))[0].tolist()
+
+
+def test_seeded_search_and_radius_graph(spark):
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(60, 3))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>")
+    q = spark.createDataFrame([(i, X[i].tolist()) for i in (3, 9)], "qid long, qv array<double>")
+    seeds = D.knn(v, q, 4, exclude_self=True).where("rank = 4").selectExpr("qid", "d AS bsf")
+    assert D.seeded_knn(v, q, seeds, 10, exclude_self=True).groupBy("qid").count().collect()[0]["count"] == 3
+    e = D.neighbour_graph(v, q, 3, mode="radius", exclude_self=True).toPandas()
+    dist = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    for qi in (3, 9):
+        ds = dist[qi].copy()
+        ds[qi] = np.inf
+        hop1 = np.argsort(ds, kind="stable")[:3]
+        r = ds[hop1[-1]]
+        want = {(-1, int(i)) for i in hop1}
+        for i in hop1:
+            fan = [j for j in range(60) if j != i and dist[i, j] <= r]
+            want |= {tuple(sorted((int(i), j))) for j in fan if j not in hop1}
+            want |= {(a, b) for a in fan for b in fan if a < b}
+        mine = e[e.qid == qi]
+        assert set(zip(mine.src, mine.dst)) == want
