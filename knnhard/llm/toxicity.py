@@ -60,7 +60,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit from ``labels`` (id, y in 0/1) on at most ``per_class`` rows of each class (the documented bound)."""
     names = tuple(n.encode() for group in terms.values() for n in group)
     return textmodel.train(docs, labels, id_col, text_col, with_style=False, per_class=per_class, l2=1e-3, forced=names,
-                           balance=0.5, make_pairs=lambda t: counterfactuals(t, terms), pair_weight=pair_weight)
+                           balance=1.0, make_pairs=lambda t: counterfactuals(t, terms), pair_weight=pair_weight)
 
 
 def score(docs: DataFrame, model: textmodel.TextModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
