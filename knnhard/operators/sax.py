@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from knnhard.functions import vec
 from knnhard.operators.quantiles import exact_quantiles
+from knnhard.session import keep
 
 CARD_BITS = 8
+# bytes of probe keys sent to every task
+_PROBE_BYTES = 128 * 1024 * 1024
 
 
 def _shl(c, n):
@@ -181,66 +184,73 @@ def _split_choice_distribution(w: int, bps: list[list[float]]) -> Column:
     return F.array_min(ok).getField("i")
 
 
+def words(summary: DataFrame, w: int, policy: str = "next_bit") -> DataFrame:
+    """Distinct SAX words with their numbers of series (and the sums of their PAA, which the
+    distribution policy needs) and the root bucket: splitting needs no more of the series."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if policy != "next_bit":
+        for i in range(w):
+            x = F.element_at("paa", i + 1)
+            aggs += [F.sum(x).alias(f"wx{i}"), F.sum(x * x).alias(f"wxx{i}")]
+    return (summary.groupBy("sax").agg(*aggs).withColumn("bits", F.array_repeat(F.lit(1), w))
+            .withColumn("prefix", prefix_expr("sax", "bits")))
+
+
 def _node_stats(state: DataFrame, w: int, policy: str) -> DataFrame:
-    aggs = [F.count(F.lit(1)).alias("size")]
+    aggs = [F.sum("n").alias("size")]
     for i in range(w):
         b = F.element_at("bits", i + 1)
         s = F.element_at("sax", i + 1)
         if policy == "next_bit":
             nb = F.when(b < CARD_BITS, _shr(s, F.lit(CARD_BITS - 1) - b).bitwiseAND(1)).otherwise(0)
-            aggs.append(F.sum(nb).alias(f"ones{i}"))
+            aggs.append(F.sum(nb * F.col("n")).alias(f"ones{i}"))
         else:
-            x = F.element_at("paa", i + 1)
-            aggs += [F.sum(x).alias(f"sx{i}"), F.sum(x * x).alias(f"sxx{i}")]
+            aggs += [F.sum(f"wx{i}").alias(f"sx{i}"), F.sum(f"wxx{i}").alias(f"sxx{i}")]
     return state.groupBy("bits", "prefix").agg(*aggs)
 
 
 def split_level(state: DataFrame, w: int, leaf_size: int, policy: str = "next_bit",
-                bps: list[list[float]] | None = None, broadcast_limit: int = 2_000_000):
-    """One level: every bucket with more than ``leaf_size`` series and a
-    segment left to refine gets one more bit in the chosen segment.
-
-    Returns ``(new_state, n_split)``. The decision table has one row per
-    split bucket; it is broadcast when its size is checked to be bounded,
-    else joined by a shuffle (AQE splits a skewed bucket's partition).
-    """
+                bps: list[list[float]] | None = None) -> DataFrame:
+    """One level over ``words``: every bucket with more than ``leaf_size`` series and a segment left to
+    refine gets one more bit in the chosen segment. Adds ``moved``: whether the word's bucket was split."""
     st = _node_stats(state, w, policy)
     over = st.where((F.col("size") > leaf_size) & F.exists("bits", lambda b: b < CARD_BITS))
     choice = _split_choice_next_bit(w) if policy == "next_bit" else _split_choice_distribution(w, bps or breakpoints_fixed(w))
     dec = over.select("bits", "prefix", choice.alias("split_seg")).where(F.col("split_seg").isNotNull())
-    n_split = dec.count()
-    if n_split == 0:
-        return state, 0
-    dj = F.broadcast(dec) if n_split <= broadcast_limit else dec
-    j = state.join(dj, ["bits", "prefix"], "left")
+    j = state.join(dec, ["bits", "prefix"], "left")
     nb = F.transform("bits", lambda b, i: F.when(F.col("split_seg") == i, b + 1).otherwise(b))
-    j = j.withColumn("bits", nb).drop("split_seg")
-    return j.withColumn("prefix", prefix_expr("sax", "bits")), n_split
+    j = j.withColumn("moved", F.col("split_seg").isNotNull()).withColumn("bits", nb).drop("split_seg")
+    return j.withColumn("prefix", prefix_expr("sax", "bits"))
+
+
+def split_words(summary: DataFrame, w: int, leaf_size: int, policy: str = "next_bit",
+                bps: list[list[float]] | None = None, max_levels: int | None = None) -> DataFrame:
+    """Adaptive buckets of the distinct words, ``(sax, bits, prefix)`` (F8/F9): start from the root
+    buckets (1 bit per segment) and split level by level until no bucket is over-full or
+    splittable (a bucket whose rows agree on all bits stays over-full, Q25).
+
+    A level is one written table (which cuts the lineage) of the words whose bucket was split
+    at the level before; words that come to rest are not read again.
+    """
+    levels = max_levels if max_levels is not None else w * (CARD_BITS - 1)
+    rest, live = None, keep(words(summary, w, policy))
+    for _ in range(levels):
+        now = keep(split_level(live, w, leaf_size, policy, bps))
+        still = now.where("NOT moved").select("sax", "bits", "prefix")
+        rest = still if rest is None else rest.unionByName(still)
+        live = now.where("moved").drop("moved")
+        if live.isEmpty():
+            return rest
+    last = live.select("sax", "bits", "prefix")
+    return last if rest is None else rest.unionByName(last)
 
 
 def build_leaves(summary: DataFrame, w: int, leaf_size: int, policy: str = "next_bit",
                  bps: list[list[float]] | None = None, max_levels: int | None = None,
                  ) -> DataFrame:
-    """Adaptive buckets (F8/F9): start from the root buckets (1 bit per
-    segment) and split level by level until no bucket is over-full or
-    splittable (a bucket whose rows agree on all bits stays over-full, Q25).
-    The small state (id, sax, paa, bits, prefix) is checkpointed to the
-    shared checkpoint folder every level to cut lineage."""
-    state = (summary.select("id", "sax", "paa")
-             .withColumn("bits", F.array_repeat(F.lit(1), w))
-             .withColumn("prefix", prefix_expr("sax", "bits")))
-    levels = max_levels if max_levels is not None else w * (CARD_BITS - 1)
-    if levels > 1:
-        # the loop re-reads the state once per level: materialise it in the
-        # shared checkpoint folder (survives executor loss, cuts lineage)
-        state = state.checkpoint(eager=True)
-    for lvl in range(levels):
-        state, n = split_level(state, w, leaf_size, policy, bps)
-        if n == 0:
-            break
-        if levels > 1:
-            state = state.checkpoint(eager=True)
-    return state.select("id", "bits", "prefix", bucket_name().alias("bucket"))
+    """The bucket of every series ``(id, bits, prefix, bucket)``: the series' words meet the split words once."""
+    leaf = keep(split_words(summary, w, leaf_size, policy, bps, max_levels))
+    return summary.select("id", "sax").join(leaf, "sax").select("id", "bits", "prefix", bucket_name().alias("bucket"))
 
 
 def bucket_stats(leaves: DataFrame) -> DataFrame:
@@ -389,97 +399,77 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     is the best-so-far. Phase 2: only buckets and series with lower bound
     below it are compared. ``lower_bounding=False`` compares every series (F15).
     """
-    from knnhard.operators.distance import check_query_side
-
-    check_query_side(queries)  # the query side is broadcast below
-    bps = bps or breakpoints_fixed(w)
-    # both are read by several branches below; materialise them once
-    # per-series cell bounds (8-bit cells) computed once per series, not per pair
-    full8 = F.array_repeat(F.lit(CARD_BITS), w)
-    summary = summary.select("id", "v", "sax", "paa", cell_bounds_expr(full8, F.col("sax"), bps).alias("cb")).checkpoint(eager=True)
-    leaves = leaves.select("id", "bits", "prefix", "bucket").checkpoint(eager=True)
-    length = summary.select(F.size("v")).first()[0]
-    seglens = segment_lengths(length, w)
-    n_total = summary.count()
-    q = queries.select("qid", "qv", paa_expr("qv", w).alias("qpaa"))
-    bt = bucket_table(leaves)
-    if tight:
-        # tight bucket summary (F11a): the PAA envelope lies inside the SAX
-        # cell, so its bound is valid and never looser
-        env = (summary.select("id", "paa").join(leaves.select("id", "bucket"), "id")
-               .groupBy("bucket").agg(*[F.min(F.element_at("paa", i + 1)).alias(f"lo{i}") for i in range(w)],
-                                      *[F.max(F.element_at("paa", i + 1)).alias(f"hi{i}") for i in range(w)]))
-        bt = bt.join(env.select("bucket", F.array(*[f"lo{i}" for i in range(w)]).alias("elo"),
-                                F.array(*[f"hi{i}" for i in range(w)]).alias("ehi")), "bucket")
-        blb = envelope_lb_expr(F.col("qpaa"), F.col("elo"), F.col("ehi"), seglens)
-    else:
-        blb = cell_lb_expr(F.col("qpaa"), F.col("bits"), F.col("prefix"), seglens, bps)
-    qb = (bt.join(F.broadcast(q.select("qid", "qpaa")), F.lit(True))
-          .select("qid", "bucket", "size", F.sqrt(blb).alias("blb")))
-    # (query, bucket) bounds: q x buckets rows, read by both phases
-    qb = qb.persist()
-    seed_b = _seed_buckets(qb, k + 1 if exclude_self else k)  # the query itself may be among them
-    data = summary.select("id", "v", "cb").join(leaves.select("id", "bucket"), "id")
-
-    qsmall = F.broadcast(q.select("qid", "qv"))  # size-checked query side
-
-    def dist_pairs(pairs_qb: DataFrame) -> DataFrame:
-        # (query, bucket) probe keys (two longs/strings per row, no vectors)
-        # are broadcast when their count is bounded, else joined by a
-        # shuffle on the bucket (AQE splits skewed buckets); the query
-        # vectors join afterwards from the small broadcast query side
-        small = pairs_qb.count() <= 4_000_000
-        j = data.join(F.broadcast(pairs_qb) if small else pairs_qb, "bucket").join(qsmall, "qid")
-        if exclude_self:
-            j = j.where(F.col("qid") != F.col("id"))
-        return j
-
-    p1 = dist_pairs(seed_b).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
+    data, q, qb, seed_b, seglens = _search_side(summary, leaves, queries, k, w, bps, exclude_self, tight)
     w1 = Window.partitionBy("qid").orderBy("d", "id")
-    bsf = (p1.withColumn("r", F.row_number().over(w1)).where(F.col("r") == k)
-           .select("qid", F.col("d").alias("bsf"))).persist()  # q rows
+    p1 = _probed(data, q, seed_b, exclude_self).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
+    bsf = keep(p1.withColumn("r", F.row_number().over(w1)).where(F.col("r") == k).select("qid", F.col("d").alias("bsf")))  # q rows
     if lower_bounding:
-        cand_b = qb.join(bsf, "qid", "left").where(F.col("bsf").isNull() | (F.col("blb") < F.col("bsf")))
-        cand_b = cand_b.select("qid", "bucket", "bsf")
-        c2 = dist_pairs(cand_b.select("qid", "bucket")).join(q.select("qid", "qpaa"), "qid").join(bsf, "qid", "left")
+        cand_b = qb.join(bsf, "qid", "left").where(F.col("bsf").isNull() | (F.col("blb") < F.col("bsf"))).select("qid", "bucket")
+        # what phase 1 compared is bounded once more, but not compared again
+        cand_b = cand_b.join(seed_b.withColumn("seen", F.lit(True)), ["qid", "bucket"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+        c2 = _probed(data, q, cand_b, exclude_self).join(bsf, "qid", "left")
         c2 = c2.withColumn("slb", F.sqrt(envelope_lb_expr(F.col("qpaa"), F.col("cb.lo"), F.col("cb.hi"), seglens)))
         n_lb = c2.groupBy("qid").agg(F.count(F.lit(1)).alias("n_lb"))
-        p2 = c2.where(F.col("bsf").isNull() | (F.col("slb") < F.col("bsf"))).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
+        p2 = c2.where(~F.col("seen") & (F.col("bsf").isNull() | (F.col("slb") < F.col("bsf"))))
         entered = seed_b.unionByName(cand_b.select("qid", "bucket")).distinct().groupBy("qid").agg(
             F.count(F.lit(1)).alias("n_buckets"))
     else:
         allq = qb.select("qid", "bucket")
-        p2 = dist_pairs(allq).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
+        p2 = _probed(data, q, allq.join(seed_b, ["qid", "bucket"], "left_anti"), exclude_self)
         n_lb = q.select("qid", F.lit(0).cast("long").alias("n_lb"))
         entered = allq.groupBy("qid").agg(F.count(F.lit(1)).alias("n_buckets"))
-    comp = p1.unionByName(p2).dropDuplicates(["qid", "id"])
+    comp = p1.unionByName(p2.select("qid", "id", vec.euclidean("qv", "v").alias("d")))
     ans = comp.withColumn("rank", F.row_number().over(w1)).where(F.col("rank") <= k).select("qid", "rank", "id", "d")
-    n = n_total - (1 if exclude_self else 0)
+    n = data.count() - (1 if exclude_self else 0)
     nd = comp.groupBy("qid").agg(F.count(F.lit(1)).alias("n_dist"))
     counters = (entered.join(n_lb, "qid", "left").join(nd, "qid", "left").join(bsf, "qid", "left")
                 .fillna(0, ["n_lb"]).withColumn("hardness", F.col("n_dist") / F.lit(float(n))))
     return ans, counters
 
 
-def sax_approx(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int, w: int,
-               bps: list[list[float]] | None = None, exclude_self: bool = False) -> DataFrame:
-    """Approximate answer from the nearest bucket(s) only (F14): ``(qid, rank, id, d)``."""
+def _search_side(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int, w: int,
+                 bps: list[list[float]] | None, exclude_self: bool, tight: bool = True):
+    """What a search reads: ``data(id, v, cb, bucket)`` (the series meet their buckets once, in a written table),
+    ``q(qid, qv, qpaa)``, the bounds ``qb(qid, bucket, size, blb)`` and the seed buckets of every query."""
     from knnhard.operators.distance import check_query_side
 
     check_query_side(queries)  # the query side is broadcast below
     bps = bps or breakpoints_fixed(w)
-    length = summary.select(F.size("v")).first()[0]
-    seglens = segment_lengths(length, w)
-    q = queries.select("qid", "qv", paa_expr("qv", w).alias("qpaa"))
-    bt = bucket_table(leaves)
-    qb = (bt.join(F.broadcast(q.select("qid", "qpaa")), F.lit(True))
-          .select("qid", "bucket", "size", cell_lb_expr(F.col("qpaa"), F.col("bits"), F.col("prefix"), seglens, bps).alias("blb")))
-    seed_b = _seed_buckets(qb, k + 1 if exclude_self else k)  # the query itself may be among them
-    data = summary.select("id", "v").join(leaves.select("id", "bucket"), "id")
-    j = data.join(F.broadcast(seed_b.join(q.select("qid", "qv"), "qid")), "bucket")
-    if exclude_self:
-        j = j.where(F.col("qid") != F.col("id"))
-    p = j.select("qid", "id", vec.euclidean("qv", "v").alias("d"))
+    # per-series cell bounds (8-bit cells) computed once per series, not per pair
+    full8 = F.array_repeat(F.lit(CARD_BITS), w)
+    cells = summary.select("id", "v", "paa", cell_bounds_expr(full8, F.col("sax"), bps).alias("cb"))
+    data = keep(cells.join(leaves.select("id", "bits", "prefix", "bucket"), "id"))
+    first = data.select(F.size("v")).first()
+    seglens = segment_lengths(first[0] if first else 0, w)
+    q = keep(queries.select("qid", "qv", paa_expr("qv", w).alias("qpaa")))
+    sides = [F.array(*[f(F.element_at("paa", i + 1)) for i in range(w)]).alias(name) for name, f in (("elo", F.min), ("ehi", F.max))]
+    bt = data.groupBy("bucket", "bits", "prefix").agg(F.count(F.lit(1)).alias("size"), *sides)
+    if tight:
+        # tight bucket summary (F11a): the PAA envelope lies inside the SAX
+        # cell, so its bound is valid and never looser
+        blb = envelope_lb_expr(F.col("qpaa"), F.col("elo"), F.col("ehi"), seglens)
+    else:
+        blb = cell_lb_expr(F.col("qpaa"), F.col("bits"), F.col("prefix"), seglens, bps)
+    # (query, bucket) bounds: q x buckets rows, read by both phases
+    qb = keep(bt.join(F.broadcast(q.select("qid", "qpaa")), F.lit(True)).select("qid", "bucket", "size", F.sqrt(blb).alias("blb")))
+    seed_b = keep(_seed_buckets(qb, k + 1 if exclude_self else k))  # the query itself may be among them
+    return data.select("id", "v", "cb", "bucket"), q, qb, seed_b, seglens
+
+
+def _probed(data: DataFrame, q: DataFrame, probes: DataFrame, exclude_self: bool) -> DataFrame:
+    """Series of the probed buckets with their queries. The probe keys (no vectors) are broadcast when
+    their bytes are bounded, else joined by a shuffle on the bucket (AQE splits skewed buckets); the
+    query vectors join afterwards from the size-checked query side."""
+    size = probes.agg(F.sum(F.octet_length("bucket") + 64)).first()[0] or 0
+    j = data.join(F.broadcast(probes) if size <= _PROBE_BYTES else probes, "bucket").join(F.broadcast(q), "qid")
+    return j.where(F.col("qid") != F.col("id")) if exclude_self else j
+
+
+def sax_approx(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int, w: int,
+               bps: list[list[float]] | None = None, exclude_self: bool = False) -> DataFrame:
+    """Approximate answer from the nearest bucket(s) only (F14): ``(qid, rank, id, d)``."""
+    data, q, _, seed_b, _ = _search_side(summary, leaves, queries, k, w, bps, exclude_self)
+    p = _probed(data, q, seed_b, exclude_self).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
     w1 = Window.partitionBy("qid").orderBy("d", "id")
     return p.withColumn("rank", F.row_number().over(w1)).where(F.col("rank") <= k).select("qid", "rank", "id", "d")
 
