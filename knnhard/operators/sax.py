@@ -438,12 +438,14 @@ def _search_side(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: i
     # per-series cell bounds (8-bit cells) computed once per series, not per pair
     full8 = F.array_repeat(F.lit(CARD_BITS), w)
     cells = summary.select("id", "v", "paa", cell_bounds_expr(full8, F.col("sax"), bps).alias("cb"))
-    data = keep(cells.join(leaves.select("id", "bits", "prefix", "bucket"), "id"))
+    # as many parts as a shuffle has: a pair costs far more than a row, so small tables are spread as well
+    tasks = int(summary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = keep(cells.join(leaves.select("id", "bits", "prefix", "bucket"), "id").repartition(tasks, "id"))
     first = data.select(F.size("v")).first()
     seglens = segment_lengths(first[0] if first else 0, w)
     q = keep(queries.select("qid", "qv", paa_expr("qv", w).alias("qpaa")))
     sides = [F.array(*[f(F.element_at("paa", i + 1)) for i in range(w)]).alias(name) for name, f in (("elo", F.min), ("ehi", F.max))]
-    bt = data.groupBy("bucket", "bits", "prefix").agg(F.count(F.lit(1)).alias("size"), *sides)
+    bt = data.groupBy("bucket", "bits", "prefix").agg(F.count(F.lit(1)).alias("size"), *sides).repartition(tasks, "bucket")
     if tight:
         # tight bucket summary (F11a): the PAA envelope lies inside the SAX
         # cell, so its bound is valid and never looser
