@@ -19,13 +19,14 @@ import math
 import time
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knnhard.functions import rand, vec
 from knnhard.operators import hardness as H
 from knnhard.operators import scan
 from knnhard.operators import vectors as vops
+from knnhard.session import keep
 
 # Target-RC factors per class, (r - 1) * factor + 1
 CLASS_FACTORS = {
@@ -232,11 +233,13 @@ def temperature(t1: float, step) -> Column:
 
 
 def anneal_step(vectors: DataFrame, state: DataFrame, k: int, low: float, high: float, scale: float, step: int,
-                seed: int = 1234, t1: float = 1.0, metric: str = "euclidean", exclude_self: bool = False) -> DataFrame:
+                seed: int = 1234, t1: float = 1.0, metric: str = "euclidean", exclude_self: bool = False,
+                score_fn=None) -> DataFrame:
     """One annealing step for every query of the batch (G5):
-    ``state(qid, qv, y)`` with ``y = -ln RC`` -> ``(qid, y, y_next, decision, qv_next)``."""
+    ``state(qid, qv, y)`` with ``y = -ln RC`` (or the score of ``score_fn``) -> ``(qid, y, y_next, decision, qv_next)``."""
     cand = perturb(state.select("qid", "qv"), metric, scale, seed, step)
-    sc = rc_scores(vectors, cand, k, metric, exclude_self).select("qid", F.col("score").alias("y_next"))
+    scored = rc_scores(vectors, cand, k, metric, exclude_self) if score_fn is None else score_fn(cand)
+    sc = scored.select("qid", F.col("score").alias("y_next"))
     u = rand.uniform(seed, "metropolis", F.concat_ws(":", F.col("qid").cast("string"), F.lit(str(step))), 0)
     j = state.select("qid", "y").join(sc, "qid").join(cand.select("qid", F.col("qv").alias("qv_next")), "qid")
     return j.select("qid", "y", "y_next", anneal_accept(F.col("y"), F.col("y_next"), low, high,
@@ -318,20 +321,24 @@ def _post_col(c, metric) -> Column:
 
 def anneal_search(vectors: DataFrame, starts: DataFrame, k: int, low: float, high: float, scale: float,
                   max_steps: int = 100, t1: float = 1.0, metric: str = "euclidean", seed: int = 1234,
-                  exclude_self: bool = False):
+                  exclude_self: bool = False, score_fn=None):
     """Simulated annealing towards the score interval [low, high] of
-    ``-ln RC`` (G5, G6, G14). Returns ``(final, trace)``; ``reached`` is
+    ``-ln RC``, or of ``score_fn(cands) -> (qid, score)`` (G5, G6, G14); ``rc`` is NULL for the latter. Returns ``(final, trace)``; ``reached`` is
     False for queries that did not enter the interval (Q17), ``best_score``
     is kept beside the reference's "last closer" point (Q18)."""
     spark = vectors.sparkSession
     vectors = vectors.persist()
     qids, X = _collect_matrix(starts.select("qid", vec.dvec("qv").alias("qv")))
     cur = _frame(spark, qids, X)
-    y = rc_scores(vectors, cur, k, metric, exclude_self).toPandas().set_index("qid").loc[qids]["score"].to_numpy(float)
+    y = (rc_scores(vectors, cur, k, metric, exclude_self) if score_fn is None else score_fn(cur)).toPandas().set_index("qid").loc[qids]["score"].to_numpy(float)
     best_x, best_y, best_score = X.copy(), y.copy(), y.copy()
     stale = np.zeros(len(qids), dtype=np.int64)
     reached = (y >= low) & (y <= high)
     threshold = max(max_steps // 100, 10)
+
+    def rc_of(score: float) -> float | None:
+        return float(math.exp(-score)) if score_fn is None else None
+
     trace = []
     t0 = time.time()
     for step in range(max_steps):
@@ -341,10 +348,10 @@ def anneal_search(vectors: DataFrame, starts: DataFrame, k: int, low: float, hig
         back = idx[stale[idx] >= threshold]
         X[back], y[back], stale[back] = best_x[back], best_y[back], 0
         el = time.time() - t0
-        trace.extend((step, float(math.exp(-y[r])), float(y[r]), el, int(qids[r])) for r in idx)
+        trace.extend((step, rc_of(y[r]), float(y[r]), el, int(qids[r])) for r in idx)
         st = spark.createDataFrame([(int(qids[r]), [float(v) for v in X[r]], float(y[r])) for r in idx],
                                    "qid long, qv array<double>, y double")
-        res = anneal_step(vectors, st, k, low, high, scale, step, seed, t1, metric, exclude_self).toPandas()
+        res = anneal_step(vectors, st, k, low, high, scale, step, seed, t1, metric, exclude_self, score_fn).toPandas()
         res = res.set_index("qid").loc[qids[idx]]
         dec = res["decision"].to_numpy()
         yn = res["y_next"].to_numpy(float)
@@ -362,7 +369,7 @@ def anneal_search(vectors: DataFrame, starts: DataFrame, k: int, low: float, hig
                 stale[r] += 1
     vectors.unpersist()
     final = spark.createDataFrame(
-        [(int(q), [float(v) for v in x], float(math.exp(-s)), float(s), bool(b), float(bs))
+        [(int(q), [float(v) for v in x], rc_of(s), float(s), bool(b), float(bs))
          for q, x, s, b, bs in zip(qids, X, y, reached, best_score)],
         "qid long, qv array<double>, rc double, score double, reached boolean, best_score double")
     return final, spark.createDataFrame(trace, "iteration long, rc double, score double, elapsed_s double, qid long")
@@ -388,29 +395,42 @@ def _avg_rc(vectors, k, metric):
     return H.average_rc(vectors, k, metric=metric).first()["avg_rc"]
 
 
-def gradient_workload(vectors: DataFrame, k: int, target_class: str, q: int, lr: float = 1.0, max_steps: int = 200,
+def gradient_workload(vectors: DataFrame, k: int, target_class: str, q: int, lr: float = 1.0, max_steps: int = 1000,
                       seed: int = 1234, metric: str = "euclidean"):
     """Gradient workload by class (G11): RC interval from the average RC."""
     low, high = target_interval(_avg_rc(vectors, k, metric), metric, target_class)
     return gradient_search(vectors, start_points(vectors, q, seed), k, low, high, lr, max_steps, metric, seed)
 
 
-def anneal_workload(vectors: DataFrame, k: int, target_class: str, q: int, max_steps: int = 100, t1: float = 1.0,
-                    seed: int = 1234, metric: str = "euclidean", scale: float | None = None, max_rounds: int = 3):
-    """Annealing workload by class with rounds (G7, G13): the score interval
-    is ``-ln`` of the RC interval; queries that did not reach it are
+def anneal_starts(vectors: DataFrame, q: int, seed: int, first: int = 0) -> DataFrame:
+    """Start rows of an annealing round: q different rows, numbered from ``first`` in the order of their digest."""
+    picked = vops.sample_without(vectors, q, seed)
+    w = Window.orderBy(rand.hash_order(seed, F.col("id")), "id")  # q rows only
+    return picked.select((F.row_number().over(w) - 1 + first).cast("long").alias("qid"), F.col("v").alias("qv"))
+
+
+def anneal_workload(vectors: DataFrame, k: int, target_class: str | None, q: int, max_steps: int = 2000, t1: float = 1.0,
+                    seed: int = 1234, metric: str = "euclidean", scale: float | None = None, max_rounds: int | str = 3,
+                    score_fn=None, interval: tuple[float, float] | None = None):
+    """Annealing workload with rounds (G7, G13): the score interval is ``-ln`` of the class's RC interval, or
+    ``interval`` as it stands for a ``score_fn`` (``index_score``). Queries that did not reach it are
     regenerated from new starts; when fewer than half succeed, the scale
-    grows (x10, angular +0.1). Failures stay as rows with ``reached=False``."""
-    low_rc, high_rc = target_interval(_avg_rc(vectors, k, metric), metric, target_class)
-    low, high = -math.log(high_rc), -math.log(low_rc)
+    grows (x10, angular +0.1). Failures stay as rows with ``reached=False``. ``max_rounds='return-any'`` is one
+    round of which every query is returned."""
+    if score_fn is not None:
+        if interval is None:
+            raise ValueError("a score function needs its interval")
+        low, high = interval
+    else:
+        low_rc, high_rc = interval or target_interval(_avg_rc(vectors, k, metric), metric, target_class)
+        low, high = -math.log(high_rc), -math.log(low_rc)
+    max_rounds = 1 if max_rounds == "return-any" else max_rounds
     if scale is None:
         scale = 0.1 if metric == "angular" else H.diameter(vectors, metric).first()["diameter"] / 100
     done, trace_all, need = None, None, q
     for rnd in range(max_rounds):
-        starts = start_points(vectors, need, seed + rnd)
-        fin, tr = anneal_search(vectors, starts, k, low, high, scale, max_steps, t1, metric, seed + rnd)
-        first_id = F.lit(rnd * q)  # every round numbers its starts from 0
-        fin, tr = fin.withColumn("qid", F.col("qid") + first_id), tr.withColumn("qid", F.col("qid") + first_id)
+        starts = anneal_starts(vectors, need, seed + rnd, rnd * q)  # ids stay apart over the rounds
+        fin, tr = anneal_search(vectors, starts, k, low, high, scale, max_steps, t1, metric, seed + rnd, score_fn=score_fn)
         fin = fin.withColumn("round", F.lit(rnd))
         ok = fin.where("reached")
         done = ok if done is None else done.unionByName(ok)
@@ -426,29 +446,71 @@ def anneal_workload(vectors: DataFrame, k: int, target_class: str, q: int, max_s
     return done, trace_all
 
 
-def empirical_workload(vectors: DataFrame, k: int, low: float, high: float, q: int, index, lr: float = 1.0,
-                       max_steps: int = 100, seed: int = 1234, metric: str = "euclidean", target_recall: float = 0.95):
-    """Gradient search steered by IVF empirical hardness in [low, high]."""
-    from knnhard.operators import ivf
-
-    centroids, assignment = index
+def index_score(vectors: DataFrame, index, k: int, metric: str = "euclidean", target_recall: float = 0.95):
+    """Score of candidate queries by an index's empirical hardness, ``cands -> (qid, score)`` (G12, G13):
+    ``index`` is IVF's ``(centroids, assignment)`` or SAX's ``(summary, leaves, segments)``."""
+    from knnhard.operators import ivf, sax
 
-    def score_fn(cur: DataFrame) -> DataFrame:
-        h = ivf.hardness(vectors, cur, centroids, assignment, k, target_recall, metric)
+    def by_ivf(cur: DataFrame) -> DataFrame:
+        h = ivf.hardness(vectors, cur, index[0], index[1], k, target_recall, metric)
         return h.select("qid", F.col("distcomp").alias("score"))
-    return gradient_search(vectors, start_points(vectors, q, seed), k, low, high, lr, max_steps, metric, seed, score_fn=score_fn)
+
+    def by_sax(cur: DataFrame) -> DataFrame:
+        _, counters = sax.sax_search(index[0], index[1], cur, k, index[2])
+        return counters.select("qid", F.col("hardness").alias("score"))
+
+    return by_ivf if len(index) == 2 else by_sax
 
 
-def dispatch_workload(vectors: DataFrame, config: dict, metric: str = "euclidean"):
-    """Generate the workload of one catalogue row by its type."""
+def build_index(vectors: DataFrame, name: str, metric: str = "euclidean", segments: int = 16, leaf_size: int = 2000):
+    """The index of a catalogue row for ``index_score``, by its name."""
+    from knnhard.operators import ivf, sax
+
+    if name.lower() in ("ivf", "faiss_ivf", "faiss-ivf"):
+        return ivf.build_index(vectors, metric=metric)
+    if name.lower() in ("sax", "messi"):
+        summary = keep(sax.summarise(vectors.select("id", "v"), segments))
+        return summary, keep(sax.build_leaves(summary, segments, leaf_size)), segments
+    raise ValueError(f"no index {name!r}: ivf and sax are built")
+
+
+def empirical_workload(vectors: DataFrame, k: int, low: float, high: float, q: int, index, lr: float = 1.0,
+                       max_steps: int = 1000, seed: int = 1234, metric: str = "euclidean", target_recall: float = 0.95):
+    """Gradient search steered by an index's empirical hardness in [low, high] (G12); ``index`` as in ``index_score``."""
+    return gradient_search(vectors, start_points(vectors, q, seed), k, low, high, lr, max_steps, metric, seed,
+                           score_fn=index_score(vectors, index, k, metric, target_recall))
+
+
+def dispatch_workload(vectors: DataFrame, config: dict, metric: str = "euclidean") -> DataFrame:
+    """Generate the workload of one catalogue row by its type (G16), with the catalogue's step limits unless
+    the row has ``max_steps``. A file-based row names its table of queries by ``queries`` (a frame) or
+    ``queries_filename`` (a vector file)."""
     t = config["workload_type"]
     k, q = int(config.get("k", 10)), int(config.get("num_queries", 10))
     if t == "synthetic-gaussian-noise":
         return noise_scaled(vectors, q, config["scale"], metric=metric)
     if t == "synthetic-sgd":
-        return gradient_workload(vectors, k, config["target_class"], q, metric=metric, max_steps=config.get("max_steps", 50))[0]
-    if t == "synthetic-annealing":
-        return anneal_workload(vectors, k, config["target_class"], q, metric=metric, max_steps=config.get("max_steps", 50))[0]
+        return gradient_workload(vectors, k, config["target_class"], q, metric=metric, max_steps=config.get("max_steps", 1000))[0]
+    if t == "synthetic-simulated-annealing":
+        index = config.get("difficulty", "rc")
+        by_index = {} if index == "rc" else {"score_fn": index_score(vectors, build_index(vectors, index, metric), k, metric),
+                                             "interval": (config["target_low"], config["target_high"])}
+        return anneal_workload(vectors, k, config.get("target_class"), q, metric=metric, max_steps=config.get("max_steps", 2000),
+                               max_rounds="return-any", **by_index)[0]
+    if t == "empirical-difficulty-based":
+        index = build_index(vectors, config["index"], metric)
+        return empirical_workload(vectors, k, config["target_low"], config["target_high"], q, index, lr=0.01,
+                                  max_steps=config.get("max_steps", 1000), metric=metric)[0]
     if t == "file-based":
-        return config["queries"]
+        if config.get("queries") is not None:
+            return config["queries"]
+        from knnhard.sources.tables import load_vectors
+
+        return load_vectors(vectors.sparkSession, config["queries_filename"], "test", metric=metric)[0].select(F.col("id").alias("qid"), F.col("v").alias("qv"))
     raise ValueError(f"unknown workload type {t}")
+
+
+def dispatch_with_truth(vectors: DataFrame, config: dict, metric: str = "euclidean", maxk: int = 10000) -> tuple[DataFrame, DataFrame]:
+    """A catalogue row's workload and its ground truth."""
+    queries = keep(dispatch_workload(vectors, config, metric))
+    return queries, H.ground_truth(vectors, queries.select("qid", "qv"), maxk, metric)

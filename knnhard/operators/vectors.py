@@ -6,10 +6,11 @@ Sampling is hash-seeded (portable, retry-safe) instead of RNG-state based.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knnhard.functions import rand, vec
+from knnhard.session import keep
 
 
 def nan_repair(df: DataFrame, col: str = "v") -> DataFrame:
@@ -91,12 +92,26 @@ def sample_with(df: DataFrame, q: int, seed: int = 1234, key: str = "id", n: int
     Output keeps ``draw`` (0..q-1) so repeated picks stay separate rows."""
     spark = df.sparkSession
     if n is None:
-        n = df.agg(F.max(key) + 1).first()[0] or 0
+        got = df.agg(F.count(key).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+        n = got["n"]
+        if n and (got["lo"], got["hi"]) != (0, n - 1):  # ids with gaps: a draw picks the id of that rank
+            draws = sample_with(_ranks(df, key), q, seed, "_rank").select("draw", key)
+            return draws.join(df, key)
     draws = spark.range(q).select(F.col("id").alias("draw"),
                                   F.floor(rand.uniform(seed, "pick", F.lit(0), F.col("id")) * F.lit(n)).cast("long").alias("_pos"))
     return draws.join(df, draws["_pos"] == df[key]).drop("_pos")
 
 
+def _ranks(df: DataFrame, key: str) -> DataFrame:
+    """``(key, _rank)``: the rank of every id from 0, from sorted ranges and the sizes of the ranges before."""
+    part = keep(df.where(F.col(key).isNotNull()).select(key).repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return part.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").select(
+        key, (own + F.col("_before")).alias("_rank"))
+
+
 def holdout(df: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame:
     """Remove sampled rows from the data before measuring."""
     return df.join(removed.select(key).distinct(), key, "left_anti")

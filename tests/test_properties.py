@@ -422,3 +422,31 @@ def test_seeded_search_and_radius_graph(spark):
             want |= {(a, b) for a in fan for b in fan if a < b}
         mine = e[e.qid == qi]
         assert set(zip(mine.src, mine.dst)) == want
+
+
+def test_draws_from_ids_with_gaps(spark):
+    from knnhard.operators import vectors as V
+
+    df = spark.createDataFrame([(i * 37 + 5, [float(i)]) for i in range(40)], "id long, v array<double>")
+    got = V.sample_with(df, 200, 7).collect()
+    assert sorted(r.draw for r in got) == list(range(200))
+    dense = V.sample_with(df.selectExpr("(id - 5) DIV 37 AS id", "v"), 200, 7).collect()
+    assert {r.draw: r.id for r in got} == {r.draw: r.id * 37 + 5 for r in dense}
+
+
+def test_workloads_by_type_with_truth(spark):
+    from knnhard.operators import generate as G
+    from knnhard.plans import fixtures as fx
+
+    v = fx.vectors(spark, SF)
+    n = v.count()
+    own = v.where("id < 3").selectExpr("id AS qid", "v AS qv")
+    rows = [{"workload_type": "synthetic-simulated-annealing", "difficulty": "rc", "target_class": "easy", "num_queries": 3, "max_steps": 1},
+            {"workload_type": "empirical-difficulty-based", "index": "faiss_ivf", "target_low": 0.1, "target_high": 0.9, "k": 1, "num_queries": 2, "max_steps": 2},
+            {"workload_type": "file-based", "queries": own}]
+    for cfg, want in zip(rows, (3, 2, 3)):
+        q, gt = G.dispatch_with_truth(v, cfg, maxk=20)
+        assert q.select("qid").distinct().count() == q.count() == want
+        assert [len(r.topk) for r in gt.collect()] == [min(20, n)] * want
+    with pytest.raises(ValueError):
+        G.dispatch_workload(v, {"workload_type": "empirical-difficulty-based", "index": "faiss_hnsw", "target_low": 0.1, "target_high": 0.2})
