@@ -31,11 +31,12 @@ SKIPPED = frozenset("script style template noscript iframe svg math canvas objec
 _CLOSED_BY = {"p": BLOCK_TAGS - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
               "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
 _VOID = frozenset({"hr"})
-_TOKEN = re.compile(
-    r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,2000}\"|'[^']{0,2000}'|[\"'])*+)>", re.S)
-_NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+_TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+#: One attribute as HTML reads it: a quote opens a value only after "=" and the value ends at the next such quote,
+#: however far; without one the quote is a character of an unquoted value.
+_ATTR = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))?+)?+""")
+_TAG_END = re.compile(r"[\s/]*+>")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words of notices, menus and adverts.
 _CUES = frozenset("""© accept advert advertisement advertisements comment comments cookie cookies copyright login menu newsletter
@@ -51,16 +52,45 @@ class Block:
     linked: int
 
 
-def _names(attrs: str) -> set[str]:
+def _names(attrs: list[tuple[str, str]]) -> set[str]:
     out: set[str] = set()
-    for m in _NAMED.finditer(attrs):
-        for w in _SPLIT.findall(m[1] or m[2] or m[3] or "")[:8]:
-            out.add("c:" + w.lower())
-    if _HIDDEN.search(attrs):
-        out.add("hidden")
+    for name, value in attrs:
+        if name in ("class", "id", "role"):
+            for w in _SPLIT.findall(value)[:8]:
+                out.add("c:" + w.lower())
+        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower().startswith("true")) or (name == "style" and _HIDDEN.search(value)):
+            out.add("hidden")
     return out
 
 
+def _read_tag(page: str, at: int, end: int, endless: set[int]) -> tuple[int, list[tuple[str, str]]]:
+    """(end, attributes) of the tag whose name ends at ``at``, read attribute by attribute.
+
+    A tag that does not end outside its quoted values ends at the next ">". ``endless`` holds the places of the
+    page from which no end is reached, so that a page is read in linear time.
+    """
+    attrs: list[tuple[str, str]] = []
+    seen = []
+    k = at
+    while k not in endless:
+        done = _TAG_END.match(page, k, end)
+        if done:
+            return done.end(), attrs
+        m = _ATTR.match(page, k, end)
+        if m is None:
+            break
+        seen.append(k)
+        attrs.append((m[1].lower(), m[2] or m[3] or m[4] or ""))
+        k = m.end()
+    endless.update(seen)
+    stop = page.find(">", at, end) + 1 or end
+    k, attrs = at, []
+    while m := _ATTR.match(page, k, stop - 1):
+        attrs.append((m[1].lower(), m[2] or m[3] or m[4] or ""))
+        k = m.end()
+    return stop, attrs
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order; a block without text is none."""
     page = page or ""
@@ -69,6 +99,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
     parts: list[str] = []
     linked, in_link = 0, 0
+    endless: set[int] = set()
 
     def close() -> None:
         nonlocal linked
@@ -97,6 +128,7 @@ def blocks(page: str | None) -> list[Block]:
                 parts.append(html_lib.escape(m[0][9:-3]))
             continue
         name = name.lower()
+        at, attrs = _read_tag(page, at, end, endless)
         if m[1]:
             if name == "a":
                 in_link = 0
@@ -107,7 +139,7 @@ def blocks(page: str | None) -> list[Block]:
                         del stack[i:]
                         break
         elif name in SKIPPED:
-            if not m[3].endswith("/"):
+            if page[at - 2] != "/":
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
                 end = max(end, at)
@@ -121,7 +153,7 @@ def blocks(page: str | None) -> list[Block]:
                 stack.pop()
             if name not in _VOID:
                 above = stack[-1][1]
-                new = {"a:" + name} | (_names(m[3]) if m[3] else set())
+                new = {"a:" + name} | (_names(attrs) if attrs else set())
                 if not new <= above and len(above) < _MAX_NAMES:
                     above = above | new
                 stack.append((name, above))
