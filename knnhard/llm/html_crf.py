@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +41,6 @@ _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words of notices, menus and adverts.
 _CUES = frozenset("""© accept advert advertisement advertisements comment comments cookie cookies copyright login menu newsletter
 privacy related replies reply search share sponsored subscribe terms""".split())
-_MAX_NAMES = 64
 
 
 @dataclass(slots=True)
@@ -56,7 +55,7 @@ def _names(attrs: list[tuple[str, str]]) -> set[str]:
     out: set[str] = set()
     for name, value in attrs:
         if name in ("class", "id", "role"):
-            for w in _SPLIT.findall(value)[:8]:
+            for w in _SPLIT.findall(value):
                 out.add("c:" + w.lower())
         elif name == "hidden" or (name == "aria-hidden" and value.strip().lower().startswith("true")) or (name == "style" and _HIDDEN.search(value)):
             out.add("hidden")
@@ -91,8 +90,12 @@ def _read_tag(page: str, at: int, end: int, endless: set[int]) -> tuple[int, lis
     return stop, attrs
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order; a block without text is none."""
+def blocks(page: str | None, known: Set[str] | None = None, max_marks: int | None = None) -> list[Block]:
+    """Leaf blocks in page order; a block without text is none.
+
+    ``above`` holds all marks of a block's ancestors, or those of them in ``known``; equal sets are one object. A page
+    whose sets and blocks have over ``max_marks`` marks has no blocks (for training pages, whose marks are not known yet).
+    """
     page = page or ""
     end = page.rfind(">") + 1
     out: list[Block] = []
@@ -100,14 +103,17 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked, in_link = 0, 0
     endless: set[int] = set()
+    shared: dict[frozenset[str], frozenset[str]] = {}
+    marks = 0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, marks
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
                 tag, above = stack[-1]
                 out.append(Block(text, tag, above, linked))
+                marks += len(above)
             parts.clear()
         linked = 0
 
@@ -154,9 +160,16 @@ def blocks(page: str | None) -> list[Block]:
             if name not in _VOID:
                 above = stack[-1][1]
                 new = {"a:" + name} | (_names(attrs) if attrs else set())
-                if not new <= above and len(above) < _MAX_NAMES:
+                if known is not None:
+                    new &= known
+                if not new <= above:
                     above = above | new
+                    if above not in shared:
+                        marks += len(above)
+                    above = shared.setdefault(above, above)
                 stack.append((name, above))
+            if max_marks is not None and marks > max_marks:
+                return []
     close()
     return out
 
@@ -403,9 +416,11 @@ def label_by_texts(page: list[Block], main: list[str]) -> list[int] | None:
     return labels if k == len(main) else None
 
 
-def labelled_pages(pages: DataFrame, id_col: str, html_col: str, sampled: int, composed: int, max_chars: int = 200_000) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(pages: DataFrame, id_col: str, html_col: str, sampled: int, composed: int, max_chars: int = 200_000,
+                   max_marks: int = 1_000_000) -> list[tuple[list[Block], list[int]]]:
     """At most ``sampled`` pages of the table that mark their article, by smallest digest of the id, and
-    ``composed`` pages in other layouts made of their texts: the documented bound of the training set."""
+    ``composed`` pages in other layouts made of their texts: the documented bound of the training set. Pages over
+    ``max_chars`` characters, or ``max_marks`` marks in their sets and blocks, are extracted but not learned from."""
     texts = pages.select(col(id_col).cast("string").alias("id"), col(html_col).cast("string").alias("t")).where(
         F.col("id").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= max_chars))
     # the ids first: so that no task sends pages that are not picked; the ids are bounded by ``sampled``
@@ -413,7 +428,7 @@ def labelled_pages(pages: DataFrame, id_col: str, html_col: str, sampled: int, c
     rows = few(texts.join(F.broadcast(ids), "id"), sampled, 0, "id", "t").select("t").collect()
     out, lines, phrases = [], [], []
     for r in rows:
-        page = blocks(r["t"])
+        page = blocks(r["t"], max_marks=max_marks)
         labels = label_by_markup(page)
         if labels is None:
             continue
@@ -437,10 +452,11 @@ def extract(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str
     """One row per input row: id, url, text (main blocks joined by two newlines, empty if none), n_chars.
 
     Null and empty pages, and pages without main text, give the empty text; repeated rows give repeated
-    results; an empty table gives an empty result; broken markup is read as far as it goes. The whole page is read;
-    other columns are not.
+    results; an empty table gives an empty result; broken markup is read as far as it goes. The whole page is read,
+    with every mark the model knows, at any depth; other columns are not.
     """
     rows = pages.select(col(id_col).alias("id"), col(url_col).alias("url"), col(html_col).cast("string").alias("t"))
+    known = frozenset(model.unary)
     kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "url")]
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -449,7 +465,7 @@ def extract(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str
         for b in batches:
             texts = []
             for cell in b.column(2):
-                page = blocks(cell.as_py())
+                page = blocks(cell.as_py(), known)
                 texts.append("\n\n".join(x.text for x, y in zip(page, sent.value.decode(page, cache)) if y))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=["id", "url", "text", "n_chars"])

@@ -27,3 +27,24 @@ def test_html_reads_endless_tags_in_linear_time(piece):
     for page in (piece * 100_000, piece * 100_000 + ">", piece * 100_000 + '">'):
         html_crf.blocks(page)
     assert time.monotonic() - begin < 30
+
+
+def test_html_marks_are_read_to_the_last_word_at_any_depth():
+    utility = "flex mt-4 px-2 bg-white text-sm rounded shadow-md border items-center comments"
+    assert "c:comments" in html_crf.blocks(f'<div class="{utility}"><p>a reader</p></div>')[0].above
+    deep = "".join(f'<div class="layer{chr(97 + i // 26)}{chr(97 + i % 26)}">' for i in range(200))
+    page = deep + '<nav hidden class="menu"><p>go</p></nav><aside><p>ad</p></aside><p>text</p>'
+    known = {"a:nav", "a:aside", "c:menu", "hidden", "c:layeraa"}
+    for marks in (None, frozenset(known)):
+        nav, aside, text = html_crf.blocks(page, marks)
+        assert known - {"a:aside"} <= nav.above and "a:aside" in aside.above and not text.above & (known - {"c:layeraa"})
+    assert nav.above == known - {"a:aside"}
+    assert html_crf.blocks(page, max_marks=1_000) == [] and len(html_crf.blocks(page, max_marks=100_000)) == 3
+
+
+def test_html_model_drops_comments_under_deep_and_wordy_marks(spark):
+    model = html_crf.Crf({"bias": 1.0, "c:comments": -5.0, "a:nav": -5.0}, ((0.0, 0.0), (0.0, 0.0)), 0.0)
+    deep = "".join(f'<div class="layer{chr(97 + i // 26)}{chr(97 + i % 26)}">' for i in range(100))
+    page = deep + '<p>story</p><nav><p>menu</p></nav><div class="flex mt px bg rounded shadow border text comments"><p>reader</p></div>'
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html_crf.extract(pages, model).first().text == "story"
