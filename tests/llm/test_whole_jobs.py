@@ -4,7 +4,8 @@ import time
 
 import pytest
 
-from knnhard.llm import html_crf
+from conftest import SF
+from knnhard.llm import html_crf, secrets
 
 
 @pytest.mark.parametrize("size", [3_000, 300_000])
@@ -48,3 +49,40 @@ def test_html_model_drops_comments_under_deep_and_wordy_marks(spark):
     page = deep + '<p>story</p><nav><p>menu</p></nav><div class="flex mt px bg rounded shadow border text comments"><p>reader</p></div>'
     pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
     assert html_crf.extract(pages, model).first().text == "story"
+
+
+ASSIGNED = {  # the text and the value to be found in it
+    1: ("x\nAPI_KEY=abcdef0123456789abcdef01\nDEBUG=1", "abcdef0123456789abcdef01"),
+    2: ("password=QwErTyUiOpAsDfGhJkLz", "QwErTyUiOpAsDfGhJkLz"),
+    3: ("DB_PASSWORD=xK4vQ9tLw\n", "xK4vQ9tLw"),
+    4: ('{"password": "kR7!pa, s"}', "kR7!pa, s"),
+    5: ("A_RATHER_LONG_SECRET_TOKEN=dGhpcyBpcyBhIHNlY3JldA==", "dGhpcyBpcyBhIHNlY3JldA=="),
+    6: ("Authorization: Bearer aB3xZ9", "aB3xZ9"),
+    7: ("the key QwErTyUiOpAsDfGh here", "QwErTyUiOpAsDfGh"),
+    8: ("LEVEL=dGhpcyBpcyBhIHNlY3JldA== next", "dGhpcyBpcyBhIHNlY3JldA=="),
+    9: ("GET /?token=ab12cd34&page=2", "ab12cd34"),
+}
+
+
+def test_secret_candidates_of_assignments(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in ASSIGNED.items()], "doc_id int, text string")
+    got = {(r.id, r.cand): r for r in secrets.candidates(docs, "doc_id", "text", None).collect()}
+    for i, (text, value) in ASSIGNED.items():
+        found = got[i, value]
+        assert text[found.start:found.end] == value and text[:found.start].endswith(found.before) and len(found.before) == min(48, found.start)
+    marked = {(r.id, r.cand): r for r in secrets.with_features(secrets.candidates(docs, "doc_id", "text", None), []).collect()}
+    for i in (1, 2, 3, 4, 5, 9):
+        assert marked[i, ASSIGNED[i][1]].near == marked[i, ASSIGNED[i][1]].assigned == 1
+
+
+def test_secret_forest_learns_what_the_scan_finds(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = secrets.findings_from(docs, "doc_id", "text", "source", 200)
+    assert made.where("label = 1 AND NOT cand RLIKE '[0-9]'").count() > 0 and made.where("label = 1 AND length(cand) < 16").count() > 0
+    assert made.where("before LIKE '%api_key=' AND label = 1").count() > 0
+    words = secrets.dictionary(docs, "text")
+    model = secrets.train(made, words)
+    texts = spark.createDataFrame([(i, t) for i, (t, _) in ASSIGNED.items()] + [(20, "internationalisation of the neighbourhoodliness"), (21, "the key: value")], "doc_id int, text string")
+    is_secret = {(r.doc_id, r.candidate): r.is_secret for r in secrets.scan(texts, model, words).collect()}
+    assert all(is_secret[i, ASSIGNED[i][1]] for i in (1, 2, 3, 5))
+    assert not any(yes for (i, _), yes in is_secret.items() if i >= 20)
