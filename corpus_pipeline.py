@@ -34,8 +34,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds rate and copies; documents that the mix reads no time go."""
-    return mixing.apply_mix(docs, mixing.domain_labels(table(spark, sf_dir, "labels")), mixing.TARGETS)
+    """Adds rate and copies; documents that the mix reads no time go. All clean documents stay."""
+    return mixing.apply_mix(docs, mixing.domain_labels(table(spark, sf_dir, "labels")), mixing.TARGETS, whole="clean")
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("benchmark", benchmark), ("mix", mix)]

@@ -26,17 +26,19 @@ from knnhard.llm._common import col, fresh, materialise, table
 TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 
 
-def rates(p: np.ndarray, path: list[np.ndarray], ahead: bool = False) -> np.ndarray:
+def rates(p: np.ndarray, path: list[np.ndarray], ahead: bool = False, whole: int | None = None) -> np.ndarray:
     """Rates of documents with posteriors ``p`` after the projected steps of ``path``, each taken from a point
-    ahead along the last change (Nesterov); ``ahead`` gives the point of the next step."""
+    ahead along the last change (Nesterov); ``ahead`` gives the point of the next step. Rates are 0 or more, and 1
+    or more for documents whose most likely domain is ``whole``."""
     r = before = np.ones(len(p))
+    least = np.zeros(len(p)) if whole is None else (p.argmax(axis=1) == whole).astype(float)
     t = 1.0
     for step in [*path, None]:
         grown = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = r if r is before else np.maximum(0.0, r + (t - 1) / grown * (r - before))
+        y = r if r is before else np.maximum(least, r + (t - 1) / grown * (r - before))
         if step is None:
             return y if ahead else r
-        before, r, t = r, np.maximum(0.0, y - p @ step), grown
+        before, r, t = r, np.maximum(least, y - p @ step), grown
     return r
 
 
@@ -59,21 +61,27 @@ def _sum_over(members: DataFrame, k: int, width: int, part) -> np.ndarray:
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, total: float | None = None, rounds: int = 200,
-              tol: float = 1e-6) -> list[np.ndarray]:
+              tol: float = 1e-6, whole: int | None = None) -> list[np.ndarray]:
     """Steps of the projected gradient for ``members`` (n_words, p), a table read once per round.
 
-    ``targets`` are the domains' shares; ``total`` the tokens of the mix (the corpus's own if None).
+    ``targets`` are the domains' shares; ``total`` the tokens of the mix (the corpus's own if None). With a domain
+    ``whole``, all of whose documents are read at least once, the total is at least that domain's expected tokens, over
+    all documents, divided by its share.
     It ends when the totals are within ``tol`` of the targets, or the objective has settled for three rounds,
     as it does at targets that no nonnegative rates can meet.
     """
     k = len(targets)
     moments = _sum_over(members, k, k * k, lambda t, p: ((p * t[:, None]).T @ p).ravel()).reshape(k, k)
     tokens = float(moments.sum())  # posteriors sum to 1
-    goal = np.asarray(targets, float) / np.sum(targets) * (tokens if total is None else total)
+    shares = np.asarray(targets, float) / np.sum(targets)
+    total = tokens if total is None else total
+    if whole is not None and shares[whole] > 0:
+        total = max(total, float(moments[whole].sum()) / shares[whole])
+    goal = shares * total
     metric = np.linalg.pinv(moments, rcond=1e-10)
 
     def totals(t: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return np.concatenate([(t * rates(p, path)) @ p, (t * rates(p, path, ahead=True)) @ p])
+        return np.concatenate([(t * rates(p, path, whole=whole)) @ p, (t * rates(p, path, ahead=True, whole=whole)) @ p])
 
     path: list[np.ndarray] = []
     before, settled = np.inf, 0
@@ -103,10 +111,16 @@ def domain_labels(labels: DataFrame) -> DataFrame:
         F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").otherwise("low").alias("y"))
 
 
-def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None, id_col: str, text_col: str):
+def _at(model: textmodel.TextModel, domain: str | None) -> int | None:
+    return model.classes.index(domain) if domain in model.classes else None
+
+
+def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None, id_col: str, text_col: str,
+         whole: str | None = None):
     model = textmodel.train(docs, labels, id_col, text_col)
     members = materialise(textmodel.score_table(docs, model, id_col, text_col), "members")
-    path = fit_rates(members, np.array([targets.get(c, 0.0) for c in model.classes]), total) if model.classes else []
+    path = fit_rates(members, np.array([targets.get(c, 0.0) for c in model.classes]), total,
+                     whole=_at(model, whole)) if model.classes else []
     return model, members, path
 
 
@@ -134,17 +148,19 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: fl
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None,
-              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+              id_col: str = "doc_id", text_col: str = "text", whole: str | None = None) -> DataFrame:
     """The rows of ``docs`` that the mix reads at least once, with all their columns, and rate and copies
-    (under other names if taken)."""
-    model, _, path = _fit(docs, labels, targets, total, id_col, text_col)
+    (under other names if taken). Every document whose most likely domain is ``whole`` stays: the mix repeats or
+    thins the others."""
+    model, _, path = _fit(docs, labels, targets, total, id_col, text_col, whole)
+    least = _at(model, whole)
     rate, times = fresh(docs, "rate"), fresh(docs, "copies")
     at = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = rates(sent.value.posteriors(b.column(at).to_pylist()), path)
+            r = rates(sent.value.posteriors(b.column(at).to_pylist()), path, whole=least)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r, pa.float64())], names=[*b.schema.names, rate])
 
     out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(rate, T.DoubleType())]))

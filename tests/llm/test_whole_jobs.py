@@ -1,11 +1,13 @@
 """Inputs on which an operator once did less than its whole job."""
 
+import random
 import time
 
+import numpy as np
 import pytest
 
 from conftest import SF
-from knnhard.llm import html_crf, secrets
+from knnhard.llm import html_crf, mixing, secrets
 
 
 @pytest.mark.parametrize("size", [3_000, 300_000])
@@ -86,3 +88,29 @@ def test_secret_forest_learns_what_the_scan_finds(spark):
     is_secret = {(r.doc_id, r.candidate): r.is_secret for r in secrets.scan(texts, model, words).collect()}
     assert all(is_secret[i, ASSIGNED[i][1]] for i in (1, 2, 3, 5))
     assert not any(yes for (i, _), yes in is_secret.items() if i >= 20)
+
+
+def test_mix_keeps_clean_documents_of_a_clean_corpus(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    vocab = {d: [f"{d}{chr(97 + i)}" for i in range(20)] for d in ("clean", "low", "toxic")}
+    kind = {i: "clean" if i < 970 else "low" if i < 990 else "toxic" for i in range(1000)}
+
+    def text(i):  # a tenth of the clean texts is unsure
+        other = 9 if kind[i] == "clean" and i % 10 == 0 else 0
+        return " ".join(rng.choice(vocab["low"] if k < other else vocab[kind[i]]) for k in range(20))
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(1000)], "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, int(d == "clean"), int(d == "toxic")) for i, d in kind.items()], "doc_id long, quality int, toxic int").repartition(1)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)
+    got = {r.doc_id: r for r in corpus_pipeline.mix(spark, docs, "").collect()}
+    assert all(i in got and got[i].rate >= 1 for i, d in kind.items() if d == "clean")
+
+
+def test_rates_of_a_whole_domain_meet_the_targets(spark):
+    p = np.array([[1, 0, 0]] * 97 + [[0.6, 0.4, 0]] * 5 + [[0, 1, 0]] * 2 + [[0, 0, 1]], float)
+    members = spark.createDataFrame([(10, list(map(float, x))) for x in p], "n_words long, p array<double>").repartition(1).cache()
+    path = mixing.fit_rates(members, np.array([0.9, 0.08, 0.02]), rounds=60, tol=1e-3, whole=0)
+    r = mixing.rates(p, path, whole=0)
+    assert r[:102].min() >= 1 and np.abs(r @ p / r.sum() - [0.9, 0.08, 0.02]).max() < 0.01
