@@ -127,13 +127,12 @@ def count_ngrams(labelled: DataFrame, n: int, keep: int = 1 << 20) -> DataFrame:
     return rows.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, n: int = 4, cells: int = 1 << 20, hashes: int = 3, min_count: int = 3,
-          min_rate: float = 1e-6, min_share: float = 0.2) -> LanguageFilters:
+def train(labelled: DataFrame, n: int = 4, cells: int = 1 << 20, hashes: int = 3, min_rate: float = 1e-6,
+          min_share: float = 0.2) -> LanguageFilters:
     """Filters from ``labelled`` (lang, t), at most 64 languages.
 
-    An n-gram is put in for a language if it makes up ``min_rate`` of the language's n-grams, occurs
-    ``min_count`` times (once is enough in a language of under 10,000 n-grams), and its rate is
-    ``min_share`` of its rate in the language where it is most frequent. Every labelled row counts;
+    An n-gram is put in for a language, of any size, if it makes up ``min_rate`` of the language's n-grams and its
+    rate is ``min_share`` of its rate in the language where it is most frequent. Every labelled row counts;
     the driver gets one row per language and at most ``cells`` set cells.
     """
     counts = count_ngrams(labelled.where("lang IS NOT NULL AND t IS NOT NULL"), n).persist()
@@ -149,8 +148,7 @@ def train(labelled: DataFrame, n: int = 4, cells: int = 1 << 20, hashes: int = 3
         rated = counts.withColumn("of", by_lang[F.col("lang")]).withColumn("rate", F.col("n") / F.col("of.size"))
         most = F.max("rate").over(Window.partitionBy("gram"))
         member = rated.withColumn("most", most).where(
-            (F.col("rate") >= min_share * F.col("most")) & (F.col("rate") >= min_rate)
-            & (F.col("n") >= F.when(F.col("of.size") < 10_000, 1).otherwise(min_count)))
+            (F.col("rate") >= min_share * F.col("most")) & (F.col("rate") >= min_rate))
         masks = member.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, of.bit)")).alias("mask"))
 
         def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

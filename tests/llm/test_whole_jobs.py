@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from conftest import SF
-from knnhard.llm import html_crf, mixing, secrets
+from knnhard.llm import html_crf, langid, mixing, secrets
 
 
 @pytest.mark.parametrize("size", [3_000, 300_000])
@@ -114,3 +114,18 @@ def test_rates_of_a_whole_domain_meet_the_targets(spark):
     path = mixing.fit_rates(members, np.array([0.9, 0.08, 0.02]), rounds=60, tol=1e-3, whole=0)
     r = mixing.rates(p, path, whole=0)
     assert r[:102].min() >= 1 and np.abs(r @ p / r.sum() - [0.9, 0.08, 0.02]).max() < 0.01
+
+
+def test_language_size_does_not_switch_the_rule(spark):
+    def words(letters, n):
+        return ["".join(letters[(i // len(letters) ** k) % len(letters)] for k in range(5)) for i in range(n)]
+
+    seen = {}
+    for size in (1_600, 1_800):  # words of 6 n-grams with their spaces: under and over 10,000 n-grams
+        text = " ".join(words("abcdefgh", size))
+        rows = spark.createDataFrame([("rare", text), ("large", " ".join(words("nopqrstu", 8_000)))], "lang string, t string").repartition(2)
+        model = langid.train(rows)
+        lang, score = langid.classify(model, [" ".join(words("abcdefgh", 1_600)[::7])])
+        assert lang == ["rare"]
+        seen[size] = score[0]
+    assert abs(seen[1_600] - seen[1_800]) < 0.02 and seen[1_800] > 0.9
