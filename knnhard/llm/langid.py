@@ -30,7 +30,8 @@ _BLOCK = 1 << 18
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """``cells`` holds a mask per cell; bit i stands for ``languages[i]``, by descending training size."""
+    """``cells`` holds a mask per cell; bit i stands for ``languages[i]``, by descending training size. With over 64
+    languages a cell is a row of 64-bit words, and bit i is bit i % 64 of word i // 64."""
 
     languages: tuple[str, ...]
     cells: np.ndarray
@@ -129,41 +130,47 @@ def count_ngrams(labelled: DataFrame, n: int, keep: int = 1 << 20) -> DataFrame:
 
 def train(labelled: DataFrame, n: int = 4, cells: int = 1 << 20, hashes: int = 3, min_rate: float = 1e-6,
           min_share: float = 0.2) -> LanguageFilters:
-    """Filters from ``labelled`` (lang, t), at most 64 languages.
+    """Filters from ``labelled`` (lang, t), any number of languages.
 
     An n-gram is put in for a language, of any size, if it makes up ``min_rate`` of the language's n-grams and its
     rate is ``min_share`` of its rate in the language where it is most frequent. Every labelled row counts;
-    the driver gets one row per language and at most ``cells`` set cells.
+    the driver gets one row per language and at most ``cells`` set cells for every 64 languages.
     """
     counts = count_ngrams(labelled.where("lang IS NOT NULL AND t IS NOT NULL"), n).persist()
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = tuple(sorted(sizes, key=lambda k: (-sizes[k], k)))
-    if len(langs) > 64:
-        raise ValueError(f"{len(langs)} languages; a mask holds 64")
-    dtype = next(d for d in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= np.iinfo(d).bits)
-    table_ = np.zeros(cells, dtype)
+    words = -(-len(langs) // 64)
+    dtype = next((d for d in (np.uint8, np.uint16, np.uint32) if len(langs) <= np.iinfo(d).bits), np.uint64)
+    table_ = np.zeros((cells, words) if words > 1 else cells, dtype)
     if langs:
-        by_lang = F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.struct(
-            F.lit(i).alias("bit"), F.lit(float(sizes[k])).alias("size")))])
-        rated = counts.withColumn("of", by_lang[F.col("lang")]).withColumn("rate", F.col("n") / F.col("of.size"))
+        of = labelled.sparkSession.createDataFrame([(k, i // 64, i % 64, float(sizes[k])) for i, k in enumerate(langs)],
+                                                   "lang string, word int, bit int, size double")
+        rated = counts.join(F.broadcast(of), "lang").withColumn("rate", F.col("n") / F.col("size"))
         most = F.max("rate").over(Window.partitionBy("gram"))
         member = rated.withColumn("most", most).where(
             (F.col("rate") >= min_share * F.col("most")) & (F.col("rate") >= min_rate))
-        masks = member.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1L, of.bit)")).alias("mask"))
+        masks = member.groupBy("gram", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
 
         def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                g, m = b.column(0).to_numpy(), b.column(1).to_numpy()
+                g = b.column(0).to_numpy()
                 for p in _positions(g.view(np.uint64), cells, hashes):
-                    yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(m)], names=["cell", "mask"])
+                    yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), b.column(1), b.column(2)], names=["cell", "word", "mask"])
 
-        got = masks.mapInArrow(positions, "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas()
-        table_[got["cell"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).view(np.uint64).astype(dtype)
+        got = masks.mapInArrow(positions, "cell long, word int, mask long").groupBy("cell", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+        at = got["cell"].to_numpy(np.int64)
+        table_[(at, got["word"].to_numpy(np.int64)) if words > 1 else at] = got["mask"].to_numpy(np.int64).view(np.uint64).astype(dtype)
     counts.unpersist()
-    fill = np.array([np.count_nonzero(table_ & dtype(1 << i)) / cells for i in range(len(langs))])
+    fill = np.array([np.count_nonzero(_bit(table_, i)) / cells for i in range(len(langs))])
     return LanguageFilters(langs, table_, fill, n, hashes)
 
 
+def _bit(masks: np.ndarray, i: int) -> np.ndarray:
+    """Bit of language i in masks of cells."""
+    word = masks[:, i // 64] if masks.ndim == 2 else masks
+    return (word >> word.dtype.type(i % 64)) & word.dtype.type(1)
+
+
 def _positions(g: np.ndarray, cells: int, hashes: int) -> Iterator[np.ndarray]:
     h = _mix(g)
     step = _mix(h) | np.uint64(1)
@@ -190,8 +197,7 @@ def classify(model: LanguageFilters, texts: list[str | None]) -> tuple[list[str]
         if model.languages:
             mask = lookup(model, g)
             for i in range(len(model.languages)):
-                one = (mask >> model.cells.dtype.type(i)) & model.cells.dtype.type(1)
-                hits[:, i] += np.bincount(who, weights=one, minlength=len(texts))
+                hits[:, i] += np.bincount(who, weights=_bit(mask, i), minlength=len(texts))
     out = [UNKNOWN] * len(texts)
     score = np.zeros(len(texts))
     if model.languages:

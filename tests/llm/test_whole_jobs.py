@@ -129,3 +129,15 @@ def test_language_size_does_not_switch_the_rule(spark):
         assert lang == ["rare"]
         seen[size] = score[0]
     assert abs(seen[1_600] - seen[1_800]) < 0.02 and seen[1_800] > 0.9
+
+
+def test_more_languages_than_a_mask_word_holds(spark):
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(130 * 6)]
+    texts = {f"l{i:03}": " ".join("".join(rng.choices(letters[6 * i:6 * i + 6], k=5)) for _ in range(60)) for i in range(130)}
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts.items())], "doc_id long, text string, lang string").repartition(2)
+    model = langid.train(docs.selectExpr("lang", "text AS t"))
+    assert len(model.languages) == 130 and model.cells.shape[1] == 3
+    got = langid.identify(docs, model).join(docs, "doc_id").collect()
+    assert len(got) == 130 and all(r.lang_pred == r.lang and r.score > 0.9 for r in got)
+    assert langid.keep_known(docs, model).count() == 130
