@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from knnhard.llm import chat_format, decontaminate, exact_dedup, html_crf, langid, mixing, secrets, simhash_dedup, toxicity, warc_zip
+from knnhard.llm import (chat_format, conversation_repair, decontaminate, exact_dedup, hnsw_dedup, html_crf, langid, mixing, secrets,
+                         simhash_dedup, token_align, toxicity, warc_zip)
 
 QUERIES: dict[str, Callable] = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -17,6 +18,9 @@ QUERIES: dict[str, Callable] = {
     "op8_secret_forest": secrets.op8_secret_forest,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_warc_zip": warc_zip.op10_warc_zip,
+    "op11_token_align": token_align.op11_token_align,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_embedding_hnsw": hnsw_dedup.op13_embedding_hnsw,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op10_warc_zip": warc_zip.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
 }
