@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import heapq
 import itertools
 import math
 import random
@@ -111,27 +110,30 @@ def test_packed_numbers_and_hash():
 
 # ---- repair
 
-def all_edits(rows, entry, leave, limit=40):
-    """Least (cost, audit) by trying edits in order of cost."""
-    heap, seen = [(0, "", 0, entry)], set()
-    while heap:
-        cost, audit, at, state = heapq.heappop(heap)
-        if at == len(rows) and state == leave:
-            return cost, audit
-        if (cost, audit) in seen or cost > limit:
-            continue
-        seen.add((cost, audit))
-        want = "ua"[state == 2]
-        heapq.heappush(heap, (cost + 5, audit + "I", at, "sua".index(want) + 1))
-        if at < len(rows):
-            initial, fault = rows[at]
-            heapq.heappush(heap, (cost + 2, audit + "D", at + 1, state))
+def all_edits(rows, entry, leave):
+    """Least (cost, audit) of every state, row after row; None if the state cannot be reached."""
+    def insert(best):
+        for _ in range(3):
+            for state, (cost, audit) in list(best.items()):
+                to = 3 if state == 2 else 2
+                best[to] = min(best.get(to, (10 ** 9, "")), (cost + 5, audit + "I"))
+        return best
+
+    best = insert({entry: (0, "")})
+    for initial, fault in rows:
+        new = {}
+        for state, (cost, audit) in best.items():
+            want = "ua"[state == 2]
             more = 5 if fault == 2 else 0
+            ways = [(cost + 2, audit + "D", state)]
             if fault != 1 and (initial == want or initial == "s" and state == 0):
-                heapq.heappush(heap, (cost + more, audit + "K", at + 1, "sua".index(initial) + 1))
+                ways.append((cost + more, audit + "K", "sua".index(initial) + 1))
             if fault != 1 and initial != want:
-                heapq.heappush(heap, (cost + 1 + more, audit + "R", at + 1, "sua".index(want) + 1))
-    return None
+                ways.append((cost + 1 + more, audit + "R", "sua".index(want) + 1))
+            for c, t, to in ways:
+                new[to] = min(new.get(to, (10 ** 9, "")), (c, t))
+        best = insert(new)
+    return best.get(leave)
 
 
 def test_cheapest_edits():
@@ -178,7 +180,7 @@ def repair_brute(rows):
         counts[fault] += 1
         marked.append((role[:1], 0 if not fault else 2 if fault == "truncated" else 1))
     illegal = sum(a + b not in ("su", "ua", "au") for (a, _), (b, _) in itertools.pairwise(marked))
-    cost, audit = min(f for x in (0, 3) if (f := all_edits(marked, 0, x, 1000)))
+    cost, audit = min(f for x in (0, 3) if (f := all_edits(marked, 0, x)))
     state, lines, it = "", [], iter(rows)
     for e in audit:
         want = "assistant" if state == "u" else "user"
