@@ -27,11 +27,20 @@ fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html lab
 optgroup option p pre search section select summary table tbody td tfoot th thead tr ul""".split())
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("script style template noscript iframe svg math canvas object textarea title".split())
+#: Of those, the ones whose content is raw text: without a closing tag it runs to the end of the page. The others nest,
+#: and one that is never closed skips nothing.
+RAW = frozenset("script style textarea title".split())
+#: Elements that a slash at the end of their tag closes.
+_SLASHED = frozenset({"svg", "math"})
 #: Block elements that an opening tag of the same kind closes.
 _CLOSED_BY = {"p": BLOCK_TAGS - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
               "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}}
 _VOID = frozenset({"hr"})
-_TOKEN = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+#: Elements without content that begin no block (fixed by HTML).
+_INLINE_VOID = frozenset("area base br col embed img input link meta param source track wbr".split())
+#: How comments, CDATA sections, other declarations and tags begin; where the first two end is searched for once.
+_TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)")
+_ENDS = {"<!--": "-->", "<![CDATA[": "]]>"}
 #: One attribute as HTML reads it: a quote opens a value only after "=" and the value ends at the next such quote,
 #: however far; without one the quote is a character of an unquoted value.
 _ATTR = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))?+)?+""")
@@ -90,86 +99,150 @@ def _read_tag(page: str, at: int, end: int, endless: set[int]) -> tuple[int, lis
     return stop, attrs
 
 
+def _closings(page: str, name: str) -> dict[int, int]:
+    """For the place after the name of every opening tag of a nesting element that is closed: the end of its closing tag."""
+    found: dict[int, int] = {}
+    open_: list[int] = []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*+>", page, re.I):
+        if not m[1]:
+            if not (name in _SLASHED and m[0].endswith("/>")):
+                open_.append(m.start() + 1 + len(name))
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
 def blocks(page: str | None, known: Set[str] | None = None, max_marks: int | None = None) -> list[Block]:
     """Leaf blocks in page order; a block without text is none.
 
-    ``above`` holds all marks of a block's ancestors, or those of them in ``known``; equal sets are one object. A page
+    ``above`` holds all marks of a block's ancestors, or those of them in ``known``; equal sets are one object. Marks of an
+    inline element are a block's where it holds all the block's text. Custom elements begin blocks. A page
     whose sets and blocks have over ``max_marks`` marks has no blocks (for training pages, whose marks are not known yet).
     """
     page = page or ""
     end = page.rfind(">") + 1
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    inline: list[tuple[str, int, frozenset[str]]] = []  # name, height of the stack, marks with those of the ones around
     parts: list[str] = []
+    cover: frozenset[str] | None = None  # marks of inline elements that hold all text of the block so far
     linked, in_link = 0, 0
     endless: set[int] = set()
+    closings: dict[str, dict[int, int]] = {}
+    missing: set[str] = set()
     shared: dict[frozenset[str], frozenset[str]] = {}
     marks = 0
 
+    def share(above: frozenset[str]) -> frozenset[str]:
+        nonlocal marks
+        if above not in shared:
+            marks += len(above)
+        return shared.setdefault(above, above)
+
+    def text_piece(piece: str) -> None:
+        nonlocal cover, linked
+        parts.append(piece)
+        if in_link:
+            linked += len(piece)
+        if (cover is None or cover) and not piece.isspace():
+            now = inline[-1][2] if inline else frozenset()
+            cover = now if cover is None else cover & now
+
     def close() -> None:
-        nonlocal linked, marks
+        nonlocal linked, marks, cover
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
                 tag, above = stack[-1]
+                if cover and not cover <= above:
+                    above = share(above | cover)
                 out.append(Block(text, tag, above, linked))
                 marks += len(above)
             parts.clear()
-        linked = 0
+        linked, cover = 0, None
+
+    def lower() -> None:
+        """Inline elements end with the block they began in."""
+        while inline and inline[-1][1] > len(stack):
+            inline.pop()
 
     at = 0
     while True:
         m = _TOKEN.search(page, at, end)
         piece = page[at:m.start()] if m else page[at:]
         if piece:
-            parts.append(piece)
-            if in_link:
-                linked += len(piece)
+            text_piece(piece)
         if m is None:
             break
         at = m.end()
         name = m[2]
         if name is None:
-            if m[0].startswith("<![CDATA["):
-                parts.append(html_lib.escape(m[0][9:-3]))
+            closing = _ENDS.get(m[0])
+            stop = page.find(closing, at) if closing and closing not in missing else -1
+            if stop >= 0:
+                if closing == "]]>":
+                    text_piece(html_lib.escape(page[at:stop]))
+                at = stop + 3
+                end = max(end, at)
+            else:
+                if closing:
+                    missing.add(closing)
+                at = page.find(">", at, end) + 1 or end
             continue
         name = name.lower()
+        after_name = at
         at, attrs = _read_tag(page, at, end, endless)
+        block = name in BLOCK_TAGS or "-" in name
         if m[1]:
             if name == "a":
                 in_link = 0
-            elif name in BLOCK_TAGS:
+            if block:
                 close()
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
                         del stack[i:]
+                        lower()
+                        break
+            else:
+                for i in range(len(inline) - 1, -1, -1):
+                    if inline[i][0] == name:
+                        del inline[i:]
                         break
         elif name in SKIPPED:
-            if page[at - 2] != "/":
+            if name in RAW:
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
-                end = max(end, at)
-        elif name == "a":
-            in_link = 1
+            elif not (name in _SLASHED and page[at - 2] == "/"):
+                if name not in closings:
+                    closings[name] = _closings(page, name)
+                at = max(at, closings[name].get(after_name, at))
+            end = max(end, at)
         elif name == "br":
             parts.append("\n")
-        elif name in BLOCK_TAGS:
+        elif block:
             close()
             while len(stack) > 1 and name in _CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
+                lower()
             if name not in _VOID:
                 above = stack[-1][1]
                 new = {"a:" + name} | (_names(attrs) if attrs else set())
                 if known is not None:
                     new &= known
                 if not new <= above:
-                    above = above | new
-                    if above not in shared:
-                        marks += len(above)
-                    above = shared.setdefault(above, above)
+                    above = share(above | new)
                 stack.append((name, above))
             if max_marks is not None and marks > max_marks:
                 return []
+        elif name not in _INLINE_VOID:
+            if name == "a":
+                in_link = 1
+            new = _names(attrs) if attrs else set()
+            if known is not None:
+                new &= known
+            if new:
+                around = inline[-1][2] if inline else frozenset()
+                inline.append((name, len(stack), around if new <= around else share(around | new)))
     close()
     return out
 
@@ -424,8 +497,9 @@ def labelled_pages(pages: DataFrame, id_col: str, html_col: str, sampled: int, c
     texts = pages.select(col(id_col).cast("string").alias("id"), col(html_col).cast("string").alias("t")).where(
         F.col("id").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= max_chars))
     # the ids first: so that no task sends pages that are not picked; the ids are bounded by ``sampled``
-    ids = materialise(few(texts.select("id").distinct(), sampled, pages.count(), "id"), "picked")
-    rows = few(texts.join(F.broadcast(ids), "id"), sampled, 0, "id", "t").select("t").collect()
+    every = texts.select("id").distinct()
+    ids = materialise(few(every, sampled, every.count(), "id"), "picked")
+    rows = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("t").alias("t")).orderBy("id").collect()
     out, lines, phrases = [], [], []
     for r in rows:
         page = blocks(r["t"], max_marks=max_marks)

@@ -103,25 +103,33 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
         "slashes": (F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit("")))).cast("double")})
 
 
-def train(findings: DataFrame, words: list[str], trees: int = 40, depth: int = 8, max_rows: int = 20_000) -> RandomForestClassificationModel:
+def train(findings: DataFrame, words: list[str], trees: int = 40, depth: int = 8, max_rows: int = 20_000) -> RandomForestClassificationModel | None:
     """A forest from labelled findings (cand, before, after, path, label 0/1), at most ``max_rows`` of them by
-    smallest digest (the documented bound). Findings with a null candidate or label are left out."""
+    smallest digest (the documented bound). Findings with a null candidate or label are left out; without findings of
+    both labels there is no forest (None)."""
     good = findings.where("cand IS NOT NULL AND label IS NOT NULL")
     rows = few(good, max_rows, good.count(), "cand", "before", "after")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
         with_features(rows.withColumns({n: F.coalesce(n, F.lit("")) for n in ("before", "after")}), words))
     ready = materialise(ready.select("features", F.col("label").cast("double").alias("label")), "findings")
+    if ready.select("label").distinct().count() < 2:
+        return None
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="onethird", minInstancesPerNode=2)
     return forest.fit(ready)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, words: list[str], id_col: str = "doc_id", text_col: str = "text",
+def scan(docs: DataFrame, model: RandomForestClassificationModel | None, words: list[str], id_col: str = "doc_id", text_col: str = "text",
          path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
     """One row per candidate: id, nth, start, end (character offsets), candidate, score, is_secret.
 
     Whole texts are scanned. Null and empty texts have no candidates; a null path is an empty one; repeated
-    rows give repeated results; an empty table gives an empty result; other columns are not read.
+    rows give repeated results; an empty table gives an empty result; other columns are not read. Without a
+    forest (nothing to learn from) scores are null and no candidate is a secret.
     """
+    if model is None:
+        return candidates(docs, id_col, text_col, path_col).select(
+            F.col("id").alias(id_col), "nth", "start", "end", F.col("cand").alias("candidate"), F.lit(None).cast("double").alias("score"),
+            F.lit(False).alias("is_secret"))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(candidates(docs, id_col, text_col, path_col), words))
     scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1])
     return scored.select(F.col("id").alias(id_col), "nth", "start", "end", F.col("cand").alias("candidate"), "score",
@@ -146,7 +154,9 @@ def findings_from(docs: DataFrame, id_col: str, text_col: str, path_col: str | N
     path = F.coalesce(col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(col(id_col).cast("string").alias("id"), path.alias("path"), col(text_col).cast("string").alias("t")) \
         .where("t IS NOT NULL AND id IS NOT NULL").select("id", "path", F.slice(F.split("t", r"\s+"), 1, 40).alias("ws"))
-    rows = few(rows, sampled, docs.count(), "id", "ws")
+    every = rows.select("id").distinct()
+    picked = materialise(few(every, sampled, every.count(), "id"), "picked")
+    rows = rows.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct("path", "ws")).alias("r")).select("id", "r.*")
     h, b64, number = _from_digest("id", "=one")
     h2, b64_2, _ = _from_digest("id", "=two")
     word = F.coalesce(F.element_at("ws", (F.pmod(F.xxhash64("id"), F.size("ws")) + 1).cast("int")), F.lit("word"))

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from knnhard.llm._common import col, few, materialise
 from knnhard.llm._common import top as first_rows
@@ -98,24 +99,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int,
-                    max_classes: int = 64) -> tuple[DataFrame, dict[str, int]]:
-    """(y, t) of at most ``per_class`` rows of each class, by smallest digest of the id, and the
-    classes' numbers of labelled ids. ``labels`` has (id, y); of several labels of an id the largest counts."""
+def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, per_class: int) -> tuple[DataFrame, dict[str, int]]:
+    """(y, t) of at most ``per_class`` ids of each class, by smallest digest of the id, one row per id, and the
+    classes' numbers of labelled ids. ``labels`` has (id, y); of several labels of an id the largest counts, of several
+    texts the smallest."""
     one = labels.where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max(F.col("y").cast("string")).alias("y"))
     one = materialise(one, "labels")
-    sizes = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy("y").limit(max_classes + 1).collect()}
-    if len(sizes) > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
-    picked = None
-    for y in sorted(sizes):
-        part = few(one.where(F.col("y") == y), per_class, sizes[y], "id")
-        picked = part if picked is None else picked.union(part)
-    if picked is None:
-        picked = one
+    per = one.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["y"]: r["n"] for r in per.orderBy("y").collect()}
+    h = F.xxhash64("id")
+    # ids whose digest cannot be among a class's smallest go before they are ranked
+    likely = one.join(per, "y").where((F.col("n") <= 4 * per_class) | (
+        h.cast("double") <= F.lit(2.0 ** 64) * (4.0 * per_class / F.col("n")) - F.lit(2.0 ** 63)))
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(h, "id"))
+    picked = likely.withColumn("nth", nth).where(F.col("nth") <= per_class).select("id", "y")
     texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("t"))
     # the sample is bounded by its limits, so it is the side to send
-    return materialise(texts.join(F.broadcast(picked), "id").select("y", "t"), "labelled"), sizes
+    rows = texts.join(F.broadcast(materialise(picked, "picked")), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
+    return materialise(rows.select("y", "t"), "labelled"), sizes
 
 
 def select_features(sample: DataFrame, classes: tuple[str, ...], with_style: bool, top: int, min_rows: int) -> list[bytes]:
