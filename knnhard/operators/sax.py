@@ -11,13 +11,22 @@ A SAX index is expressed as tables rather than a tree in memory:
 
 Pruned exact k-NN is a two-phase plan: phase 1 computes the distances to
 the series of the bucket(s) nearest to the query and takes the k-th as the
-best-so-far; phase 2 keeps only buckets, then series, whose lower bound is
-below it. Counting the series whose distance was computed gives the
-hardness (share of the data compared).
+best-so-far; phase 2 keeps only buckets, then series, whose lower bound does
+not exceed it (equal ones may hold an equal distance with a smaller id).
+Counting the series whose distance was computed gives the hardness (share of
+the data compared).
+
+Queries and buckets meet through the root groups (at most ``2^w``, whatever
+the number of series): a query orders the groups by the bound of their
+envelope, and only the groups it enters are joined, on the root key, with
+their buckets. Phase 1 walks the groups in rounds of doubling size, one job
+each, until the buckets found certainly hold the nearest ones.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -370,10 +379,21 @@ def series_lower_bounds(summary: DataFrame, queries: DataFrame, w: int, seglens:
 
 # ------------------------------------------------------ pruned search
 
+# widest word whose root groups (2^w envelopes) go to every task
+MAX_WORD = 16
+# share of the distances' scale by which rounding may lift a bound over the distance it bounds
+_ROUNDING = 1e-12
+
+
 def bucket_table(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("bucket", "bits", "prefix").agg(F.count(F.lit(1)).alias("size"))
 
 
+def reach_expr(bsf: Column, q_norm: Column) -> Column:
+    """Largest bound that may belong to a distance of ``bsf`` or less: ``bsf`` and the rounding of both."""
+    return bsf + F.lit(_ROUNDING) * (bsf + q_norm)
+
+
 def _seed_buckets(qb: DataFrame, k: int) -> DataFrame:
     """Buckets by ascending lower bound until they hold k series. Every
     bucket holds at least one series, so only the k lowest bounds can be
@@ -396,82 +416,154 @@ def sax_search(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int
     distances computed (each id once), and ``n_dist / n``.
     Phase 1 (approximate answer, F14): buckets by ascending lower bound,
     the resident one first, until they hold k series; their k-th distance
-    is the best-so-far. Phase 2: only buckets and series with lower bound
-    below it are compared. ``lower_bounding=False`` compares every series (F15).
+    is the best-so-far. Phase 2: only buckets and series whose lower bound does
+    not exceed it are compared. ``lower_bounding=False`` compares every series (F15).
     """
-    data, q, qb, seed_b, seglens = _search_side(summary, leaves, queries, k, w, bps, exclude_self, tight)
+    side = _Side(summary, leaves, queries, k, w, bps, exclude_self, tight)
+    q, seed_b = side.q, side.seeds()
     w1 = Window.partitionBy("qid").orderBy("d", "id")
-    p1 = _probed(data, q, seed_b, exclude_self).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
+    p1 = side.probed(seed_b).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
     bsf = keep(p1.withColumn("r", F.row_number().over(w1)).where(F.col("r") == k).select("qid", F.col("d").alias("bsf")))  # q rows
+    limit = q.join(bsf, "qid", "left").select("qid", F.coalesce(reach_expr(F.col("bsf"), F.col("q_norm")), F.lit(float("inf"))).alias("reach"))
+    limit = keep(limit)
+    # what phase 1 compared is bounded once more, but not compared again
+    seen = seed_b.withColumn("seen", F.lit(True))
     if lower_bounding:
-        cand_b = qb.join(bsf, "qid", "left").where(F.col("bsf").isNull() | (F.col("blb") < F.col("bsf"))).select("qid", "bucket")
-        # what phase 1 compared is bounded once more, but not compared again
-        cand_b = cand_b.join(seed_b.withColumn("seen", F.lit(True)), ["qid", "bucket"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-        c2 = _probed(data, q, cand_b, exclude_self).join(bsf, "qid", "left")
-        c2 = c2.withColumn("slb", F.sqrt(envelope_lb_expr(F.col("qpaa"), F.col("cb.lo"), F.col("cb.hi"), seglens)))
+        cand_b = keep(side.bounded(limit).select("qid", "bucket"))
+        c2 = side.probed(cand_b.join(seen, ["qid", "bucket"], "left").withColumn("seen", F.coalesce("seen", F.lit(False))))
+        c2 = c2.withColumn("slb", F.sqrt(envelope_lb_expr(F.col("qpaa"), F.col("cb.lo"), F.col("cb.hi"), side.seglens)))
         n_lb = c2.groupBy("qid").agg(F.count(F.lit(1)).alias("n_lb"))
-        p2 = c2.where(~F.col("seen") & (F.col("bsf").isNull() | (F.col("slb") < F.col("bsf"))))
-        entered = seed_b.unionByName(cand_b.select("qid", "bucket")).distinct().groupBy("qid").agg(
-            F.count(F.lit(1)).alias("n_buckets"))
+        p2 = c2.where(~F.col("seen")).join(limit, "qid").where(F.col("slb") <= F.col("reach"))
+        entered = seed_b.unionByName(cand_b).distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n_buckets"))
     else:
-        allq = qb.select("qid", "bucket")
-        p2 = _probed(data, q, allq.join(seed_b, ["qid", "bucket"], "left_anti"), exclude_self)
+        p2 = side.unseen(seed_b)
         n_lb = q.select("qid", F.lit(0).cast("long").alias("n_lb"))
-        entered = allq.groupBy("qid").agg(F.count(F.lit(1)).alias("n_buckets"))
+        entered = q.select("qid", F.lit(side.buckets.count()).cast("long").alias("n_buckets"))
     comp = p1.unionByName(p2.select("qid", "id", vec.euclidean("qv", "v").alias("d")))
     ans = comp.withColumn("rank", F.row_number().over(w1)).where(F.col("rank") <= k).select("qid", "rank", "id", "d")
-    n = data.count() - (1 if exclude_self else 0)
+    n = side.data.count() - (1 if exclude_self else 0)
     nd = comp.groupBy("qid").agg(F.count(F.lit(1)).alias("n_dist"))
     counters = (entered.join(n_lb, "qid", "left").join(nd, "qid", "left").join(bsf, "qid", "left")
                 .fillna(0, ["n_lb"]).withColumn("hardness", F.col("n_dist") / F.lit(float(n))))
     return ans, counters
 
 
-def _search_side(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int, w: int,
-                 bps: list[list[float]] | None, exclude_self: bool, tight: bool = True):
-    """What a search reads: ``data(id, v, cb, bucket)`` (the series meet their buckets once, in a written table),
-    ``q(qid, qv, qpaa)``, the bounds ``qb(qid, bucket, size, blb)`` and the seed buckets of every query."""
-    from knnhard.operators.distance import check_query_side
-
-    check_query_side(queries)  # the query side is broadcast below
-    bps = bps or breakpoints_fixed(w)
-    # per-series cell bounds (8-bit cells) computed once per series, not per pair
-    full8 = F.array_repeat(F.lit(CARD_BITS), w)
-    cells = summary.select("id", "v", "paa", cell_bounds_expr(full8, F.col("sax"), bps).alias("cb"))
-    # as many parts as a shuffle has: a pair costs far more than a row, so small tables are spread as well
-    tasks = int(summary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    data = keep(cells.join(leaves.select("id", "bits", "prefix", "bucket"), "id").repartition(tasks, "id"))
-    first = data.select(F.size("v")).first()
-    seglens = segment_lengths(first[0] if first else 0, w)
-    q = keep(queries.select("qid", "qv", paa_expr("qv", w).alias("qpaa")))
-    sides = [F.array(*[f(F.element_at("paa", i + 1)) for i in range(w)]).alias(name) for name, f in (("elo", F.min), ("ehi", F.max))]
-    bt = data.groupBy("bucket", "bits", "prefix").agg(F.count(F.lit(1)).alias("size"), *sides).repartition(tasks, "bucket")
-    if tight:
-        # tight bucket summary (F11a): the PAA envelope lies inside the SAX
-        # cell, so its bound is valid and never looser
-        blb = envelope_lb_expr(F.col("qpaa"), F.col("elo"), F.col("ehi"), seglens)
-    else:
-        blb = cell_lb_expr(F.col("qpaa"), F.col("bits"), F.col("prefix"), seglens, bps)
-    # (query, bucket) bounds: q x buckets rows, read by both phases
-    qb = keep(bt.join(F.broadcast(q.select("qid", "qpaa")), F.lit(True)).select("qid", "bucket", "size", F.sqrt(blb).alias("blb")))
-    seed_b = keep(_seed_buckets(qb, k + 1 if exclude_self else k))  # the query itself may be among them
-    return data.select("id", "v", "cb", "bucket"), q, qb, seed_b, seglens
-
+class _Side:
+    """What a search reads: ``data(id, v, cb, bucket)`` (the series meet their buckets once, in a written
+    table), ``buckets(bucket, root, size, lo, hi)``, the queries ``q(qid, qv, qpaa, q_norm)`` and their
+    ``walk``: the root groups of every query by ascending bound."""
 
-def _probed(data: DataFrame, q: DataFrame, probes: DataFrame, exclude_self: bool) -> DataFrame:
-    """Series of the probed buckets with their queries. The probe keys (no vectors) are broadcast when
-    their bytes are bounded, else joined by a shuffle on the bucket (AQE splits skewed buckets); the
-    query vectors join afterwards from the size-checked query side."""
-    size = probes.agg(F.sum(F.octet_length("bucket") + 64)).first()[0] or 0
-    j = data.join(F.broadcast(probes) if size <= _PROBE_BYTES else probes, "bucket").join(F.broadcast(q), "qid")
-    return j.where(F.col("qid") != F.col("id")) if exclude_self else j
+    def __init__(self, summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int, w: int,
+                 bps: list[list[float]] | None, exclude_self: bool, tight: bool = True):
+        if w > MAX_WORD:
+            raise ValueError(f"pruned search takes words of at most {MAX_WORD} segments")
+        bps = bps or breakpoints_fixed(w)
+        self.exclude_self = exclude_self
+        self.k = k + 1 if exclude_self else k  # the query itself may be among the seeds
+        # per-series cell bounds (8-bit cells) computed once per series, not per pair
+        full8 = F.array_repeat(F.lit(CARD_BITS), w)
+        cells = summary.select("id", "v", "paa", cell_bounds_expr(full8, F.col("sax"), bps).alias("cb"))
+        # as many parts as a shuffle has: a pair costs far more than a row, so small tables are spread as well
+        self.tasks = int(summary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        data = keep(cells.join(leaves.select("id", "bits", "prefix", "bucket"), "id").repartition(self.tasks, "id"))
+        first = data.select(F.size("v")).first()
+        self.seglens = segment_lengths(first[0] if first else 0, w)
+        root = F.aggregate(F.zip_with("prefix", "bits", lambda p, b: _shr(p, b - 1)), F.lit(0), lambda a, s: a * 2 + s)
+        sides = [F.array(*[f(F.element_at("paa", i + 1)) for i in range(w)]).alias(name) for name, f in (("elo", F.min), ("ehi", F.max))]
+        bt = data.groupBy("bucket", "bits", "prefix").agg(F.count(F.lit(1)).alias("size"), *sides)
+        if tight:
+            # tight bucket summary (F11a): the PAA envelope lies inside the SAX
+            # cell, so its bound is valid and never looser
+            bt = bt.select("bucket", root.alias("root"), "size", F.col("elo").alias("lo"), F.col("ehi").alias("hi"))
+        else:
+            bt = bt.withColumn("cell", cell_bounds_expr(F.col("bits"), F.col("prefix"), bps)).select(
+                "bucket", root.alias("root"), "size", "cell.lo", "cell.hi")
+        self.buckets = keep(bt)
+        norm = F.sqrt(F.aggregate("qv", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+        self.q = keep(queries.select("qid", "qv", paa_expr("qv", w).alias("qpaa"), norm.alias("q_norm")))
+        self.walk = keep(self._walk(w))
+        self.data = data.select("id", "v", "cb", "bucket")
+
+    def _walk(self, w: int) -> DataFrame:
+        """(qid, qpaa, steps): every root group with its bound, nearest first."""
+        sides = [F.array(*[f(F.element_at(c, i + 1)) for i in range(w)]).alias(c) for c, f in (("lo", F.min), ("hi", F.max))]
+        groups = self.buckets.groupBy("root").agg(*sides).orderBy("root").collect()  # at most 2^w, w <= MAX_WORD
+        roots = np.array([g["root"] for g in groups], dtype=np.int32)
+        lo, hi = (np.array([g[c] for g in groups], dtype=np.float64).reshape(-1, w) for c in ("lo", "hi"))
+        sent = self.buckets.sparkSession.sparkContext.broadcast((roots, lo, hi, [float(x) for x in self.seglens]))
+
+        def order(batches):
+            roots_, lo_, hi_, lens = sent.value
+            for b in batches:
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
+                for a in range(0, len(x), 256):
+                    part = x[a:a + 256]
+                    bound = np.zeros((len(part), len(roots_)))
+                    for i in range(w):  # summed in the order of envelope_lb_expr, so no bucket's bound is below its group's
+                        at = part[:, i, None]
+                        gap = np.maximum(np.maximum(lo_[:, i] - at, at - hi_[:, i]), 0.0)
+                        bound += lens[i] * (gap * gap)
+                    bound = np.sqrt(bound)
+                    at = np.argsort(bound, axis=1, kind="stable")
+                    offs = pa.array(np.arange(0, at.size + 1, max(1, at.shape[1]), dtype=np.int32)[:len(part) + 1]
+                                    if at.shape[1] else np.zeros(len(part) + 1, np.int32))
+                    steps = pa.StructArray.from_arrays([pa.array(np.take_along_axis(bound, at, 1).ravel()), pa.array(roots_[at].ravel())],
+                                                       names=["rb", "root"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(part)), b.column(1).slice(a, len(part)),
+                                                      pa.ListArray.from_arrays(offs, steps)], names=["qid", "qpaa", "steps"])
+
+        kind = self.q.schema["qid"].dataType.simpleString()
+        return self.q.select("qid", "qpaa").mapInArrow(order, f"qid {kind}, qpaa array<double>, steps array<struct<rb:double,root:int>>")
+
+    def _buckets_of(self, steps: DataFrame) -> DataFrame:
+        """Bounds of the buckets of the (qid, qpaa, root) given."""
+        met = steps.join(self.buckets, "root")
+        blb = F.sqrt(envelope_lb_expr(F.col("qpaa"), F.col("lo"), F.col("hi"), self.seglens))
+        return met.select("qid", "bucket", "size", blb.alias("blb"))
+
+    def seeds(self) -> DataFrame:
+        """(qid, bucket): the buckets nearest by bound that together hold k series.
+
+        A round takes the next groups of every open query, twice as many as the round before. A query is settled when
+        the buckets found below the bound of its next group hold k series: no bucket of the groups left can precede them.
+        """
+        found, live, at, take = None, self.walk, 0, 1
+        while True:
+            steps = live.select("qid", "qpaa", F.explode(F.slice("steps", at + 1, take)).alias("s")).select("qid", "qpaa", "s.root")
+            new = keep(self._buckets_of(steps))
+            found = new if found is None else found.unionByName(new)
+            at, take = at + take, take * 2
+            live = live.where(F.size("steps") > at)
+            nxt = live.select("qid", F.element_at("steps", at + 1)["rb"].alias("rb"))
+            held = found.join(nxt, "qid").where(F.col("blb") < F.col("rb")).groupBy("qid").agg(F.sum("size").alias("held"))
+            live = keep(live.join(held.where(F.col("held") >= self.k), "qid", "left_anti"))
+            if live.isEmpty():
+                return keep(_seed_buckets(found, self.k))
+
+    def bounded(self, limit: DataFrame) -> DataFrame:
+        """(qid, bucket, size, blb) of the buckets whose bound does not exceed the query's ``reach``; groups beyond it are not entered."""
+        near = self.walk.join(limit, "qid").select("qid", "qpaa", "reach", F.explode(F.filter("steps", lambda s: s["rb"] <= F.col("reach"))).alias("s"))
+        return (self._buckets_of(near.select("qid", "qpaa", "s.root")).join(limit, "qid").where(F.col("blb") <= F.col("reach")).drop("reach"))
+
+    def probed(self, probes: DataFrame) -> DataFrame:
+        """Series of the probed buckets with their queries. The probe keys (no vectors) are broadcast when
+        their bytes are bounded, else joined by a shuffle on the bucket (AQE splits skewed buckets); the
+        queries join afterwards by their id."""
+        size = probes.agg(F.sum(F.octet_length("bucket") + 64)).first()[0] or 0
+        j = self.data.join(F.broadcast(probes) if size <= _PROBE_BYTES else probes, "bucket").join(self.q, "qid")
+        return j.where(F.col("qid") != F.col("id")) if self.exclude_self else j
+
+    def unseen(self, seeds: DataFrame) -> DataFrame:
+        """Every pair of a query and a series outside the query's seed buckets."""
+        steps = self.walk.select("qid", "qpaa", F.explode("steps").alias("s")).select("qid", "qpaa", "s.root")
+        return self.probed(self._buckets_of(steps).select("qid", "bucket").join(seeds, ["qid", "bucket"], "left_anti"))
 
 
 def sax_approx(summary: DataFrame, leaves: DataFrame, queries: DataFrame, k: int, w: int,
                bps: list[list[float]] | None = None, exclude_self: bool = False) -> DataFrame:
     """Approximate answer from the nearest bucket(s) only (F14): ``(qid, rank, id, d)``."""
-    data, q, _, seed_b, _ = _search_side(summary, leaves, queries, k, w, bps, exclude_self)
-    p = _probed(data, q, seed_b, exclude_self).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
+    side = _Side(summary, leaves, queries, k, w, bps, exclude_self)
+    p = side.probed(side.seeds()).select("qid", "id", vec.euclidean("qv", "v").alias("d"))
     w1 = Window.partitionBy("qid").orderBy("d", "id")
     return p.withColumn("rank", F.row_number().over(w1)).where(F.col("rank") <= k).select("qid", "rank", "id", "d")
 

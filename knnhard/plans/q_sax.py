@@ -183,11 +183,48 @@ def _split_once_sql(policy):
     }
 
 
+def _tree_sql(policy="next_bit"):
+    """The full bucket tree: a row of an over-full bucket takes one more bit, until every bucket rests. All
+    rows of a bucket meet the same choice, so each level holds whole buckets."""
+    node = "list_transform(range(%d), lambda i: sax[i + 1] >> (8 - bits[i + 1]))" % W
+    if policy == "next_bit":
+        def score(i):
+            return f"abs(2 * sum((sax[{i + 1}] >> greatest(7 - bits[{i + 1}], 0)) & 1) OVER b - count(*) OVER b)"
+    else:
+        def score(i):
+            m, n = f"(sum(paa[{i + 1}]) OVER b / count(*) OVER b)", "count(*) OVER b"
+            sd = f"sqrt(greatest(0.0, sum(paa[{i + 1}] * paa[{i + 1}]) OVER b / {n} - {m} * {m}))"
+            at = f"({_bp_sql()})[(2 * (sax[{i + 1}] >> (8 - bits[{i + 1}])) + 1) << greatest(7 - bits[{i + 1}], 0)]"
+            return f"CASE WHEN {sd} > 0 THEN abs({at} - {m}) / {sd} ELSE 'inf'::DOUBLE END"
+    cands = ", ".join(f"CASE WHEN bits[{i + 1}] < 8 THEN [({score(i)})::DOUBLE, bits[{i + 1}]::DOUBLE, {i}::DOUBLE] END" for i in range(W))
+    return {
+        "tree(level, id, v, paa, sax, bits)": f"""
+  SELECT 0, id, v, paa, sax, list_transform(range({W}), lambda i: 1) FROM summ
+  UNION ALL
+  SELECT level + 1, id, v, paa, sax, list_transform(range({W}), lambda i: bits[i + 1] + CASE WHEN i = pick THEN 1 ELSE 0 END)
+  FROM (SELECT *, list_min([{cands}])[3]::INT AS pick, count(*) OVER b AS size FROM (SELECT *, {node} AS node FROM tree)
+        WINDOW b AS (PARTITION BY bits, node))
+  WHERE size > {LEAF} AND pick IS NOT NULL""",
+        "full_leaves": f"""SELECT id, v, sax, paa, bits, {_bucket_sql('bits')} AS bucket
+  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level DESC) AS rn FROM tree) WHERE rn = 1""",
+    }
+
+
+def _tree(body, policy="next_bit", extra=None):
+    sql = _sql(body, extra={**_tree_sql(policy), **(extra or {})})
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _once(spark, sf, policy="next_bit"):
     s = _summary(spark, sf)
     return s, sax.build_leaves(s, W, LEAF, policy, max_levels=1)
 
 
+def _full(spark, sf):
+    s = _summary_kept(spark, sf)
+    return s, sax.build_leaves(s, W, LEAF)
+
+
 @register("bucket_split_once", _sql("SELECT bucket, count(*)::BIGINT AS size FROM leaves GROUP BY bucket", extra=_split_once_sql("next_bit")))
 def q_bucket_split_once(spark, sf):
     _, lv = _once(spark, sf)
@@ -200,34 +237,53 @@ def q_bucket_split_dist(spark, sf):
     return lv.groupBy("bucket").agg(F.count(F.lit(1)).cast("long").alias("size"))
 
 
-@register("bucket_envelope", _sql(f"""SELECT l.bucket, e.seg::BIGINT AS seg, {S.r6('min(e.x)')} AS lo, {S.r6('max(e.x)')} AS hi
-FROM leaves l JOIN ex e USING (id) GROUP BY l.bucket, e.seg""", extra=_split_once_sql("next_bit")))
+@register("bucket_envelope", _tree(f"""SELECT l.bucket, e.seg::BIGINT AS seg, {S.r6('min(e.x)')} AS lo, {S.r6('max(e.x)')} AS hi
+FROM full_leaves l JOIN ex e USING (id) GROUP BY l.bucket, e.seg"""))
 def q_bucket_envelope(spark, sf):
-    s, lv = _once(spark, sf)
+    s, lv = _full(spark, sf)
     e = sax.bucket_envelope(s, lv)
     return e.select("bucket", F.col("seg").cast("long"), vec.rnd("lo").alias("lo"), vec.rnd("hi").alias("hi"))
 
 
-@register("bucket_prefix", _sql("""SELECT bucket, seg::BIGINT AS seg,
+@register("bucket_prefix", _tree("""SELECT bucket, seg::BIGINT AS seg,
   (8 - CASE WHEN xor(a, o) = 0 THEN 0 ELSE floor(log2(xor(a, o)))::INT + 1 END)::INT AS common_bits
-FROM (SELECT l.bucket, e.seg, bit_and(e.s) AS a, bit_or(e.s) AS o FROM leaves l JOIN exs e USING (id) GROUP BY l.bucket, e.seg)""",
-                                  extra=_split_once_sql("next_bit")))
+FROM (SELECT l.bucket, e.seg, bit_and(e.s) AS a, bit_or(e.s) AS o FROM full_leaves l JOIN exs e USING (id) GROUP BY l.bucket, e.seg)"""))
 def q_bucket_prefix(spark, sf):
-    s, lv = _once(spark, sf)
+    s, lv = _full(spark, sf)
     return sax.bucket_prefix(s, lv).select("bucket", F.col("seg").cast("long"), "common_bits")
 
 
-@register("bucket_compactness", _sql(f"""SELECT b.bucket, b.size, {S.r6('CASE WHEN b.size = 1 THEN 0.0 ELSE c.m END')} AS compactness
-FROM (SELECT bucket, count(*)::BIGINT AS size FROM leaves GROUP BY bucket) b LEFT JOIN (
-  SELECT x.bucket, avg({S.dist('euclidean', 'x.v', 'y.v')}) AS m FROM leaves x JOIN leaves y ON x.bucket = y.bucket AND x.id < y.id
-  GROUP BY x.bucket) c USING (bucket)""", extra=_split_once_sql("next_bit")))
+@register("bucket_compactness", _tree(f"""SELECT b.bucket, b.size, {S.r6('CASE WHEN b.size = 1 THEN 0.0 ELSE c.m END')} AS compactness
+FROM (SELECT bucket, count(*)::BIGINT AS size FROM full_leaves GROUP BY bucket) b LEFT JOIN (
+  SELECT x.bucket, avg({S.dist('euclidean', 'x.v', 'y.v')}) AS m FROM full_leaves x JOIN full_leaves y ON x.bucket = y.bucket AND x.id < y.id
+  GROUP BY x.bucket) c USING (bucket)"""))
 def q_bucket_compactness(spark, sf):
-    s, lv = _once(spark, sf)
+    s, lv = _full(spark, sf)
     c = sax.bucket_compactness(s, lv)
     return c.select("bucket", F.col("size").cast("long"), vec.rnd("compactness").alias("compactness"))
 
 
-@register("bucket_stats")
+_SIZES_SQL = "SELECT bucket, count(*)::BIGINT AS size FROM full_leaves GROUP BY bucket"
+
+
+@register("bucket_tree", _tree(_SIZES_SQL))
+def q_bucket_tree(spark, sf):
+    """Every bucket of the full tree (F8)."""
+    lv = sax.build_leaves(_summary_kept(spark, sf), W, LEAF)
+    return lv.groupBy("bucket").agg(F.count(F.lit(1)).cast("long").alias("size"))
+
+
+@register("bucket_tree_dist", _tree(_SIZES_SQL, "distribution"))
+def q_bucket_tree_dist(spark, sf):
+    """Every bucket of the full tree split by distribution."""
+    lv = sax.build_leaves(_summary_kept(spark, sf), W, LEAF, "distribution")
+    return lv.groupBy("bucket").agg(F.count(F.lit(1)).cast("long").alias("size"))
+
+
+@register("bucket_stats", _tree("""SELECT count(*)::BIGINT AS n_leaves, sum(size)::BIGINT AS n_series, max(size)::BIGINT AS max_leaf,
+  min(size)::BIGINT AS min_leaf, max(deep)::INT AS max_total_bits, count(DISTINCT root)::BIGINT AS n_roots
+FROM (SELECT bucket, count(*) AS size, any_value(list_sum(bits)) AS deep, any_value(list_transform(sax, lambda x: x >> 7)) AS root
+      FROM full_leaves GROUP BY bucket)"""))
 def q_bucket_stats(spark, sf):
     s = _summary_kept(spark, sf)
     lv = sax.build_leaves(s, W, LEAF)
@@ -259,7 +315,37 @@ def q_sax_knn(spark, sf):
     return ans.select("qid", F.col("rank").cast("long"), "id", vec.rnd("d").alias("d"))
 
 
-@register("sax_counters")
+def _env_lb_sql(lo: str, hi: str):
+    gap = [f"greatest(({lo})[{i + 1}] - q.qpaa[{i + 1}], q.qpaa[{i + 1}] - ({hi})[{i + 1}], 0.0)" for i in range(W)]
+    return "sqrt(" + " + ".join(f"{float(n)} * {g} * {g}" for n, g in zip(sax.segment_lengths(LEN, W), gap)) + ")"
+
+
+#: The search by its definition, on all pairs of queries and buckets: seeds, best so far, what is entered and compared.
+_SEARCH = {
+    "qs": f"SELECT id AS qid, {_paa_sql('v')} AS qpaa, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x))) AS norm FROM series",
+    "env": "SELECT bucket, count(*) AS size, " + ", ".join(
+        f"[{', '.join(f'{f}(paa[{i + 1}])' for i in range(W))}] AS {c}" for c, f in (("lo", "min"), ("hi", "max"))) + " FROM full_leaves GROUP BY bucket",
+    "qb": f"SELECT q.qid, e.bucket, e.size, {_env_lb_sql('e.lo', 'e.hi')} AS blb FROM qs q CROSS JOIN env e",
+    "seeds": f"""SELECT qid, bucket FROM (SELECT *, sum(size) OVER (PARTITION BY qid ORDER BY blb, bucket ROWS UNBOUNDED PRECEDING) AS cum FROM qb)
+  WHERE cum - size < {K + 1}""",
+    **_KNN_SERIES,
+    "first": "SELECT p.qid, p.id, p.d, row_number() OVER (PARTITION BY p.qid ORDER BY p.d, p.id) AS r FROM pairs p "
+             "JOIN full_leaves l ON l.id = p.id JOIN seeds s ON s.qid = p.qid AND s.bucket = l.bucket",
+    "best": f"SELECT q.qid, q.qpaa, coalesce(f.d + 1e-12 * (f.d + q.norm), 'inf'::DOUBLE) AS reach FROM qs q "
+            f"LEFT JOIN (SELECT qid, d FROM first WHERE r = {K}) f USING (qid)",
+    "entered": "SELECT b.qid, b.bucket FROM qb b JOIN best USING (qid) WHERE b.blb <= best.reach",
+}
+
+
+@register("sax_counters", _tree(f"""SELECT q.qid, n.n_buckets, coalesce(c.n_lb, 0)::BIGINT AS n_lb, (coalesce(f.n, 0) + coalesce(c.n_new, 0))::BIGINT AS n_dist,
+  {S.r6('(coalesce(f.n, 0) + coalesce(c.n_new, 0)) / (SELECT count(*) - 1.0 FROM series)')} AS hardness
+FROM qs q
+LEFT JOIN (SELECT qid, count(*)::BIGINT AS n_buckets FROM (SELECT * FROM seeds UNION SELECT * FROM entered) GROUP BY qid) n USING (qid)
+LEFT JOIN (SELECT qid, count(*) AS n FROM first GROUP BY qid) f USING (qid)
+LEFT JOIN (
+  SELECT e.qid, count(*) AS n_lb, count(*) FILTER (s.bucket IS NULL AND sqrt({_lb_sql('q.qpaa', 'l.sax')}) <= q.reach) AS n_new
+  FROM entered e JOIN full_leaves l ON l.bucket = e.bucket AND l.id <> e.qid JOIN best q ON q.qid = e.qid
+  LEFT JOIN seeds s ON s.qid = e.qid AND s.bucket = e.bucket, (SELECT {_bp_sql()} AS bp) GROUP BY e.qid) c USING (qid)""", extra=_SEARCH))
 def q_sax_counters(spark, sf):
     s = _summary_kept(spark, sf)
     lv = sax.build_leaves(s, W, LEAF)
@@ -267,7 +353,7 @@ def q_sax_counters(spark, sf):
     return c.select("qid", "n_buckets", "n_lb", "n_dist", vec.rnd("hardness").alias("hardness"))
 
 
-@register("sax_approx")
+@register("sax_approx", _tree(f"SELECT qid, r::BIGINT AS rank, id, {S.r6('d')} AS d FROM first WHERE r <= {K}", extra=_SEARCH))
 def q_sax_approx(spark, sf):
     s = _summary_kept(spark, sf)
     lv = sax.build_leaves(s, W, LEAF)
@@ -275,6 +361,15 @@ def q_sax_approx(spark, sf):
     return a.select("qid", F.col("rank").cast("long"), "id", vec.rnd("d").alias("d"))
 
 
+@register("sax_unpruned", _sql(f"""SELECT qid, rank::BIGINT AS rank, id, {S.r6('d')} AS d FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM pairs) WHERE rank <= {K}""", extra=_KNN_SERIES))
+def q_sax_unpruned(spark, sf):
+    """The search without lower bounds: every series is compared."""
+    s = _summary_kept(spark, sf)
+    ans, _ = sax.sax_search(s, sax.build_leaves(s, W, LEAF), _queries(s), K, W, lower_bounding=False, exclude_self=True)
+    return ans.select("qid", F.col("rank").cast("long"), "id", vec.rnd("d").alias("d"))
+
+
 @register("sax_budget", _sql(f"""SELECT qid, rank::BIGINT AS rank, id, {S.r6('d')} AS d FROM (
   SELECT p.qid, p.id, p.d, row_number() OVER (PARTITION BY p.qid ORDER BY p.d, p.id) AS rank
   FROM pairs p JOIN (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lb, id) AS o FROM lbs) WHERE o <= {BUDGET}) b

@@ -68,10 +68,14 @@ class VecFileReader(DataSourceReader):
                 with open(f, "rb") as fh:
                     n, dim = (int(x) for x in np.frombuffer(fh.read(8), dtype=np.int32))
                 header = 8
+                if size != header + 4 * n * dim:
+                    raise ValueError(f"{f}: {size} bytes, but its header says {n} x {dim} values of 4 bytes")
             else:
                 dim = self.dim_opt or parse_name(self.path if os.path.isdir(self.path) else f)[2]
                 header = 0
-                n = (size - header) // (4 * dim)
+                n, rest = divmod(size, 4 * dim)
+                if rest:
+                    raise ValueError(f"{f}: {size} bytes are no whole number of vectors of {dim} values")
             out.append((f, header, n, dim, next_id))
             next_id += n
         return out

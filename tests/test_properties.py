@@ -450,3 +450,16 @@ def test_workloads_by_type_with_truth(spark):
         assert [len(r.topk) for r in gt.collect()] == [min(20, n)] * want
     with pytest.raises(ValueError):
         G.dispatch_workload(v, {"workload_type": "empirical-difficulty-based", "index": "faiss_hnsw", "target_low": 0.1, "target_high": 0.2})
+
+
+def test_vector_files_of_odd_length_raise(spark, tmp_path):
+    from knnhard.sources import vecfile
+
+    np.arange(10, dtype="<f4").tofile(tmp_path / "odd-euclidean-4-3.bin")
+    with pytest.raises(Exception, match="whole number of vectors"):
+        vecfile.read_vectors(spark, str(tmp_path / "odd-euclidean-4-3.bin"), dim=4).count()
+    with open(tmp_path / "short.fbin", "wb") as f:
+        np.array([3, 4], "<i4").tofile(f)
+        np.arange(10, dtype="<f4").tofile(f)
+    with pytest.raises(Exception, match="its header says"):
+        vecfile.read_vectors(spark, str(tmp_path / "short.fbin")).count()
