@@ -1,11 +1,14 @@
-"""Bulk distance scan: broadcast query matrix x partitioned vector table.
-
-This is the scalable physical path for every hardness measure. The query
-side (a few hundred to a few thousand vectors) is collected once, checked
-against a size bound and broadcast; the vector table is never moved. Each
-task streams its Arrow batches through numpy (``X @ Q.T``) and keeps only
-per-query partials: count, sum, min/max and a top-``m`` list. A task emits
-one row per query, so the shuffle volume is ``q x tasks`` rows independent
+"""Bulk distance scan: query matrix x partitioned vector table.
+
+This is the scalable physical path for every hardness measure. A query side
+of at most ``MAX_QUERY_BYTES`` (a few hundred to a few thousand vectors) is
+broadcast and the vector table is never moved. A larger one, or one asked for
+in blocks, is a table as the vectors are: both sides get block numbers, and
+every pair of blocks meets as one cogroup (``_meet``), so neither side passes
+the driver and a task holds one block of each. Either way a task
+streams Arrow batches through numpy (``X @ Q.T``) and keeps only
+per-query partials: count, sum, min/max and a top-``m`` list. It emits
+one row per query, so the volume of results is ``q x tasks`` rows independent
 of the table size; the per-query merge is a two-level (salted) aggregate so
 that no single group ever holds all partials of a query.
 
@@ -16,16 +19,26 @@ results equal the SQL expression path to the last bits that matter.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 METRICS = ("euclidean", "angular", "ip")
 # largest query matrix we accept to broadcast (bytes, float64)
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+# largest query side that goes to every task; a larger one meets the vectors block by block
+MAX_QUERY_BYTES = 64 * 1024 * 1024
+# bytes of one block of queries, and of vectors, that a task holds when blocks meet
+_QUERY_BLOCK = 32 * 1024 * 1024
+_VECTOR_BLOCK = 64 * 1024 * 1024
 # distance-matrix elements computed at once inside a task
 _CHUNK_ELEMS = 4_000_000
 # bytes of top lists (distance and id) a task holds at once; more queries take further scans
@@ -57,7 +70,7 @@ def collect_queries(queries: DataFrame, qid: str = "qid", qv: str = "qv", extra:
     est = q * max(dim, 1) * 8
     if est > max_bytes:
         raise ValueError(
-            f"query side is {est} bytes > {max_bytes}; process it in batches (knn_batched / query_batches)")
+            f"this side is {est} bytes > {max_bytes}, too large for every task")
     cols = [F.col(qid).cast("long").alias("qid"), F.col(qv).cast("array<double>").alias("qv")]
     cols += [F.col(c) for c in extra]
     pdf = queries.select(*cols).toPandas()
@@ -67,6 +80,64 @@ def collect_queries(queries: DataFrame, qid: str = "qid", qv: str = "qv", extra:
     return qids, Q, ext
 
 
+Body = Callable[[tuple, int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _meet(vectors: DataFrame, queries: DataFrame, body: Body, schema: str, extra: tuple[str, ...] = (), more: tuple[str, ...] = (),
+          vid: str = "id", vcol: str = "v", qid: str = "qid", qv: str = "qv", row_bytes: int | Callable[[int], int] = 0,
+          block_rows: int | None = None) -> DataFrame:
+    """Rows that ``body(side, part, batches)`` yields for every block of queries and part of the vectors.
+
+    ``side`` is ``(qids, Q, *extra)``; ``more`` are further vector columns (long). ``row_bytes`` is what a task
+    holds for every query besides its vector (or that by dimension), and bounds the queries taken at once. ``block_rows`` asks for blocks of
+    about that many queries at any size.
+    """
+    st = queries.agg(F.count(F.lit(1)).alias("q"), F.max(F.size(qv)).alias("dim"), F.min(F.size(qv)).alias("dmin")).first()
+    q, dim, dmin = st["q"], max(st["dim"] or 0, 1), st["dmin"] or 0
+    if q and dim != max(dmin, 1):
+        raise ValueError(f"queries have ragged dimensions ({dmin}..{dim})")
+    if callable(row_bytes):
+        row_bytes = row_bytes(dim)
+    cols = [F.col(vid).cast("long").alias(vid), F.col(vcol), *[F.col(c).cast("long").alias(c) for c in more]]
+    if block_rows is None and q * dim * 8 <= MAX_QUERY_BYTES:
+        qids, Q, ext = collect_queries(queries, qid, qv, extra)
+        step = max(1, _LIST_BYTES // row_bytes) if row_bytes else max(1, q)
+        out = None
+        for a in range(0, max(1, q), step):
+            rows = slice(a, a + step)
+            sent = vectors.sparkSession.sparkContext.broadcast((qids[rows], Q[rows], *[_column(ext[c][rows]) for c in extra]))
+            part = vectors.select(*cols).mapInArrow(
+                lambda batches, sent=sent: body(sent.value, TaskContext.get().partitionId(), batches), schema)
+            out = part if out is None else out.unionByName(part)
+        return out
+    held = max(q * dim * 8 / _QUERY_BLOCK, q * row_bytes / _LIST_BYTES, q / block_rows if block_rows else 0)
+    n_q = max(1, math.ceil(held))
+    n_v = max(1, math.ceil(vectors.count() * dim * 8 / _VECTOR_BLOCK))
+    # ids are dealt by digest, so that blocks are about equal; each side is repeated once per block of the other
+    v = vectors.select(*cols, F.pmod(F.xxhash64(vid), F.lit(n_v)).alias("_vb"), F.explode(_numbers(n_q)).alias("_qb"))
+    qs = queries.select(F.col(qid).cast("long").alias("_qid"), F.col(qv).cast("array<double>").alias("_qv"), *[F.col(c).alias(f"_x_{c}") for c in extra],
+                        F.explode(_numbers(n_v)).alias("_vb"), F.pmod(F.xxhash64(F.col(qid).cast("long")), F.lit(n_q)).alias("_qb"))
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def pair(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.combine_chunks()
+        flat = right.column("_qv").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        side = (right.column("_qid").to_numpy(), flat.reshape(right.num_rows, dim), *[_column(right.column(f"_x_{c}").to_pylist()) for c in extra])
+        got = body(side, key[0].as_py(), iter(left.to_batches(max_chunksize=10_000)))
+        return pa.Table.from_batches([b.cast(shape) for b in got], shape)
+
+    return v.groupBy("_vb", "_qb").cogroup(qs.groupBy("_vb", "_qb")).applyInArrow(pair, schema)
+
+
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
+def _column(values) -> np.ndarray:
+    """A query column as an array: numbers, or rows of equally many numbers."""
+    return np.array([np.asarray(x, dtype=np.float64) for x in values]) if len(values) else np.zeros(0)
+
+
 def _matrix(batch: pa.RecordBatch, col: str) -> np.ndarray:
     arr = batch.column(batch.schema.get_field_index(col))
     n = len(arr)
@@ -162,26 +233,13 @@ def _self_mask(qids: np.ndarray, ids: np.ndarray, rows: slice) -> np.ndarray:
 
 def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m: int = 21,
             exclude_self: bool = False, vid: str = "id", vcol: str = "v",
-            qid: str = "qid", qv: str = "qv") -> DataFrame:
+            qid: str = "qid", qv: str = "qv", block_rows: int | None = None) -> DataFrame:
     """Per query: ``n, sum_d, min_d, max_d`` over all points and the ``m``
-    nearest as ``top array<struct<d,id>>`` ordered by (d, id)."""
+    nearest as ``top array<struct<d,id>>`` ordered by (d, id). ``block_rows``: queries of a block, see ``_meet``."""
     _check_metric(metric)
-    qids, Q, _ = collect_queries(queries, qid, qv)
-    step = max(1, _LIST_BYTES // (16 * m))
-    parts = None
-    for a in range(0, max(1, len(qids)), step):
-        block = _profile_parts(vectors, qids[a:a + step], Q[a:a + step], metric, m, exclude_self, vid, vcol)
-        parts = block if parts is None else parts.unionByName(block)
-    return merge_profiles(parts, m, SALTS)
-
-
-def _profile_parts(vectors: DataFrame, qids: np.ndarray, Q: np.ndarray, metric: str, m: int, exclude_self: bool,
-                   vid: str, vcol: str) -> DataFrame:
-    """One row per task and query of a block of queries whose top lists fit a task."""
-    bQ = vectors.sparkSession.sparkContext.broadcast((qids, Q))
 
-    def body(batches):
-        qids_, Q_ = bQ.value
+    def body(side, pid, batches):
+        qids_, Q_ = side
         q = len(qids_)
         if q == 0:
             return
@@ -217,7 +275,6 @@ def _profile_parts(vectors: DataFrame, qids: np.ndarray, Q: np.ndarray, metric:
                 ex[~np.isfinite(np.take_along_axis(D, idx, 1))] = np.inf
                 next_d[rows], next_i[rows], _ = _merge_top(best_d[rows], best_i[rows], ex, ids[idx], width)
             best_d, best_i = next_d, next_i
-        pid = TaskContext.get().partitionId()
         step = max(1, _CHUNK_ELEMS // max(1, best_d.shape[1]))
         for a in range(0, q, step):  # rows are sorted by (d, id); excluded ones are not finite and last
             rows = slice(a, min(q, a + step))
@@ -236,7 +293,8 @@ def _profile_parts(vectors: DataFrame, qids: np.ndarray, Q: np.ndarray, metric:
                 names=["qid", "pid", "n", "sum_d", "min_d", "max_d", "top"])
 
     schema = f"qid long, pid int, n long, sum_d double, min_d double, max_d double, top {TOP_TYPE}"
-    return vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(body, schema)
+    parts = _meet(vectors, queries, body, schema, vid=vid, vcol=vcol, qid=qid, qv=qv, row_bytes=16 * m, block_rows=block_rows)
+    return merge_profiles(parts, m, SALTS)
 
 
 def merge_profiles(parts: DataFrame, m: int, salts: int) -> DataFrame:
@@ -262,13 +320,10 @@ def within_counts(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr",
     aggregate.
     """
     _check_metric(metric)
-    qids, Q, ext = collect_queries(queries, qid, qv, extra=(thr_col,))
-    T = np.array([np.asarray(t, dtype=np.float64) for t in ext[thr_col]]).reshape(len(qids), -1)
-    sc = vectors.sparkSession.sparkContext
-    bQ = sc.broadcast((qids, Q, T))
 
-    def body(batches):
-        qids_, Q_, T_ = bQ.value
+    def body(side, pid, batches):
+        qids_, Q_, T_ = side
+        T_ = T_.reshape(len(qids_), -1 if len(qids_) else 0)
         q, t = T_.shape if T_.size else (len(qids_), 0)
         qn2 = np.einsum("qd,qd->q", Q_, Q_)
         acc: dict = {}
@@ -322,13 +377,11 @@ def within_counts(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr",
                  pa.array([k[2] for k in keys], pa.int64()), pa.array(list(acc.values()), pa.int64())],
                 names=["qid", "j", "cell", "cnt"])
 
-    cols = [F.col(vid).cast("long").alias(vid), F.col(vcol)]
     if cell_col:
-        cols.append(F.col(cell_col).cast("long").alias(cell_col))
         schema, keys = "qid long, j int, cell long, cnt long", ["qid", "j", "cell"]
     else:
         schema, keys = "qid long, j int, cnt long", ["qid", "j"]
-    parts = vectors.select(*cols).mapInArrow(body, schema)
+    parts = _meet(vectors, queries, body, schema, (thr_col,), (cell_col,) if cell_col else (), vid, vcol, qid, qv)
     return parts.groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
 
 
@@ -418,12 +471,9 @@ def gradient_partials(vectors: DataFrame, queries: DataFrame, metric: str = "euc
     ``top array<struct<d,id,v>>``; merged by the same salted two-level
     aggregate as ``profile``."""
     _check_metric(metric)
-    qids, Q, _ = collect_queries(queries, max_bytes=MAX_BROADCAST_BYTES // m)  # a task holds m vectors per query
-    sc = vectors.sparkSession.sparkContext
-    bQ = sc.broadcast((qids, Q))
 
-    def body(batches):
-        qids_, Q_ = bQ.value
+    def body(side, pid, batches):
+        qids_, Q_ = side
         q, dim = Q_.shape
         qn2 = np.einsum("qd,qd->q", Q_, Q_)
         n = np.zeros(q, dtype=np.int64)
@@ -464,7 +514,6 @@ def gradient_partials(vectors: DataFrame, queries: DataFrame, metric: str = "euc
             best_d, best_i, best_v = next_d, next_i, next_v
         if q == 0:
             return
-        pid = TaskContext.get().partitionId()
         offs, ds, is_, vs = [0], [], [], []
         for r in range(q):
             order = [j for j in np.lexsort((best_i[r], best_d[r])) if np.isfinite(best_d[r, j])][:m]
@@ -482,7 +531,8 @@ def gradient_partials(vectors: DataFrame, queries: DataFrame, metric: str = "euc
 
     schema = ("qid long, pid int, n long, sum_d double, g array<double>, "
               "top array<struct<d:double,id:bigint,v:array<double>>>")
-    parts = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(body, schema)
+    # a task holds m vectors per query
+    parts = _meet(vectors, queries, body, schema, vid=vid, vcol=vcol, row_bytes=lambda dim: 8 * m * (dim + 2))
     salts = SALTS
 
     def aggs():
@@ -508,14 +558,9 @@ def histogram(vectors: DataFrame, queries: DataFrame, bins: int, metric: str = "
     an edge are measured by the left-to-right fold, bit-identical to the SQL expression, so bin
     edges are decided exactly as a SQL engine decides them."""
     _check_metric(metric)
-    qids, Q, ext = collect_queries(queries, extra=("lo", "hi"))
-    lo = np.asarray(ext["lo"], dtype=float)
-    hi = np.asarray(ext["hi"], dtype=float)
-    sc = vectors.sparkSession.sparkContext
-    bQ = sc.broadcast((qids, Q, lo, hi))
 
-    def body(batches):
-        qids_, Q_, lo_, hi_ = bQ.value
+    def body(side, pid, batches):
+        qids_, Q_, lo_, hi_ = side
         q = len(qids_)
         qn2 = np.einsum("qd,qd->q", Q_, Q_)
         counts = np.zeros((q, bins), dtype=np.int64)
@@ -543,15 +588,13 @@ def histogram(vectors: DataFrame, queries: DataFrame, bins: int, metric: str = "
                 counts[rows] += np.bincount(r * bins + b[keep], minlength=len(D) * bins).reshape(-1, bins)
         if q == 0:
             return
-        pid = TaskContext.get().partitionId()
         offs = np.arange(0, (q + 1) * bins, bins, dtype=np.int32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(qids_, pa.int64()), pa.array(np.full(q, pid), pa.int32()),
              pa.ListArray.from_arrays(pa.array(offs), pa.array(counts.ravel(), pa.int64()))],
             names=["qid", "pid", "counts"])
 
-    parts = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(
-        body, "qid long, pid int, counts array<bigint>")
+    parts = _meet(vectors, queries, body, "qid long, pid int, counts array<bigint>", ("lo", "hi"), vid=vid, vcol=vcol, row_bytes=8 * bins)
     salts = SALTS
 
     def agg():
@@ -568,13 +611,9 @@ def pairs_within(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr", m
     """All pairs with ``d <= thr`` (per-query threshold column): ``(qid, id, d)``,
     distances by the SQL-identical fold. Emits only the qualifying pairs."""
     _check_metric(metric)
-    qids, Q, ext = collect_queries(queries, extra=(thr_col,))
-    T = np.asarray(ext[thr_col], dtype=float)
-    sc = vectors.sparkSession.sparkContext
-    bQ = sc.broadcast((qids, Q, T))
 
-    def body(batches):
-        qids_, Q_, T_ = bQ.value
+    def body(side, pid, batches):
+        qids_, Q_, T_ = side
         q = len(qids_)
         qn2 = np.einsum("qd,qd->q", Q_, Q_)
         for batch in batches:
@@ -600,4 +639,4 @@ def pairs_within(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr", m
                     [pa.array(qids_[rows][rr[ok]], pa.int64()), pa.array(ids[cc[ok]], pa.int64()), pa.array(d[ok])],
                     names=["qid", "id", "d"])
 
-    return vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol)).mapInArrow(body, "qid long, id long, d double")
+    return _meet(vectors, queries, body, "qid long, id long, d double", (thr_col,), vid=vid, vcol=vcol)
