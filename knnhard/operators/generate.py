@@ -2,10 +2,10 @@
 
 Queries of a chosen hardness are produced by batch-synchronous searches:
 every step is ONE Spark pass over the vector table for all queries of the
-batch (the q x dim state is broadcast, per-query partial aggregates come
-back), so a step costs one scan however many queries are searched. The
-driver holds only the batch state (q x dim numbers), re-created each step
-from the collected rows, which also cuts the lineage between steps.
+batch (per-query partial aggregates come back), so a step costs one scan
+however many queries are searched. The state of a search (points, moments,
+scores) is a table of its own: a step joins it with what the scan found and
+writes it as the next part, which also cuts the lineage between steps.
 
 Randomness is hash-derived (``knnhard.functions.rand``): a step is a pure
 function of (seed, query, step), so re-executed tasks and other engines
@@ -26,7 +26,7 @@ from knnhard.functions import rand, vec
 from knnhard.operators import hardness as H
 from knnhard.operators import scan
 from knnhard.operators import vectors as vops
-from knnhard.session import keep
+from knnhard.session import keep, scratch
 
 # Target-RC factors per class, (r - 1) * factor + 1
 CLASS_FACTORS = {
@@ -167,32 +167,39 @@ def adam_update(x, g, m, v, t, lr):
     return x - lr * mh / (np.sqrt(vh) + ADAM_EPS), m, v
 
 
-def gradient_direction(x: np.ndarray, grad: np.ndarray, score: np.ndarray, high: float, metric: str,
-                       steer_by_score: bool = False) -> np.ndarray:
+def direction_expr(x: Column, grad: Column, score: Column, high: float, metric: str, steer_by_score: bool = False) -> Column:
     """Tangent projection (angular) and sign rule of the reference: descend
     RC unless the score is below the interval (then ascend); for an
     empirical score the rule is reversed (G10/G12)."""
-    g = grad.copy()
-    if metric == "angular":
-        g = g - (g * x).sum(1, keepdims=True) * x
-        nrm = np.linalg.norm(g, axis=1, keepdims=True)
-        g = g / np.where(nrm > 0, nrm, 1.0)
     flip = score > high if steer_by_score else score < high
-    g[flip] = -g[flip]
-    return g
+    sign = F.when(flip, F.lit(-1.0)).otherwise(F.lit(1.0))
+    if metric != "angular":
+        return vec.let(sign, lambda s: F.transform(grad, lambda g: s * g))
 
+    def tangent(g: Column) -> Column:
+        return vec.let(vec.dot(g, x), lambda along: F.zip_with(g, x, lambda a, b: a - along * b))
 
-def _post(x: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "angular":
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-    if metric == "ip":
-        x = x.copy()
-        x[:, -1] = 0.0
-    return x
+    def scaled(t: Column) -> Column:
+        return vec.let(F.sqrt(F.aggregate(t, F.lit(0.0), lambda acc, a: acc + a * a)), lambda n: F.transform(
+            t, lambda a: sign * (a / F.when(n > 0, n).otherwise(F.lit(1.0)))))
+
+    return vec.let(tangent(grad), scaled)
+
+
+def adam_columns(state: DataFrame, t: int, lr: float, metric: str) -> DataFrame:
+    """One Adam step of every row of ``state(x, m, v, d)`` along the direction ``d``: new ``x``, ``m``, ``v``.
+
+    Element by element in the order of ``adam_update``."""
+    c1, c2 = 1 - ADAM_B1 ** t, 1 - ADAM_B2 ** t
+    moved = state.withColumn("m", F.zip_with("m", "d", lambda m, g: F.lit(ADAM_B1) * m + F.lit(1 - ADAM_B1) * g)).withColumn(
+        "v", F.zip_with("v", "d", lambda v, g: F.lit(ADAM_B2) * v + F.lit(1 - ADAM_B2) * g * g))
+    step = F.zip_with("m", "v", lambda m, v: F.lit(lr) * (m / F.lit(c1)) / (F.sqrt(v / F.lit(c2)) + F.lit(ADAM_EPS)))
+    moved = moved.withColumn("x", F.zip_with("x", step, lambda x, s: x - s))
+    return moved.withColumn("x", _post_col("x", metric))
 
 
-def _frame(spark, qids, X) -> DataFrame:
-    return spark.createDataFrame([(int(a), [float(v) for v in b]) for a, b in zip(qids, X)], "qid long, qv array<double>")
+def _zeros(like: str) -> Column:
+    return F.transform(like, lambda _: F.lit(0.0))
 
 
 def gradient_step(vectors: DataFrame, state: DataFrame, k: int, low: float, high: float, lr: float,
@@ -201,18 +208,10 @@ def gradient_step(vectors: DataFrame, state: DataFrame, k: int, low: float, high
     ``(qid, rc, in_target, qv)`` where ``qv`` is the moved query (unchanged
     when already inside the interval)."""
     g = rc_gradient(vectors, state, k, metric, exclude_self).join(state.select("qid", vec.dvec("qv").alias("x")), "qid")
-    pdf = g.orderBy("qid").toPandas()
-    X = np.array(pdf["x"].tolist(), dtype=float)
-    G = np.array(pdf["grad"].tolist(), dtype=float)
-    rc = pdf["rc"].to_numpy(dtype=float)
-    inside = (rc >= low) & (rc <= high)
-    d = gradient_direction(X, G, rc, high, metric)
-    X1, _, _ = adam_update(X, d, np.zeros_like(X), np.zeros_like(X), 1, lr)
-    X1 = _post(X1, metric)
-    X1[inside] = X[inside]
-    spark = vectors.sparkSession
-    rows = [(int(q), float(r), bool(i), [float(v) for v in x]) for q, r, i, x in zip(pdf["qid"], rc, inside, X1)]
-    return spark.createDataFrame(rows, "qid long, rc double, in_target boolean, qv array<double>")
+    g = g.withColumn("in_target", (F.col("rc") >= low) & (F.col("rc") <= high)).withColumn("start", F.col("x"))
+    g = g.withColumns({"m": _zeros("x"), "v": _zeros("x"), "d": direction_expr(F.col("x"), F.col("grad"), F.col("rc"), high, metric)})
+    moved = adam_columns(g, 1, lr, metric)
+    return moved.select("qid", "rc", "in_target", F.when(F.col("in_target"), F.col("start")).otherwise(F.col("x")).alias("qv"))
 
 
 def anneal_accept(y: Column, y_next: Column, low: float, high: float, temp: Column, u: Column) -> Column:
@@ -248,11 +247,6 @@ def anneal_step(vectors: DataFrame, state: DataFrame, k: int, low: float, high:
 
 # -------------------------------------------------------------- loops
 
-def _collect_matrix(df: DataFrame):
-    pdf = df.orderBy("qid").toPandas()
-    return pdf["qid"].to_numpy(dtype=np.int64), np.array(pdf["qv"].tolist(), dtype=float)
-
-
 def gradient_search(vectors: DataFrame, starts: DataFrame, k: int, low: float, high: float, lr: float = 1.0,
                     max_iter: int = 200, metric: str = "euclidean", seed: int = 1234, score_fn=None,
                     start_noise: float = 1e-3, exclude_self: bool = False, keep_trajectory: bool = False):
@@ -261,54 +255,40 @@ def gradient_search(vectors: DataFrame, starts: DataFrame, k: int, low: float, h
     ``starts(qid, qv)``: start points (a data row; N(0, start_noise) is
     added by hash normals). Returns ``(final, trace)``: final
     ``(qid, qv, rc, score, reached, iterations)`` and the trace rows
-    ``(iteration, rc, score, elapsed_s, qid[, qv])``. Converged queries
-    leave the batch; each iteration is one scan for the rest.
+    ``(iteration, rc, score, elapsed_s, qid[, qv])``.
+
+    The queries and their moments are a table: an iteration is one scan of the vectors for the queries not yet inside, joined
+    with their state and written as the next part of one table, which cuts the lineage. Queries inside the interval
+    stay behind in the part of their iteration, so the parts together are both the trace and the result.
     """
     spark = vectors.sparkSession
     s0 = starts.select("qid", F.zip_with(vec.dvec("qv"), rand.normal_vec(seed, "start", F.col("qid"), F.size("qv")),
-                                         lambda a, e: a + F.lit(start_noise) * e).alias("qv"))
-    s0 = s0.select("qid", _post_col("qv", metric).alias("qv"))
-    qids, X = _collect_matrix(s0)
-    M, V = np.zeros_like(X), np.zeros_like(X)
-    active = np.ones(len(qids), dtype=bool)
-    reached = np.zeros(len(qids), dtype=bool)
-    last_rc = np.full(len(qids), np.nan)
-    last_score = np.full(len(qids), np.nan)
-    iters = np.zeros(len(qids), dtype=np.int64)
-    trace = []
+                                         lambda a, e: a + F.lit(start_noise) * e).alias("x"))
+    s0 = s0.select("qid", _post_col("x", metric).alias("x"))
+    live = keep(s0.withColumns({"m": _zeros("x"), "v": _zeros("x")}))
+    root = scratch(spark)
     t0 = time.time()
-    vectors = vectors.persist()
+    last = -1
     for it in range(max_iter):
-        idx = np.nonzero(active)[0]
-        if len(idx) == 0:
+        cur = live.select("qid", F.col("x").alias("qv"))
+        g = rc_gradient(vectors, cur, k, metric, exclude_self).select("qid", "rc", "grad")
+        g = g.withColumn("score", F.col("rc")) if score_fn is None else g.join(score_fn(cur).select("qid", "score"), "qid")
+        seen = live.join(g, "qid").withColumn("inside", F.coalesce((F.col("score") >= low) & (F.col("score") <= high), F.lit(False)))
+        seen = seen.withColumn("elapsed_s", F.lit(time.time() - t0))
+        seen.write.parquet(f"{root}/iteration={it}")
+        last = it
+        seen = spark.read.schema(seen.schema).parquet(f"{root}/iteration={it}").where("NOT inside")
+        if it == max_iter - 1 or seen.isEmpty():
             break
-        cur = _frame(spark, qids[idx], X[idx])
-        g = rc_gradient(vectors, cur, k, metric, exclude_self).toPandas().set_index("qid").loc[qids[idx]]
-        rc = g["rc"].to_numpy(dtype=float)
-        G = np.array(g["grad"].tolist(), dtype=float)
-        score = rc if score_fn is None else score_fn(cur).toPandas().set_index("qid").loc[qids[idx]]["score"].to_numpy(dtype=float)
-        el = time.time() - t0
-        for j, r in enumerate(idx):
-            row = (it, float(rc[j]), float(score[j]), el, int(qids[r]))
-            trace.append(row + ((X[r].tolist(),) if keep_trajectory else ()))
-        last_rc[idx], last_score[idx], iters[idx] = rc, score, it
-        ok = (score >= low) & (score <= high)
-        reached[idx[ok]] = True
-        active[idx[ok]] = False
-        mv = idx[~ok]
-        if len(mv) == 0 or it == max_iter - 1:
-            break
-        d = gradient_direction(X[mv], G[~ok], score[~ok], high, metric, steer_by_score=score_fn is not None)
-        X[mv], M[mv], V[mv] = adam_update(X[mv], d, M[mv], V[mv], it + 1, lr)
-        X[mv] = _post(X[mv], metric)
-    vectors.unpersist()
-    final = spark.createDataFrame(
-        [(int(q), [float(v) for v in x], float(r), float(s), bool(b), int(n))
-         for q, x, r, s, b, n in zip(qids, X, last_rc, last_score, reached, iters)],
-        "qid long, qv array<double>, rc double, score double, reached boolean, iterations long")
-    schema = "iteration long, rc double, score double, elapsed_s double, qid long" + (
-        ", qv array<double>" if keep_trajectory else "")
-    return final, spark.createDataFrame(trace, schema)
+        d = direction_expr(F.col("x"), F.col("grad"), F.col("score"), high, metric, steer_by_score=score_fn is not None)
+        live = adam_columns(seen.select("qid", "x", "m", "v", d.alias("d")), it + 1, lr, metric).select("qid", "x", "m", "v")
+    kind = live.schema["qid"].dataType.simpleString()
+    shape = f"qid {kind}, x array<double>, rc double, score double, inside boolean, elapsed_s double, iteration long"
+    parts = spark.read.schema(shape).parquet(root) if last >= 0 else spark.createDataFrame([], shape)
+    final = parts.where(F.col("inside") | (F.col("iteration") == last)).select(
+        "qid", F.col("x").alias("qv"), "rc", "score", F.col("inside").alias("reached"), F.col("iteration").alias("iterations"))
+    trace = parts.select("iteration", "rc", "score", "elapsed_s", "qid", *([F.col("x").alias("qv")] if keep_trajectory else []))
+    return final, trace
 
 
 def _post_col(c, metric) -> Column:
@@ -327,52 +307,57 @@ def anneal_search(vectors: DataFrame, starts: DataFrame, k: int, low: float, hig
     False for queries that did not enter the interval (Q17), ``best_score``
     is kept beside the reference's "last closer" point (Q18)."""
     spark = vectors.sparkSession
-    vectors = vectors.persist()
-    qids, X = _collect_matrix(starts.select("qid", vec.dvec("qv").alias("qv")))
-    cur = _frame(spark, qids, X)
-    y = (rc_scores(vectors, cur, k, metric, exclude_self) if score_fn is None else score_fn(cur)).toPandas().set_index("qid").loc[qids]["score"].to_numpy(float)
-    best_x, best_y, best_score = X.copy(), y.copy(), y.copy()
-    stale = np.zeros(len(qids), dtype=np.int64)
-    reached = (y >= low) & (y <= high)
+    start = starts.select("qid", vec.dvec("qv").alias("x"))
+    cur = start.select("qid", F.col("x").alias("qv"))
+    scored = rc_scores(vectors, cur, k, metric, exclude_self) if score_fn is None else score_fn(cur)
+    inside = F.coalesce((F.col("y") >= low) & (F.col("y") <= high), F.lit(False))
+    state = start.join(scored.select("qid", F.col("score").alias("y")), "qid").select(
+        "qid", "x", "y", F.col("x").alias("best_x"), F.col("y").alias("best_y"), F.col("y").alias("best_score"),
+        F.lit(0).alias("stale"), inside.alias("reached"), F.lit(None).cast("double").alias("from_y"), F.lit(0.0).alias("elapsed_s"))
     threshold = max(max_steps // 100, 10)
+    root = scratch(spark)
+    t0 = time.time()
+    last = -1
 
-    def rc_of(score: float) -> float | None:
-        return float(math.exp(-score)) if score_fn is None else None
+    def written(df: DataFrame, step: int) -> DataFrame:
+        """The state after a step, as one part of the table of all steps; what is inside the interval stays behind in it."""
+        df.write.parquet(f"{root}/iteration={step}")
+        return spark.read.schema(df.schema).parquet(f"{root}/iteration={step}").where("NOT reached")
 
-    trace = []
-    t0 = time.time()
+    def gap(c: str) -> Column:
+        return F.least(F.abs(F.col(c) - F.lit(low)), F.abs(F.col(c) - F.lit(high)))
+
+    live = written(state, last)
     for step in range(max_steps):
-        idx = np.nonzero(~reached)[0]
-        if len(idx) == 0:
+        if live.isEmpty():
             break
-        back = idx[stale[idx] >= threshold]
-        X[back], y[back], stale[back] = best_x[back], best_y[back], 0
-        el = time.time() - t0
-        trace.extend((step, rc_of(y[r]), float(y[r]), el, int(qids[r])) for r in idx)
-        st = spark.createDataFrame([(int(qids[r]), [float(v) for v in X[r]], float(y[r])) for r in idx],
-                                   "qid long, qv array<double>, y double")
-        res = anneal_step(vectors, st, k, low, high, scale, step, seed, t1, metric, exclude_self, score_fn).toPandas()
-        res = res.set_index("qid").loc[qids[idx]]
-        dec = res["decision"].to_numpy()
-        yn = res["y_next"].to_numpy(float)
-        xn = np.array(res["qv_next"].tolist(), dtype=float)
-        for j, r in enumerate(idx):
-            best_score[r] = min(best_score[r], yn[j], key=lambda s: min(abs(s - low), abs(s - high)))
-            if dec[j] == "target":
-                X[r], y[r], reached[r] = xn[j], yn[j], True
-            elif dec[j] == "closer":
-                X[r], y[r] = xn[j], yn[j]
-                best_x[r], best_y[r], stale[r] = xn[j], yn[j], 0
-            else:
-                if dec[j] == "metropolis":
-                    X[r], y[r] = xn[j], yn[j]
-                stale[r] += 1
-    vectors.unpersist()
-    final = spark.createDataFrame(
-        [(int(q), [float(v) for v in x], rc_of(s), float(s), bool(b), float(bs))
-         for q, x, s, b, bs in zip(qids, X, y, reached, best_score)],
-        "qid long, qv array<double>, rc double, score double, reached boolean, best_score double")
-    return final, spark.createDataFrame(trace, "iteration long, rc double, score double, elapsed_s double, qid long")
+        back = F.col("stale") >= threshold
+        now = live.select("qid", F.when(back, F.col("best_x")).otherwise(F.col("x")).alias("x"),
+                          F.when(back, F.col("best_y")).otherwise(F.col("y")).alias("y"), "best_x", "best_y", "best_score",
+                          F.when(back, 0).otherwise(F.col("stale")).alias("stale"))
+        st = now.select("qid", F.col("x").alias("qv"), "y")
+        res = anneal_step(vectors, st, k, low, high, scale, step, seed, t1, metric, exclude_self, score_fn)
+        j = now.join(res.select("qid", "y_next", "decision", "qv_next"), "qid")
+        hit, closer = F.col("decision") == "target", F.col("decision") == "closer"
+        moves = F.col("decision") != "reject"
+        live = written(j.select(
+            "qid", F.when(moves, F.col("qv_next")).otherwise(F.col("x")).alias("x"), F.when(moves, F.col("y_next")).otherwise(F.col("y")).alias("y"),
+            F.when(closer, F.col("qv_next")).otherwise(F.col("best_x")).alias("best_x"), F.when(closer, F.col("y_next")).otherwise(F.col("best_y")).alias("best_y"),
+            F.when(gap("y_next") < gap("best_score"), F.col("y_next")).otherwise(F.col("best_score")).alias("best_score"),
+            F.when(closer, 0).otherwise(F.col("stale") + 1).alias("stale"), hit.alias("reached"), F.col("y").alias("from_y"),
+            F.lit(time.time() - t0).alias("elapsed_s")), step)
+        last = step
+    kind = start.schema["qid"].dataType.simpleString()
+    parts = spark.read.schema(f"qid {kind}, x array<double>, y double, best_score double, reached boolean, from_y double, "
+                              "elapsed_s double, iteration long").parquet(root)
+
+    def rc_of(score: str) -> Column:
+        return F.exp(-F.col(score)) if score_fn is None else F.lit(None).cast("double")
+
+    final = parts.where(F.col("reached") | (F.col("iteration") == last)).select(
+        "qid", F.col("x").alias("qv"), rc_of("y").alias("rc"), F.col("y").alias("score"), "reached", "best_score")
+    trace = parts.where("iteration >= 0").select("iteration", rc_of("from_y").alias("rc"), F.col("from_y").alias("score"), "elapsed_s", "qid")
+    return final, trace
 
 
 def start_points(vectors: DataFrame, q: int, seed: int = 1234) -> DataFrame:

@@ -2,12 +2,15 @@
 
 Single steps (noise, perturbations, one annealing step, one gradient step,
 targets, gradients, a trace step) have DuckDB oracles built from the same
-hash uniforms; the multi-step searches are checked by rows only.
+hash uniforms; the searches run to their target with the reference's step
+limits, and their final rows are measured again and held to their interval.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from knnhard.functions import vec
+from knnhard.operators import distance as dist
 from knnhard.operators import generate as G
 from knnhard.operators import hardness as H
 from knnhard.operators import ivf
@@ -237,42 +240,102 @@ def q_trace_step(spark, sf):
     return t.select(F.col("iteration").cast("long"), vec.rnd("rc").alias("rc"), "query_index", "dataset", "method", "method_params")
 
 
-# ------------------------------------------------------- rows-only loops
+# ------------------------------------------- searches run to their target
 
-NQ_LOOP = 4
-STEPS = 4
+# Every search runs with the reference's step limit until its queries are inside their interval. The
+# oracles know no steps: the query measures its final rows again over all pairs, SQL says what must hold of them.
+NQ_LOOP = 10
+N_ANNEAL = 8
+GRADIENT_STEPS, ANNEAL_STEPS = 1000, 2000
+LOOP_LR = 0.15
+INDEX_LOW, INDEX_HIGH = 0.5, 1.1
 
 
-@register("gradient_workload")
+def _measured(v, final):
+    """RC of final rows from all pairs, apart from the scan that steered them."""
+    pairs = dist.pair_distances(v, final.select("qid", "qv"), "euclidean")
+    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "id")))
+    return ranked.groupBy("qid").agg((F.avg("d") / F.max(F.when(F.col("r") == K + 1, F.col("d")))).alias("again"))
+
+
+def _interval_sql(cls):
+    f = G.CLASS_FACTORS["other"][cls]
+    return (f"SELECT ((avg_rc - 1) * {f!r} + 1) * 0.95 AS low, ((avg_rc - 1) * {f!r} + 1) * 1.05 AS high FROM ({_RAW_AVG})")
+
+
+def _interval(v, cls):
+    return G.target_interval(H.average_rc(v, K).first()["avg_rc"], "euclidean", cls)
+
+
+@register("gradient_workload", f"""SELECT q.range::BIGINT AS qid, {S.r6('low')} AS target_low, {S.r6('high')} AS target_high,
+  true AS reached, true AS inside FROM range({NQ_LOOP}) q, ({_interval_sql('medium')})""")
 def q_gradient_workload(spark, sf):
-    final, _ = G.gradient_workload(_v(spark, sf), K, "hard", NQ_LOOP, lr=LR, max_steps=STEPS, seed=SEED)
-    return final.select("qid", vec.rnd("rc").alias("rc"), "reached", "iterations", *_digest())
+    v = _v(spark, sf)
+    low, high = _interval(v, "medium")
+    final, _ = G.gradient_workload(v, K, "medium", NQ_LOOP, lr=LOOP_LR, max_steps=GRADIENT_STEPS, seed=SEED)
+    return final.join(_measured(v, final), "qid").select(
+        "qid", vec.rnd(F.lit(low)).alias("target_low"), vec.rnd(F.lit(high)).alias("target_high"), "reached",
+        F.col("again").between(low - 1e-9, high + 1e-9).alias("inside"))
 
 
-@register("anneal_workload")
+@register("anneal_workload", f"""SELECT {N_ANNEAL}::BIGINT AS n_queries, {S.r6('low')} AS target_low, {S.r6('high')} AS target_high,
+  {N_ANNEAL}::BIGINT AS n_reached, {N_ANNEAL}::BIGINT AS n_inside FROM ({_interval_sql('easy')})""")
 def q_anneal_workload(spark, sf):
-    final, _ = G.anneal_workload(_v(spark, sf), K, "medium", NQ_LOOP, max_steps=STEPS, seed=SEED, max_rounds=2)
-    return final.select("qid", vec.rnd("rc").alias("rc"), "reached", *_digest())
+    v = _v(spark, sf)
+    low, high = _interval(v, "easy")
+    final, _ = G.anneal_workload(v, K, "easy", N_ANNEAL, max_steps=ANNEAL_STEPS, seed=SEED, scale=0.5)
+    return final.join(_measured(v, final), "qid").agg(
+        F.count(F.lit(1)).alias("n_queries"), vec.rnd(F.lit(low)).alias("target_low"), vec.rnd(F.lit(high)).alias("target_high"),
+        F.sum(F.col("reached").cast("long")).alias("n_reached"),
+        F.sum(F.col("again").between(low - 1e-9, high + 1e-9).cast("long")).alias("n_inside"))
 
 
-@register("empirical_workload")
+@register("empirical_workload", f"SELECT range::BIGINT AS qid, true AS reached, true AS inside FROM range({NQ_LOOP})")
 def q_empirical_workload(spark, sf):
     v = _v(spark, sf)
     idx = ivf.build_index(v, iters=2, seed=SEED)
-    final, _ = G.empirical_workload(v, K, 0.1, 0.2, NQ_LOOP, idx, lr=LR, max_steps=STEPS, seed=SEED)
-    return final.select("qid", vec.rnd("score").alias("distcomp"), "reached", *_digest())
+    final, _ = G.empirical_workload(v, K, INDEX_LOW, INDEX_HIGH, NQ_LOOP, idx, lr=LOOP_LR, max_steps=GRADIENT_STEPS, seed=SEED)
+    again = ivf.hardness(v, final.select("qid", "qv"), idx[0], idx[1], K, 0.95, "euclidean")
+    return final.join(again.select("qid", "distcomp"), "qid").select("qid", "reached", F.col("distcomp").between(INDEX_LOW, INDEX_HIGH).alias("inside"))
+
 
+_TRAJECTORY_SQL = _TRACE_SQL[:_TRACE_SQL.index("SELECT 0::BIGINT AS iteration")].replace(f"FROM range({NQ})", f"FROM range({NQ_LOOP})")
 
-@register("trajectory")
+
+@register("trajectory", _TRAJECTORY_SQL + f"""
+SELECT qid, {S.r6('mean_d / d')} AS first_rc, true AS unbroken, true AS only_last_inside FROM sr WHERE r = {K}""")
 def q_trajectory(spark, sf):
+    """Every point of every search: from the start, without a gap, outside the interval until the last one."""
     v = _v(spark, sf)
-    _, tr = G.gradient_search(v, G.start_points(v, NQ_LOOP, SEED), K, LOW_RC, HIGH_RC, LR, max_iter=STEPS,
+    _, tr = G.gradient_search(v, G.start_points(v, NQ_LOOP, SEED), K, LOW_RC, HIGH_RC, LOOP_LR, max_iter=GRADIENT_STEPS,
                               seed=SEED, keep_trajectory=True)
-    return tr.select("iteration", "qid", vec.rnd("rc").alias("rc"), *_digest())
+    inside = F.col("rc").between(LOW_RC, HIGH_RC)
+    last = F.max("iteration")
+    return tr.groupBy("qid").agg(
+        vec.rnd(F.min_by("rc", "iteration")).alias("first_rc"), (F.count_distinct("iteration") == last + 1).alias("unbroken"),
+        ((F.sum(inside.cast("int")) == 1) & (F.max(F.when(inside, F.col("iteration"))) == last)).alias("only_last_inside"))
+
+
+_TYPES = [
+    {"workload_type": "synthetic-gaussian-noise", "num_queries": NQ, "scale": "medium"},
+    {"workload_type": "synthetic-sgd", "num_queries": NQ_LOOP, "target_class": "medium"},
+    {"workload_type": "synthetic-simulated-annealing", "num_queries": N_ANNEAL, "difficulty": "ivf", "target_low": 0.05, "target_high": INDEX_HIGH},
+    {"workload_type": "empirical-difficulty-based", "num_queries": NQ_LOOP, "index": "ivf", "target_low": 0.05, "target_high": INDEX_HIGH},
+    {"workload_type": "file-based"},
+]
 
 
-@register("dispatch_workload")
+@register("dispatch_workload", " UNION ALL ".join(
+    f"SELECT '{c['workload_type']}' AS workload_type, {c.get('num_queries') or '(SELECT count(*) FROM embeddings)'}::BIGINT AS n_queries, "
+    f"{c.get('num_queries') or '(SELECT count(*) FROM embeddings)'}::BIGINT AS n_whole" for c in _TYPES))
 def q_dispatch_workload(spark, sf):
+    """Catalogue rows of all five types: how many queries they give, and how many of those are whole vectors."""
     v = _v(spark, sf)
-    cfg = {"workload_type": "synthetic-gaussian-noise", "k": K, "num_queries": NQ, "scale": "medium"}
-    return G.dispatch_workload(v, cfg).select("qid", *_digest())
+    out = None
+    for c in _TYPES:
+        made = G.dispatch_workload(v, {"k": K, "queries": _q(spark, sf), **c})
+        whole = (F.size("qv") == 64) & F.forall("qv", lambda x: x.isNotNull() & ~F.isnan(x))
+        one = made.agg(F.count(F.lit(1)).alias("n_queries"), F.sum(whole.cast("long")).alias("n_whole")).select(
+            F.lit(c["workload_type"]).alias("workload_type"), "n_queries", "n_whole")
+        out = one if out is None else out.unionByName(one)
+    return out

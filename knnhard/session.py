@@ -62,13 +62,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` once below the shared checkpoint folder and return the table read back: what reads it
-    more than once does not compute it again, and a lost executor does not lose it."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path below this application's folder in the shared checkpoint folder; the folder goes when the application ends."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/knnhard-{spark.sparkContext.applicationId}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    path = f"{root}/{uuid.uuid4().hex}"
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` once below the shared checkpoint folder and return the table read back: what reads it
+    more than once does not compute it again, and a lost executor does not lose it."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
