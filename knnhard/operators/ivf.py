@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from knnhard.functions import vec
 from knnhard.operators import scan
 from knnhard.operators import vectors as vops
-from knnhard.operators.distance import pair_distances
 from knnhard.operators.hardness import dk
 from knnhard.session import keep
 
@@ -40,40 +39,42 @@ def seed_centroids(vectors: DataFrame, n_list: int, seed: int = 1234) -> DataFra
 
 
 def lloyd_step(vectors: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """One Lloyd iteration: assign, average per cell (empty cells keep their centroid)."""
+    """One Lloyd iteration: assign, average per cell (empty cells keep their centroid).
+
+    A task hands over one array of sums per cell it met; they are added up in two levels, so that no cell, however
+    many tasks hold its rows, is summed in one group."""
     parts = scan.nearest_centre(vectors, centroids, metric, with_sums=True)
-    agg = parts.groupBy("cid", "j").agg(F.sum("s").alias("s"), F.sum("cnt").alias("cnt"))
-    # cnt is the same on every (cid, j) row of a task; use the j = -1 row
-    n = agg.where("j = -1").select("cid", F.col("cnt").alias("n"))
-    means = (agg.where("j >= 0").join(n, "cid")
-             .groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("j", (F.col("s") / F.col("n")).alias("x")))).alias("xs"))
-             .select("cid", F.transform("xs", lambda t: t.getField("x")).alias("v")))
-    kept = centroids.join(means.select("cid"), "cid", "left_anti")
-    return means.unionByName(kept)
+
+    def added():
+        zero = F.array_repeat(F.lit(0.0), F.size(F.first("s")))
+        s = F.aggregate(F.collect_list("s"), zero, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+        return [s.alias("s"), F.sum("cnt").alias("cnt")]
+
+    sums = parts.groupBy("cid", F.pmod(F.col("pid"), F.lit(scan.SALTS)).alias("salt")).agg(*added()).groupBy("cid").agg(*added())
+    means = sums.select("cid", vec.let(F.col("cnt").cast("double"), lambda n: F.transform("s", lambda x: x / n)).alias("mean"))
+    return centroids.join(means, "cid", "left").select("cid", F.coalesce("mean", "v").alias("v"))
 
 
-def train_lloyd(vectors: DataFrame, n_list: int, iters: int = 2, seed: int = 1234,
-                metric: str = "euclidean") -> DataFrame:
-    """Deterministic k-means (E1): hash-sampled seeds + ``iters`` Lloyd steps.
+def train_lloyd(vectors: DataFrame, n_list: int, iters: int | None = None, seed: int = 1234,
+                metric: str = "euclidean", tol: float = 1e-6, max_iters: int = 100) -> DataFrame:
+    """Deterministic k-means (E1): hash-sampled seeds, then Lloyd steps until no centroid moves by more than
+    ``tol`` of the centroids' mean norm (at most ``max_iters`` steps), or exactly ``iters`` of them.
 
     Each step's centroids (``n_list x dim`` numbers, size-checked before
-    broadcast) are materialised, which cuts the lineage between steps.
+    broadcast) are written, which cuts the lineage between steps.
     """
-    c = seed_centroids(vectors, n_list, seed)
-    for i in range(iters):
-        c = lloyd_step(vectors, c, metric)
-        c = _materialise(c)
+    c = keep(seed_centroids(vectors, n_list, seed))
+    for _ in range(max_iters if iters is None else iters):
+        new = keep(lloyd_step(vectors, c, metric))
+        if iters is None:
+            both = new.join(c.withColumnRenamed("v", "old"), "cid")
+            moved = both.agg(F.max(vec.euclidean("old", "v")).alias("shift"), F.avg(vec.norm("v")).alias("norm")).first()
+            if (moved["shift"] or 0.0) <= tol * (moved["norm"] or 0.0):
+                return new
+        c = new
     return c
 
 
-def _materialise(df: DataFrame) -> DataFrame:
-    # centroids are small: re-create them from collected rows so the next
-    # step's plan does not carry the previous steps (reliable, no local files)
-    rows = df.collect()
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "cid long, v array<double>")
-
-
 def assign(vectors: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
     """Nearest centroid of every vector ``(id, cid, d)``."""
     return scan.nearest_centre(vectors, centroids, metric)
@@ -83,24 +84,26 @@ def list_sizes(assignment: DataFrame) -> DataFrame:
     return assignment.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
 
 
-def probe_order(queries: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """Cells of each query ordered by centroid distance: ``(qid, cid, cd, probe)`` (1-based)."""
-    c = centroids.select(F.col("cid").alias("id"), "v")
-    cd = pair_distances(c, queries, metric).select("qid", F.col("id").alias("cid"), F.col("d").alias("cd"))
-    w = Window.partitionBy("qid").orderBy("cd", "cid")
-    return cd.withColumn("probe", F.row_number().over(w))
+def probe_order(queries: DataFrame, centroids: DataFrame, metric: str = "euclidean", nprobe: int | None = None) -> DataFrame:
+    """The ``nprobe`` nearest cells of each query (all of them if not given): ``(qid, cid, cd, probe)``, 1-based.
+
+    The centroids are scanned as vectors are: each query keeps its list of nearest ones, and no pair is a row of its own."""
+    cells = centroids.select(F.col("cid").alias("id"), "v")
+    lists = scan.profile(cells, queries, metric, m=nprobe or max(1, centroids.count()))
+    return lists.select("qid", F.posexplode("top").alias("at", "t")).select(
+        "qid", F.col("t.id").alias("cid"), F.col("t.d").alias("cd"), (F.col("at") + 1).alias("probe"))
 
 
 def search(vectors: DataFrame, assignment: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int,
            k: int, metric: str = "euclidean", exclude_self: bool = False) -> DataFrame:
-    """nprobe search -> k best ``(qid, rank, id, d)`` (E3): probed cells are a
-    small broadcast table equi-joined on ``cid`` with the assigned vectors."""
-    probes = probe_order(queries, centroids, metric).where(F.col("probe") <= nprobe).select("qid", "cid")
+    """nprobe search -> k best ``(qid, rank, id, d)`` (E3): probed cells are
+    equi-joined on ``cid`` with the assigned vectors; the size of the probes decides how (a cell that holds much of the
+    data is split by AQE's skew join)."""
+    probes = probe_order(queries, centroids, metric, nprobe).select("qid", "cid")
     # the cell is recomputed inside the scan (centroids are broadcast anyway):
     # no join of the vector table with the assignment, i.e. no shuffle of it
     cand = scan.nearest_centre(vectors, centroids, metric, keep_vectors=True).select("id", "cid", "v")
-    pq = F.broadcast(probes.join(queries, "qid"))
-    j = cand.join(pq, "cid")
+    j = cand.join(keep(probes.join(queries, "qid")), "cid")
     if exclude_self:
         j = j.where(F.col("qid") != F.col("id"))
     pairs = j.select("qid", "id", vec.metric_distance("qv", "v", metric).alias("d"))
@@ -121,7 +124,7 @@ def sweep(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, assignme
     sizes = list_sizes(assignment)
     order = probe_order(queries, centroids, metric)
     nl = centroids.count()
-    cur = order.join(F.broadcast(sizes), "cid", "left").join(hits, ["qid", "cid"], "left").fillna(0, ["size", "hits"])
+    cur = order.join(sizes, "cid", "left").join(hits, ["qid", "cid"], "left").fillna(0, ["size", "hits"])
     if exclude_self:
         own = assignment.select(F.col("id").alias("qid"), F.col("cid").alias("own"))
         cur = (cur.join(own, "qid", "left")
@@ -152,9 +155,9 @@ def hardness(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, assig
         "qid", "nprobe", "distcomp", "recall")
 
 
-def build_index(vectors: DataFrame, n_list: int | None = None, iters: int = 2, seed: int = 1234,
+def build_index(vectors: DataFrame, n_list: int | None = None, iters: int | None = None, seed: int = 1234,
                 metric: str = "euclidean"):
-    """Centroids + assignment for a vector table (E1 + E2)."""
+    """Centroids + assignment for a vector table (E1 + E2); ``iters`` as in ``train_lloyd``."""
     if n_list is None:
         n_list = n_lists(vectors.count())
     c = train_lloyd(vectors, n_list, iters, seed, metric)

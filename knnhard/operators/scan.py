@@ -398,9 +398,8 @@ def nearest_centre(vectors: DataFrame, centres: DataFrame, metric: str = "euclid
     """Assign every vector to its nearest centre (ties: smaller ``cid``).
 
     Centres ``(cid, v)`` are size-checked and broadcast. Output
-    ``(id, cid, d)``; with ``with_sums`` instead the per-task partial sums
-    for a Lloyd update in long form ``(cid, j, s, cnt)`` (``j = -1`` rows
-    carry the counts), to be combined by a map-side aggregate.
+    ``(id, cid, d)``; with ``with_sums`` instead the per-task sums of a Lloyd update,
+    ``(cid, pid, s, cnt)``: one array for every centre that the task met.
     """
     _check_metric(metric)
     cids, C = collect_centres(centres)
@@ -444,17 +443,15 @@ def nearest_centre(vectors: DataFrame, centres: DataFrame, metric: str = "euclid
         if with_sums and sums is not None:
             nz = np.nonzero(cnts)[0]
             dim = sums.shape[1]
-            cc = np.repeat(cids_[nz], dim + 1)
-            jj = np.tile(np.arange(-1, dim), len(nz))
-            ss = np.concatenate([np.concatenate([[0.0], sums[i]]) for i in nz]) if len(nz) else np.zeros(0)
-            cn = np.repeat(cnts[nz], dim + 1)
+            offs = pa.array(np.arange(0, (len(nz) + 1) * dim, dim, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cc, pa.int64()), pa.array(jj.astype(np.int32), pa.int32()), pa.array(ss), pa.array(cn, pa.int64())],
-                names=["cid", "j", "s", "cnt"])
+                [pa.array(cids_[nz], pa.int64()), pa.array(np.full(len(nz), TaskContext.get().partitionId()), pa.int32()),
+                 pa.ListArray.from_arrays(offs, pa.array(sums[nz].ravel())), pa.array(cnts[nz], pa.int64())],
+                names=["cid", "pid", "s", "cnt"])
 
     src = vectors.select(F.col(vid).cast("long").alias(vid), F.col(vcol))
     if with_sums:
-        return src.mapInArrow(body, "cid long, j int, s double, cnt long")
+        return src.mapInArrow(body, "cid long, pid int, s array<double>, cnt long")
     if keep_vectors:
         vtype = src.schema[vcol].dataType.simpleString()
         return src.mapInArrow(body, f"id long, cid long, d double, {vcol} {vtype}")

@@ -78,6 +78,23 @@ def q_ivf_train_lloyd(spark, sf):
                     vec.rnd(vec.norm2("v")).alias("norm2"))
 
 
+@register("ivf_train_converged", f"""SELECT range::BIGINT AS cid, true AS settled, true AS at_mean
+FROM range((SELECT ceil(sqrt(count(*)))::BIGINT FROM embeddings))""")
+def q_ivf_train_converged(spark, sf):
+    """Training to its tolerance: every centroid is the mean of the rows that all pairs say are nearest to it, and a further
+    step leaves it where it is."""
+    v = fx.vectors(spark, sf)
+    c = ivf.train_lloyd(v, ivf.n_lists(v.count()), seed=SEED)
+    near = dist.knn(c.select(F.col("cid").alias("id"), "v"), v.select(F.col("id").alias("qid"), F.col("v").alias("qv")), 1)
+    mean = (v.join(near.select(F.col("qid").alias("id"), F.col("id").alias("cid")), "id")
+            .select("cid", F.posexplode(vec.dvec("v")).alias("j", "x")).groupBy("cid", "j").agg(F.avg("x").alias("x"))
+            .groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda t: t["x"]).alias("mean")))
+    again = ivf.lloyd_step(v, c).withColumnRenamed("v", "again")
+    return c.join(mean, "cid", "left").join(again, "cid").select(
+        "cid", (vec.euclidean("v", "again") < 1e-6).alias("settled"),
+        F.coalesce(vec.euclidean("v", "mean") < 1e-6, F.lit(True)).alias("at_mean"))
+
+
 @register("ivf_assign", fx.with_fixtures(["vectors"], f"SELECT id, cid, {S.r6('d')} AS d FROM af", ivf_ctes()))
 def q_ivf_assign(spark, sf):
     v, (c, a) = index(spark, sf)

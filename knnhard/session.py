@@ -35,11 +35,19 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "knnhar
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster that does not have it on its PYTHONPATH."""
+    """Send this package, once, to the executors of a cluster, which may not have it on their PYTHONPATH. A
+    single-process master (``local[n]``) reads it where the driver does."""
+    sc = spark.sparkContext
+    if sc.master == "local" or sc.master.startswith("local[") or sc.applicationId in _SHIPPED:
+        return
     root = os.path.dirname(os.path.abspath(__file__))
     name = os.path.join(tempfile.mkdtemp(prefix="knnhard-pkg-"), "knnhard")  # served by the driver, not shared
-    spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(root), os.path.basename(root)))
+    sc.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(root), os.path.basename(root)))
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
