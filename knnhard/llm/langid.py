@@ -128,20 +128,21 @@ def count_ngrams(labelled: DataFrame, n: int, keep: int = 1 << 20) -> DataFrame:
     return rows.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, n: int = 4, cells: int = 1 << 20, hashes: int = 3, min_rate: float = 1e-6,
+def train(labelled: DataFrame, n: int = 4, cells: int | None = None, hashes: int = 3, min_rate: float = 1e-6,
           min_share: float = 0.2) -> LanguageFilters:
     """Filters from ``labelled`` (lang, t), any number of languages.
 
     An n-gram is put in for a language, of any size, if it makes up ``min_rate`` of the language's n-grams and its
-    rate is ``min_share`` of its rate in the language where it is most frequent. Every labelled row counts;
-    the driver gets one row per language and at most ``cells`` set cells for every 64 languages.
+    rate is ``min_share`` of its rate in the language where it is most frequent, so a language has at most ``1 / min_rate``
+    of them. Every labelled row counts. There are 8 cells for every n-gram of the largest language (2^20 at least) unless
+    ``cells`` says how many; the driver gets one row per language and at most ``cells`` set cells for every 64 languages.
     """
     counts = count_ngrams(labelled.where("lang IS NOT NULL AND t IS NOT NULL"), n).persist()
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = tuple(sorted(sizes, key=lambda k: (-sizes[k], k)))
     words = -(-len(langs) // 64)
     dtype = next((d for d in (np.uint8, np.uint16, np.uint32) if len(langs) <= np.iinfo(d).bits), np.uint64)
-    table_ = np.zeros((cells, words) if words > 1 else cells, dtype)
+    got = None
     if langs:
         of = labelled.sparkSession.createDataFrame([(k, i // 64, i % 64, float(sizes[k])) for i, k in enumerate(langs)],
                                                    "lang string, word int, bit int, size double")
@@ -149,6 +150,10 @@ def train(labelled: DataFrame, n: int = 4, cells: int = 1 << 20, hashes: int = 3
         most = F.max("rate").over(Window.partitionBy("gram"))
         member = rated.withColumn("most", most).where(
             (F.col("rate") >= min_share * F.col("most")) & (F.col("rate") >= min_rate))
+        member = materialise(member.select("gram", "word", "bit"), "lang-grams")
+        if cells is None:
+            largest = member.groupBy("word", "bit").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+            cells = max(1 << 20, 1 << (8 * largest - 1).bit_length()) if largest else 1 << 20
         masks = member.groupBy("gram", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
 
         def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +163,9 @@ def train(labelled: DataFrame, n: int = 4, cells: int = 1 << 20, hashes: int = 3
                     yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), b.column(1), b.column(2)], names=["cell", "word", "mask"])
 
         got = masks.mapInArrow(positions, "cell long, word int, mask long").groupBy("cell", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    cells = cells or 1 << 20
+    table_ = np.zeros((cells, words) if words > 1 else cells, dtype)
+    if got is not None:
         at = got["cell"].to_numpy(np.int64)
         table_[(at, got["word"].to_numpy(np.int64)) if words > 1 else at] = got["mask"].to_numpy(np.int64).view(np.uint64).astype(dtype)
     counts.unpersist()

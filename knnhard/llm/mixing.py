@@ -11,6 +11,7 @@ one short vector per iteration, and rates are recomputed from these vectors wher
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +69,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray, total: float | None = Non
     ``whole``, all of whose documents are read at least once, the total is at least that domain's expected tokens, over
     all documents, divided by its share.
     It ends when the totals are within ``tol`` of the targets, or the objective has settled for three rounds,
-    as it does at targets that no nonnegative rates can meet.
+    as it does at targets that no nonnegative rates can meet. Where neither holds after ``rounds``, a warning says how
+    far the totals are off.
     """
     k = len(targets)
     moments = _sum_over(members, k, k * k, lambda t, p: ((p * t[:, None]).T @ p).ravel()).reshape(k, k)
@@ -94,6 +96,10 @@ def fit_rates(members: DataFrame, targets: np.ndarray, total: float | None = Non
             break
         before = far
         path.append(metric @ miss_ahead)
+    else:
+        if rounds:
+            off = np.abs(miss).sum() / max(goal.sum(), 1.0)
+            warnings.warn(f"after {rounds} rounds the mix's totals are still {off:.2g} of the whole off their targets", stacklevel=2)
     return path
 
 

@@ -73,3 +73,28 @@ def test_no_forest_without_findings(spark):
         assert model is None
         got = secrets.scan(docs, model, words, path_col="source").collect()
         assert [(r["score"], r["is_secret"]) for r in got] == [(None, False)] * sum(t is not None for _, t, _ in rows)
+
+
+def test_filters_grow_with_the_largest_language(spark):
+    """Random letters: nearly every n-gram is another one, so fixed cells would fill up."""
+    import random
+
+    from knnhard.llm import langid
+
+    rnd = random.Random(1)
+    rows = [(lang, "".join(rnd.choice(letters) for _ in range(3000))) for lang, letters in
+            (("a", "abcdefghijklmnopqrstuvwxyzàâäçé"), ("b", "бвгдежзийклмнопрстуфхцчшщъыьэюя")) for _ in range(120)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, t string"))
+    assert len(model.cells) >= 2 << 20 and model.fill.max() < 0.35
+    assert langid.classify(model, [rows[0][1], rows[-1][1]])[0] == ["a", "b"]
+
+
+def test_a_mix_that_does_not_settle_warns(spark):
+    import numpy as np
+
+    from knnhard.llm import mixing
+
+    rows = [(int(n), [float(x), 1 - float(x)]) for n, x in zip(range(1, 200), np.linspace(0.05, 0.95, 199))]
+    members = spark.createDataFrame(rows, "n_words long, p array<double>")
+    with pytest.warns(UserWarning, match="off their targets"):
+        mixing.fit_rates(members, np.array([0.9, 0.1]), rounds=1)
