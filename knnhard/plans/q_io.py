@@ -75,6 +75,18 @@ def q_union_results(spark, sf):
                     "workload_description")
 
 
+@register("load_range", f"""SELECT vec_id AS id, {_sdigest('embedding')} FROM embeddings
+WHERE vec_id >= (SELECT count(*) // 4 FROM embeddings) AND vec_id < (SELECT count(*) // 2 FROM embeddings)""")
+def q_load_range(spark, sf):
+    """The second quarter of the rows of an ``.fbin`` file, read by its byte range alone (A2)."""
+    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    n = e.count()
+    path = os.path.join(TB.scratch_dir(spark, "range"), f"rows-64-{n}.fbin")
+    VF.write_fbin(e, path)
+    part = VF.read_vectors(spark, path, rows_per_partition=100, start=n // 4, limit=n // 2 - n // 4)
+    return part.select("id", *_digest())
+
+
 _PAD = "(8 - (len(v) + 1) % 8) % 8"
 _DRAWS = f"""SELECT range AS qid, floor({S.uniform(SEED, 'pick', '0', 'range')} * (SELECT max(vec_id) + 1 FROM embeddings))::BIGINT AS id FROM range({NQ})"""
 
