@@ -138,10 +138,15 @@ def _bp_lit(bps: list[list[float]]) -> Column:
 # ------------------------------------------------------------------ SAX
 
 def sax_expr(paa_col, bps: list[list[float]]) -> Column:
-    """8-bit symbol per segment: number of breakpoints <= value."""
+    """8-bit symbol per segment: number of breakpoints <= value (F6), by binary search, one bit at a time."""
     B = _bp_lit(bps)
-    return F.transform(F.col(paa_col) if isinstance(paa_col, str) else paa_col,
-                       lambda x, i: F.size(F.filter(F.element_at(B, i + 1), lambda b: b <= x)))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(CARD_BITS))])
+
+    def symbol(x: Column, i: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(
+            F.element_at(F.element_at(B, i + 1), at + step) <= x, step).otherwise(F.lit(0)))
+
+    return F.transform(F.col(paa_col) if isinstance(paa_col, str) else paa_col, symbol)
 
 
 def summarise(series: DataFrame, w: int, bps: list[list[float]] | None = None) -> DataFrame:

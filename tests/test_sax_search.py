@@ -71,3 +71,13 @@ def test_search_without_bounds_and_more_neighbours_than_series(spark):
 def test_wide_words_are_refused(spark):
     with pytest.raises(ValueError, match="at most"):
         search(spark, [[0.0] * 34], [[0.0] * 34], 1, 17, 1)
+
+
+def test_symbols_are_the_number_of_breakpoints_not_above(spark):
+    bp = sax.fixed_breakpoints()
+    values = [float("-inf"), *bp, *[b + 1e-12 for b in bp], *[b - 1e-12 for b in bp], 0.0, 9.0, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, [x, x]) for i, x in enumerate(values)], "id long, paa array<double>")
+    got = {r["id"]: r["s"] for r in df.select("id", sax.sax_expr("paa", sax.breakpoints_fixed(2)).alias("s")).collect()}
+    for i, x in enumerate(values):
+        want = 0 if x is None else len(bp) if x != x else sum(b <= x for b in bp)
+        assert got[i] == [want, want]
