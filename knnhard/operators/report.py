@@ -7,15 +7,12 @@ rank statistics over them.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knnhard.operators.quantiles import exact_quantiles
+from knnhard.operators.ranks import average_ranks, kendall, kendall_tau_b, spearman  # noqa: F401  (I6, I7)
 
 # Category orders used for sorting report rows
 DIFFICULTY_ORDER = ["-", "easy", "medium", "hard", "hard+"]
@@ -71,175 +68,6 @@ def float_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
 
 
-# ------------------------------------------------------------- ranks
-
-def _inversions(a: np.ndarray) -> int:
-    """Strict inversions (i < j, a_i > a_j) by a Fenwick tree over ranks."""
-    ranks = np.searchsorted(np.unique(a), a) + 1
-    m = int(ranks.max()) if len(ranks) else 0
-    tree = np.zeros(m + 1, dtype=np.int64)
-    inv = 0
-    for seen, r in enumerate(ranks):
-        # count of previous values <= r
-        s, i = 0, int(r)
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        inv += seen - s
-        i = int(r)
-        while i <= m:
-            tree[i] += 1
-            i += i & -i
-    return inv
-
-
-def kendall_tau_b(x: np.ndarray, y: np.ndarray) -> float:
-    """Kendall tau-b in O(n log n) (Knight): sort by (x, y), count the
-    discordant pairs as inversions of y; ties handled by the tie counts."""
-    ok = np.isfinite(x) & np.isfinite(y)
-    x, y = x[ok], y[ok]
-    n = len(x)
-    if n < 2:
-        return float("nan")
-    o = np.lexsort((y, x))
-    x, y = x[o], y[o]
-    n0 = n * (n - 1) / 2
-
-    def ties(*cols):
-        _, c = np.unique(np.stack(cols, 1), axis=0, return_counts=True)
-        return float((c * (c - 1) / 2).sum())
-    n1, n2, n3 = ties(x), ties(y), ties(x, y)
-    nd = _inversions(y)
-    s = n0 - n1 - n2 + n3 - 2 * nd
-    den = math.sqrt((n0 - n1) * (n0 - n2))
-    return s / den if den > 0 else float("nan")
-
-
-def _positions(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """0-based position of each row within its group in ``order``: global
-    range-partitioned sort, ``zipWithIndex``, minus the group's first index."""
-    spark = df.sparkSession
-    srt = df.orderBy(*keys, *order)
-    schema = T.StructType(srt.schema.fields + [T.StructField("_g", T.LongType())])
-    pos = spark.createDataFrame(srt.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],)), schema)
-    start = pos.groupBy(*keys).agg(F.min("_g").alias("_s"))
-    return pos.join(start, keys).withColumn(out, F.col("_g") - F.col("_s")).drop("_g", "_s")
-
-
-def _kendall_distributed(d: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact tau-b without gathering a group: rows ``(keys..., x, y)``.
-
-    Discordant pairs = inversions of y in (x, y) order (Knight), counted
-    merge-sort style level by level: at level L every right-half element of
-    a 2^(L+1) block counts the left-half elements with a larger y, from its
-    position in the block's y order and among the block's right half.
-    Each level is two global sorts; tie counts are plain aggregates.
-    """
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    nmax = n.agg(F.max("n")).first()[0] or 0
-
-    def ties(cols, name):
-        return (d.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("c"))
-                .groupBy(*keys).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(name)))
-    base = _positions(d, keys, ["x", "y"], "p").persist()
-    inv = None
-    lvl = 0
-    while (1 << lvl) < nmax:
-        b = base.select(*keys, "y", "p", F.shiftright("p", lvl + 1).alias("blk"),
-                        F.shiftright("p", lvl).bitwiseAND(1).alias("side"))
-        allpos = _positions(b, keys + ["blk"], ["y", "side", "p"], "qb")
-        right = _positions(b.where("side = 1"), keys + ["blk"], ["y", "p"], "rb").select(*keys, "p", "rb")
-        left_n = b.where("side = 0").groupBy(*keys, "blk").agg(F.count(F.lit(1)).alias("nl"))
-        r = (allpos.where("side = 1").join(right, keys + ["p"]).join(left_n, keys + ["blk"], "left")
-             .select(*keys, (F.coalesce("nl", F.lit(0)) - (F.col("qb") - F.col("rb"))).alias("c")))
-        lv = r.groupBy(*keys).agg(F.sum("c").alias("inv"))
-        inv = lv if inv is None else inv.unionByName(lv)
-        lvl += 1
-    if inv is None:
-        inv = n.select(*keys, F.lit(0).cast("long").alias("inv"))
-    nd = inv.groupBy(*keys).agg(F.sum("inv").alias("nd"))
-    t = n.join(ties(["x"], "n1"), keys).join(ties(["y"], "n2"), keys).join(ties(["x", "y"], "n3"), keys).join(nd, keys, "left")
-    n0 = F.col("n") * (F.col("n") - 1) / 2
-    s = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.coalesce("nd", F.lit(0))
-    den = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
-    return t.select(*keys, F.when((F.col("n") >= 2) & (den > 0), s / den).alias("tau"))
-
-
-def kendall(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]], max_group: int = 200_000) -> DataFrame:
-    """Kendall tau-b per group for each (x, y) column pair (I6):
-    ``(keys..., x, y, tau)``; NULL when undefined.
-
-    Groups within ``max_group`` rows run in one grouped-map task each, O(n log n)
-    (Knight); each larger group, and only it, uses the distributed level-wise inversion
-    count. Both give a row for every group and pair.
-    """
-    cols = sorted({c for p in pairs for c in p})
-    # result rows (read by the size check and by the computation): keep them
-    sub = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).persist()
-    key_fields = [sub.schema[k] for k in keys]
-    schema = T.StructType(key_fields + [T.StructField("x", T.StringType()), T.StructField("y", T.StringType()),
-                                        T.StructField("tau", T.DoubleType())])
-    sizes = sub.groupBy(*keys).agg((F.count(F.lit(1)) > max_group).alias("_large")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    sized = sub.join(sizes, same) if keys else sub.crossJoin(sizes)  # without keys: one row
-    large = sized.where("_large").select(*sub.columns)
-    out = None
-    if sizes.where("_large").limit(1).count():
-        groups = large.select(*keys).distinct()
-        for a, b in pairs:
-            fin = (F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")) &
-                   F.col(b).isNotNull() & ~F.isnan(b) & (F.abs(b) < float("inf")))
-            d = large.where(fin).select(*keys, F.col(a).alias("x"), F.col(b).alias("y"))
-            t = groups.join(_kendall_distributed(d, keys), keys, "left").select(*keys, F.lit(a).alias("x"), F.lit(b).alias("y"), "tau")
-            out = t if out is None else out.unionByName(t)
-
-    def per(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for a, b in pairs:
-            t = kendall_tau_b(pdf[a].to_numpy(float), pdf[b].to_numpy(float))
-            t = None if t is None or math.isnan(t) else t  # undefined (constant column) -> NULL
-            rows.append({**{k: pdf[k].iloc[0] for k in keys}, "x": a, "y": b, "tau": t})
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-    small = sized.where("NOT _large").select(*sub.columns).groupBy(*keys).applyInPandas(per, schema)
-    return small if out is None else small.unionByName(out)
-
-
-def average_ranks(df: DataFrame, keys: list[str], col: str, out: str, row_id: str) -> DataFrame:
-    """Adds ``out``: 1-based rank of ``col`` within its group, ties averaged.
-
-    No window over a whole group: a global range-partitioned sort by
-    (keys, col), positions from ``zipWithIndex`` (one pass counting each
-    partition), the group's first position subtracted, and ties averaged
-    by a map-side combined aggregate. Exact for any group size.
-    ``row_id`` must identify rows uniquely (it joins the ranks back).
-    """
-    spark = df.sparkSession
-    base = df.withColumn("_row", F.col(row_id))
-    srt = base.select(*keys, col, "_row").orderBy(*keys, col)
-    fields = srt.schema.fields
-    pos = spark.createDataFrame(srt.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],)),
-                                T.StructType(fields + [T.StructField("_pos", T.LongType())]))
-    start = pos.groupBy(*keys).agg(F.min("_pos").alias("_start"))
-    tie = pos.groupBy(*keys, col).agg((F.avg("_pos")).alias("_apos"))
-    r = (pos.join(start, keys).join(tie, keys + [col])
-         .select("_row", (F.col("_apos") - F.col("_start") + 1).alias(out)))
-    return base.join(r, "_row").drop("_row")
-
-
-def spearman(df: DataFrame, keys: list[str], cols: list[str], row_id: str) -> DataFrame:
-    """Spearman matrix per group: Pearson correlation of average ranks."""
-    r = df.select(row_id, *keys, *cols)
-    for c in cols:
-        r = average_ranks(r, keys, c, f"_r_{c}", row_id)
-    out = None
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            part = r.groupBy(*keys).agg(F.corr(f"_r_{a}", f"_r_{b}").alias("rho")).select(
-                *keys, F.lit(a).alias("x"), F.lit(b).alias("y"), "rho")
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
 # ------------------------------------------------------------ binning
 
 def quantile_bins(df: DataFrame, keys: list[str], col: str, value_cols: list[str], bins: int = 100,

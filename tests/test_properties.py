@@ -222,7 +222,7 @@ def test_kendall_distributed_path_matches(spark):
         y = rng.integers(0, 9, n).astype(float) - 0.3 * x
         rows += [(g, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows, "g long, i long, a double, b double")
-    dist = R.kendall(df, ["g"], [("a", "b")], max_group=0).toPandas().set_index("g")
+    dist = R.kendall(df, ["g"], [("a", "b")], block=8).toPandas().set_index("g")
     for g in range(3):
         sub = [(a, b) for gg, _, a, b in rows if gg == g]
         want = kendall_tau_b(np.array([t[0] for t in sub]), np.array([t[1] for t in sub]))
@@ -343,7 +343,7 @@ def test_kendall_sizes_agree(spark):
     rows = [("a", float(x), float(y)) for x, y in rng.integers(0, 6, (40, 2))] + [("b", float("nan"), 1.0)] * 30 + [("c", 1.0, 2.0)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
     whole = {r.g: r.tau for r in R.kendall(df, ["g"], [("x", "y")]).collect()}
-    split = {r.g: r.tau for r in R.kendall(df, ["g"], [("x", "y")], max_group=20).collect()}
+    split = {r.g: r.tau for r in R.kendall(df, ["g"], [("x", "y")], block=3).collect()}
     assert set(whole) == set(split) == {"a", "b", "c"} and whole["b"] is None and split["b"] is None
     assert abs(whole["a"] - split["a"]) < 1e-12
 
