@@ -491,7 +491,8 @@ def dispatch_workload(vectors: DataFrame, config: dict, metric: str = "euclidean
             return config["queries"]
         from knnhard.sources.tables import load_vectors
 
-        return load_vectors(vectors.sparkSession, config["queries_filename"], "test", metric=metric)[0].select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+        return load_vectors(vectors.sparkSession, config["queries_filename"], "test", metric=metric,
+                            names=config.get("names"))[0].select(F.col("id").alias("qid"), F.col("v").alias("qv"))
     raise ValueError(f"unknown workload type {t}")
 
 

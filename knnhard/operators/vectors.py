@@ -24,7 +24,9 @@ def finite_violations(df: DataFrame, col: str = "v") -> DataFrame:
 
 
 def assert_finite(df: DataFrame, col: str = "v") -> DataFrame:
-    return df.withColumn("_ok", F.assert_true(vec.all_finite(col), "non-finite vector element")).drop("_ok")
+    """``df``, raising where a vector has a non-finite element or is null (B2). It is a filter, since a checked
+    column that nothing reads would be pruned and never run."""
+    return df.where(F.when(vec.all_finite(col), F.lit(True)).otherwise(F.raise_error(F.lit("non-finite vector element")).cast("boolean")))
 
 
 def drop_zero(df: DataFrame, col: str = "v") -> DataFrame:

@@ -7,6 +7,8 @@ from knnhard.operators import hardness as H
 from knnhard.plans import fixtures as fx
 from knnhard.plans import sqlgen as S
 from knnhard.plans.registry import register
+from knnhard.session import scratch
+from knnhard.sources import tables as TB
 
 K = 10
 _CTE = {"pairs": S.pairs(), "ranked": S.RANKED}
@@ -102,7 +104,7 @@ def q_diameter(spark, sf):
 
 
 GT_BINS = 1000
-GT_MAXK = 1000
+GT_MAXK = 10_000
 _GT_SQL = _sql(f"""
 SELECT s.qid, b.range::INT AS bin, coalesce(c.cnt, 0)::BIGINT AS cnt,
   {S.r6(f's.lo + b.range * (s.hi - s.lo) / {GT_BINS}')} AS edge_lo, {S.r6('s.avg_d')} AS avg_d,
@@ -126,6 +128,24 @@ def q_ground_truth(spark, sf):
                      vec.rnd(F.when(F.col("bin") < F.size("topk"), F.element_at("topk", F.col("bin") + 1))).alias("top_d"))
 
 
+@register("ground_truth_saved", _GT_SQL[:_GT_SQL.rindex("SELECT s.qid, b.range::INT")] + f"""
+SELECT s.qid, t.n::BIGINT AS n_top, {S.r6('t.nearest')} AS nearest, {S.r6('t.farthest')} AS farthest, {S.r6('t.total')} AS top_sum,
+  {S.r6('s.avg_d')} AS avg_d, h.n::BIGINT AS n_counted, h.filled::BIGINT AS n_filled, {S.r6('s.lo')} AS edge_lo, {S.r6('s.hi')} AS edge_hi
+FROM stats s
+JOIN (SELECT qid, count(*) AS n, min(d) AS nearest, max(d) AS farthest, sum(d) AS total FROM ranked WHERE r < {GT_MAXK} GROUP BY qid) t USING (qid)
+JOIN (SELECT qid, sum(cnt) AS n, count(*) AS filled FROM cnts GROUP BY qid) h USING (qid)""")
+def q_ground_truth_saved(spark, sf):
+    """Ground truth written and read back (A10): the whole distance list, the mean and the histogram of every query."""
+    path = scratch(spark)
+    TB.save_ground_truth(H.ground_truth(*_vq(spark, sf), maxk=GT_MAXK, exclude_self=True, bins=GT_BINS), path)
+    g = spark.read.parquet(path)
+    return g.select("qid", F.size("topk").cast("long").alias("n_top"), vec.rnd(F.array_min("topk")).alias("nearest"),
+                    vec.rnd(F.array_max("topk")).alias("farthest"), vec.rnd(vec.vsum("topk")).alias("top_sum"), vec.rnd("avg_d").alias("avg_d"),
+                    vec.vsum(F.transform("hist_counts", lambda c: c.cast("double"))).cast("long").alias("n_counted"),
+                    F.size(F.filter("hist_counts", lambda c: c > 0)).cast("long").alias("n_filled"),
+                    vec.rnd(F.element_at("hist_edges", 1)).alias("edge_lo"), vec.rnd(F.element_at("hist_edges", -1)).alias("edge_hi"))
+
+
 _CW_SQL = _GT_SQL.replace(_GT_SQL[_GT_SQL.rindex("SELECT s.qid, b.range::INT"):], f"""
 SELECT s.qid, {S.r6('t.d')} AS t, sum(coalesce(c.cnt, 0))::BIGINT AS cnt_within
 FROM stats s JOIN (SELECT qid, d FROM ranked WHERE r = {K}) t USING (qid)

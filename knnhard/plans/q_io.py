@@ -1,15 +1,19 @@
-"""Registered queries A4, A7, A9, A14 (files written to the shared scratch folder and read back)."""
+"""Registered queries A1-A4, A6-A9, A11-A14 (files written to the shared scratch folder and read back)."""
 
 import os
 
 from pyspark.sql import functions as F
 
 from knnhard.functions import vec
+from knnhard.operators import catalog as C
+from knnhard.operators import generate as G
 from knnhard.operators import vectors as vops
+from knnhard.operators.ranks import positions
 from knnhard.plans import fixtures as fx
 from knnhard.plans import results as RS
 from knnhard.plans import sqlgen as S
 from knnhard.plans.registry import register
+from knnhard.session import scratch
 from knnhard.sources import tables as TB
 from knnhard.sources import vecfile as VF
 
@@ -66,15 +70,107 @@ def q_union_results(spark, sf):
     """Metric rows written as per-dataset CSV folders, stacked back with an
     explicit schema and the dataset taken from the path (A8, A9, A11)."""
     m = RS.metric_rows(spark, sf)
-    root = TB.scratch_dir(spark, "csv")
+    root = scratch(spark)
     TB.write_metrics_csv(m, root)
-    parts = sorted(os.path.join(root, d) for d in os.listdir(root) if d.startswith("dataset="))
-    schema = TB.METRIC_SCHEMA.replace(", dataset string", "")
-    r = TB.read_results_csv(spark, parts, schema)
+    r = TB.read_results_csv(spark, root, TB.METRIC_SCHEMA.replace(", dataset string", ""))
     return r.select("i", F.col("source").alias("dataset"), vec.rnd("rc").alias("rc"), vec.rnd("distcomp").alias("distcomp"),
                     "workload_description")
 
 
+@register("stack_traces", RS.sql(f"""SELECT 'ev-' || (query_index % 3)::VARCHAR AS source, iteration, query_index, {S.r6('rc')} AS rc,
+  {S.r6('elapsed_s')} AS elapsed_s, CASE WHEN query_index % 3 = 1 THEN 5000 END::BIGINT AS data_limit,
+  CASE WHEN query_index % 3 <> 2 THEN method END AS method FROM trace""", False))
+def q_stack_traces(spark, sf):
+    """Convergence traces of three datasets as CSVs of three kinds, columns missing, added and in another order, stacked by name."""
+    t = RS.trace(spark, sf)
+    root = scratch(spark)
+    kinds = {"ev-0": ["iteration", "rc", "elapsed_s", "query_index", "method"],
+             "ev-1": ["iteration", "rc", "elapsed_s", "query_index", "data_limit", "method"],
+             "ev-2": ["query_index", "elapsed_s", "iteration", "rc"]}
+    for d, cols in kinds.items():
+        one = t.where(F.col("dataset") == d).withColumn("data_limit", F.lit(5000)).select(*cols)
+        one.write.option("header", True).csv(f"{root}/dataset={d}")
+    r = TB.read_results_csv(spark, root, "iteration long, rc double, elapsed_s double, query_index long, data_limit long, method string")
+    return r.select("source", "iteration", "query_index", vec.rnd("rc").alias("rc"), vec.rnd("elapsed_s").alias("elapsed_s"), "data_limit", "method")
+
+
+@register("load_text", f"""SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, {_sdigest('embedding')} FROM embeddings""")
+def q_load_text(spark, sf):
+    """The embeddings as lines of text, read back under their line numbers (A3), by a symbolic name (A4)."""
+    path = scratch(spark) + ".txt"
+    TB.write_txt(fx.vectors(spark, sf), path)
+    df, _ = TB.load_vectors(spark, "emb", names={"train": {"emb": path}})
+    return df.select("id", *_digest())
+
+
+_AS_FILED = "SELECT row_number() OVER (ORDER BY id) - 1 AS id, list_transform(v, lambda x: x::FLOAT) AS v FROM vectors_ip"
+
+
+@register("convert", fx.with_fixtures(["vectors_ip"], f"""SELECT id, {_sdigest('w')}, true AS whole FROM (
+  SELECT id, list_concat(v, list_transform(range((8 - len(v) % 8) % 8), lambda i: 0::FLOAT)) AS w FROM filed)""", {"filed": _AS_FILED}))
+def q_convert(spark, sf):
+    """A text file of vectors converted to raw float32: padded, the name checked, written, read back and compared."""
+    text = scratch(spark) + ".txt"
+    v = fx.vectors_ip(spark, sf)
+    TB.write_txt(v, text)
+    size = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    wide = size["dim"] + -size["dim"] % 8
+    path = os.path.join(TB.scratch_dir(spark, "convert"), f"ip-euclidean-{wide}-{size['n']}.bin")
+    report = TB.convert(spark, text, path).select((F.col("n_mismatch") + F.abs(F.col("n_a") - F.col("n_b")) == 0).alias("whole"))
+    return VF.read_vectors(spark, path).select("id", *_digest()).join(F.broadcast(report))  # one row
+
+
+@register("layout", f"""SELECT dataset, label, count(*)::BIGINT AS n, sum(vec_id)::BIGINT AS ids, {S.r6('sum(s)')} AS vsum FROM (
+  SELECT *, 'set-' || label::VARCHAR AS dataset, {S.vsum('embedding')} AS s FROM embeddings) GROUP BY ALL""")
+def q_layout(spark, sf):
+    """Rows written as ``dataset=X/workload_key=Y`` folders; each dataset is read back by its partition filter."""
+    e = fx.table(spark, sf, "embeddings")
+    path = scratch(spark)
+    TB.write_layout(e.withColumn("dataset", F.concat(F.lit("set-"), F.col("label").cast("string")))
+                    .withColumn("workload_key", F.sha2(F.col("label").cast("string"), 256)), path)
+    names = [r["dataset"] for r in TB.read_layout(spark, path).select("dataset").distinct().orderBy("dataset").collect()]
+    out = None
+    for name in names:  # one row per dataset
+        one = TB.read_layout(spark, path, dataset=name).groupBy("dataset", "label").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("vec_id").alias("ids"), vec.rnd(F.sum(vec.vsum(vec.dvec("embedding")))).alias("vsum"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("file_workload", f"""SELECT dataset, k, qid, {_sdigest('w')} FROM (
+  SELECT 'emb' || label::VARCHAR || '-angular-' || max(len(embedding)) OVER (PARTITION BY label, k) || '-' || count(*) OVER (PARTITION BY label, k) AS dataset,
+    k, row_number() OVER (PARTITION BY label, k ORDER BY vec_id) - 1 AS qid, {_norm_sql('embedding')} AS w
+  FROM embeddings, (VALUES (10), (1)) ks(k))""")
+def q_file_workload(spark, sf):
+    """The file-based rows of the catalogue, each with a query file of its own that the row's file name stands for."""
+    e = fx.table(spark, sf, "embeddings")
+    rows = C.catalogue(C.dataset_table(e)).where("workload_type = 'file-based'").select("dataset", "k", "queries_filename").collect()
+    root = TB.scratch_dir(spark, "workloads")
+    names, out = {}, None
+    for r in rows:  # two rows per dataset
+        name = r["queries_filename"]
+        if name not in names:
+            own = e.where(F.col("label").cast("string") == r["dataset"].partition("-")[0][len("emb"):])
+            names[name] = os.path.join(root, f"{name}.bin")
+            VF.write_vectors(positions(own.select("vec_id", F.col("embedding").alias("v")), ["vec_id"], "id"), names[name])
+        config = {"workload_type": "file-based", "queries_filename": name, "names": {"test": names}}
+        q = G.dispatch_workload(own, config, metric=r["dataset"].split("-")[1])
+        one = q.select(F.lit(r["dataset"]).alias("dataset"), F.lit(r["k"]).alias("k"), "qid", *_digest("qv"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("emit_queries", """SELECT count(*)::BIGINT AS n_a, count(*)::BIGINT AS n_b, 0::BIGINT AS n_mismatch,
+  max(list_max(list_transform(v, lambda x: abs(x - x::FLOAT::DOUBLE)))) < 1e-6 AS close FROM (
+  SELECT list_transform(embedding, lambda x: x::DOUBLE * 0.9) AS v FROM embeddings)""")
+def q_emit_queries(spark, sf):
+    """A query set as large as the table emitted to raw float32, read back and compared."""
+    q = fx.vectors(spark, sf).select("id", F.transform(vec.dvec("v"), lambda x: x * 0.9).alias("v"))
+    path = os.path.join(TB.scratch_dir(spark, "emit"), "queries-64-all.bin")
+    r = TB.write_queries_checked(q, path)
+    return r.select("n_a", "n_b", F.col("n_mismatch").cast("long"), (F.col("max_abs_diff") < 1e-6).alias("close"))
+
+
 @register("load_range", f"""SELECT vec_id AS id, {_sdigest('embedding')} FROM embeddings
 WHERE vec_id >= (SELECT count(*) // 4 FROM embeddings) AND vec_id < (SELECT count(*) // 2 FROM embeddings)""")
 def q_load_range(spark, sf):
