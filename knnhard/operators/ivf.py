@@ -94,16 +94,35 @@ def probe_order(queries: DataFrame, centroids: DataFrame, metric: str = "euclide
         "qid", F.col("t.id").alias("cid"), F.col("t.d").alias("cd"), (F.col("at") + 1).alias("probe"))
 
 
+def write_cells(vectors: DataFrame, assignment: DataFrame, centroids: DataFrame, path: str, metric: str = "euclidean",
+                rows_per_file: int = 1 << 20) -> DataFrame:
+    """The vectors written by cell, one folder for each, and read back as ``(id, v, cid)`` partitioned by ``cid``.
+
+    Searches then read the folders of the cells they probe. A cell is written by as many tasks as it has
+    ``rows_per_file`` rows, dealt by a digest of the id, so a cell with a third of all rows is no single task.
+    """
+    cells = scan.nearest_centre(vectors, centroids, metric, keep_vectors=True).select("id", "v", "cid")
+    files = list_sizes(assignment).select("cid", F.ceil(F.col("size") / rows_per_file).alias("_files"))  # one row per cell
+    dealt = cells.join(files, "cid").withColumn("_file", F.pmod(F.xxhash64("id"), F.col("_files"))).drop("_files")
+    dealt.repartition("cid", "_file").drop("_file").write.partitionBy("cid").parquet(path)
+    return vectors.sparkSession.read.schema(cells.schema).parquet(path)
+
+
 def search(vectors: DataFrame, assignment: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int,
-           k: int, metric: str = "euclidean", exclude_self: bool = False) -> DataFrame:
-    """nprobe search -> k best ``(qid, rank, id, d)`` (E3): probed cells are
-    equi-joined on ``cid`` with the assigned vectors; the size of the probes decides how (a cell that holds much of the
-    data is split by AQE's skew join)."""
-    probes = probe_order(queries, centroids, metric, nprobe).select("qid", "cid")
-    # the cell is recomputed inside the scan (centroids are broadcast anyway):
-    # no join of the vector table with the assignment, i.e. no shuffle of it
-    cand = scan.nearest_centre(vectors, centroids, metric, keep_vectors=True).select("id", "cid", "v")
-    j = cand.join(keep(probes.join(queries, "qid")), "cid")
+           k: int, metric: str = "euclidean", exclude_self: bool = False, cells: DataFrame | None = None) -> DataFrame:
+    """nprobe search -> k best ``(qid, rank, id, d)`` (E3): probed cells are equi-joined on ``cid`` with the vectors; the
+    size of the probes decides how (a cell that holds much of the data is split by AQE's skew join).
+
+    With ``cells``, a table of ``write_cells``, only the folders of probed cells are read (Spark prunes them at run time
+    where the probes are small enough to broadcast); without, every vector is scanned for its cell.
+    """
+    wanted = keep(probe_order(queries, centroids, metric, nprobe).join(queries, "qid").select("qid", "cid", "probe", "qv"))
+    probes = wanted.where(F.col("probe") <= nprobe).select("qid", "cid", "qv")  # the filter lets the join prune partitions
+    if cells is None:
+        # the cell is recomputed inside the scan (centroids are broadcast anyway):
+        # no join of the vector table with the assignment, i.e. no shuffle of it
+        cells = scan.nearest_centre(vectors, centroids, metric, keep_vectors=True)
+    j = cells.select("id", "cid", "v").join(probes, "cid")
     if exclude_self:
         j = j.where(F.col("qid") != F.col("id"))
     pairs = j.select("qid", "id", vec.metric_distance("qv", "v", metric).alias("d"))

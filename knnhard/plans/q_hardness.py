@@ -162,7 +162,7 @@ def q_count_within(spark, sf):
     return g.select("qid", vec.rnd(t).alias("t"), H.count_within(g, t).cast("long").alias("cnt_within"))
 
 
-GRID = 20
+GRID = 500
 PAD = 0.1
 
 

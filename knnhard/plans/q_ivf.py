@@ -10,6 +10,7 @@ from knnhard.plans import fixtures as fx
 from knnhard.plans import sqlgen as S
 from knnhard.plans.q_hardness import EPS_SQL, EXP_SQL, LID_SQL, RC_SQL
 from knnhard.plans.registry import register
+from knnhard.session import scratch
 
 K = 10
 SEED = 1234
@@ -108,7 +109,8 @@ SELECT qid, rank::BIGINT AS rank, id, {S.r6('d')} AS d FROM (
 WHERE rank <= {K}""", sweep_ctes()))
 def q_ivf_search(spark, sf):
     v, (c, a) = index(spark, sf)
-    r = ivf.search(v, a, c, fx.queries(spark, sf), NPROBE, K, exclude_self=True)
+    cells = ivf.write_cells(v, a, c, scratch(spark))
+    r = ivf.search(v, a, c, fx.queries(spark, sf), NPROBE, K, exclude_self=True, cells=cells)
     return r.select("qid", F.col("rank").cast("long"), "id", vec.rnd("d").alias("d"))
 
 
