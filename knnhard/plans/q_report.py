@@ -8,6 +8,7 @@ from knnhard.operators import hardness as H
 from knnhard.operators import report as R
 from knnhard.operators import sax
 from knnhard.plans import fixtures as fx
+from knnhard.plans import q_sax
 from knnhard.plans import results as RS
 from knnhard.plans import sqlgen as S
 from knnhard.plans.registry import register
@@ -384,7 +385,16 @@ def q_drop_null_means(spark, sf):
     return u.select("dataset", "difficulty", vec.rnd("distcomp").alias("distcomp"))
 
 
-@register("index_performance")
+def _index_sql():
+    rows = " UNION ALL ".join(
+        f"""SELECT 'set-' || em.label::VARCHAR, {RS._wl_sql('c.qid')}, c.qid, 'sax', '{{"segments":8,"leaf_size":10}}', NULL::DOUBLE,
+  c.hardness, 1.0, {k}, NULL::DOUBLE FROM sax{k} c JOIN embeddings em ON em.vec_id = c.qid""" for k in (10, 1))
+    cols = ", ".join(f"{r6(c)} AS {c}" if c in ("distcomp", "recall") else c for c in R.PERF_COLS)
+    ctes = {**RS.result_ctes(), **q_sax.index_ctes(64, (10, 1))}
+    return fx.with_fixtures(["vectors", "queries"], f"SELECT {cols} FROM perf UNION ALL {rows}", ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("index_performance", _index_sql())
 def q_index_performance(spark, sf):
     """IVF rows plus SAX (pruned exact search) rows in the fixed schema."""
     ivf_rows = _p(spark, sf)

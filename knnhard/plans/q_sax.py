@@ -46,9 +46,9 @@ def _bp_sql():
     return "[" + ", ".join(repr(float(b)) for b in BP) + "]::DOUBLE[]"
 
 
-def _paa_sql(col="v", w=W):
+def _paa_sql(col="v", w=W, length=LEN):
     parts, off = [], 0
-    for ln in sax.segment_lengths(LEN, w):
+    for ln in sax.segment_lengths(length, w):
         parts.append(f"list_sum({col}[{off + 1}:{off + ln}]) / {ln}")
         off += ln
     return "[" + ", ".join(parts) + "]"
@@ -58,9 +58,9 @@ def _sax_sql(paa="paa"):
     return f"list_transform({paa}, lambda x: len(list_filter({_bp_sql()}, lambda b: b <= x)))"
 
 
-def _ctes(w=W, extra=None):
-    c = {"series": "SELECT id, v FROM series_walk",
-         "pa": f"SELECT id, v, {_paa_sql('v', w)} AS paa FROM series",
+def _ctes(w=W, extra=None, series="SELECT id, v FROM series_walk", length=LEN):
+    c = {"series": series,
+         "pa": f"SELECT id, v, {_paa_sql('v', w, length)} AS paa FROM series",
          "summ": f"SELECT id, v, paa, {_sax_sql('paa')} AS sax FROM pa",
          "ex": "SELECT id, unnest(paa) AS x, generate_subscripts(paa, 1) - 1 AS seg FROM summ",
          "exs": "SELECT id, unnest(sax) AS s, generate_subscripts(sax, 1) - 1 AS seg FROM summ"}
@@ -78,8 +78,8 @@ def _bucket_sql(bits: str, sax_col="sax", w=W):
     return " || ',' || ".join(items)
 
 
-def _lb_sql(qpaa: str, sx: str, w=W):
-    lens = sax.segment_lengths(LEN, w)
+def _lb_sql(qpaa: str, sx: str, w=W, length=LEN):
+    lens = sax.segment_lengths(length, w)
     terms = []
     for i in range(w):
         s_ = f"({sx})[{i + 1}]"
@@ -315,37 +315,56 @@ def q_sax_knn(spark, sf):
     return ans.select("qid", F.col("rank").cast("long"), "id", vec.rnd("d").alias("d"))
 
 
-def _env_lb_sql(lo: str, hi: str):
+def _env_lb_sql(lo: str, hi: str, length=LEN):
     gap = [f"greatest(({lo})[{i + 1}] - q.qpaa[{i + 1}], q.qpaa[{i + 1}] - ({hi})[{i + 1}], 0.0)" for i in range(W)]
-    return "sqrt(" + " + ".join(f"{float(n)} * {g} * {g}" for n, g in zip(sax.segment_lengths(LEN, W), gap)) + ")"
-
-
-#: The search by its definition, on all pairs of queries and buckets: seeds, best so far, what is entered and compared.
-_SEARCH = {
-    "qs": f"SELECT id AS qid, {_paa_sql('v')} AS qpaa, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x))) AS norm FROM series",
-    "env": "SELECT bucket, count(*) AS size, " + ", ".join(
-        f"[{', '.join(f'{f}(paa[{i + 1}])' for i in range(W))}] AS {c}" for c, f in (("lo", "min"), ("hi", "max"))) + " FROM full_leaves GROUP BY bucket",
-    "qb": f"SELECT q.qid, e.bucket, e.size, {_env_lb_sql('e.lo', 'e.hi')} AS blb FROM qs q CROSS JOIN env e",
-    "seeds": f"""SELECT qid, bucket FROM (SELECT *, sum(size) OVER (PARTITION BY qid ORDER BY blb, bucket ROWS UNBOUNDED PRECEDING) AS cum FROM qb)
-  WHERE cum - size < {K + 1}""",
-    **_KNN_SERIES,
-    "first": "SELECT p.qid, p.id, p.d, row_number() OVER (PARTITION BY p.qid ORDER BY p.d, p.id) AS r FROM pairs p "
-             "JOIN full_leaves l ON l.id = p.id JOIN seeds s ON s.qid = p.qid AND s.bucket = l.bucket",
-    "best": f"SELECT q.qid, q.qpaa, coalesce(f.d + 1e-12 * (f.d + q.norm), 'inf'::DOUBLE) AS reach FROM qs q "
-            f"LEFT JOIN (SELECT qid, d FROM first WHERE r = {K}) f USING (qid)",
-    "entered": "SELECT b.qid, b.bucket FROM qb b JOIN best USING (qid) WHERE b.blb <= best.reach",
-}
-
-
-@register("sax_counters", _tree(f"""SELECT q.qid, n.n_buckets, coalesce(c.n_lb, 0)::BIGINT AS n_lb, (coalesce(f.n, 0) + coalesce(c.n_new, 0))::BIGINT AS n_dist,
+    return "sqrt(" + " + ".join(f"{float(n)} * {g} * {g}" for n, g in zip(sax.segment_lengths(length, W), gap)) + ")"
+
+
+def _search_ctes(k=K, length=LEN, sfx=""):
+    """The search by its definition, on all pairs of queries and buckets: seeds, best so far, what is entered and compared."""
+    return {
+        "qs": f"SELECT id AS qid, {_paa_sql('v', W, length)} AS qpaa, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x))) AS norm FROM series",
+        "env": "SELECT bucket, count(*) AS size, " + ", ".join(
+            f"[{', '.join(f'{f}(paa[{i + 1}])' for i in range(W))}] AS {c}" for c, f in (("lo", "min"), ("hi", "max"))) + " FROM full_leaves GROUP BY bucket",
+        "qb": f"SELECT q.qid, e.bucket, e.size, {_env_lb_sql('e.lo', 'e.hi', length)} AS blb FROM qs q CROSS JOIN env e",
+        f"seeds{sfx}": f"""SELECT qid, bucket FROM (SELECT *, sum(size) OVER (PARTITION BY qid ORDER BY blb, bucket ROWS UNBOUNDED PRECEDING) AS cum FROM qb)
+  WHERE cum - size < {k + 1}""",
+        **_KNN_SERIES,
+        f"first{sfx}": "SELECT p.qid, p.id, p.d, row_number() OVER (PARTITION BY p.qid ORDER BY p.d, p.id) AS r FROM pairs p "
+                       f"JOIN full_leaves l ON l.id = p.id JOIN seeds{sfx} s ON s.qid = p.qid AND s.bucket = l.bucket",
+        f"best{sfx}": f"SELECT q.qid, q.qpaa, coalesce(f.d + 1e-12 * (f.d + q.norm), 'inf'::DOUBLE) AS reach FROM qs q "
+                      f"LEFT JOIN (SELECT qid, d FROM first{sfx} WHERE r = {k}) f USING (qid)",
+        f"entered{sfx}": f"SELECT b.qid, b.bucket FROM qb b JOIN best{sfx} best USING (qid) WHERE b.blb <= best.reach",
+    }
+
+
+_SEARCH = _search_ctes()
+
+
+def _counters_sql(length=LEN, sfx=""):
+    return f"""SELECT q.qid, n.n_buckets, coalesce(c.n_lb, 0)::BIGINT AS n_lb, (coalesce(f.n, 0) + coalesce(c.n_new, 0))::BIGINT AS n_dist,
   {S.r6('(coalesce(f.n, 0) + coalesce(c.n_new, 0)) / (SELECT count(*) - 1.0 FROM series)')} AS hardness
 FROM qs q
-LEFT JOIN (SELECT qid, count(*)::BIGINT AS n_buckets FROM (SELECT * FROM seeds UNION SELECT * FROM entered) GROUP BY qid) n USING (qid)
-LEFT JOIN (SELECT qid, count(*) AS n FROM first GROUP BY qid) f USING (qid)
+LEFT JOIN (SELECT qid, count(*)::BIGINT AS n_buckets FROM (SELECT * FROM seeds{sfx} UNION SELECT * FROM entered{sfx}) GROUP BY qid) n USING (qid)
+LEFT JOIN (SELECT qid, count(*) AS n FROM first{sfx} GROUP BY qid) f USING (qid)
 LEFT JOIN (
-  SELECT e.qid, count(*) AS n_lb, count(*) FILTER (s.bucket IS NULL AND sqrt({_lb_sql('q.qpaa', 'l.sax')}) <= q.reach) AS n_new
-  FROM entered e JOIN full_leaves l ON l.bucket = e.bucket AND l.id <> e.qid JOIN best q ON q.qid = e.qid
-  LEFT JOIN seeds s ON s.qid = e.qid AND s.bucket = e.bucket, (SELECT {_bp_sql()} AS bp) GROUP BY e.qid) c USING (qid)""", extra=_SEARCH))
+  SELECT e.qid, count(*) AS n_lb, count(*) FILTER (s.bucket IS NULL AND sqrt({_lb_sql('q.qpaa', 'l.sax', W, length)}) <= q.reach) AS n_new
+  FROM entered{sfx} e JOIN full_leaves l ON l.bucket = e.bucket AND l.id <> e.qid JOIN best{sfx} q ON q.qid = e.qid
+  LEFT JOIN seeds{sfx} s ON s.qid = e.qid AND s.bucket = e.bucket, (SELECT {_bp_sql()} AS bp) GROUP BY e.qid) c USING (qid)"""
+
+
+def index_ctes(length: int, ks: tuple[int, ...]) -> dict[str, str]:
+    """The search over the ``embeddings`` (E7): tables ``sax<k>`` of its counters for each k."""
+    ctes = _ctes(series="SELECT vec_id AS id, embedding AS v FROM embeddings", length=length)
+    ctes.update(_tree_sql())
+    for k in ks:
+        ctes.update(_search_ctes(k, length, f"_{k}"))
+        ctes[f"sax{k}"] = _counters_sql(length, f"_{k}")
+    del ctes["pairs"]  # the result tables have it: all pairs of the embeddings
+    return ctes
+
+
+@register("sax_counters", _tree(_counters_sql(), extra=_SEARCH))
 def q_sax_counters(spark, sf):
     s = _summary_kept(spark, sf)
     lv = sax.build_leaves(s, W, LEAF)
