@@ -40,9 +40,13 @@ MAX_QUERY_BYTES = 64 * 1024 * 1024
 _QUERY_BLOCK = 32 * 1024 * 1024
 _VECTOR_BLOCK = 64 * 1024 * 1024
 # distance-matrix elements computed at once inside a task
-_CHUNK_ELEMS = 4_000_000
+_CHUNK_ELEMS = 1_000_000
+# vector rows of one tile of a distance matrix; tiles after the first are filtered by the lists found so far
+_TILE = 2_048
+# queries from which a scan deals the vectors to all cores, however few files they come in
+_DEAL_QUERIES = 1_000
 # bytes of top lists (distance and id) a task holds at once; more queries take further scans
-_LIST_BYTES = 256 * 1024 * 1024
+_LIST_BYTES = 128 * 1024 * 1024
 # relative error bound of squared norms and products from the matrix product (up to about 1,000 dimensions)
 _REL = 1e-12
 # partials of one query are merged in this many groups first
@@ -85,12 +89,12 @@ Body = Callable[[tuple, int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 def _meet(vectors: DataFrame, queries: DataFrame, body: Body, schema: str, extra: tuple[str, ...] = (), more: tuple[str, ...] = (),
           vid: str = "id", vcol: str = "v", qid: str = "qid", qv: str = "qv", row_bytes: int | Callable[[int], int] = 0,
-          block_rows: int | None = None) -> DataFrame:
+          in_blocks: bool = False) -> DataFrame:
     """Rows that ``body(side, part, batches)`` yields for every block of queries and part of the vectors.
 
     ``side`` is ``(qids, Q, *extra)``; ``more`` are further vector columns (long). ``row_bytes`` is what a task
-    holds for every query besides its vector (or that by dimension), and bounds the queries taken at once. ``block_rows`` asks for blocks of
-    about that many queries at any size.
+    holds for every query besides its vector (or that by dimension), and bounds the queries taken at once. ``in_blocks`` asks for blocks
+    at any size. Either way the work is dealt to all cores: by a digest of the ids where there are many queries.
     """
     st = queries.agg(F.count(F.lit(1)).alias("q"), F.max(F.size(qv)).alias("dim"), F.min(F.size(qv)).alias("dmin")).first()
     q, dim, dmin = st["q"], max(st["dim"] or 0, 1), st["dmin"] or 0
@@ -99,20 +103,24 @@ def _meet(vectors: DataFrame, queries: DataFrame, body: Body, schema: str, extra
     if callable(row_bytes):
         row_bytes = row_bytes(dim)
     cols = [F.col(vid).cast("long").alias(vid), F.col(vcol), *[F.col(c).cast("long").alias(c) for c in more]]
-    if block_rows is None and q * dim * 8 <= MAX_QUERY_BYTES:
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    if not in_blocks and q * dim * 8 <= MAX_QUERY_BYTES:
         qids, Q, ext = collect_queries(queries, qid, qv, extra)
         step = max(1, _LIST_BYTES // row_bytes) if row_bytes else max(1, q)
+        source = vectors.select(*cols)
+        if q >= _DEAL_QUERIES:
+            source = source.repartition(max(cores, math.ceil(vectors.count() * dim * 8 / _VECTOR_BLOCK)), vid)
         out = None
         for a in range(0, max(1, q), step):
             rows = slice(a, a + step)
             sent = vectors.sparkSession.sparkContext.broadcast((qids[rows], Q[rows], *[_column(ext[c][rows]) for c in extra]))
-            part = vectors.select(*cols).mapInArrow(
+            part = source.mapInArrow(
                 lambda batches, sent=sent: body(sent.value, TaskContext.get().partitionId(), batches), schema)
             out = part if out is None else out.unionByName(part)
         return out
-    held = max(q * dim * 8 / _QUERY_BLOCK, q * row_bytes / _LIST_BYTES, q / block_rows if block_rows else 0)
+    held = max(q * dim * 8 / _QUERY_BLOCK, q * row_bytes / _LIST_BYTES)
     n_q = max(1, math.ceil(held))
-    n_v = max(1, math.ceil(vectors.count() * dim * 8 / _VECTOR_BLOCK))
+    n_v = max(1, math.ceil(vectors.count() * dim * 8 / _VECTOR_BLOCK), math.ceil(2 * cores / n_q))
     # ids are dealt by digest, so that blocks are about equal; each side is repeated once per block of the other
     v = vectors.select(*cols, F.pmod(F.xxhash64(vid), F.lit(n_v)).alias("_vb"), F.explode(_numbers(n_q)).alias("_qb"))
     qs = queries.select(F.col(qid).cast("long").alias("_qid"), F.col(qv).cast("array<double>").alias("_qv"), *[F.col(c).alias(f"_x_{c}") for c in extra],
@@ -133,6 +141,11 @@ def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
+def _lists(A: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(A) + 1, dtype=np.int32) * np.int32(A.shape[1])), pa.array(A.ravel()))
+
+
 def _column(values) -> np.ndarray:
     """A query column as an array: numbers, or rows of equally many numbers."""
     return np.array([np.asarray(x, dtype=np.float64) for x in values]) if len(values) else np.zeros(0)
@@ -151,11 +164,24 @@ def _matrix(batch: pa.RecordBatch, col: str) -> np.ndarray:
     return flat.reshape(n, dim)
 
 
+def _tiles(batches: Iterator[pa.RecordBatch], vid: str, vcol: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(ids, matrix)`` of at most ``_TILE`` rows at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, _TILE):
+            part = batch.slice(a, _TILE)
+            ids = part.column(part.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield ids, _matrix(part, vcol)
+
+
 def _approx(metric: str, Qc: np.ndarray, qn2: np.ndarray, X: np.ndarray, xn2: np.ndarray) -> np.ndarray:
     G = Qc @ X.T
     if metric == "angular":
-        return np.maximum(0.0, 1.0 - G)
-    return np.sqrt(np.maximum(qn2[:, None] + xn2[None, :] - 2.0 * G, 0.0))
+        np.subtract(1.0, G, out=G)
+        return np.maximum(G, 0.0, out=G)
+    G *= -2.0
+    G += qn2[:, None] + xn2[None, :]
+    np.maximum(G, 0.0, out=G)
+    return np.sqrt(G, out=G)
 
 
 def _fold(A: np.ndarray, B: np.ndarray, metric: str) -> np.ndarray:
@@ -173,6 +199,18 @@ def _fold(A: np.ndarray, B: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(acc)
 
 
+def _exact_pairs(metric: str, Qc: np.ndarray, X: np.ndarray, rr: np.ndarray, cc: np.ndarray) -> np.ndarray:
+    """Exact distances of the pairs (row, column), summed in the order of ``_fold`` without a vector for each pair."""
+    acc = np.zeros(len(rr))
+    for x, y in zip(np.ascontiguousarray(Qc.T), np.ascontiguousarray(X.T)):
+        if metric == "angular":
+            acc += x[rr] * y[cc]
+        else:
+            t = x[rr] - y[cc]
+            acc += t * t
+    return np.maximum(0.0, 1.0 - acc) if metric == "angular" else np.sqrt(acc)
+
+
 def _exact_rows(metric: str, Qc: np.ndarray, XT: np.ndarray, idx: np.ndarray) -> np.ndarray:
     """Exact distances of query row r to column idx[r, j] of ``XT``, summed in the order of ``_fold``;
     the temporaries have the size of ``idx``, whatever the dimension."""
@@ -192,6 +230,12 @@ def _slack(metric: str, D: np.ndarray, qn2: np.ndarray, xn2: np.ndarray) -> np.n
     return e if metric == "angular" else e / np.maximum(np.maximum(D, np.sqrt(e)), np.finfo(float).tiny)
 
 
+def _limit(metric: str, t: np.ndarray, qn2: np.ndarray, xn2: np.ndarray) -> np.ndarray:
+    """For every row the approximate distance that no pair of an exact distance ``<= t`` exceeds."""
+    e = 2 * _REL * (qn2 + xn2.max(initial=0.0, where=np.isfinite(xn2)))
+    return t + e if metric == "angular" else np.sqrt(t * t + e)
+
+
 def _nearest(metric: str, Qc: np.ndarray, qn2: np.ndarray, X: np.ndarray, XT: np.ndarray, xn2: np.ndarray,
              ids: np.ndarray, D: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(exact distances, columns) of the ``k`` smallest (d, id) of every row of the approximate ``D``.
@@ -205,8 +249,7 @@ def _nearest(metric: str, Qc: np.ndarray, qn2: np.ndarray, X: np.ndarray, XT: np
         return _exact_rows(metric, Qc, XT, idx), idx
     idx = np.argpartition(D, k - 1, axis=1)[:, :k]
     kth = np.take_along_axis(D, idx, 1).max(1)
-    e = 2 * _REL * (qn2 + xn2.max())
-    limit = kth + e if metric == "angular" else np.sqrt(kth * kth + e)
+    limit = _limit(metric, kth, qn2, xn2)
     limit[~np.isfinite(kth)] = -1.0  # fewer than k columns that count: idx has them all
     d = _exact_rows(metric, Qc, XT, idx)
     for r in np.nonzero((D <= limit[:, None]).sum(1) > k)[0]:
@@ -224,6 +267,38 @@ def _merge_top(d0: np.ndarray, i0: np.ndarray, d1: np.ndarray, i1: np.ndarray, m
     return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1), order
 
 
+def _closer(metric: str, Qc: np.ndarray, qn2: np.ndarray, X: np.ndarray, XT: np.ndarray, xn2: np.ndarray, ids: np.ndarray,
+            D: np.ndarray, best_d: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, exact distances, columns) of what may enter the lists ``best_d``: all rows and their ``m`` nearest while the lists
+    are short, later only the rows with a column that is no farther than the last of their list."""
+    every = np.arange(len(D))
+    if best_d.shape[1] == m:
+        rr, cc = np.nonzero(D <= _limit(metric, best_d[:, -1], qn2, xn2)[:, None])
+        if len(rr) == 0:
+            return every[:0], np.zeros((0, 1)), np.zeros((0, 1), dtype=np.int64)
+        rows, first, count = np.unique(rr, return_index=True, return_counts=True)
+        if count.max() <= m:
+            at = np.arange(len(rr)) - np.repeat(first, count)
+            row = np.repeat(np.arange(len(rows)), count)
+            ex, idx = np.full((len(rows), count.max()), np.inf), np.zeros((len(rows), count.max()), dtype=np.int64)
+            ex[row, at], idx[row, at] = _exact_pairs(metric, Qc, X, rr, cc), cc
+            ex[row, at] = np.where(np.isfinite(D[rr, cc]), ex[row, at], np.inf)
+            return rows, ex, idx
+    ex, idx = _nearest(metric, Qc, qn2, X, XT, xn2, ids, D, m)
+    ex[~np.isfinite(np.take_along_axis(D, idx, 1))] = np.inf
+    return every, ex, idx
+
+
+def _own_pairs(qids: np.ndarray, order: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows ascending, columns) of the pairs of a query with itself; ``order`` sorts ``qids``."""
+    lo, hi = np.searchsorted(qids, ids, "left", order), np.searchsorted(qids, ids, "right", order)
+    count = hi - lo
+    cols = np.repeat(np.arange(len(ids)), count)
+    rows = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+    by = np.argsort(rows, kind="stable")
+    return rows[by], cols[by]
+
+
 def _self_mask(qids: np.ndarray, ids: np.ndarray, rows: slice) -> np.ndarray:
     """Boolean (qc, b): pair is the query itself."""
     return qids[rows][:, None] == ids[None, :]
@@ -235,7 +310,8 @@ def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m
             exclude_self: bool = False, vid: str = "id", vcol: str = "v",
             qid: str = "qid", qv: str = "qv", block_rows: int | None = None) -> DataFrame:
     """Per query: ``n, sum_d, min_d, max_d`` over all points and the ``m``
-    nearest as ``top array<struct<d,id>>`` ordered by (d, id). ``block_rows``: queries of a block, see ``_meet``."""
+    nearest as ``top array<struct<d,id>>`` ordered by (d, id). ``block_rows``: the queries stay a
+    table, and a task takes that many of its block at once."""
     _check_metric(metric)
 
     def body(side, pid, batches):
@@ -249,32 +325,45 @@ def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m
         mx = np.full(q, -np.inf)
         best_d = np.full((q, 0), np.inf)
         best_i = np.zeros((q, 0), dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            X = _matrix(batch, vcol)
+        by_id = np.argsort(qids_, kind="stable")
+        for ids, X in _tiles(batches, vid, vcol):
             XT = np.ascontiguousarray(X.T)
-            ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
             xn2 = np.einsum("bd,bd->b", X, X)
+            own_r, own_c = _own_pairs(qids_, by_id, ids) if exclude_self else (by_id[:0], by_id[:0])
             width = min(m, best_d.shape[1] + len(ids))
-            next_d, next_i = np.full((q, width), np.inf), np.zeros((q, width), dtype=np.int64)
+            if width > best_d.shape[1]:
+                more = ((0, 0), (0, width - best_d.shape[1]))
+                best_d, best_i, short = np.pad(best_d, more, constant_values=np.inf), np.pad(best_i, more), True
+            else:
+                short = False
             step = max(1, _CHUNK_ELEMS // max(len(ids), 2 * width))
+            step = min(step, block_rows or step)
             for a in range(0, q, step):
                 rows = slice(a, min(q, a + step))
                 D = _approx(metric, Q_[rows], qn2[rows], X, xn2)
-                if exclude_self:
-                    D[_self_mask(qids_, ids, rows)] = np.inf
-                fin = np.isfinite(D)
-                n[rows] += fin.sum(1)
-                s[rows] += np.where(fin, D, 0.0).sum(1)
-                am = np.where(fin, D, -np.inf).argmax(1)
+                cut = slice(*np.searchsorted(own_r, (a, a + step)))
+                own = own_r[cut] - a, own_c[cut]
+                out = ~np.isfinite(D) if not (np.isfinite(xn2).all() and np.isfinite(qn2[rows]).all()) else None
+                n[rows] += len(ids)
+                D[own] = 0.0
+                if out is not None:  # pairs that are no numbers count nowhere
+                    out[own] = False
+                    n[rows] -= out.sum(1)
+                    D[out] = 0.0
+                n[rows] -= np.bincount(own[0], minlength=len(D))
+                s[rows] += D.sum(1)
+                D[own] = -np.inf
+                if out is not None:
+                    D[out] = -np.inf
+                am = D.argmax(1)
                 exm = _fold(Q_[rows], X[am], metric)
-                exm[~fin[np.arange(len(am)), am]] = -np.inf
+                exm[np.isneginf(D[np.arange(len(am)), am])] = -np.inf
                 mx[rows] = np.maximum(mx[rows], exm)
-                ex, idx = _nearest(metric, Q_[rows], qn2[rows], X, XT, xn2, ids, D, m)
-                ex[~np.isfinite(np.take_along_axis(D, idx, 1))] = np.inf
-                next_d[rows], next_i[rows], _ = _merge_top(best_d[rows], best_i[rows], ex, ids[idx], width)
-            best_d, best_i = next_d, next_i
+                D[own] = np.inf
+                if out is not None:
+                    D[out] = np.inf
+                at, ex, idx = _closer(metric, Q_[rows], qn2[rows], X, XT, xn2, ids, D, best_d[rows, :0] if short else best_d[rows], m)
+                best_d[at + a], best_i[at + a], _ = _merge_top(best_d[at + a], best_i[at + a], ex, ids[idx], width)
         step = max(1, _CHUNK_ELEMS // max(1, best_d.shape[1]))
         for a in range(0, q, step):  # rows are sorted by (d, id); excluded ones are not finite and last
             rows = slice(a, min(q, a + step))
@@ -293,7 +382,7 @@ def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m
                 names=["qid", "pid", "n", "sum_d", "min_d", "max_d", "top"])
 
     schema = f"qid long, pid int, n long, sum_d double, min_d double, max_d double, top {TOP_TYPE}"
-    parts = _meet(vectors, queries, body, schema, vid=vid, vcol=vcol, qid=qid, qv=qv, row_bytes=16 * m, block_rows=block_rows)
+    parts = _meet(vectors, queries, body, schema, vid=vid, vcol=vcol, qid=qid, qv=qv, row_bytes=40 * m, in_blocks=block_rows is not None)
     return merge_profiles(parts, m, SALTS)
 
 
@@ -349,7 +438,7 @@ def within_counts(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr",
                     near |= np.abs(D - Tc[:, j:j + 1]) <= err
                 if near.any():
                     rr, cc = np.nonzero(near)
-                    D[rr, cc] = _fold(Qc[rr], X[cc], metric)
+                    D[rr, cc] = _exact_pairs(metric, Qc, X, rr, cc)
                 if exclude_self:
                     D[_self_mask(qids_, ids, rows)] = np.inf
                 for j in range(t):
@@ -473,29 +562,31 @@ def gradient_partials(vectors: DataFrame, queries: DataFrame, metric: str = "euc
         qids_, Q_ = side
         q, dim = Q_.shape
         qn2 = np.einsum("qd,qd->q", Q_, Q_)
+        if q == 0:
+            return
         n = np.zeros(q, dtype=np.int64)
         s = np.zeros(q)
         g = np.zeros((q, dim))
         best_d = np.full((q, 0), np.inf)
         best_i = np.zeros((q, 0), dtype=np.int64)
         best_v = np.zeros((q, 0, dim))
-        for batch in batches:
-            if batch.num_rows == 0 or q == 0:
-                continue
-            X = _matrix(batch, vcol)
-            ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
+        by_id = np.argsort(qids_, kind="stable")
+        for ids, X in _tiles(batches, vid, vcol):
             xn2 = np.einsum("bd,bd->b", X, X)
             XT = np.ascontiguousarray(X.T)
+            own_r, own_c = _own_pairs(qids_, by_id, ids) if exclude_self else (by_id[:0], by_id[:0])
             width = min(m, best_d.shape[1] + len(ids))
-            next_d, next_i = np.full((q, width), np.inf), np.zeros((q, width), dtype=np.int64)
-            next_v = np.zeros((q, width, dim))
+            short = width > best_d.shape[1]
+            if short:
+                more = ((0, 0), (0, width - best_d.shape[1]))
+                best_d, best_i, best_v = np.pad(best_d, more, constant_values=np.inf), np.pad(best_i, more), np.pad(best_v, (*more, (0, 0)))
             step = max(1, _CHUNK_ELEMS // max(len(ids), 2 * width * dim))
             for a in range(0, q, step):
                 rows = slice(a, min(q, a + step))
                 Qc = Q_[rows]
                 D = _approx(metric, Qc, qn2[rows], X, xn2)
-                if exclude_self:
-                    D[_self_mask(qids_, ids, rows)] = np.inf
+                cut = slice(*np.searchsorted(own_r, (a, a + step)))
+                D[own_r[cut] - a, own_c[cut]] = np.inf
                 fin = np.isfinite(D)
                 n[rows] += fin.sum(1)
                 s[rows] += np.where(fin, D, 0.0).sum(1)
@@ -504,32 +595,28 @@ def gradient_partials(vectors: DataFrame, queries: DataFrame, metric: str = "euc
                 else:
                     inv = np.where(fin & (D > 0), 1.0 / np.where(D > 0, D, 1.0), 0.0)  # (rows, b)
                     g[rows] += inv.sum(1)[:, None] * Qc - inv @ X
-                ex, idx = _nearest(metric, Qc, qn2[rows], X, XT, xn2, ids, D, m)
-                ex[~np.isfinite(np.take_along_axis(D, idx, 1))] = np.inf
-                next_d[rows], next_i[rows], order = _merge_top(best_d[rows], best_i[rows], ex, ids[idx], width)
-                next_v[rows] = np.take_along_axis(np.concatenate([best_v[rows], X[idx]], 1), order[:, :, None], 1)
-            best_d, best_i, best_v = next_d, next_i, next_v
-        if q == 0:
-            return
-        offs, ds, is_, vs = [0], [], [], []
-        for r in range(q):
-            order = [j for j in np.lexsort((best_i[r], best_d[r])) if np.isfinite(best_d[r, j])][:m]
-            ds.extend(best_d[r, order].tolist())
-            is_.extend(best_i[r, order].tolist())
-            vs.extend([best_v[r, j].tolist() for j in order])
-            offs.append(len(ds))
-        vv = pa.array(vs, type=pa.list_(pa.float64()))
-        top = pa.ListArray.from_arrays(pa.array(offs, type=pa.int32()), pa.StructArray.from_arrays(
-            [pa.array(ds, type=pa.float64()), pa.array(is_, type=pa.int64()), vv], names=["d", "id", "v"]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids_, pa.int64()), pa.array(np.full(q, pid), pa.int32()), pa.array(n, pa.int64()), pa.array(s),
-             pa.array(g.tolist(), type=pa.list_(pa.float64())), top],
-            names=["qid", "pid", "n", "sum_d", "g", "top"])
+                D[~fin] = np.inf
+                at, ex, idx = _closer(metric, Qc, qn2[rows], X, XT, xn2, ids, D, best_d[rows, :0] if short else best_d[rows], m)
+                to = at + a
+                near = np.concatenate([best_v[to], X[idx]], 1)
+                best_d[to], best_i[to], order = _merge_top(best_d[to], best_i[to], ex, ids[idx], width)
+                best_v[to] = np.take_along_axis(near, order[:, :, None], 1)
+        step = max(1, _CHUNK_ELEMS // max(1, best_d.shape[1] * dim))
+        for a in range(0, q, step):  # rows are sorted by (d, id); excluded ones are not finite and last
+            rows = slice(a, min(q, a + step))
+            fin = np.isfinite(best_d[rows])
+            offs = np.concatenate([[0], np.cumsum(fin.sum(1))]).astype(np.int32)
+            top = pa.ListArray.from_arrays(pa.array(offs), pa.StructArray.from_arrays(
+                [pa.array(best_d[rows][fin]), pa.array(best_i[rows][fin]), _lists(best_v[rows][fin])], names=["d", "id", "v"]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids_[rows], pa.int64()), pa.array(np.full(len(fin), pid), pa.int32()), pa.array(n[rows], pa.int64()),
+                 pa.array(s[rows]), _lists(g[rows]), top],
+                names=["qid", "pid", "n", "sum_d", "g", "top"])
 
     schema = ("qid long, pid int, n long, sum_d double, g array<double>, "
               "top array<struct<d:double,id:bigint,v:array<double>>>")
-    # a task holds m vectors per query
-    parts = _meet(vectors, queries, body, schema, vid=vid, vcol=vcol, row_bytes=lambda dim: 8 * m * (dim + 2))
+    # a task holds m vectors per query, once more while their array grows, and the gradient
+    parts = _meet(vectors, queries, body, schema, vid=vid, vcol=vcol, row_bytes=lambda dim: 16 * m * (dim + 2) + 8 * dim)
     salts = SALTS
 
     def aggs():
@@ -575,7 +662,7 @@ def histogram(vectors: DataFrame, queries: DataFrame, bins: int, metric: str = "
                 at = (D - lo_[rows, None]) * per
                 # re-measure points close to the edge of a bin with the direct formula
                 rr, cc = np.nonzero(np.abs(at - np.rint(at)) <= _slack(metric, D, qn2[rows], xn2) * per + 1e-9)
-                D[rr, cc] = _fold(Q_[rows][rr], X[cc], metric)
+                D[rr, cc] = _exact_pairs(metric, Q_[rows], X, rr, cc)
                 b = np.floor((D - lo_[rows, None]) / (hi_[rows, None] - lo_[rows, None]) * bins)
                 b = np.minimum(b, bins - 1).astype(np.int64)
                 keep = np.ones(D.shape, dtype=bool)
@@ -613,24 +700,23 @@ def pairs_within(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr", m
         qids_, Q_, T_ = side
         q = len(qids_)
         qn2 = np.einsum("qd,qd->q", Q_, Q_)
-        for batch in batches:
-            if batch.num_rows == 0 or q == 0:
-                continue
-            X = _matrix(batch, vcol)
-            ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
+        by_id = np.argsort(qids_, kind="stable")
+        for ids, X in _tiles(batches, vid, vcol):
+            if q == 0:
+                return
             xn2 = np.einsum("bd,bd->b", X, X)
-            step = max(1, _CHUNK_ELEMS // max(1, len(ids)))
+            own_r, own_c = _own_pairs(qids_, by_id, ids) if exclude_self else (by_id[:0], by_id[:0])
+            step = max(1, _CHUNK_ELEMS // len(ids))
             for a in range(0, q, step):
                 rows = slice(a, min(q, a + step))
                 D = _approx(metric, Q_[rows], qn2[rows], X, xn2)
-                t = T_[rows][:, None]
-                cand = D <= t + _slack(metric, D, qn2[rows], xn2)
-                if exclude_self:
-                    cand &= ~_self_mask(qids_, ids, rows)
+                cand = D <= _limit(metric, T_[rows], qn2[rows], xn2)[:, None]
+                cut = slice(*np.searchsorted(own_r, (a, a + step)))
+                cand[own_r[cut] - a, own_c[cut]] = False
                 rr, cc = np.nonzero(cand)
                 if len(rr) == 0:
                     continue
-                d = _fold(Q_[rows][rr], X[cc], metric)
+                d = _exact_pairs(metric, Q_[rows], X, rr, cc)
                 ok = d <= T_[rows][rr]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(qids_[rows][rr[ok]], pa.int64()), pa.array(ids[cc[ok]], pa.int64()), pa.array(d[ok])],

@@ -50,3 +50,30 @@ def test_empty_sides(spark, small_blocks):
     assert D.knn(v, q.where("qid < 0"), 3).count() == 0
     assert D.knn(v.where("id < 0"), q, 3).count() == 0
     assert D.range_join(v.where("id < 0"), q.withColumn("r", F.lit(1.0)), "r").count() == 0
+
+
+def test_few_files_are_dealt_to_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(scan, "merge_profiles", lambda parts, m, salts: parts)
+    monkeypatch.setattr(scan, "_DEAL_QUERIES", 10, raising=False)
+    parts = scan.profile(fx.vectors(spark, SF), fx.queries(spark, SF), m=3)
+    assert parts.select("pid").distinct().count() == spark.sparkContext.defaultParallelism
+
+
+def test_batches_do_not_repeat_the_vectors(spark, monkeypatch):
+    blocks, numbers = [], scan._numbers
+    monkeypatch.setattr(scan, "_numbers", lambda n: blocks.append(n) or numbers(n))
+    v, q = fx.vectors(spark, SF), fx.queries(spark, SF)
+    D.knn_batched(v, q, 5, batch_size=10)
+    assert blocks and max(blocks) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_gradient_bound_counts_what_a_task_holds(spark, monkeypatch):
+    asked = {}
+
+    def meet(vectors, queries, body, schema, **how):
+        asked.update(how)
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(scan, "_meet", meet)
+    scan.gradient_partials(fx.vectors(spark, SF), fx.queries(spark, SF), m=11)
+    assert asked["row_bytes"](64) >= 2 * 11 * (64 + 2) * 8 + 64 * 8  # the lists twice while they grow, and the gradient
