@@ -77,3 +77,14 @@ def test_gradient_bound_counts_what_a_task_holds(spark, monkeypatch):
     monkeypatch.setattr(scan, "_meet", meet)
     scan.gradient_partials(fx.vectors(spark, SF), fx.queries(spark, SF), m=11)
     assert asked["row_bytes"](64) >= 2 * 11 * (64 + 2) * 8 + 64 * 8  # the lists twice while they grow, and the gradient
+
+
+def test_many_queries_are_paired_by_the_scan(spark, monkeypatch):
+    v, q = fx.vectors(spark, SF), fx.queries(spark, SF).where("qid < 40")
+    joined = [rows(D.pair_distances(v, q, m, exclude_self=True)) for m in ("euclidean", "angular")]
+    monkeypatch.setattr(scan, "_DEAL_QUERIES", 10)
+    many = D.pair_distances(v, q, "euclidean", exclude_self=True)
+    assert "MapInArrow" in many._jdf.queryExecution().executedPlan().toString()
+    assert [rows(many), rows(D.pair_distances(v, q, "angular", exclude_self=True))] == joined
+    holes = v.withColumn("v", F.when(F.col("id") == 3, F.lit(None)).otherwise(F.col("v")))
+    assert D.pair_distances(holes, q, exclude_self=True).where("d IS NULL").count() == 39
