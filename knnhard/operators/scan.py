@@ -20,7 +20,7 @@ results equal the SQL expression path to the last bits that matter.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -164,13 +164,13 @@ def _matrix(batch: pa.RecordBatch, col: str) -> np.ndarray:
     return flat.reshape(n, dim)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], vid: str, vcol: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(ids, matrix)`` of at most ``_TILE`` rows at once."""
+def _tiles(batches: Iterator[pa.RecordBatch], vid: str, vcol: str, more: Sequence[str] = ()) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(ids, matrix)``, and the columns of ``more``, of at most ``_TILE`` rows at once."""
     for batch in batches:
         for a in range(0, batch.num_rows, _TILE):
             part = batch.slice(a, _TILE)
-            ids = part.column(part.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield ids, _matrix(part, vcol)
+            ids, *rest = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (vid, *more))
+            yield ids, _matrix(part, vcol), *rest
 
 
 def _approx(metric: str, Qc: np.ndarray, qn2: np.ndarray, X: np.ndarray, xn2: np.ndarray) -> np.ndarray:
@@ -236,6 +236,12 @@ def _limit(metric: str, t: np.ndarray, qn2: np.ndarray, xn2: np.ndarray) -> np.n
     return t + e if metric == "angular" else np.sqrt(t * t + e)
 
 
+def _floor(metric: str, t: np.ndarray, qn2: np.ndarray, xn2: np.ndarray) -> np.ndarray:
+    """For every row the approximate distance below which every pair has an exact distance ``<= t``."""
+    e = 2 * _REL * (qn2 + xn2.max(initial=0.0, where=np.isfinite(xn2)))
+    return t - e if metric == "angular" else np.sqrt(np.maximum(np.where(t < 0, 0.0, t * t - e), 0.0))
+
+
 def _nearest(metric: str, Qc: np.ndarray, qn2: np.ndarray, X: np.ndarray, XT: np.ndarray, xn2: np.ndarray,
              ids: np.ndarray, D: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(exact distances, columns) of the ``k`` smallest (d, id) of every row of the approximate ``D``.
@@ -414,57 +420,47 @@ def within_counts(vectors: DataFrame, queries: DataFrame, thr_col: str = "thr",
         qids_, Q_, T_ = side
         T_ = T_.reshape(len(qids_), -1 if len(qids_) else 0)
         q, t = T_.shape if T_.size else (len(qids_), 0)
+        if q == 0:
+            return
         qn2 = np.einsum("qd,qd->q", Q_, Q_)
-        acc: dict = {}
+        by_id = np.argsort(qids_, kind="stable")
         tot = np.zeros((q, t), dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows == 0 or q == 0:
-                continue
-            X = _matrix(batch, vcol)
-            ids = batch.column(batch.schema.get_field_index(vid)).to_numpy(zero_copy_only=False).astype(np.int64)
-            cells = (batch.column(batch.schema.get_field_index(cell_col)).to_numpy(zero_copy_only=False)
-                     .astype(np.int64) if cell_col else None)
+        more = [cell_col] if cell_col else []
+        for ids, X, *cells in _tiles(batches, vid, vcol, more):
             xn2 = np.einsum("bd,bd->b", X, X)
-            step = max(1, _CHUNK_ELEMS // max(1, len(ids)))
+            own_r, own_c = _own_pairs(qids_, by_id, ids) if exclude_self else (by_id[:0], by_id[:0])
+            step = max(1, _CHUNK_ELEMS // len(ids))
             for a in range(0, q, step):
                 rows = slice(a, min(q, a + step))
-                Qc = Q_[rows]
-                D = _approx(metric, Qc, qn2[rows], X, xn2)
-                # re-measure points close to any threshold with the direct formula
-                Tc = T_[rows]
-                near = np.zeros(D.shape, dtype=bool)
-                err = _slack(metric, D, qn2[rows], xn2)
-                for j in range(t):
-                    near |= np.abs(D - Tc[:, j:j + 1]) <= err
-                if near.any():
-                    rr, cc = np.nonzero(near)
-                    D[rr, cc] = _exact_pairs(metric, Qc, X, rr, cc)
-                if exclude_self:
-                    D[_self_mask(qids_, ids, rows)] = np.inf
+                D = _approx(metric, Q_[rows], qn2[rows], X, xn2)
+                cut = slice(*np.searchsorted(own_r, (a, a + step)))
+                D[own_r[cut] - a, own_c[cut]] = np.nan  # within no threshold
                 for j in range(t):
-                    hit = D <= Tc[:, j:j + 1]
-                    if cells is None:
-                        tot[rows, j] += hit.sum(1)
-                    else:
-                        rr, cc = np.nonzero(hit)
-                        if len(rr):
-                            keys = np.stack([rr + a, cells[cc]], 1)
-                            uk, cnt = np.unique(keys, axis=0, return_counts=True)
-                            for (r, c), v in zip(uk.tolist(), cnt.tolist()):
-                                acc[(r, j, c)] = acc.get((r, j, c), 0) + v
-        if q == 0:
-            return
-        if cells is None and cell_col is None:
+                    thr = T_[rows, j]
+                    sure, may = D < _floor(metric, thr, qn2[rows], xn2)[:, None], D <= _limit(metric, thr, qn2[rows], xn2)[:, None]
+                    # points close to the threshold are measured again with the direct formula
+                    least, most = np.count_nonzero(sure, axis=1), np.count_nonzero(may, axis=1)
+                    near = np.nonzero(least != most)[0]
+                    at, cc = np.nonzero(may[near] & ~sure[near])
+                    rr = near[at]
+                    ok = _exact_pairs(metric, Q_[rows], X, rr, cc) <= thr[rr]
+                    if not cells:
+                        tot[rows, j] += least + np.bincount(rr[ok], minlength=len(D))
+                        continue
+                    sure[rr[ok], cc[ok]] = True
+                    rr, cc = np.nonzero(sure)
+                    known, of = np.unique(cells[0], return_inverse=True)
+                    key, cnt = np.unique(rr * len(known) + of[cc], return_counts=True)
+                    if len(key):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(qids_[rows][key // len(known)], pa.int64()), pa.array(np.full(len(key), j), pa.int32()),
+                             pa.array(known[key % len(known)], pa.int64()), pa.array(cnt, pa.int64())],
+                            names=["qid", "j", "cell", "cnt"])
+        if cell_col is None:
             rr, jj = np.nonzero(tot >= 0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(qids_[rr], pa.int64()), pa.array(jj, pa.int32()), pa.array(tot[rr, jj], pa.int64())],
                 names=["qid", "j", "cnt"])
-        elif acc:
-            keys = list(acc.keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([qids_[k[0]] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([k[2] for k in keys], pa.int64()), pa.array(list(acc.values()), pa.int64())],
-                names=["qid", "j", "cell", "cnt"])
 
     if cell_col:
         schema, keys = "qid long, j int, cell long, cnt long", ["qid", "j", "cell"]
