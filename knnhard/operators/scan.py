@@ -53,6 +53,7 @@ _REL = 1e-12
 SALTS = 256
 
 TOP_TYPE = "array<struct<d:double,id:bigint>>"
+PROFILE_TYPE = f"qid long, pid int, n long, sum_d double, min_d double, max_d double, top {TOP_TYPE}"
 
 
 def _check_metric(metric: str) -> None:
@@ -312,14 +313,8 @@ def _self_mask(qids: np.ndarray, ids: np.ndarray, rows: slice) -> np.ndarray:
 
 # ---------------------------------------------------------------- profile
 
-def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m: int = 21,
-            exclude_self: bool = False, vid: str = "id", vcol: str = "v",
-            qid: str = "qid", qv: str = "qv", block_rows: int | None = None) -> DataFrame:
-    """Per query: ``n, sum_d, min_d, max_d`` over all points and the ``m``
-    nearest as ``top array<struct<d,id>>`` ordered by (d, id). ``block_rows``: the queries stay a
-    table, and a task takes that many of its block at once."""
-    _check_metric(metric)
-
+def _profile_body(metric: str, m: int, exclude_self: bool, vid: str, vcol: str, block_rows: int | None = None) -> Body:
+    """What ``profile`` does with a block of queries and the batches of vectors they meet."""
     def body(side, pid, batches):
         qids_, Q_ = side
         q = len(qids_)
@@ -387,11 +382,60 @@ def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m
                  pa.array(mx[rows], mask=~np.isfinite(mx[rows])), top],  # a task without rows has no extremes: NULL, which min and max pass over
                 names=["qid", "pid", "n", "sum_d", "min_d", "max_d", "top"])
 
-    schema = f"qid long, pid int, n long, sum_d double, min_d double, max_d double, top {TOP_TYPE}"
-    parts = _meet(vectors, queries, body, schema, vid=vid, vcol=vcol, qid=qid, qv=qv, row_bytes=40 * m, in_blocks=block_rows is not None)
+    return body
+
+
+def profile(vectors: DataFrame, queries: DataFrame, metric: str = "euclidean", m: int = 21,
+            exclude_self: bool = False, vid: str = "id", vcol: str = "v",
+            qid: str = "qid", qv: str = "qv", block_rows: int | None = None) -> DataFrame:
+    """Per query: ``n, sum_d, min_d, max_d`` over all points and the ``m``
+    nearest as ``top array<struct<d,id>>`` ordered by (d, id). ``block_rows``: the queries stay a
+    table, and a task takes that many of its block at once."""
+    _check_metric(metric)
+    body = _profile_body(metric, m, exclude_self, vid, vcol, block_rows)
+    parts = _meet(vectors, queries, body, PROFILE_TYPE, vid=vid, vcol=vcol, qid=qid, qv=qv, row_bytes=40 * m, in_blocks=block_rows is not None)
     return merge_profiles(parts, m, SALTS)
 
 
+def profile_in_cells(cells: DataFrame, probes: DataFrame, sizes: DataFrame, metric: str = "euclidean", m: int = 21,
+                     exclude_self: bool = False) -> DataFrame:
+    """``profile`` of every query over the cells it probes: ``cells(id, cid, v)``, ``probes(qid, cid, qv)``.
+
+    A cell's vectors and the queries that probe it meet as cogroups of at most about ``_VECTOR_BLOCK`` and ``_QUERY_BLOCK`` bytes, so
+    a cell with much of the data, or one that all queries probe, is many of them. ``sizes(cid, size)`` has one row for each cell, as does
+    the table of blocks, which goes to every task. Only probed cells are read."""
+    _check_metric(metric)
+    dim = max(probes.agg(F.max(F.size("qv"))).first()[0] or 0, 1)
+    v_rows, q_rows = max(1, _VECTOR_BLOCK // (8 * dim)), max(1, _QUERY_BLOCK // (8 * dim + 40 * m))
+    blocks = probes.groupBy("cid").agg(F.ceil(F.count(F.lit(1)) / q_rows).alias("_nq")).join(sizes, "cid", "left").select(
+        "cid", "_nq", F.greatest(F.lit(1).cast("long"), F.ceil(F.coalesce("size", F.lit(0)) / v_rows)).alias("_nv"))
+    blocks = F.broadcast(blocks)
+
+    def numbers(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    spark = probes.sparkSession
+    # a row is short but stands for all it meets: the number is given, or adaptive planning would join tasks by the rows' bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keys = ["cid", "_vb", "_qb"]
+    v = cells.join(blocks, "cid").select("cid", F.col("id").cast("long").alias("id"), "v", F.pmod(F.xxhash64("id"), F.col("_nv")).alias("_vb"),
+                                         numbers("_nq").alias("_qb")).repartition(tasks, *keys)
+    qs = probes.join(blocks, "cid").select("cid", F.col("qid").cast("long").alias("_qid"), F.col("qv").cast("array<double>").alias("_qv"),
+                                           numbers("_nv").alias("_vb"), F.pmod(F.xxhash64("qid"), F.col("_nq")).alias("_qb")).repartition(tasks, *keys)
+    body = _profile_body(metric, m, exclude_self, "id", "v")
+    shape = to_arrow_schema(StructType.fromDDL(PROFILE_TYPE))
+
+    def pair(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:  # a block without vectors, or without queries
+            return shape.empty_table()
+        right = right.combine_chunks()
+        flat = right.column("_qv").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        got = body((right.column("_qid").to_numpy(), flat.reshape(right.num_rows, -1)), key[0].as_py() % SALTS, iter(left.to_batches(max_chunksize=10_000)))
+        return pa.Table.from_batches([b.cast(shape) for b in got], shape)
+
+    return merge_profiles(v.groupBy(*keys).cogroup(qs.groupBy(*keys)).applyInArrow(pair, PROFILE_TYPE), m, SALTS)
+
+
 def merge_profiles(parts: DataFrame, m: int, salts: int) -> DataFrame:
     def aggs():
         return [F.sum("n").alias("n"), F.sum("sum_d").alias("sum_d"), F.min("min_d").alias("min_d"),
