@@ -117,3 +117,25 @@ def test_long_lists_are_not_broadcast(spark):
     g = H.ground_truth(fx.vectors(spark, SF), fx.queries(spark, SF), maxk=20)
     joins = [x for x in g._jdf.queryExecution().executedPlan().toString().split("\n") if "LeftOuter" in x]
     assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+def test_nearest_lists_with_copies_holes_and_short_tiles(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(scan, "_TILE", 16)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 4)).round(1)
+    x[20:45] = x[7]  # 26 copies
+    x[50, 1], x[51, 2] = np.nan, np.inf
+    v = spark.createDataFrame([(i, [float(e) for e in row]) for i, row in enumerate(x)], "id long, v array<double>").repartition(1)
+    q = v.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
+    for metric in ("euclidean", "angular"):
+        for m in (5, 80):
+            for own in (True, False):
+                want = scan.profile(v, q, metric, m, own).select("qid", F.expr("transform(top, t -> t.id)").alias("i"), F.expr("transform(top, t -> t.d)").alias("d"))
+                got = scan.nearest_lists(v, q, metric, m, own).select("qid", F.expr("transform(top, t -> t.id)").alias("i"), F.expr("transform(top, t -> t.d)").alias("d"))
+                assert rows(got) == rows(want), (metric, m, own)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = {(a, b) for a, b, _ in scan.pairs_within(v, q.withColumn("thr", F.lit(1.0)), exclude_self=True).collect()}
+    assert got == {(a, b) for a in range(60) for b in range(60) if a != b and near[a, b] <= 1.0}
+    assert scan.pairs_within(v, q.withColumn("thr", F.lit(-1.0))).count() == 0
