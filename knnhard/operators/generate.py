@@ -236,11 +236,12 @@ def anneal_step(vectors: DataFrame, state: DataFrame, k: int, low: float, high:
                 score_fn=None) -> DataFrame:
     """One annealing step for every query of the batch (G5):
     ``state(qid, qv, y)`` with ``y = -ln RC`` (or the score of ``score_fn``) -> ``(qid, y, y_next, decision, qv_next)``."""
-    cand = perturb(state.select("qid", "qv"), metric, scale, seed, step)
-    scored = rc_scores(vectors, cand, k, metric, exclude_self) if score_fn is None else score_fn(cand)
+    # written once: the state may be a scan of its own, and the candidates are counted, sent and joined
+    cand = keep(perturb(state.select("qid", "qv", "y"), metric, scale, seed, step))
+    scored = rc_scores(vectors, cand.select("qid", "qv"), k, metric, exclude_self) if score_fn is None else score_fn(cand.select("qid", "qv"))
     sc = scored.select("qid", F.col("score").alias("y_next"))
     u = rand.uniform(seed, "metropolis", F.concat_ws(":", F.col("qid").cast("string"), F.lit(str(step))), 0)
-    j = state.select("qid", "y").join(sc, "qid").join(cand.select("qid", F.col("qv").alias("qv_next")), "qid")
+    j = cand.select("qid", "y", F.col("qv").alias("qv_next")).join(sc, "qid")
     return j.select("qid", "y", "y_next", anneal_accept(F.col("y"), F.col("y_next"), low, high,
                                                         temperature(t1, step), u).alias("decision"), "qv_next")
 

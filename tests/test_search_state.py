@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from knnhard.operators import generate as G
 from knnhard.plans import fixtures as fx
+from knnhard.session import keep
 
 
 def direction(x, g, score, high, metric, by_score):
@@ -67,3 +68,19 @@ def test_searches_without_queries(spark):
     none = G.start_points(v, 3, 3).where("qid < 0")
     assert G.gradient_search(v, none, 5, 1.0, 1.1, max_iter=3)[0].count() == 0
     assert G.anneal_search(v, none, 5, 0.0, 0.1, 0.3, max_steps=3)[0].count() == 0
+
+
+def test_annealing_step_computes_its_state_once(spark):
+    v = fx.vectors(spark, SF)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    q = keep(fx.queries(spark, SF).where("qid < 40").withColumn("y", F.lit(-0.2)))
+    state = q.mapInArrow(counted, q.schema)
+    got = G.anneal_step(v, state, 10, -0.1, -0.05, 0.05, 0, exclude_self=True)
+    assert got.select("decision").where("decision IS NOT NULL").collect() and got.count() == q.count()
+    assert seen.value == q.count()
