@@ -37,8 +37,8 @@ INDEX_NAMES = {"faiss_ivf": "FaissIVF", "faiss_hnsw": "FaissHNSW", "fashion_mnis
 # --------------------------------------------------------- aggregation
 
 def group_means(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Means per group (I1); empty/null means dropped."""
-    return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols]).na.drop(subset=cols)
+    """Means per group (I1). A group with a NULL or NaN mean stays, as in the SQL: the others of its means count."""
+    return df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in cols])
 
 
 def max_then_mean(df: DataFrame, inner: list[str], outer: list[str], col: str) -> DataFrame:

@@ -480,3 +480,11 @@ def test_measures_of_many_copies(spark, ansi):
     assert wide == 20 and eps == {float("inf")}
     assert got[0].rc == float("inf") and np.isnan(got[0].expansion)
     assert 0 < got[19].rc < float("inf")
+
+
+def test_group_means_keep_groups_with_missing_means(spark):
+    from knnhard.operators import report
+
+    df = spark.createDataFrame([("a", 1.0, float("nan")), ("a", 3.0, 2.0), ("b", 4.0, None), ("c", 5.0, 6.0)], "g string, x double, y double")
+    got = {r["g"]: (r["x"], r["y"]) for r in report.group_means(df, ["g"], ["x", "y"]).collect()}
+    assert got["a"][0] == 2.0 and np.isnan(got["a"][1]) and got["b"] == (4.0, None) and got["c"] == (5.0, 6.0)
