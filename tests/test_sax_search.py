@@ -68,6 +68,22 @@ def test_search_without_bounds_and_more_neighbours_than_series(spark):
         assert {c["n_dist"] for c in counters.values()} == {12}
 
 
+def test_no_pair_of_a_query_and_a_series_is_a_row(spark):
+    """Noise, of which bounds prune little: the answers come from written lists, not from a join of queries and series."""
+    rng = np.random.default_rng(10)
+    rows = list(rng.standard_normal((150, 16)))
+    summary = sax.summarise(series_of(spark, rows), 4).checkpoint()
+    leaves = sax.build_leaves(summary, 4, 20)
+    q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "qid long, qv array<double>")
+    ans, counters = sax.sax_search(summary, leaves, q, 3, 4, exclude_self=True)
+    assert "Join" not in ans._jdf.queryExecution().optimizedPlan().toString()
+    want, got = brute(rows, rows, 3, True), {}
+    for r in sorted(ans.collect(), key=lambda r: (r["qid"], r["rank"])):
+        got.setdefault(r["qid"], []).append(r["id"])
+    assert got == want
+    assert all(3 <= c["n_dist"] <= 149 and c["n_buckets"] >= 1 for c in counters.collect())
+
+
 def test_wide_words_are_refused(spark):
     with pytest.raises(ValueError, match="at most"):
         search(spark, [[0.0] * 34], [[0.0] * 34], 1, 17, 1)
