@@ -189,8 +189,9 @@ def _split_choice_distribution(w: int, bps: list[list[float]]) -> Column:
     for i in range(w):
         b = F.element_at("bits", i + 1)
         p = F.element_at("prefix", i + 1)
-        pos = _shl(p * 2 + 1, F.lit(CARD_BITS - 1) - b)  # 1-based breakpoint position
-        bp = F.element_at(F.element_at(B, i + 1), pos)
+        # 1-based breakpoint position; a segment with all its bits has none left and is filtered out below
+        pos = _shl(p * 2 + 1, F.greatest(F.lit(CARD_BITS - 1) - b, F.lit(0)))
+        bp = F.element_at(F.element_at(B, i + 1), F.least(pos, F.lit(N_SYMBOLS - 1)))
         mean = F.col(f"sx{i}") / F.col("size")
         std = F.sqrt(F.greatest(F.lit(0.0), F.col(f"sxx{i}") / F.col("size") - mean * mean))
         score = F.when(std > 0, F.abs(bp - mean) / std).otherwise(F.lit(float("inf")))
