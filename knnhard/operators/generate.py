@@ -1,6 +1,8 @@
 """Workload generation.
 
-Queries of a chosen hardness are produced by batch-synchronous searches:
+Queries of a chosen hardness are produced by batch-synchronous searches. Where
+all vectors fit into every task, a task takes its queries through all their
+steps (``chains``); else
 every step is ONE Spark pass over the vector table for all queries of the
 batch (per-query partial aggregates come back), so a step costs one scan
 however many queries are searched. The state of a search (points, moments,
@@ -23,8 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knnhard.functions import rand, vec
+from knnhard.operators import chains, scan
 from knnhard.operators import hardness as H
-from knnhard.operators import scan
 from knnhard.operators import vectors as vops
 from knnhard.session import keep, scratch
 
@@ -35,7 +37,7 @@ CLASS_FACTORS = {
 }
 # Named noise scales as a fraction of the diameter estimate
 NOISE_LEVELS = {"easy": 1e-5, "medium": 1e-4, "hard": 1e-3}
-ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-8
+ADAM_B1, ADAM_B2, ADAM_EPS = chains.ADAM_B1, chains.ADAM_B2, chains.ADAM_EPS
 
 
 # ------------------------------------------------------------- noise
@@ -267,6 +269,9 @@ def gradient_search(vectors: DataFrame, starts: DataFrame, k: int, low: float, h
                                          lambda a, e: a + F.lit(start_noise) * e).alias("x"))
     s0 = s0.select("qid", _post_col("x", metric).alias("x"))
     live = keep(s0.withColumns({"m": _zeros("x"), "v": _zeros("x")}))
+    sent = chains.points(vectors, live, k, metric, exclude_self, score_fn)
+    if sent is not None:
+        return _gradient_result(chains.descend(live, sent, low, high, lr, max_iter, metric, score_fn is not None), max_iter - 1, keep_trajectory)
     root = scratch(spark)
     t0 = time.time()
     last = -1
@@ -285,7 +290,10 @@ def gradient_search(vectors: DataFrame, starts: DataFrame, k: int, low: float, h
         live = adam_columns(seen.select("qid", "x", "m", "v", d.alias("d")), it + 1, lr, metric).select("qid", "x", "m", "v")
     kind = live.schema["qid"].dataType.simpleString()
     shape = f"qid {kind}, x array<double>, rc double, score double, inside boolean, elapsed_s double, iteration long"
-    parts = spark.read.schema(shape).parquet(root) if last >= 0 else spark.createDataFrame([], shape)
+    return _gradient_result(spark.read.schema(shape).parquet(root) if last >= 0 else spark.createDataFrame([], shape), last, keep_trajectory)
+
+
+def _gradient_result(parts: DataFrame, last: int, keep_trajectory: bool) -> tuple[DataFrame, DataFrame]:
     final = parts.where(F.col("inside") | (F.col("iteration") == last)).select(
         "qid", F.col("x").alias("qv"), "rc", "score", F.col("inside").alias("reached"), F.col("iteration").alias("iterations"))
     trace = parts.select("iteration", "rc", "score", "elapsed_s", "qid", *([F.col("x").alias("qv")] if keep_trajectory else []))
@@ -308,7 +316,20 @@ def anneal_search(vectors: DataFrame, starts: DataFrame, k: int, low: float, hig
     False for queries that did not enter the interval (Q17), ``best_score``
     is kept beside the reference's "last closer" point (Q18)."""
     spark = vectors.sparkSession
-    start = starts.select("qid", vec.dvec("qv").alias("x"))
+    start = keep(starts.select("qid", vec.dvec("qv").alias("x")))
+
+    def result(parts: DataFrame, last: int) -> tuple[DataFrame, DataFrame]:
+        def rc_of(score: str) -> Column:
+            return F.exp(-F.col(score)) if score_fn is None else F.lit(None).cast("double")
+
+        final = parts.where(F.col("reached") | (F.col("iteration") == last)).select(
+            "qid", F.col("x").alias("qv"), rc_of("y").alias("rc"), F.col("y").alias("score"), "reached", "best_score")
+        trace = parts.where("iteration >= 0").select("iteration", rc_of("from_y").alias("rc"), F.col("from_y").alias("score"), "elapsed_s", "qid")
+        return final, trace
+
+    sent = chains.points(vectors, start, k, metric, exclude_self, score_fn)
+    if sent is not None:
+        return result(chains.anneal(start, sent, low, high, scale, max_steps, t1, metric, seed, score_fn is not None), max_steps - 1)
     cur = start.select("qid", F.col("x").alias("qv"))
     scored = rc_scores(vectors, cur, k, metric, exclude_self) if score_fn is None else score_fn(cur)
     inside = F.coalesce((F.col("y") >= low) & (F.col("y") <= high), F.lit(False))
@@ -351,14 +372,7 @@ def anneal_search(vectors: DataFrame, starts: DataFrame, k: int, low: float, hig
     kind = start.schema["qid"].dataType.simpleString()
     parts = spark.read.schema(f"qid {kind}, x array<double>, y double, best_score double, reached boolean, from_y double, "
                               "elapsed_s double, iteration long").parquet(root)
-
-    def rc_of(score: str) -> Column:
-        return F.exp(-F.col(score)) if score_fn is None else F.lit(None).cast("double")
-
-    final = parts.where(F.col("reached") | (F.col("iteration") == last)).select(
-        "qid", F.col("x").alias("qv"), rc_of("y").alias("rc"), F.col("y").alias("score"), "reached", "best_score")
-    trace = parts.where("iteration >= 0").select("iteration", rc_of("from_y").alias("rc"), F.col("from_y").alias("score"), "elapsed_s", "qid")
-    return final, trace
+    return result(parts, last)
 
 
 def start_points(vectors: DataFrame, q: int, seed: int = 1234) -> DataFrame:
@@ -445,7 +459,10 @@ def index_score(vectors: DataFrame, index, k: int, metric: str = "euclidean", ta
         _, counters = sax.sax_search(index[0], index[1], cur, k, index[2])
         return counters.select("qid", F.col("hardness").alias("score"))
 
-    return by_ivf if len(index) == 2 else by_sax
+    if len(index) != 2:
+        return by_sax
+    by_ivf.cells = (*index, target_recall)  # for searches inside a task
+    return by_ivf
 
 
 def build_index(vectors: DataFrame, name: str, metric: str = "euclidean", segments: int = 16, leaf_size: int = 2000):
